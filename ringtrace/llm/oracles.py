@@ -4,8 +4,8 @@ QUALITY = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(text, '') AS text FROM documents
 ), words AS (
-  SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), w -> w <> '') AS w,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM docs
 ), runs AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS found
@@ -34,4 +34,84 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failing f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source
 """
 
-ORACLES = {"op1_quality_rules": QUALITY}
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+), reach AS (
+  SELECT a AS doc_id, a AS other FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+), least AS (
+  SELECT doc_id, min(other) AS component FROM reach GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(component, doc_id) AS BIGINT) AS component_id
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+URL_FILTERS = r"""
+WITH parts AS (
+  SELECT page_id, lower(trim(coalesce(url, ''))) AS u FROM pages
+), parsed AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_extract(regexp_replace(u, '^[a-z][a-z0-9+.-]*://', ''), '^(?:[^/?#@]*@)?([^/?#:@]*)', 1), '^www\.', ''), '\.$', '') AS host,
+         regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://)?[^/?#]*/([^/?#]+)', 1) AS head
+  FROM parts
+), captures AS (
+  SELECT page_id, host, head, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (page_id % 366) AS fetched_at FROM parsed
+), hosts AS (SELECT host AS pattern, min(page_id) AS p FROM parsed WHERE host <> '' GROUP BY 1
+), domains AS (SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS pattern, min(page_id) AS p FROM parsed GROUP BY 1 HAVING pattern <> ''
+), heads AS (SELECT host || '/' || head AS pattern, min(page_id) AS p FROM parsed WHERE head <> '' GROUP BY 1
+), held AS (
+  SELECT 'hosts' AS list_name, pattern, 'block' AS action, 2 AS strength, p % 180 AS d, CASE WHEN p % 3 = 0 THEN p % 180 + 120 ELSE 100000 END AS e FROM hosts
+  UNION ALL SELECT 'domains', pattern, 'review', 3, p % 90 + 100, 100000 FROM domains
+  UNION ALL SELECT 'paths', pattern, 'allow', 1, p % 200, p % 200 + 60 FROM heads
+), asked AS (
+  SELECT page_id, 0 AS depth, host || '/' || head AS pattern FROM captures WHERE head <> '' AND host <> ''
+  UNION ALL
+  SELECT page_id, CASE WHEN head <> '' THEN i ELSE i - 1 END, array_to_string(l[i:], '.')
+  FROM (SELECT page_id, head, string_split(host, '.') AS l, unnest(generate_series(1, greatest(len(string_split(host, '.')) - 1, 1))) AS i FROM captures WHERE host <> '')
+), active AS (
+  SELECT a.page_id, h.*, row_number() OVER (PARTITION BY a.page_id ORDER BY depth, strength, list_name, h.pattern) AS k
+  FROM asked a JOIN captures c USING (page_id) JOIN held h ON a.pattern = h.pattern
+  WHERE c.fetched_at >= TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * h.d AND c.fetched_at < TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * h.e
+)
+SELECT c.page_id, strftime(c.fetched_at, '%Y-%m-%d') AS fetched_at, c.host, coalesce(a.action, 'none') AS verdict, a.pattern, a.list_name,
+       strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * a.d, '%Y-%m-%d') AS valid_from
+FROM captures c LEFT JOIN active a ON a.page_id = c.page_id AND a.k = 1
+"""
+
+TOP_K = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r <= 5
+"""
+
+TOKEN_COUNTS = r"""
+WITH counts AS (
+  SELECT source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words,
+         len(regexp_extract_all(t, '[A-Za-z]+|[0-9]|[^\x20\x09-\x0DA-Za-z0-9]+')) - len(regexp_extract_all(t, '[0-9]')) AS pieces
+  FROM (SELECT source, lang, coalesce(text, '') AS t FROM documents)
+)
+SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS documents, CAST(sum(n) AS BIGINT) AS tokens
+FROM (SELECT source, lang, 'words' AS tokenizer, words AS n FROM counts WHERE words >= 5 UNION ALL SELECT source, lang, 'pieces', pieces FROM counts WHERE words >= 5)
+GROUP BY ALL
+"""
+
+ORACLES = {
+    "op1_quality_rules": QUALITY,
+    "op3_near_duplicates": NEAR_DUPLICATES,
+    "op4_url_filters": URL_FILTERS,
+    "op7_exact_top_k": TOP_K,
+    "op10_token_counts": TOKEN_COUNTS,
+}

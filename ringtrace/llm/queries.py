@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringtrace.llm import bpe, packing, quality, token_store
-from ringtrace.llm.common import scratch, table
+from ringtrace.llm import bpe, language, near_dup, packing, quality, secrets, token_counts, token_store, topk, url_filters
+from ringtrace.llm.common import scratch, table, written
 from ringtrace.llm.wordpiece import tokenizer_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -25,10 +25,66 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(spark, path)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=(9, 10))
+
+
+def page_lists(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Captures and dated list entries drawn from ``pages``: its tables have no fetch times or lists.
+
+    A page was fetched on a day told by its id.  Each host is blocked from a day on, and one in three
+    is cleared later; each domain is under review from another; host and first path segment are
+    allowed for two months.
+    """
+    day = lambda n: (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(n.cast("int")))
+    captures = pages.select("page_id", "url", day(F.col("page_id") % 366).alias("fetched_at"))
+    host, head = url_filters.host_of(F.col("url")), url_filters.path_head(F.col("url"))
+    domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    first = lambda pattern: pages.filter("page_id IS NOT NULL").groupBy(pattern.alias("pattern")).agg(F.min("page_id").alias("p")).filter("pattern <> ''")
+    hosts, domains, heads = first(host), first(domain), first(F.when(head == "", "").otherwise(F.concat_ws("/", host, head)))
+    row = lambda df, name, action, n: df.select(F.lit(name).alias("list_name"), "pattern", F.lit(action).alias("action"), day(n).alias("listed_at"))
+    p = F.col("p")
+    parts = [row(hosts, "hosts", "block", p % 180), row(hosts.filter("p % 3 = 0"), "hosts", "clear", p % 180 + 120), row(domains, "domains", "review", p % 90 + 100), row(heads, "paths", "allow", p % 200), row(heads, "paths", "clear", p % 200 + 60)]
+    entries = parts[0]
+    for more in parts[1:]:
+        entries = entries.unionByName(more)
+    return captures, entries
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, entries = page_lists(table(spark, sf_dir, "pages").select("page_id", "url"))
+    out = url_filters.judged(captures, entries)
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("fetched_at", "valid_from")})
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
+    out = language.predicted(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), with_ids=False).drop("ids", "continued")
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scanned(docs, secrets.train(docs))
+    base = F.col("base_spans")
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(base, kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(secrets.written_out(base), 256).alias("base_sha256"),
+        secrets.written_out(F.col("all_spans")).alias("spans"),
+    )
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +92,24 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).drop("ids")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents with two counters, short documents deleted, one counter's
+    counts revised to those of its next version, and the first two batches committed again."""
+    docs, store = table(spark, sf_dir, "documents"), scratch(spark, "rollup")
+    text = F.col("text")
+    counters = {"words": token_counts.word_count(text), "pieces": token_counts.piece_count(text), "digits": F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[0-9]"))}
+    counts = written(token_counts.counted(docs, counters).groupBy("doc_id", "source", "lang").pivot("tokenizer", list(counters)).agg(F.max("n_tokens")), "counts")
+    both = counts.select("source", "lang", "words", "digits", F.explode(F.array(F.struct(F.lit("words").alias("tokenizer"), F.col("words").alias("n")), F.struct(F.lit("pieces").alias("tokenizer"), F.col("pieces").alias("n")))).alias("c")).select("source", "lang", "words", "digits", "c.tokenizer", "c.n")
+    change = lambda df, op, new, old: df.select(F.lit(op).alias("op"), "source", "lang", "tokenizer", new.alias("n_tokens"), old.alias("old_tokens"))
+    none = F.lit(None).cast("bigint")
+    inserts, deletes = change(both, "insert", F.col("n"), none), change(both.filter("words < 5"), "delete", none, F.col("n"))
+    # the next version of the pieces does not count digits
+    revised = change(both.filter("words >= 5 AND tokenizer = 'pieces'"), "revise", F.col("n") - F.col("digits"), F.col("n"))
+    for batch, changes in ((1, inserts), (2, deletes), (3, revised), (1, inserts), (2, deletes)):
+        token_counts.commit(store, batch, changes)
+    return token_counts.totals(spark, store)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
