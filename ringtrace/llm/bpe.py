@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ringtrace.llm.common import with_batches
 from ringtrace.llm.quality import let
 
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 8_000_000
 #: Longer words are merged in Python with a heap: a fold copies its array at each of its steps.
 FOLD_BYTES = 128
 NONE = 2**31 - 1
