@@ -1 +1,166 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express."""
+
+from __future__ import annotations
+
+_CASES = r"""
+docs AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS document_id,
+         CASE o_custkey % 5 WHEN 0 THEN 'scam_report' WHEN 1 THEN 'impersonation_abuse' WHEN 2 THEN 'customer_feedback' WHEN 3 THEN 'news_pr' ELSE 'noise' END AS category,
+         CAST(o_orderkey * 37 % 101 AS DOUBLE) / 100 AS confidence, o_orderkey % 4 <> 0 AS specific_case, CAST(o_orderkey % 6 AS INTEGER) AS severity,
+         trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g'), '_') AS scam_type, trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '_', 'g'), '_') AS bank_role,
+         o_orderdate AS first_seen, coalesce(shipped, o_orderdate) AS last_seen
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+), items AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS document_id, l_partkey AS p, 1 - l_discount AS c, l_linenumber,
+         lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS padded
+  FROM lineitem WHERE l_quantity >= 48 AND l_returnflag = 'R'
+), edges AS (
+  SELECT document_id, kind, kind || '|' || value AS key, max(round(c, 2)) AS confidence, min(shown) AS display_value, max(w) AS w FROM (
+    SELECT document_id, c, CASE p % 8 WHEN 0 THEN 'bank_account' WHEN 1 THEN 'phone' WHEN 2 THEN 'email' WHEN 3 THEN 'domain' WHEN 4 THEN 'social_account' WHEN 5 THEN 'qr_payload' WHEN 6 THEN 'transaction_reference' ELSE 'media_hash' END AS kind,
+      CASE p % 8 WHEN 0 THEN '1000' || padded WHEN 1 THEN '09' || padded WHEN 2 THEN 'p' || p || '@shop.example' WHEN 3 THEN 'p' || p || '.example.com' WHEN 4 THEN 'seller' || p WHEN 5 THEN 'QRPAY ' || p WHEN 6 THEN 'REF1' || padded ELSE md5(CAST(p AS VARCHAR)) END AS value,
+      CASE p % 8 WHEN 0 THEN '1000' || padded WHEN 1 THEN '+849' || padded WHEN 2 THEN 'P' || p || '@shop.example' WHEN 3 THEN 'www.p' || p || '.example.com' WHEN 4 THEN '@seller' || p WHEN 5 THEN 'QRPAY ' || p WHEN 6 THEN 'ref-1' || padded ELSE 'sha256:' || md5(CAST(p AS VARCHAR)) END AS shown,
+      CASE p % 8 WHEN 1 THEN 0.95 WHEN 2 THEN 0.90 WHEN 3 THEN 0.80 WHEN 4 THEN 0.85 ELSE 0.98 END AS w
+    FROM items)
+  GROUP BY 1, 2, 3
+)
+"""
+
+
+def _components(edges: str, node: str = "document_id") -> str:
+    """CTEs of the components of a table of edges (node, key)."""
+    return f"""
+near AS (SELECT DISTINCT a.{node} AS a, b.{node} AS b FROM {edges} a JOIN (SELECT key, min({node}) AS {node} FROM {edges} GROUP BY key) b ON a.key = b.key AND a.{node} <> b.{node}),
+both_ways AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.other),
+components AS (SELECT node AS {node}, min(other) AS component FROM reach GROUP BY node)
+"""
+
+
+_SCORED = r"""
+keys AS (
+  SELECT component, key, max(w) AS w, count(DISTINCT document_id) AS n FROM edges JOIN components USING (document_id) GROUP BY 1, 2
+), shared AS (
+  SELECT component, key, w, n, row_number() OVER (PARTITION BY component ORDER BY w DESC, n DESC, key) AS r FROM keys WHERE n > 1
+), anchors AS (
+  SELECT component, key AS anchor, 'campaign_' || substr(sha256('{"anchor_indicator_key":"' || key || '"}'), 1, 16) AS campaign_key FROM shared WHERE r = 1
+), whole AS (
+  SELECT component, count(*) AS document_count, max(severity) AS maximum_severity, round(avg(confidence), 6) AS average_confidence, min(first_seen) AS first_seen, max(last_seen) AS last_seen,
+         string_agg(DISTINCT scam_type, ',' ORDER BY scam_type) AS scam_types, string_agg(DISTINCT bank_role, ',' ORDER BY bank_role) AS bank_roles, min(scam_type) AS first_type
+  FROM docs JOIN components USING (document_id) GROUP BY 1
+), clusters AS (
+  SELECT *, round(CAST(maximum_severity + 0.2 * least(document_count, 10) AS DOUBLE), 4) AS risk_score FROM whole JOIN anchors USING (component)
+), reasons AS (
+  SELECT component, document_id, key, w, round(w * confidence, 4) AS contribution FROM edges JOIN components USING (document_id) JOIN (SELECT component, key FROM shared) USING (component, key)
+), members AS (
+  SELECT campaign_key, component, document_id, round(1 - product(1 - contribution), 4) AS membership_score, string_agg(key || ':' || printf('%.4f', contribution), ',' ORDER BY key) AS reasons
+  FROM reasons JOIN anchors USING (component) GROUP BY 1, 2, 3
+), roles AS (
+  SELECT campaign_key, k.key, CASE WHEN k.key = anchor THEN 'anchor' WHEN n > 1 THEN 'shared' ELSE 'supporting' END AS role,
+         CASE WHEN n > 1 THEN w WHEN k.key = anchor THEN 1.0 ELSE 0.5 END AS weight
+  FROM keys k JOIN anchors USING (component)
+), registry AS (
+  SELECT *, CASE WHEN h % 7 = 0 THEN 'dismissed' WHEN h % 3 = 0 THEN 'confirmed' ELSE 'provisional' END AS status
+  FROM (SELECT *, CAST('0x' || substr(campaign_key, 10, 4) AS INTEGER) AS h FROM clusters)
+)
+"""
+
+
+def _with(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",".join(parts)
+
+
+_GRAPH = (_CASES, _components("edges"), _SCORED)
+_MASK = r"""split_part(key, '|', 1) || ':' || CASE split_part(key, '|', 1)
+  WHEN 'email' THEN left(v, 1) || '•••@' || split_part(v, '@', 2) WHEN 'social_account' THEN '@' || left(v, 1) || '•••' || right(v, 2)
+  WHEN 'domain' THEN v WHEN 'qr_payload' THEN CASE WHEN length(v) <= 8 THEN '•••' ELSE left(v, 4) || '•••' || right(v, 2) END ELSE '•••' || right(v, 4) END"""
+_MATCH = r"""
+matches AS (
+  SELECT e.document_id AS input_id, r.campaign_key, round(1 - product(1 - weight * CASE role WHEN 'supporting' THEN 0.75 ELSE 1 END), 4) AS match_score, bool_or(role = 'anchor') AS anchor_match, count(*) AS n_reasons
+  FROM edges e JOIN roles r ON e.key = r.key JOIN registry g ON g.campaign_key = r.campaign_key AND g.status <> 'dismissed' GROUP BY 1, 2
+), best AS (
+  SELECT * FROM (SELECT m.*, g.status = 'confirmed' AS confirmed, row_number() OVER (PARTITION BY input_id ORDER BY anchor_match DESC, match_score DESC, g.status = 'confirmed' DESC, risk_score DESC, document_count DESC, m.campaign_key) AS r
+  FROM matches m JOIN registry g USING (campaign_key)) WHERE r = 1
+), checks AS (
+  SELECT d.document_id AS input_id, campaign_key, match_score,
+    CASE WHEN NOT (specific_case AND category IN ('scam_report', 'impersonation_abuse'))
+         THEN CASE WHEN category = 'noise' AND coalesce(anchor_match, false) THEN CASE WHEN confirmed THEN 'matched_campaign' ELSE 'possible_match' END ELSE 'not_scam' END
+         WHEN coalesce(anchor_match, false) OR coalesce(match_score, 0) >= 0.85 THEN 'matched_campaign' WHEN coalesce(match_score, 0) >= 0.55 THEN 'possible_match' ELSE 'new_unmatched_case' END AS status
+  FROM docs d LEFT JOIN best ON input_id = d.document_id
+)
+"""
+_EVENTS = r"""
+e AS (SELECT event_id, ts, 'job-' || (user_id % 20) AS job_id, 'u' || coalesce(json_extract_string(props, '$.k'), '-') AS url_key, event_type, value FROM events)
+"""
+_HOST = "regexp_replace(regexp_extract(url, '://([^/?#:]*)', 1), '^www\\.', '')"
+_CANON = r"""rtrim(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || rtrim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), '/')"""
+_QUERY = r"""coalesce((SELECT '?' || string_agg(x, '&' ORDER BY x) FROM (SELECT unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS x) WHERE x <> '' AND NOT starts_with(x, 'utm_')), '')"""
+
+ORACLES: dict[str, str] = {
+    "s1_filtered_scan": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_totalprice BETWEEN 100000 AND 200000 AND o_orderpriority <> '5-LOW'",
+    "s1_newest_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100",
+    "s2_full_read": "SELECT l_orderkey || '-' || l_linenumber AS id, strftime(max(l_shipdate), '%Y-%m-%d') AS shipped FROM lineitem GROUP BY 1",
+    "s3_upsert": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0",
+    "s4_replace_children": "WITH new AS (SELECT l_orderkey, l_linenumber, 0.0::DOUBLE AS l_quantity FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber = 1) SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM new) UNION ALL SELECT * FROM new",
+    "s5_snapshot_refresh": "SELECT c_custkey, c_mktsegment, c_custkey % 3 = 0 AS is_active FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    "s6_nested_read": "SELECT o_orderkey, o_orderstatus, coalesce(string_agg(l_linenumber || ':' || CAST(trunc(l_quantity) AS INTEGER), ',' ORDER BY l_linenumber, l_quantity), '') AS items FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON l_orderkey = o_orderkey GROUP BY 1, 2",
+    "s7_embedded": _with(_CASES) + " SELECT CASE WHEN severity > 2 THEN category END AS category, count(*) AS n, 'all' AS mode FROM docs GROUP BY 1 UNION ALL SELECT category, count(*), 'chosen' FROM docs WHERE severity > 2 AND category = 'noise' GROUP BY 1",
+    "s8_search_results": f"SELECT page_id AS query_id, CAST(CASE WHEN page_id % 2 = 0 THEN page_id ELSE 1 END AS INTEGER) AS position, 'page ' || page_id AS title, url, {_HOST} AS site FROM pages WHERE page_id % 7 <> 0",
+    "s9_domain_filter": f"SELECT page_id FROM pages WHERE {_HOST} LIKE '%.example.net' OR {_HOST} = 'example.net' OR {_HOST} = 'tionsh.example.com' OR {_HOST} LIKE '%.tionsh.example.com'",
+    "s14_provenance": "WITH " + _EVENTS + " SELECT job_id, event_type AS query_id, url_key AS document_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS found_at FROM e GROUP BY 1, 2, 3",
+    "s11_metric_rows": _with(_CASES) + r""" SELECT 'summary' AS metric_scope, 'all' AS metric_key, '{"document_count":' || (SELECT count(*) FROM docs) || ',"unique_indicator_count":' || count(DISTINCT key) || '}' AS metric_value FROM edges
+        UNION ALL SELECT 'category', category, '{"document_count":' || count(*) || '}' FROM docs GROUP BY category
+        UNION ALL SELECT 'severity', CAST(severity AS VARCHAR), '{"document_count":' || count(*) || '}' FROM docs GROUP BY severity
+        UNION ALL SELECT 'indicator', key, '{"document_count":' || count(*) || '}' FROM edges GROUP BY key""",
+    "n4_canonical_urls": f"SELECT page_id, c AS canonical, domain, sha256(c) AS url_key, 'web' AS platform FROM (SELECT page_id, {_CANON} || {_QUERY} AS c, {_HOST} AS domain FROM pages)",
+    "n5_refanged": f"SELECT page_id, {_CANON} || {_QUERY} AS canonical, regexp_replace(url, '[?#].*$', '') AS public FROM pages",
+    "n10_phones_and_accounts": "SELECT p_partkey, '0' || lpad(CAST(p_partkey AS VARCHAR), 9, '9') AS phone, 'AB' || p_partkey AS code, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS label FROM part",
+    "n12_money": r"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN regexp_replace(s, '[.].*', '') ELSE regexp_replace(regexp_replace(s, '(\.[0-9]*?)0+$', '\1'), '\.$', '') END || CASE p_partkey % 3 WHEN 0 THEN ' USD' WHEN 1 THEN ' EUR' ELSE ' VND' END AS money FROM (SELECT p_partkey, CAST(CAST(p_retailprice AS DECIMAL(18, 2)) AS VARCHAR) AS s FROM part)""",
+    "n16_indicator_values": _with(_CASES) + " SELECT document_id, key, confidence FROM edges",
+    "n19_classification": _with(_CASES) + " SELECT document_id, CASE WHEN severity = 0 THEN 'noise' ELSE category END AS category, CAST(least(5, greatest(1, round_even(confidence * 8, 0))) AS INTEGER) AS severity, round(least(1, greatest(0, confidence * 1.5 - 0.2)), 6) AS confidence, scam_type AS scam_types FROM docs",
+    "n25_masks": _with(_CASES) + f" SELECT DISTINCT key, {_MASK} AS masked FROM (SELECT key, regexp_extract(key, '\\|(.*)$', 1) AS v FROM edges)",
+    "e9_bundle": "SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(least(length(text), 12000) AS INTEGER) AS chars, CAST(least(10, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\s\\x{00A0}\\x{3000}]')))) AS INTEGER) AS n_comments, 1 AS n_media, length(text) < 400 AS needed FROM documents",
+    "f1_eligible": _with(_CASES) + " SELECT document_id, category, severity, confidence FROM docs WHERE category IN ('scam_report', 'impersonation_abuse') AND confidence >= 0.6 AND specific_case",
+    "v1_validated": _with(_CASES) + " SELECT document_id, concat_ws(',', CASE WHEN severity NOT BETWEEN 1 AND 5 THEN 'severity' END, CASE WHEN confidence NOT BETWEEN 0 AND 1 THEN 'confidence' END, CASE WHEN first_seen > last_seen THEN 'times' END) AS violations FROM docs WHERE severity NOT BETWEEN 1 AND 5 OR confidence NOT BETWEEN 0 AND 1 OR first_seen > last_seen",
+    "v3_sound_clusters": _with(*_GRAPH) + " SELECT campaign_key, document_count >= 2 AND NOT EXISTS (SELECT 1 FROM docs JOIN components USING (document_id) WHERE component = c.component AND category NOT IN ('scam_report', 'impersonation_abuse')) AS sound FROM clusters c",
+    "v6_reconciled": _with(*_GRAPH) + " SELECT (SELECT count(*) FROM docs) AS document_count, count(*) AS active_campaigns, CAST(count_if(risk_score >= 5) AS BIGINT) AS high_risk_campaigns, CAST(coalesce(sum(document_count), 0) AS BIGINT) AS evidence_documents, true AS reconciled FROM registry WHERE status <> 'dismissed'",
+    "j1_analytics_input": _with(_CASES) + " SELECT document_id, strftime(coalesce(p, first_seen), '%Y-%m-%d') AS first_seen, strftime(coalesce(p, first_seen), '%Y-%m-%d') AS last_seen, CAST((SELECT count(*) FROM edges WHERE edges.document_id = d.document_id) AS INTEGER) AS n FROM (SELECT *, CASE WHEN severity = 3 THEN first_seen + INTERVAL 1 DAY END AS p FROM docs WHERE severity > 0) d",
+    "j3_exact_matches": _with(*_GRAPH, _MATCH) + " SELECT input_id, campaign_key, match_score, anchor_match, CAST(n_reasons AS INTEGER) AS n_reasons FROM matches",
+    "w2_best_campaign": _with(*_GRAPH, _MATCH) + " SELECT * FROM checks",
+    "f13_recommended": _with(*_GRAPH, _MATCH) + " SELECT status, CAST(step AS INTEGER) AS step, action, count(*) AS n FROM checks JOIN (VALUES ('matched_campaign', 1, 'block the beneficiary'), ('matched_campaign', 2, 'attach the case to the campaign'), ('possible_match', 1, 'review the match by hand'), ('new_unmatched_case', 1, 'open a new case'), ('new_unmatched_case', 2, 'watch its indicators'), ('not_scam', 1, 'close')) t(status, step, action) USING (status) GROUP BY ALL",
+    "j9_campaign_evidence": _with(*_GRAPH) + " SELECT campaign_key, document_id, membership_score, CASE WHEN severity > 1 THEN 'Case ' || document_id ELSE 'Untitled document' END AS title FROM (SELECT *, row_number() OVER (PARTITION BY campaign_key ORDER BY membership_score DESC, document_id) AS r FROM members) JOIN docs USING (document_id) WHERE r <= 3",
+    "j12_without_source": _with(*_GRAPH) + " SELECT campaign_key, document_count FROM clusters WHERE document_count <= 2",
+    "j17_grounded_insights": _with(_CASES) + " SELECT 'About ' || document_id AS title, 5 AS severity, least(1, confidence + 0.5) AS confidence, document_id AS evidence_ids, 'https://x.example/' || document_id AS evidence_urls, sha256('About ' || document_id || '|' || document_id) AS insight_key FROM docs WHERE severity = 4",
+    "a1_summary": _with(_CASES) + " SELECT count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, (SELECT count(DISTINCT key) FROM edges) AS unique_indicator_count, (SELECT count(*) FROM edges) AS document_indicator_edge_count, md5(string_agg(document_id, ',' ORDER BY document_id)) AS ids, (SELECT md5(string_agg(DISTINCT key, ',' ORDER BY key)) FROM edges) AS keys FROM docs",
+    "a2_by_category": _with(_CASES) + " SELECT category, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, md5(string_agg(document_id, ',' ORDER BY document_id)) AS evidence_document_ids, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
+    "a3_by_severity": _with(_CASES) + " SELECT severity, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, md5(string_agg(document_id, ',' ORDER BY document_id)) AS evidence_document_ids, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
+    "a4_by_indicator": _with(_CASES) + " SELECT key, count(DISTINCT document_id) AS document_count, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, round(avg(d.confidence), 6) AS average_confidence, max(severity) AS maximum_severity, string_agg(DISTINCT document_id, ',' ORDER BY document_id) AS evidence_document_ids, arg_max(display_value, document_id) AS display_value FROM edges e JOIN docs d USING (document_id) GROUP BY 1",
+    "a12_evidence_cards": _with(_CASES) + " SELECT key, count(DISTINCT document_id) AS document_count, count(DISTINCT CAST(document_id AS BIGINT) % 10) AS source_count, max(severity) AS maximum_severity, round(avg(d.confidence), 4) AS average_confidence, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, string_agg(DISTINCT scam_type, ',' ORDER BY scam_type) AS scam_types, strftime(min(least(first_seen, last_seen)), '%Y-%m-%d') AS first_seen FROM edges e JOIN docs d USING (document_id) WHERE category IN ('scam_report', 'impersonation_abuse') AND d.confidence >= 0.6 AND specific_case GROUP BY 1",
+    "a16_job_counts": "WITH " + _EVENTS + " SELECT job_id, count(*) AS discovered, count(DISTINCT url_key) AS deduplicated, CAST(count_if(event_id % 4 = 0) AS BIGINT) AS fetched, CAST(count_if(event_id % 4 = 1) AS BIGINT) AS classified, CAST(count_if(event_id % 4 = 2) AS BIGINT) AS failed FROM e GROUP BY 1",
+    "a17_usage": "WITH " + _EVENTS + " SELECT job_id, 'search' AS provider, trim(regexp_replace(lower(event_type), '[^a-z0-9]+', '_', 'g'), '_') AS operation, count(*) AS calls, CAST(sum(length(url_key)) AS BIGINT) AS tokens, round(sum(floor(value)), 2) AS seconds FROM e GROUP BY 1, 2, 3",
+    "w7_newest_sources": _with(_CASES) + " SELECT key, url, document_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY last_seen DESC, url) AS k FROM (SELECT *, row_number() OVER (PARTITION BY key, url ORDER BY last_seen DESC, document_id) AS r FROM (SELECT key, document_id, 'u' || (CAST(document_id AS BIGINT) % 10) AS url, last_seen FROM edges JOIN docs USING (document_id))) WHERE r = 1) WHERE k <= 3",
+    "g1_components": _with(_CASES, _components("edges")) + " SELECT * FROM components",
+    "g1_eligible_components": _with(_CASES, "chosen AS (SELECT edges.* FROM edges JOIN docs d USING (document_id) WHERE category IN ('scam_report', 'impersonation_abuse') AND d.confidence >= 0.6 AND specific_case)", _components("chosen")) + " SELECT * FROM components",
+    "g1_page_components": _with(f"hosts AS (SELECT CAST(page_id AS VARCHAR) AS document_id, {_HOST} AS key FROM pages)", _components("hosts")) + " SELECT * FROM components",
+    "g1_line_components": _with("lines AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS document_id, md5(trim(line, ' ')) AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line, ' ')) >= 24)", _components("lines")) + " SELECT * FROM components",
+    "a6_clusters": _with(*_GRAPH) + """ SELECT component, campaign_key, anchor, document_count, (SELECT CAST(sum(n) AS BIGINT) FROM keys WHERE component = c.component) AS edge_count, maximum_severity, average_confidence, risk_score,
+        (SELECT string_agg(key, ',' ORDER BY key) FROM shared WHERE component = c.component) AS shared_keys, scam_types, bank_roles,
+        (SELECT string_agg(category || ':' || n, ',' ORDER BY category) FROM (SELECT category, count(*) AS n FROM docs JOIN components x USING (document_id) WHERE x.component = c.component GROUP BY 1)) AS category_counts,
+        strftime(first_seen, '%Y-%m-%d') AS first_seen, strftime(last_seen, '%Y-%m-%d') AS last_seen FROM clusters c""",
+    "g3_memberships": _with(*_GRAPH) + " SELECT campaign_key, document_id, membership_score, reasons FROM members",
+    "w5_masked_indicators": _with(*_GRAPH) + f" SELECT campaign_key, role, {_MASK} AS masked_key FROM (SELECT *, regexp_extract(key, '\\|(.*)$', 1) AS v, row_number() OVER (PARTITION BY campaign_key ORDER BY role, weight DESC, key) AS r FROM roles) WHERE r <= 2",
+    "f7_by_tactic": _with(*_GRAPH) + " SELECT campaign_key FROM clusters WHERE scam_types LIKE '%urgent%' OR bank_roles LIKE '%building%'",
+    "w9_best_cluster": _with(*_GRAPH) + " SELECT lookup_id, campaign_key, matched FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY matched DESC, risk_score DESC, campaign_key) AS r FROM (SELECT split_part(key, '|', 2) AS lookup_id, m.campaign_key, risk_score, count(DISTINCT document_id) AS matched FROM edges JOIN members m USING (document_id) JOIN registry g ON g.campaign_key = m.campaign_key AND g.status <> 'dismissed' WHERE kind = 'phone' GROUP BY ALL)) WHERE r = 1",
+    "c1_windows": """WITH ranges AS (SELECT CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 75 AS e FROM orders WHERE o_orderkey % 50 = 0),
+        months AS (SELECT s, e, CAST(unnest(generate_series(date_trunc('month', s), e, INTERVAL 1 MONTH)) AS DATE) AS month FROM ranges),
+        clipped AS (SELECT month, greatest(s, month) AS a, least(e, last_day(month)) AS b FROM months),
+        weeks AS (SELECT month, b, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS w FROM clipped)
+        SELECT strftime(month, '%Y-%m-%d') AS month, count(*) AS n_weeks, CAST(sum(least(b, w + 6) - w + 1) AS BIGINT) AS days FROM weeks GROUP BY 1""",
+    "c2_missing_cells": "WITH " + _EVENTS + """, d AS (SELECT job_id, event_type, CAST(ts AS DATE) AS day FROM e), seen AS (SELECT DISTINCT * FROM d WHERE event_type <> 'click' OR day(day) > 3)
+        SELECT job_id, event_type, strftime(day, '%Y-%m-%d') AS day FROM (SELECT j.job_id, t.event_type, x.day FROM (SELECT DISTINCT job_id FROM d) j, (SELECT DISTINCT event_type FROM d) t, (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d) x EXCEPT SELECT job_id, event_type, day FROM seen)""",
+    "c3_drilled": "WITH " + _EVENTS + """, d AS (SELECT job_id, event_type, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(date_trunc('month', ts) AS DATE) + CAST(floor((day(ts) - 1) / 7) AS INTEGER) * 7 AS week_start FROM e), m AS (SELECT job_id, event_type, month, count(*) AS n FROM d GROUP BY 1, 2, 3)
+        SELECT job_id, event_type, strftime(month, '%Y-%m-%d') AS month, NULL AS week_start, n FROM m UNION ALL SELECT job_id, event_type, strftime(month, '%Y-%m-%d'), strftime(week_start, '%Y-%m-%d'), count(*) FROM d WHERE (job_id, event_type, month) IN (SELECT (job_id, event_type, month) FROM m WHERE n >= 10) GROUP BY 1, 2, 3, 4""",
+    "c4_registry": "WITH " + _EVENTS + " SELECT url_key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) AS hits FROM e GROUP BY 1",
+    "t1_cycles": "WITH " + _EVENTS + " SELECT strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS cycle_start, job_id, count(*) AS hits FROM e GROUP BY 1, 2",
+    "t3_fresh_hits": "WITH " + _EVENTS + " SELECT event_id, url_key FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY ts, event_id) AS r FROM e WHERE day(ts) > 20) WHERE r = 1 AND url_key NOT IN (SELECT url_key FROM e WHERE day(ts) <= 20)",
+    "t5_first_last": "WITH " + _EVENTS + " SELECT url_key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) AS hits FROM e GROUP BY 1",
+}
