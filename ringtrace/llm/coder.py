@@ -214,7 +214,8 @@ class _Reader:
             if not len(lanes):
                 return
             at = self.at[lanes]
-            self.code[lanes] = (self.code[lanes] << _U(16)) | self.words[at]
+            # a damaged block may ask for more words than there are; the checksum tells in the end
+            self.code[lanes] = (self.code[lanes] << _U(16)) | self.words[np.minimum(at, len(self.words) - 1)]
             self.at[lanes] = at + 1
             self.range[lanes] <<= _U(16)
 

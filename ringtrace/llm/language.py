@@ -28,6 +28,8 @@ BUCKET_BITS, WIDTH, SIZES = 15, 16, (2, 3, 4)
 #: Labelled rows that a model is fitted to at most (those of the smallest hash).
 SAMPLE_ROWS = 2000
 EPOCHS, RATE, SEED = 8, 0.5, 7
+#: Small samples are gone through more often, until there are so many steps.
+LEAST_STEPS = 12_000
 #: The share of rightly labelled held-back rows that rejection may cost, and the highest score rejected.
 REJECTED_SHARE, REJECTED_SCORE = 0.002, 0.5
 UNKNOWN = "und"
@@ -79,8 +81,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model:
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 1 / WIDTH, (1 << BUCKET_BITS, WIDTH))
     weights, bias = rng.normal(0, 1 / WIDTH, (WIDTH, len(labels))), np.zeros(len(labels))
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, LEAST_STEPS // len(fitted))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for k in rng.permutation(len(fitted)):
             at, share, label = fitted[k]
             mean = share @ table[at]
