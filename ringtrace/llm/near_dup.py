@@ -4,23 +4,24 @@
    found by a map-side combined grouping, however many copies there are.
 2. Shingles have one global order: those not known to be frequent first, by hash, then the
    frequent ones, the rarest of them first.  Two sets with Jaccard similarity t or more share
-   one of their first n - ceil(t*n) + 1 shingles (the prefix).
-3. Classes that share a prefix shingle fall into the bucket of that shingle's smallest class,
-   so a pair meets in one bucket however many shingles it shares.  Only bucket members' texts
-   are read again.  First every member is compared with its bucket's leader.  Members that are
-   linked to the leader are joined already, and a triangle of Jaccard distances tells which
-   pairs of others and members can link at all.
-4. What is left meets in blocks of bounded size.  In a block the sets, their shingles ordered by
-   frequency, form a prefix tree with compressed edges; a probe goes down the tree and sets
-   with a common beginning share one count of common shingles; a subtree ends where
-   even all remaining shingles could not reach the threshold.
+   one of their first p = n - ceil(t*n) + 1 shingles, and at least m of their first p + m
+   (one less than the bound that holds for the set whose prefix ends first, as the other's own m
+   may be one more).  Of the prefixes of p + p/3 shingles, classes that do not share p/3
+   with others are left out, twice over; no link is lost.
+3. Star rounds: each round, each group of classes with a common prefix shingle has a leader (by a hash
+   that differs each round), and each class is compared with the leader that it shares the most
+   shingles with.  Links join components; shingles within one component are done with, and
+   classes that share too few of the others are done too.
+4. What is left falls into the bucket of each shingle's leader, and meets there in blocks of bounded size.
+   In a block the sets, their shingles ordered by frequency, form a prefix tree with compressed
+   edges; a probe goes down the tree and sets with a common beginning share one count of common
+   shingles; a subtree ends where even all remaining shingles could not reach the threshold.
 5. Links become components by min-label rounds with pointer jumping, each written to the
    shared folder.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ from ringtrace.llm.common import with_batches, written
 FREQUENT = 200_000
 #: Members of a block at most, on average.
 BLOCK = 1024
+#: Star rounds before the blocks: each costs one comparison a class that is still open.
+ROUNDS = 3
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -116,7 +119,10 @@ def _ordered(shingles: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.
 
 
 def shingled(docs: DataFrame, words: int, t: tuple[int, int]) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (a fingerprint of the set), prefix (uint64 bytes): written."""
+    """doc_id, n_shingles, f1, f2 (a fingerprint of the set), need, prefix (uint64 bytes): written.
+
+    ``need``: the shingles of its prefix that a set shares with any that it links with.
+    """
     spark = docs.sparkSession
     with_batches(spark)
     known = spark.sparkContext.broadcast(_order(_frequent(docs, words)))  # FREQUENT rows of 16 bytes at most
@@ -124,19 +130,21 @@ def shingled(docs: DataFrame, words: int, t: tuple[int, int]) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 own = shingle_set(text or b"", words, hashes)
                 n = len(own)
-                first = n + (-t[0] * n) // t[1] + 1 if n else 0
+                p = n + (-t[0] * n) // t[1] + 1 if n else 0
+                size = min(n, p + p // 3)
                 out[0].append(n)
                 out[1].append(int(own.sum(dtype=np.uint64).view(np.int64)))
                 out[2].append(int(_mixed(own).sum(dtype=np.uint64).view(np.int64)))
-                out[3].append(_ordered(own, *known.value)[:first].tobytes())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(v, k) for v, k in zip(out, kinds)]], ["doc_id", "n_shingles", "f1", "f2", "prefix"])
+                out[3].append(max(1, size - p))
+                out[4].append(_ordered(own, *known.value)[:size].tobytes())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(v, k) for v, k in zip(out, kinds)]], ["doc_id", "n_shingles", "f1", "f2", "need", "prefix"])
 
-    return written(docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, prefix binary"), "shingled")
+    return written(docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, need int, prefix binary"), "shingled")
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
@@ -147,41 +155,42 @@ def _tokens(classes: DataFrame) -> DataFrame:
             sizes = np.array([len(x) // 8 for x in batch.column(2).to_pylist()], np.int64)
             at = np.repeat(np.arange(len(sizes)), sizes)
             flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["h", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["h", "rep", "need"])
+
+    return classes.select("rep", "need", "prefix").mapInArrow(rows, "h bigint, rep bigint, need int")
+
 
-    return classes.select("rep", "n", "prefix").mapInArrow(rows, "h bigint, rep bigint, n bigint")
+def _shared(tokens: DataFrame) -> DataFrame:
+    """Shingles that lie in two components or more, of classes that share as many as they need."""
+    several = tokens.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("h")
+    kept = written(tokens.join(several, "h", "left_semi"), "shared")
+    enough = kept.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("m")).filter("c >= m").select("rep")
+    return written(kept.join(enough, "rep", "left_semi"), "enough")
 
 
-def _links_in_block(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Links between ``probes`` (positions) and the other sets: enough of them to join what is linked.
+def _links_in_block(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of different components: enough of them to join what is linked.
 
-    Breadth first from each probe: a set that has been reached is no longer looked for, but
-    goes on to look for others if it is a probe.
+    Each set asks the tree for those that are in another component by then and have not asked
+    themselves (these have found it, if they link).
     """
     tree = _Tree(sets)
-    left = np.ones(len(sets), bool)
-    probing = np.zeros(len(sets), bool)
-    probing[probes] = True
+    label = np.unique(component, return_inverse=True)[1]
+    asked = np.zeros(len(sets), bool)
     out: list[tuple[int, int]] = []
-    for start in probes.tolist():
-        if not probing[start]:
+    # small components first: what is left of a large one then has few to look for
+    sizes = np.bincount(label, minlength=len(sets) + 1)
+    for now in np.lexsort((np.arange(len(sets)), sizes[label])).tolist():
+        wanted = ~asked & (label != label[now])
+        asked[now] = True
+        if not wanted.any():
             continue
-        queue = [start]
-        left[start] = False
-        while queue:
-            now = queue.pop()
-            if not probing[now]:
-                continue
-            probing[now] = False
-            # what this probe reached earlier is joined; sets reached from elsewhere are still asked for
-            for other in tree.similar(sets[now], t, left).tolist():
+        for other in tree.similar(sets[now], t, wanted).tolist():
+            if label[other] != label[now]:
                 out.append((now, other))
-                if probing[other]:
-                    left[other] = False
-                    queue.append(other)
-    a = np.array([x for x, _ in out], np.int64)
-    b = np.array([x for _, x in out], np.int64)
-    return ids[a] if len(a) else a, ids[b] if len(b) else b
+                label[label == label[other]] = label[now]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return ids[pairs[:, 0]], ids[pairs[:, 1]]
 
 
 class _Tree:
@@ -315,9 +324,9 @@ def components(links: DataFrame, spark: SparkSession) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _distances(left: np.ndarray, right: np.ndarray) -> tuple[int, int]:
+def _linked(left: np.ndarray, right: np.ndarray, t: tuple[int, int]) -> bool:
     met = len(np.intersect1d(left, right, assume_unique=True))
-    return met, len(left) + len(right) - met
+    return met * t[1] >= (len(left) + len(right) - met) * t[0]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5), block: int = BLOCK) -> DataFrame:
@@ -332,11 +341,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     rows = shingled(docs, words, t)
     keyed = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # any member's prefix will do: equal sets have equal prefixes
-    classes = written(keyed.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("prefix").alias("prefix")).withColumnRenamed("n_shingles", "n"), "classes")
-    tokens = _tokens(classes)
-    shared = tokens.groupBy("h").agg(F.min("rep").alias("leader"), F.max("rep").alias("other"), F.min("n").alias("low"), F.max("n").alias("high")).filter("leader <> other").select("h", "leader")
-    members = tokens.join(shared, "h").groupBy("leader", "rep").agg(F.max("n").alias("n"))
-    members = written(members, "buckets")
+    classes = written(keyed.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("need").alias("need"), F.min("prefix").alias("prefix")).withColumnRenamed("n_shingles", "n"), "classes")
+    # two classes link only if they share ``need`` shingles, all of which lie in both their components
+    tokens = _shared(_shared(_tokens(classes).withColumn("component", F.col("rep"))))
+    members = tokens
     wanted = written(members.select("rep").distinct(), "members")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,43 +354,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    sets = written(texts.mapInArrow(sets_of, "rep bigint, shingles binary").groupBy("rep").agg(F.min("shingles").alias("shingles")), "sets")
+    sets = written(texts.mapInArrow(sets_of, "rep bigint, shingles binary"), "sets")
 
-    # 3: each member with its bucket's leader
-    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # 3: star rounds
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            both = [_distances(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m for m, _ in both], pa.int64()), pa.array([u for _, u in both], pa.int64())], ["leader", "rep", "met", "union"])
-
-    pairs = members.filter("leader <> rep").join(sets, "rep").join(sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("lead_set")), "leader").select("leader", "rep", "shingles", "lead_set")
-    compared = written(pairs.mapInArrow(led, "leader bigint, rep bigint, met bigint, union bigint"), "led")
-    linked = F.col("met") * t[1] >= F.col("union") * t[0]
-
-    # 4: members that the leader does not link, against those at a distance that they can bridge
-    far = 1 - t[0] / t[1]
-    away = 1 - F.col("met") / F.col("union")
-    loose = compared.filter(~linked).select("leader", "rep", away.alias("away"))
-    sizes = loose.groupBy("leader").agg(F.count(F.lit(1)).alias("n_loose"), F.min("away").alias("nearest"))
-    sides = compared.join(sizes, "leader")
-    reach = linked & (away >= F.col("nearest") - far - 1e-9)
-    held = sides.filter(~linked | reach).groupBy("leader").agg(F.count(F.lit(1)).alias("n_held"))
-    dealt = sides.filter(~linked | reach).join(held, "leader").filter("n_held > 1")
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("n_held") / F.lit(block))).cast("int")
-    number = F.pmod(F.xxhash64("rep"), chunks.cast("bigint")).cast("int")
-    numbered = dealt.select("leader", "rep", (~linked).alias("probe"), chunks.alias("c"), number.alias("k"))
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            fit = [_linked(np.frombuffer(i, np.uint64), np.frombuffer(j, np.uint64), t) for i, j in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fit)), batch.column(1).filter(pa.array(fit))], ["a", "b"])
+
+    links = spark.createDataFrame([], "a bigint, b bigint")
+    for number in range(ROUNDS):
+        leaders = tokens.groupBy("h").agg(F.min_by(F.struct("rep", "component"), F.struct(F.xxhash64("rep", F.lit(number)), "rep")).alias("l"))
+        met = tokens.join(leaders, "h").filter("component <> l.component").groupBy("rep", F.col("l.rep").alias("leader")).agg(F.count(F.lit(1)).alias("c"))
+        asked = met.groupBy("rep").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
+        pairs = asked.join(sets, "rep").join(sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("lead_set")), "leader").select("leader", "rep", "shingles", "lead_set")
+        links = written(links.unionByName(pairs.mapInArrow(compared, "a bigint, b bigint")), "links")
+        now = written(components(links, spark), "components")
+        named = tokens.drop("component").join(now.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        tokens = _shared(_shared(named.withColumn("component", F.coalesce("component", "rep"))))
+
+    # 4: buckets, in blocks
+    leaders = tokens.groupBy("h").agg(F.min("rep").alias("leader"))
+    held = written(tokens.join(leaders, "h").select("leader", "rep", "component").distinct(), "buckets")
+    sizes = held.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block))).cast("int")
+    numbered = held.join(sizes, "leader").withColumn("c", chunks).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("c").cast("bigint")).cast("int"))
     # every chunk meets every other, and itself, in the block (i, j) with i <= j
-    spread = numbered.select("leader", "rep", "probe", "k", F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j")))).alias("b"))
-    blocks = spread.select("leader", "b.i", "b.j", "rep", "probe").join(sets, "rep")
+    spread = numbered.select("leader", "rep", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j")))).alias("b"))
+    blocks = spread.select("leader", "b.i", "b.j", "rep", "component").join(sets, "rep")
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         found = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        a, b = _links_in_block(pdf["rep"].to_numpy(), found, np.flatnonzero(pdf["probe"].to_numpy()), t)
+        a, b = _links_in_block(pdf["rep"].to_numpy(), found, pdf["component"].to_numpy(), t)
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-    more = blocks.groupBy("leader", "i", "j").applyInPandas(joined, "a bigint, b bigint")
-    links = compared.filter(linked).select(F.col("leader").alias("a"), F.col("rep").alias("b")).unionByName(more)
+    links = links.unionByName(blocks.groupBy("leader", "i", "j").applyInPandas(joined, "a bigint, b bigint"))
     joined_to = written(components(links, spark), "components")
     named = written(classes.join(joined_to, classes["rep"] == joined_to["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "named")
     out = rows.join(named, (rows["n_shingles"] == named["n"]) & (rows["f1"] == named["f1"]) & (rows["f2"] == named["f2"]), "left")
