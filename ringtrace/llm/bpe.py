@@ -26,10 +26,12 @@ from ringtrace.llm.common import with_batches
 from ringtrace.llm.quality import let
 
 CHUNK_BYTES = 8_000_000
-#: Longer words are merged in Python with a heap: a fold copies its array at each of its steps.
+#: Longer words are merged in Python with a heap, as a fold copies the word at each of its steps; words that
+#: are tokens as a whole are looked up.
 FOLD_BYTES = 128
-NONE = 2**31 - 1
-BUCKETS = 1 << 16
+#: The rank of what is no token; ranks times PLACES plus a place fit 31 bits.
+NONE, PLACES = 8_000_000, 256
+BUCKETS = 1 << 18
 
 CHUNKS = "doc_ids array<bigint>, counts array<int>, places binary, words array<binary>, long_ids array<array<int>>"
 
@@ -39,6 +41,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def letter(token: bytes, rank: int) -> str:
+    """The one character that stands for a token while words are folded: a byte's own, or one beyond Latin-1."""
+    return chr(token[0]) if len(token) == 1 else chr(256 + rank)
+
+
 def hash_of(keys: list[str], spark: SparkSession) -> list[int]:
     """Spark's own xxhash64 of the (bounded) vocabulary's keys."""
     rows = spark.createDataFrame(pa.table({"k": keys})).select(F.pmod(F.xxhash64("k"), F.lit(BUCKETS)).cast("int").alias("b"))
@@ -49,21 +56,27 @@ class Codec:
     """Literal tables of one vocabulary, and the columns that use them."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        keys = [t.hex().upper() for t in ranks]
+        size = max(ranks.values()) + 1
+        if size > 0xD800 - 256:
+            raise ValueError("more tokens than characters below the surrogates")
+        # every two tokens that make a third, whichever way it is cut
+        pairs = {letter(t[:k], ranks[t[:k]]) + letter(t[k:], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         table: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for key, bucket, rank in zip(keys, hash_of(keys, spark), ranks.values()):
-            table[bucket][key] = rank
-        pieces = [""] * (max(ranks.values()) + 1)
-        for key, rank in zip(keys, ranks.values()):
-            pieces[rank] = key
+        for (pair, rank), bucket in zip(pairs.items(), hash_of(list(pairs), spark)):
+            table[bucket][pair] = rank
+        pieces, letters, own = [""] * size, [""] * size, [0] * 256
+        for token, rank in ranks.items():
+            pieces[rank], letters[rank] = token.hex().upper(), letter(token, rank)
+            if len(token) == 1:
+                own[token[0]] = rank
         # constant expressions: Spark folds each into one literal
-        self.table = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>")
+        plain = lambda x: F.lit(json.dumps(x, separators=(",", ":"), ensure_ascii=False))
+        self.tables = F.struct(F.from_json(plain(table), "array<map<string,int>>").alias("pairs"), F.from_json(plain(letters), "array<string>").alias("letters"), F.from_json(plain(own), "array<int>").alias("bytes"))
         self.pieces = F.split(F.lit(",".join(pieces)), ",")
 
     def encoded(self, words: Column) -> Column:
-        """The ids of each word (binary) of an array; the tables are bound once a row."""
-        return let(self.table, lambda table: F.transform(words, lambda word: fold(word, table)))
+        """The ids of each word (binary, of fewer bytes than PLACES) of an array; the tables are bound once a row."""
+        return let(self.tables, lambda tables: F.transform(words, lambda word: fold(word, tables)))
 
     def decoded(self, *ids: Column) -> Column:
         """A struct (d0, d1, ...) of arrays: the binaries that each id list of each array stands for."""
@@ -74,36 +87,29 @@ class Codec:
         return let(self.pieces, lambda p: F.struct(*[F.transform(x, lambda one: binary(p, one)).alias(f"d{k}") for k, x in enumerate(ids)]))
 
 
-def fold(word: Column, table: Column) -> Column:
-    """The ids of a word: ``aggregate`` over its bytes, with the ranks in ``table``."""
+def fold(word: Column, tables: Column) -> Column:
+    """The ids of a word: ``aggregate`` merges its bytes, a character a token, by the ranks in ``tables``."""
 
-    def rank(key: Column) -> Column:
-        # NONE: no such token
-        return F.coalesce(F.try_element_at(F.get(table, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")), key), F.lit(NONE))
+    def rank(pair: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.get(tables["pairs"], F.pmod(F.xxhash64(pair), F.lit(BUCKETS)).cast("int")), pair), F.lit(NONE))
 
     def step(s: Column, _: Column) -> Column:
-        parts, ranks = s["parts"], s["ranks"]
-
-        def merged(at: Column, both: Column) -> Column:
-            left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), both)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at < F.size(ranks), F.array(rank(F.concat(both, F.get(parts, at + 1))))).otherwise(F.array().cast("array<int>"))
-            new = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(both), F.slice(parts, at + 2, F.size(parts)))
-            return F.struct(new.alias("parts"), F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"))
-
-        def leftmost(at: Column) -> Column:
-            return let(F.concat(F.get(parts, at - 1), F.get(parts, at)), lambda both: merged(at, both))
+        # the lowest rank, and of equal ones the leftmost place
+        low = F.array_min(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: rank(F.substr(s, i, F.lit(2))) * PLACES + i))
 
-        return let(F.array_min(ranks), lambda low: F.when(F.coalesce(low, F.lit(NONE)) == NONE, s).otherwise(let(F.array_position(ranks, low).cast("int"), leftmost)))
+        def merged(x: Column) -> Column:
+            at = F.pmod(x, F.lit(PLACES))
+            return F.concat(F.substr(s, F.lit(1), at - 1), F.get(tables["letters"], F.shiftright(x, 8)), F.substr(s, at + 2, F.length(s)))
 
-    def merges(parts: Column) -> Column:
-        ranks = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: rank(F.concat(F.get(parts, i - 1), F.get(parts, i))))
-        start = F.struct(parts.alias("parts"), ranks.alias("ranks"))
-        return F.aggregate(F.sequence(F.lit(2), F.size(parts)), start, step, lambda s: F.transform(s["parts"], rank))
+        return F.when(F.length(s) < 2, s).otherwise(let(low, lambda x: F.when(x >= NONE * PLACES, s).otherwise(merged(x))))
 
-    def ids(key: Column) -> Column:
-        return let(rank(key), lambda whole: F.when(whole != NONE, F.array(whole)).otherwise(let(F.regexp_extract_all(key, F.lit("(..)"), 1), merges)))
+    def ids(letters: Column) -> Column:
+        of = lambda ch: let(F.ascii(ch), lambda c: F.when(c < 256, F.get(tables["bytes"], c)).otherwise(c - 256))
+        return F.transform(F.filter(F.split(letters, ""), lambda ch: ch != ""), of)
 
-    return let(F.hex(word), lambda key: F.when(key == "", F.array().cast("array<int>")).otherwise(ids(key)))
+    whole = F.decode(word, "ISO-8859-1")
+    merges = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), whole, step, ids)
+    return F.when(F.octet_length(word) == 0, F.array().cast("array<int>")).otherwise(merges)
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -142,7 +148,7 @@ def chunks(docs: DataFrame, pattern: str, ranks: dict[bytes, int], chunk_bytes:
         class Places(dict):
             def __missing__(self, word: str) -> int:
                 data = word.encode()
-                if len(data) > FOLD_BYTES:
+                if len(data) > FOLD_BYTES or data in ranks:
                     long.append(heap_merge(data, ranks))
                     self[word] = -len(long)
                 else:
