@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringtrace.operators.registry import upsert
-
 
 def months(ranges: DataFrame) -> DataFrame:
     """Calendar months of each (start, end) date range, clipped to it: month, window_start, window_end."""
@@ -43,6 +41,3 @@ def registered(registry: DataFrame, hits: DataFrame) -> DataFrame:
     new = hits.groupBy("url_key").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count(F.lit(1)).alias("hits"))
     both = registry.select("url_key", "first_seen", "last_seen", "hits").unionByName(new)
     return both.groupBy("url_key").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("hits").alias("hits"))
-
-
-__all__ = ["drilled", "missing_cells", "months", "registered", "upsert", "weeks"]

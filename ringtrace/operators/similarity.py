@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ringtrace.functions import text
 from ringtrace.functions.text import let
-from ringtrace.operators.common import best
+from ringtrace.operators.common import best, checkpointed
 
 LEAST = 0.82
 
@@ -64,8 +64,9 @@ def similar(inputs: DataFrame, templates: DataFrame, least: float = LEAST, n: in
     """
     a, b = _sides(inputs, "input_id", "text"), _sides(templates, "template_id", "text")
     both = a.select(F.lit("a").alias("side"), "id", "f", "t").unionByName(b.select(F.lit("b").alias("side"), "id", "f", "t"))
-    counts = both.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    each = both.select("side", "id", F.explode("t").alias("token")).join(counts, "token")
+    # both are read several times below
+    counts = checkpointed(both.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    each = checkpointed(both.select("side", "id", F.explode("t").alias("token")).join(counts, "token"))
     ranked = each.groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))
     first = lambda size: size - F.ceil(size * 0.6).cast("int") + 1
     prefix = ranked.filter(F.size("r") >= 4).select("side", "id", F.explode(F.slice("r", F.lit(1), first(F.size("r")))).alias("x")).select("side", "id", "x.token")

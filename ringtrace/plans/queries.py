@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringtrace.functions import fixed, indicators, text, urls
+from ringtrace.functions import indicators, text, urls
 from ringtrace.operators import anomalies, contextual, coverage, extraction, graph, matching, metrics, prepare, registry, similarity, validation, views
-from ringtrace.operators.common import best, joined_text
+from ringtrace.operators.common import joined_text
 from ringtrace.sources import bindings, tables
 from ringtrace.streaming import refresh
 
@@ -506,6 +506,3 @@ _NAMED = {k: f for k, f in dict(globals()).items() if callable(f) and getattr(f,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_NAMED)
-
-
-__all__ = ["best", "fixed", "flagship", "queries"]
