@@ -344,8 +344,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     classes = written(keyed.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("need").alias("need"), F.min("prefix").alias("prefix")).withColumnRenamed("n_shingles", "n"), "classes")
     # two classes link only if they share ``need`` shingles, all of which lie in both their components
     tokens = _shared(_shared(_tokens(classes).withColumn("component", F.col("rep"))))
-    members = tokens
-    wanted = written(members.select("rep").distinct(), "members")
+    wanted = written(tokens.select("rep").distinct(), "members")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
