@@ -163,4 +163,13 @@ ORACLES: dict[str, str] = {
     "t1_cycles": "WITH " + _EVENTS + " SELECT strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS cycle_start, job_id, count(*) AS hits FROM e GROUP BY 1, 2",
     "t3_fresh_hits": "WITH " + _EVENTS + " SELECT event_id, url_key FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY ts, event_id) AS r FROM e WHERE day(ts) > 20) WHERE r = 1 AND url_key NOT IN (SELECT url_key FROM e WHERE day(ts) <= 20)",
     "t5_first_last": "WITH " + _EVENTS + " SELECT url_key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) AS hits FROM e GROUP BY 1",
+    "f6_selection": _with(_CASES) + " SELECT document_id FROM docs WHERE severity > 0 AND category IN ('noise', 'news_pr') AND specific_case AND first_seen BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-12-31' ORDER BY first_seen DESC, document_id LIMIT 200",
+    "f16_reasons": _with(_CASES) + " SELECT document_id, left(scam_type, 8) || ',shared_i,anchor_i' AS short, 'Supporting evidence,Shared indicator,Anchor indicator' AS shown FROM docs",
+    "j10_profiles": _with(*_GRAPH) + " SELECT campaign_key, string_agg(document_id, ',' ORDER BY document_id) AS documents FROM (SELECT m.*, row_number() OVER (PARTITION BY m.campaign_key ORDER BY membership_score DESC, m.document_id) AS r FROM members m JOIN docs d ON d.document_id = m.document_id AND severity >= 2 JOIN clusters c ON c.campaign_key = m.campaign_key AND document_count > 2) WHERE r <= 2 GROUP BY 1",
+    "j14_media_findings": "SELECT o_orderkey AS document_id, o_orderstatus AS url, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'read' WHEN o_orderkey % 4 = 0 THEN 'kept' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN o_orderpriority END AS note FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0",
+    "j15_resolved": _with(_CASES) + " SELECT key, count(*) AS n, CAST(count_if(kind = 'email') AS BIGINT) AS missing FROM edges GROUP BY 1",
+    "n20_taxonomy": "SELECT p_partkey, CASE WHEN a = b THEN a ELSE a || ',' || b END AS labels FROM (SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS a, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS b FROM part)",
+    "n21_timestamps": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN d || ' 05:06:07' WHEN 1 THEN d || ' 00:00:00' WHEN 3 THEN strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') || ' 23:00:00' END AS at FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders)",
+    "w12_newest_job": "WITH " + _EVENTS + " SELECT job_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM e) WHERE r = 1",
+    "w13_label_union": "SELECT p_size, label FROM (SELECT p_size, label, row_number() OVER (PARTITION BY p_size, lower(label) ORDER BY p_partkey) AS r FROM (SELECT p_size, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE lower(p_type) END AS label FROM part)) WHERE r = 1",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ringtrace.functions import indicators, text, urls
 from ringtrace.operators import anomalies, contextual, coverage, extraction, graph, matching, metrics, prepare, registry, similarity, validation, views
-from ringtrace.operators.common import joined_text
+from ringtrace.operators.common import best, joined_text
 from ringtrace.sources import bindings, tables
 from ringtrace.streaming import refresh
 
@@ -496,6 +496,58 @@ def t5_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh.seen(bindings.event_rows(spark, sf_dir)).withColumns({"first_seen": stamp("first_seen"), "last_seen": stamp("last_seen")})
 
 
+def f6_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = _cases(spark, sf_dir)
+    rows = docs.select("document_id", F.col("first_seen").alias("published_at"), F.when(F.col("severity") > 0, F.col("last_seen")).alias("fetched_at"), F.col("category").alias("platform"), F.when(F.col("specific_case"), "done").otherwise("open").alias("status"))
+    return prepare.selection(rows, ["noise", "news_pr"], ["done"], F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("1998-12-31").cast("timestamp_ntz"), 200).select("document_id")
+
+
+def f16_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = _cases(spark, sf_dir)
+    given = F.concat("scam_types", F.array(F.lit("shared_indicator"), F.lit("anchor_indicator")), "scam_types")
+    return docs.select("document_id", joined_text(views.short_reasons(given, 12, 8)).alias("short"), joined_text(views.reason_labels(given)).alias("shown"))
+
+
+def j10_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _, clusters, members = _clusters(spark, sf_dir)
+    out = contextual.profiles(clusters.filter("document_count > 2").select("campaign_key"), members, docs, F.col("severity") >= 2, 2)
+    return out.select("campaign_key", joined_text(F.transform("documents", lambda d: d["document_id"])).alias("documents"))
+
+
+def j14_media_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = bindings.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("url"), F.col("o_orderpriority").alias("note"))
+    media = orders.filter("document_id % 2 = 0").select("document_id", "url", F.when(F.col("document_id") % 4 == 0, "kept").alias("status"), F.lit(None).cast("string").alias("note"))
+    findings = orders.filter("document_id % 3 = 0").select("document_id", "url", F.lit("read").alias("status"), "note")
+    return prepare.media_findings(media, findings, orders.filter("document_id % 5 <> 0").select("document_id", "url"))
+
+
+def j15_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = _cases(spark, sf_dir)
+    known = edges.filter("kind <> 'email'").select("key", F.md5("key").alias("indicator_id")).distinct()
+    return registry.resolved(edges.select("document_id", "key"), known).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("indicator_id").isNull()).alias("missing"))
+
+
+def n20_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.array(F.col("p_type"), F.concat(F.lit("  "), F.upper("p_type"), F.lit("! ")), F.col("p_brand"), F.lit("--"))
+    return bindings.read(spark, sf_dir, "part").select("p_partkey", joined_text(text.taxonomy_labels(raw)).alias("labels"))
+
+
+def n21_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    raw = F.when(F.col("o_orderkey") % 4 == 0, F.concat(day, F.lit("T05:06:07Z"))).when(F.col("o_orderkey") % 4 == 1, F.concat(day, F.lit(" and more"))).when(F.col("o_orderkey") % 4 == 2, "soon").otherwise(F.concat(day, F.lit("T01:00:00+02:00")))
+    return bindings.read(spark, sf_dir, "orders").select("o_orderkey", F.date_format(text.timestamp(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def w12_newest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = bindings.event_rows(spark, sf_dir)
+    return best(e, ["job_id", "event_type"], F.desc("at"), F.desc("event_id")).select("job_id", "event_type", "event_id")
+
+
+def w13_label_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = bindings.read(spark, sf_dir, "part").select("p_size", "p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.lower("p_type")).alias("label"))
+    return best(parts.withColumn("folded", F.lower("label")), ["p_size", "folded"], F.asc("p_partkey")).select("p_size", "label")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which cases form a campaign, with which anchor."""
     return a6_clusters(spark, sf_dir)
