@@ -10,28 +10,33 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from ringtrace.functions import indicators, text, urls
 from ringtrace.operators.common import best
 
-#: Phones and mails that are taken from one text: the most that a lookup submits.
-PER_KIND = 10
+#: What is taken of the text of a submitted check: characters, and phones and mails each.
+SUBMITTED = {"max_chars": 8000, "per_kind": 10}
 HIT = "array<struct<kind:string,raw:string>>"
 
 
-def hits(value: Column) -> Column:
-    """What a text may name: phones, mails, a whole-text account or link, and itself as a message."""
-    t = F.substring(F.trim(F.coalesce(value, F.lit(""))), 1, 8000)
-    many = lambda kind, pattern: F.transform(F.slice(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), 1, PER_KIND), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("raw")))
+def hits(value: Column, max_chars: int | None = None, per_kind: int | None = None) -> Column:
+    """What a text may name: phones, mails, a whole-text account or link, and itself as a message.
+
+    All of the text and all of its hits, unless there are limits (``SUBMITTED`` for a submitted check).
+    """
+    t = F.trim(F.coalesce(value, F.lit("")))
+    t = t if max_chars is None else F.substring(t, 1, max_chars)
+    some = lambda found: found if per_kind is None else F.slice(found, 1, per_kind)
+    many = lambda kind, pattern: F.transform(some(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("raw")))
     one = lambda kind, fine: F.when(fine, F.array(F.struct(F.lit(kind).alias("kind"), t.alias("raw")))).otherwise(F.array().cast(HIT))
     return F.concat(
         many("phone", r"(?:\+?84|0)[\d\s().-]{8,16}\d"),
-        many("email", r"[^\s@]+@[^\s@]+\.[^\s@]{2,}"),
+        many("email", r"(?<![^\s@])[^\s@]+@[^\s@]+\.[^\s@]{2,}"),
         one("bank_account", t.rlike(r"^[\d\s.-]{6,30}$")),
         one("domain", t.rlike(r"^(?i:https?://|www\.)\S+$")),
         one("message_template", t != ""),
     )
 
 
-def from_texts(inputs: DataFrame, input_id: str = "input_id", column: str = "text", source: str = "text") -> DataFrame:
-    """input_id, position, kind, raw, value, source of accepted hits."""
-    rows = inputs.select(F.col(input_id).alias("input_id"), F.posexplode(hits(F.col(column))).alias("position", "hit"))
+def from_texts(inputs: DataFrame, input_id: str = "input_id", column: str = "text", source: str = "text", max_chars: int | None = None, per_kind: int | None = None) -> DataFrame:
+    """input_id, position, kind, raw, value, source of accepted hits; the limits are those of ``hits``."""
+    rows = inputs.select(F.col(input_id).alias("input_id"), F.posexplode(hits(F.col(column), max_chars, per_kind)).alias("position", "hit"))
     out = rows.select("input_id", "position", "hit.kind", "hit.raw").withColumn("value", indicators.lookup_value(F.col("kind"), F.col("raw")))
     return out.filter("value <> ''").withColumn("source", F.lit(source))
 

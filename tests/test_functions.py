@@ -77,6 +77,14 @@ def test_extraction(spark):
     assert sum(k == "phone" for _, k, _ in got) == 1
 
 
+def test_extraction_takes_whole_texts(spark):
+    late, mails = "word " * 2000 + "call 0912345678", " ".join(f"m{i}@x.example" for i in range(25))
+    rows = spark.createDataFrame([("late", late), ("mails", mails), ("run", "x" * 300_000 + " a@b.example@c.example")], "input_id string, text string")
+    count = lambda **limits: {(r.input_id, r.kind): r["count"] for r in extraction.from_texts(rows, **limits).filter("kind IN ('phone', 'email')").groupBy("input_id", "kind").count().collect()}
+    assert count() == {("late", "phone"): 1, ("mails", "email"): 25, ("run", "email"): 1}
+    assert count(**extraction.SUBMITTED) == {("mails", "email"): 10}
+
+
 def payload(account, reference):
     def crc(s):
         v = 0xFFFF
