@@ -98,7 +98,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, store = table(spark, sf_dir, "documents"), scratch(spark, "rollup")
     text = F.col("text")
     counters = {"words": token_counts.word_count(text), "pieces": token_counts.piece_count(text), "digits": F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[0-9]"))}
-    counts = written(token_counts.counted(docs, counters).groupBy("doc_id", "source", "lang").pivot("tokenizer", list(counters)).agg(F.max("n_tokens")), "counts")
+    counts = written(docs.select("source", "lang", *[c.cast("bigint").alias(k) for k, c in counters.items()]), "counts")
     both = counts.select("source", "lang", "words", "digits", F.explode(F.array(F.struct(F.lit("words").alias("tokenizer"), F.col("words").alias("n")), F.struct(F.lit("pieces").alias("tokenizer"), F.col("pieces").alias("n")))).alias("c")).select("source", "lang", "words", "digits", "c.tokenizer", "c.n")
     change = lambda df, op, new, old: df.select(F.lit(op).alias("op"), "source", "lang", "tokenizer", new.alias("n_tokens"), old.alias("old_tokens"))
     none = F.lit(None).cast("bigint")

@@ -60,12 +60,6 @@ def compact(spark: SparkSession, store: str, target: str) -> None:
     totals(spark, store).write.mode("overwrite").parquet(f"{target}/batch-{0:012d}")
 
 
-def counted(docs: DataFrame, counters: dict[str, Column]) -> DataFrame:
-    """doc_id, source, lang, tokenizer, n_tokens: a row for each document and counter, from one pass over the texts."""
-    each = [F.struct(F.lit(k).alias("tokenizer"), c.cast("bigint").alias("n_tokens")) for k, c in counters.items()]
-    return docs.select("doc_id", "source", "lang", F.explode(F.array(*each)).alias("c")).select("doc_id", "source", "lang", "c.tokenizer", "c.n_tokens")
-
-
 def word_count(text: Column) -> Column:
     """Runs of other characters than ASCII white space (null: none)."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))

@@ -132,3 +132,17 @@ def test_token_rollups(spark):
     with pytest.raises(Exception, match="unknown change"):
         token_counts.commit(store, 3, change(("add", "a", "en", "t1", 1, None)))
     assert token_counts.committed(spark, store) == [1, 2]
+
+
+def test_token_counts_of_repeated_and_missing_ids(spark, odd, tmp_path):
+    import duckdb
+    from ringtrace.llm import oracles, queries
+
+    long = "a row without an id has words all the same"
+    docs = odd.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(None, long + " 12", "en", None), (None, long, "en", None), (1, long, "en", "a")], "doc_id bigint, text string, lang string, source string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(oracles.TOKEN_COUNTS)
+    got = queries.op10_token_counts(spark, str(tmp_path)).select(*want.columns).collect()
+    assert {tuple(r) for r in got} == set(want.fetchall()) and len(got) == len(want.fetchall())
