@@ -51,8 +51,13 @@ def search_results(responses: DataFrame, start: int = 0) -> DataFrame:
 
 
 def on_domains(results: DataFrame, domains: DataFrame) -> DataFrame:
-    """Results on the (few) wanted domains or below them."""
-    return results.join(F.broadcast(domains.select("domain").limit(10_000)), urls.on_domain(urls.domain(F.col("url")), F.col("domain")), "left_semi")
+    """Results on the wanted domains or below them: an equi-join of each distinct host and its parents."""
+    rows = results.withColumn("_host", urls.domain(F.col("url")))
+    parts = F.split("_host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    parents = rows.select("_host").distinct().filter(F.col("_host").isNotNull()).select("_host", F.explode(above).alias("domain"))
+    hosts = parents.join(domains.select("domain"), "domain", "left_semi").select("_host").distinct()
+    return rows.join(hosts, "_host", "left_semi").select(*results.columns)
 
 
 def comments(docs: DataFrame) -> DataFrame:

@@ -26,6 +26,19 @@ def test_search_results(spark):
     assert [(r.position, r.title, r.site) for r in rows] == [(9, "", "Y"), (11, "A b", "x.example")]
 
 
+def test_domains_beyond_ten_thousand(spark):
+    from ringtrace.functions import urls
+
+    wanted = spark.createDataFrame([(f"d{i}.example",) for i in range(12_000)] + [("a.d1.example",), (None,)], "domain string")
+    pages = [(i, f"https://{'www.' * (i % 2)}{'a.' * (i % 3)}d{i}.example:80/x") for i in range(12_000)] + [(1, "https://a.d1.example/"), (1, "https://a.d1.example/"), (2, "http://xd1.example"), (3, None), (4, ""), (5, "http://example")]
+    results = spark.createDataFrame(pages, "page_id int, url string")
+    got = tables.on_domains(results, wanted)
+    assert got.columns == ["page_id", "url"] and got.count() == 12_002
+    few = wanted.filter("domain IN ('d1.example', 'a.d1.example', 'd50.example')")
+    plain = results.join(few, urls.on_domain(urls.domain(F.col("url")), F.col("domain")), "left_semi")
+    assert sorted(map(tuple, tables.on_domains(results, few).collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_log(spark, tmp_path):
     rows = spark.createDataFrame([(1, "j", "fetch", "info", "2024-01-01 00:00:00"), (2, "j", "fetch", "error", "2024-01-02 00:00:00")], "event_id int, job_id string, stage string, level string, at string").withColumn("at", F.to_timestamp("at"))
     tables.append_log(rows, str(tmp_path / "log"))
