@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 
 
 def months(ranges: DataFrame) -> DataFrame:
-    """Calendar months of each (start, end) date range, clipped to it: month, window_start, window_end."""
+    """Calendar months of each (start, end) date range, clipped to it: month, window_start, window_end, and other columns."""
     month = F.explode(F.sequence(F.trunc("start", "MM"), F.col("end"), F.expr("INTERVAL 1 MONTH"))).alias("month")
-    rows = ranges.filter("start <= end").select("start", "end", month)
-    return rows.select("month", F.greatest("start", "month").alias("window_start"), F.least("end", F.last_day("month")).alias("window_end"))
+    more = [c for c in ranges.columns if c not in ("start", "end")]
+    rows = ranges.filter("start <= end").select("start", "end", month, *more)
+    return rows.select("month", F.greatest("start", "month").alias("window_start"), F.least("end", F.last_day("month")).alias("window_end"), *more)
 
 
 def weeks(windows: DataFrame) -> DataFrame:
-    """Chunks of seven days from each window's start, the last one cut short."""
+    """Chunks of seven days from each window's start, the last one cut short; other columns stay."""
     start = F.explode(F.sequence("window_start", "window_end", F.expr("INTERVAL 7 DAYS"))).alias("week_start")
-    return windows.select("month", "window_end", start).select("month", "week_start", F.least("window_end", F.date_add("week_start", 6)).alias("week_end"))
+    more = [c for c in windows.columns if c not in ("month", "window_start", "window_end")]
+    return windows.select("month", "window_end", start, *more).select("month", "week_start", F.least("window_end", F.date_add("week_start", 6)).alias("week_end"), *more)
+
+
+def week_counts(ranges: DataFrame) -> DataFrame:
+    """month, n_weeks, days over all (start, end) ranges: equal ranges are cut once and weighted by their number."""
+    out = weeks(months(ranges.groupBy("start", "end").agg(F.count(F.lit(1)).alias("n"))))
+    return out.groupBy("month").agg(F.sum("n").alias("n_weeks"), F.sum(F.col("n") * (F.datediff("week_end", "week_start") + 1)).alias("days"))
 
 
 def missing_cells(dimensions: list[DataFrame], seen: DataFrame) -> DataFrame:
