@@ -39,22 +39,22 @@ def bridges(cases: DataFrame, links: DataFrame, edges: DataFrame, members: DataF
     return met.groupBy("case_id", "campaign_key").agg(sorted_set("kind").alias("bridge_kinds"), F.round(F.least(F.lit(1.0), F.sum(weight)), 4).alias("bridge_score"))
 
 
-def overlapping(cases: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """case_id, campaign_key of campaigns that share a token of a label with a case: an equi-join on tokens."""
+def overlapping(cases: DataFrame, campaigns: DataFrame, by: str = "case_id") -> DataFrame:
+    """case_id (or what ``by`` names), campaign_key of campaigns that share a token of a label: an equi-join on tokens."""
     spread = lambda df, key: df.select(key, F.explode(F.flatten(F.transform(F.concat("scam_types", "bank_roles"), label_tokens))).alias("token")).distinct()
-    return spread(cases, "case_id").join(spread(campaigns, "campaign_key"), "token").select("case_id", "campaign_key").distinct()
+    return spread(cases, by).join(spread(campaigns, "campaign_key"), "token").select(by, "campaign_key").distinct()
 
 
-def retrieved(cases: DataFrame, campaigns: DataFrame, bridged: DataFrame, n: int = 8) -> DataFrame:
-    """The ``n`` best candidates of each case (case_id, scam_types, bank_roles, kinds, signals).
+#: What of a case tells its score, but for bridges.
+PROFILE = ["scam_types", "bank_roles", "kinds", "signals"]
 
-    Candidates share a label token or a bridge; the score weighs labels, signals, the anchor's kind, confidence
-    and risk; those without overlap need a similarity or a bridge.
-    """
-    live = campaigns.filter("is_active AND status <> 'dismissed' AND document_count > 0")
-    pairs = overlapping(cases, live).unionByName(bridged.select("case_id", "campaign_key")).distinct()
+
+def scored(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """``rows`` (PROFILE, campaign_key, bridge_kinds, bridge_score) with similarities and score; those without
+    overlap need a similarity or a bridge."""
     of_campaign = live.select("campaign_key", F.col("scam_types").alias("c_types"), F.col("bank_roles").alias("c_roles"), "anchor", "average_confidence", "risk_score", "document_count", "analyst_confirmed", F.col("label").alias("c_label"))
-    rows = pairs.join(cases, "case_id").join(of_campaign, "campaign_key").join(bridged, ["case_id", "campaign_key"], "left")
+    given = [c for c in rows.columns if c not in (*PROFILE, "bridge_kinds", "bridge_score")]
+    rows = rows.join(of_campaign, "campaign_key")
     scam, bank = label_similarity(F.col("scam_types"), F.col("c_types")), label_similarity(F.col("bank_roles"), F.col("c_roles"))
     share = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(a))
     about = label_tokens(F.lower(F.concat_ws("_", F.regexp_replace(F.col("c_label"), r"[^\p{L}\p{N}]+", "_"), F.array_join("c_types", "_"), F.array_join("c_roles", "_"))))
@@ -66,10 +66,32 @@ def retrieved(cases: DataFrame, campaigns: DataFrame, bridged: DataFrame, n: int
         + F.coalesce(kind, F.lit(0.0)) * 0.05 + F.least(F.lit(1.0), F.col("average_confidence")) * 0.05 + F.least(F.lit(1.0), F.col("risk_score") / 10) * 0.05, 4,
     )
     bridge = F.coalesce("bridge_score", F.lit(0.0))
-    scored = rows.withColumn("score", F.round(F.least(F.lit(1.0), base + bridge * 0.25), 4))
+    out = rows.withColumn("score", F.round(F.least(F.lit(1.0), base + bridge * 0.25), 4))
     keep = (F.col("scam_share") > 0) | (F.col("bank_share") > 0) | (F.col("scam_similarity") >= 0.34) | (F.col("bank_similarity") >= 0.5) | (F.col("context_similarity") >= 0.5) | F.col("bridge_kinds").isNotNull()
-    out = best(scored.filter(keep), ["case_id"], F.desc("score"), F.desc("analyst_confirmed"), F.desc("risk_score"), F.desc("document_count"), F.asc("campaign_key"), n=n)
-    return out.select("case_id", "campaign_key", "score", F.round("scam_similarity", 4).alias("scam_similarity"), F.round("bank_similarity", 4).alias("bank_similarity"), F.round("context_similarity", 4).alias("context_similarity"), bridge.alias("bridge_score"))
+    similar = [F.round(c, 4).alias(c) for c in ("scam_similarity", "bank_similarity", "context_similarity")]
+    return out.filter(keep).select(*given, "score", *similar, bridge.alias("bridge_score"), "analyst_confirmed", "risk_score", "document_count")
+
+
+def ranked(rows: DataFrame, key: str, n: int) -> DataFrame:
+    return best(rows, [key], F.desc("score"), F.desc("analyst_confirmed"), F.desc("risk_score"), F.desc("document_count"), F.asc("campaign_key"), n=n)
+
+
+def retrieved(cases: DataFrame, campaigns: DataFrame, bridged: DataFrame, n: int = 8) -> DataFrame:
+    """The ``n`` best candidates of each case (case_id, scam_types, bank_roles, kinds, signals).
+
+    Candidates share a label token or a bridge; the score weighs labels, signals, the anchor's kind, confidence
+    and risk.  Equal profiles are compared with the campaigns once: a bridge only raises a score, so a case's
+    best are among its profile's ``n`` best and its bridged ones.
+    """
+    live = campaigns.filter("is_active AND status <> 'dismissed' AND document_count > 0")
+    keyed = cases.withColumn("profile", F.to_json(F.struct(*PROFILE)))
+    groups = keyed.select("profile", *PROFILE).dropDuplicates(["profile"])
+    pairs = overlapping(groups, live, "profile").join(groups, "profile")
+    bare = pairs.withColumns({"bridge_kinds": F.lit(None).cast("array<string>"), "bridge_score": F.lit(0.0)})
+    usual = keyed.select("case_id", "profile").join(ranked(scored(bare, live), "profile", n), "profile").drop("profile")
+    usual = usual.join(bridged.select("case_id", "campaign_key"), ["case_id", "campaign_key"], "left_anti")
+    met = scored(bridged.join(cases.select("case_id", *PROFILE), "case_id"), live)
+    return ranked(usual.unionByName(met), "case_id", n).drop("analyst_confirmed", "risk_score", "document_count")
 
 
 def profiles(candidates: DataFrame, members: DataFrame, docs: DataFrame, eligible: Column, n: int = 3) -> DataFrame:

@@ -251,7 +251,7 @@ def w2_best_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j5_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, edges, _, members, campaigns = _registry(spark, sf_dir)
-    new = docs.filter("severity = 5").join(members.select("document_id"), "document_id", "left_anti")
+    new = docs.join(members.select("document_id"), "document_id", "left_anti")
     cases = new.select(F.col("document_id").alias("case_id"), "scam_types", "bank_roles", F.array(F.lit("phone")).alias("kinds"), F.transform("bank_roles", lambda r: F.concat(r, F.lit("_bank"))).alias("signals"))
     links = cases.select("case_id", F.lit("social_account").alias("kind"), F.concat(F.lit("seller"), (F.col("case_id").cast("bigint") % 2000).cast("string")).alias("value"))
     bridged = contextual.bridges(cases, links, edges, members)
@@ -273,13 +273,23 @@ def j12_without_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.without_source(campaigns, clusters.filter("document_count > 2")).select("campaign_key", "document_count")
 
 
-def j17_grounded_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _ = _cases(spark, sf_dir)
-    told = docs.filter("severity = 4").select(F.concat(F.lit("About "), "document_id").alias("title"), F.lit("text").alias("body"), F.array("document_id", F.concat(F.lit("no-"), "document_id")).alias("evidence_ids"), (F.col("severity") + 3).alias("severity"), (F.col("confidence") + 0.5).alias("confidence"))
+def _insights(docs: DataFrame, about: DataFrame) -> DataFrame:
+    told = about.select(F.concat(F.lit("About "), "document_id").alias("title"), F.lit("text").alias("body"), F.array("document_id", F.concat(F.lit("no-"), "document_id")).alias("evidence_ids"), (F.col("severity") + 3).alias("severity"), (F.col("confidence") + 0.5).alias("confidence"))
     out = views.grounded_insights(told, docs.withColumn("url", F.concat(F.lit("https://x.example/"), "document_id", F.lit("#a"))))
     return out.select("title", "severity", "confidence", joined_text("evidence_ids").alias("evidence_ids"), joined_text("evidence_urls").alias("evidence_urls"), "insight_key")
 
 
+def j17_grounded_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one severity, as its SQL has it; ``j17_all_insights`` is of all documents."""
+    docs, _ = _cases(spark, sf_dir)
+    return _insights(docs, docs.filter("severity = 4"))
+
+
+def j17_all_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = _cases(spark, sf_dir)
+    return _insights(docs, docs)
+
+
 # aggregations
 
 

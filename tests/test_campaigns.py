@@ -204,3 +204,29 @@ def test_validation(spark):
     df = spark.createDataFrame([(1, 3), (2, None), (3, 9)], "id int, n int")
     ok, bad = validation.split(df, {"range": F.col("n").between(1, 5), "id": F.col("id") > 0})
     assert [r.id for r in ok.collect()] == [1] and {r.id: r.violations for r in bad.collect()} == {2: ["range"], 3: ["range"]}
+
+
+def test_retrieved_equals_scoring_each_case(spark):
+    rng = random.Random(3)
+    labels = ["fake_bank", "fake_shop", "loan_app", "urgent_loan", "bank_staff"]
+    some = lambda: rng.sample(labels, rng.randrange(3))
+    kinds = [(["phone"], ["bank_alert"]), (["email"], []), ([], ["loan_offer", "app_install"])]
+    cases = spark.createDataFrame([(f"d{i}", some(), some(), *rng.choice(kinds)) for i in range(60)], "case_id string, scam_types array<string>, bank_roles array<string>, kinds array<string>, signals array<string>")
+    rows = [(f"k{i}", some(), some(), rng.choice(["phone|1", "email|x"]), rng.choice([0.4, 0.9]), rng.choice([3.0, 6.0]), rng.randrange(2, 4), i % 3 == 0, "Fake Bank", i % 9 != 0, "dismissed" if i % 7 == 0 else "provisional") for i in range(40)]
+    campaigns = spark.createDataFrame(rows, "campaign_key string, scam_types array<string>, bank_roles array<string>, anchor string, average_confidence double, risk_score double, document_count bigint, analyst_confirmed boolean, label string, is_active boolean, status string")
+    pairs = sorted({(f"d{rng.randrange(60)}", f"k{rng.randrange(40)}") for _ in range(90)})
+    bridged = spark.createDataFrame([(*p, ["payment_method"], rng.choice([0.2, 0.8])) for p in pairs], "case_id string, campaign_key string, bridge_kinds array<string>, bridge_score double")
+    live = campaigns.filter("is_active AND status <> 'dismissed'")
+    each = contextual.overlapping(cases, live).unionByName(bridged.select("case_id", "campaign_key")).distinct().join(cases, "case_id").join(bridged, ["case_id", "campaign_key"], "left")
+    want = contextual.ranked(contextual.scored(each, live), "case_id", 3).drop("analyst_confirmed", "risk_score", "document_count")
+    got = contextual.retrieved(cases, campaigns, bridged, n=3).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 60
+
+
+def test_all_documents_outside_campaigns_are_cases(spark, sf):
+    from ringtrace.plans import queries
+
+    docs, _, _, members, _ = queries._registry(spark, sf)
+    outside = docs.join(members, "document_id", "left_anti")
+    found = queries.j5_contextual(spark, sf).select(F.col("case_id").alias("document_id")).distinct().join(docs, "document_id")
+    assert {r.severity for r in found.select("severity").distinct().collect()} == {r.severity for r in outside.select("severity").distinct().collect()} != {5}

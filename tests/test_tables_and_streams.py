@@ -96,7 +96,7 @@ def test_queries_equal_their_sql(spark, sf, name):
 
 
 #: Queries over whole tables beside those whose SQL filters: their SQL is that SQL without the filter.
-WHOLE = [("c1_all_windows", "c1_windows", " WHERE o_orderkey % 50 = 0", "")]
+WHOLE = [("c1_all_windows", "c1_windows", " WHERE o_orderkey % 50 = 0", ""), ("j17_all_insights", "j17_grounded_insights", "5 AS severity, least(1, confidence + 0.5) AS confidence, document_id AS evidence_ids, 'https://x.example/' || document_id AS evidence_urls, sha256('About ' || document_id || '|' || document_id) AS insight_key FROM docs WHERE severity = 4", "least(5, severity + 3) AS severity, least(1, confidence + 0.5) AS confidence, document_id AS evidence_ids, 'https://x.example/' || document_id AS evidence_urls, sha256('About ' || document_id || '|' || document_id) AS insight_key FROM docs")]
 
 
 @pytest.mark.parametrize(("name", "sql", "part", "whole"), WHOLE)
