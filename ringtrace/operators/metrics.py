@@ -1,4 +1,4 @@
-"""Aggregate metrics that carry their evidence, and operational roll-ups."""
+"""Aggregate metrics, their evidence as rows beside them, and operational roll-ups."""
 
 from __future__ import annotations
 
@@ -11,20 +11,19 @@ from ringtrace.operators.common import sorted_set
 
 
 def summary(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row, zeros for an empty input: documents, indicators, edges, mean confidence, highest severity, evidence."""
+    """One row, zeros for an empty input: documents, indicators, edges, mean confidence, highest severity."""
     d = docs.agg(
         F.count(F.lit(1)).alias("document_count"),
         F.coalesce(F.round(F.avg("confidence"), 6), F.lit(0.0)).alias("average_confidence"),
         F.coalesce(F.max("severity"), F.lit(0)).alias("maximum_severity"),
-        sorted_set("document_id").alias("evidence_document_ids"),
     )
-    e = edges.agg(F.countDistinct("key").alias("unique_indicator_count"), F.count(F.lit(1)).alias("document_indicator_edge_count"), sorted_set("key").alias("evidence_keys"))
+    e = edges.agg(F.countDistinct("key").alias("unique_indicator_count"), F.count(F.lit(1)).alias("document_indicator_edge_count"))
     return d.join(F.broadcast(e))  # one row each
 
 
 def _by(docs: DataFrame, key: str) -> DataFrame:
     total = docs.agg(F.count(F.lit(1)).alias("total"))
-    groups = docs.groupBy(key).agg(F.count(F.lit(1)).alias("document_count"), F.round(F.avg("confidence"), 6).alias("average_confidence"), F.max("severity").alias("maximum_severity"), sorted_set("document_id").alias("evidence_document_ids"))
+    groups = docs.groupBy(key).agg(F.count(F.lit(1)).alias("document_count"), F.round(F.avg("confidence"), 6).alias("average_confidence"), F.max("severity").alias("maximum_severity"))
     return groups.join(F.broadcast(total)).withColumn("document_share", F.round(F.col("document_count") / F.col("total"), 6)).drop("total")
 
 
@@ -37,18 +36,24 @@ def by_severity(docs: DataFrame) -> DataFrame:
 
 
 def by_indicator(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """For each indicator: documents, categories, confidence, severity, evidence; shown as its last document has it."""
+    """For each indicator: documents, categories, confidence, severity; shown as its last document has it."""
     rows = edges.join(docs.select("document_id", "category", F.col("confidence").alias("document_confidence"), "severity"), "document_id")
     return rows.groupBy("key", "kind").agg(
         F.countDistinct("document_id").alias("document_count"),
         sorted_set("category").alias("categories"),
         F.round(F.avg("document_confidence"), 6).alias("average_confidence"),
         F.max("severity").alias("maximum_severity"),
-        sorted_set("document_id").alias("evidence_document_ids"),
         F.max_by("display_value", "document_id").alias("display_value"),
     )
 
 
+def evidence(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The documents behind each metric, a row each (metric_scope, metric_key, document_id): no row grows with the table."""
+    row = lambda df, scope, key: df.select(F.lit(scope).alias("metric_scope"), key.cast("string").alias("metric_key"), "document_id")
+    named = row(edges.join(docs.select("document_id"), "document_id", "left_semi"), "indicator", F.col("key"))
+    return reduce(DataFrame.unionByName, [row(docs, "summary", F.lit("all")), row(docs, "category", F.col("category")), row(docs, "severity", F.col("severity")), named]).distinct()
+
+
 def long_table(blocks: dict[str, tuple[DataFrame, str | None]], job_id: str, refreshed_at) -> DataFrame:
     """All blocks as rows (job_id, metric_scope, metric_key, metric_value as JSON, refreshed_at)."""
     rows = [df.select(F.lit(job_id).alias("job_id"), F.lit(scope).alias("metric_scope"), (F.col(key).cast("string") if key else F.lit("all")).alias("metric_key"), F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("metric_value"), F.lit(refreshed_at).alias("refreshed_at")) for scope, (df, key) in blocks.items()]

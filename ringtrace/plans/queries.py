@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ringtrace.functions import indicators, text, urls
 from ringtrace.operators import anomalies, contextual, coverage, extraction, graph, matching, metrics, prepare, registry, similarity, validation, views
-from ringtrace.operators.common import best, joined_text
+from ringtrace.operators.common import best, joined_text, sorted_set
 from ringtrace.sources import bindings, tables
 from ringtrace.streaming import refresh
 
@@ -295,20 +295,33 @@ def j17_all_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, edges = _cases(spark, sf_dir)
-    return metrics.summary(docs, edges).select("document_count", "average_confidence", "maximum_severity", "unique_indicator_count", "document_indicator_edge_count", F.md5(joined_text("evidence_document_ids")).alias("ids"), F.md5(joined_text("evidence_keys")).alias("keys"))
+    ids, keys = docs.agg(F.md5(joined_text(sorted_set("document_id"))).alias("ids")), edges.agg(F.md5(joined_text(sorted_set("key"))).alias("keys"))
+    return metrics.summary(docs, edges).join(F.broadcast(ids)).join(F.broadcast(keys))  # one row each
+
+
+def a1_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.evidence(*_cases(spark, sf_dir))
+
+
+def _with_ids(groups: DataFrame, rows: DataFrame, key: str, told: Callable) -> DataFrame:
+    """``groups`` with the text of all their documents' ids, which the queries' SQL asks for."""
+    return groups.join(rows.groupBy(key).agg(told(joined_text(sorted_set("document_id"))).alias("evidence_document_ids")), key)
 
 
 def a2_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.by_category(_cases(spark, sf_dir)[0]).withColumn("evidence_document_ids", F.md5(joined_text("evidence_document_ids")))
+    docs, _ = _cases(spark, sf_dir)
+    return _with_ids(metrics.by_category(docs), docs, "category", F.md5)
 
 
 def a3_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.by_severity(_cases(spark, sf_dir)[0]).withColumn("evidence_document_ids", F.md5(joined_text("evidence_document_ids")))
+    docs, _ = _cases(spark, sf_dir)
+    return _with_ids(metrics.by_severity(docs), docs, "severity", F.md5)
 
 
 def a4_by_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.by_indicator(*_cases(spark, sf_dir))
-    return out.withColumns({c: joined_text(c) for c in ("categories", "evidence_document_ids")}).drop("kind")
+    docs, edges = _cases(spark, sf_dir)
+    known = edges.join(docs.select("document_id"), "document_id", "left_semi")
+    return _with_ids(metrics.by_indicator(docs, edges), known, "key", lambda c: c).withColumn("categories", joined_text("categories")).drop("kind")
 
 
 def a12_evidence_cards(spark: SparkSession, sf_dir: str) -> DataFrame:

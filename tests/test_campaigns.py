@@ -230,3 +230,11 @@ def test_all_documents_outside_campaigns_are_cases(spark, sf):
     outside = docs.join(members, "document_id", "left_anti")
     found = queries.j5_contextual(spark, sf).select(F.col("case_id").alias("document_id")).distinct().join(docs, "document_id")
     assert {r.severity for r in found.select("severity").distinct().collect()} == {r.severity for r in outside.select("severity").distinct().collect()} != {5}
+
+
+def test_metrics_have_evidence_as_rows(base):
+    docs, edges = base
+    for df in (metrics.summary(docs, edges), metrics.by_category(docs), metrics.by_severity(docs), metrics.by_indicator(docs, edges)):
+        assert not {"evidence_document_ids", "evidence_keys"} & set(df.columns)
+    rows = {(r.metric_scope, r.metric_key): r["count"] for r in metrics.evidence(docs, edges).groupBy("metric_scope", "metric_key").count().collect()}
+    assert (rows["summary", "all"], rows["category", "scam_report"], rows["severity", "5"], rows["indicator", "phone|0912345678"]) == (4, 2, 2, 2)
