@@ -385,6 +385,28 @@ def a11_indicator_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.indicator_roles(clusters, members).select("campaign_key", "key", "role", "weight", F.size("reasons").alias("n_reasons"))
 
 
+def _line_clusters(spark: SparkSession, sf_dir: str, only_eligible: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """As ``_clusters``, of all documents by their lines: with hot indicators and a large component."""
+    docs, edges = bindings.line_cases(spark, sf_dir)
+    docs, edges = prepare.documents(docs), prepare.linking(prepare.edges(edges))
+    if only_eligible:
+        edges = edges.join(docs.filter(prepare.eligible()).select("document_id"), "document_id", "left_semi")
+    return (docs, edges, *graph.clusters(docs, edges))
+
+
+def a6_line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_clusters(spark, sf_dir)[2].select("component", "campaign_key", "anchor", "document_count", "edge_count", "maximum_severity", "average_confidence", "risk_score")
+
+
+def g3_line_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_clusters(spark, sf_dir)[3].select("campaign_key", "document_id", "membership_score", F.size("reasons").alias("n_reasons"))
+
+
+def d_line_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, edges, clusters, _ = _line_clusters(spark, sf_dir, only_eligible=True)
+    return anomalies.found(docs, edges, clusters).select("anomaly_type", "anomaly_key", "observed")
+
+
 def n24_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(spark, sf_dir)[2].select("campaign_key", indicators.campaign_label(F.get("scam_types", F.lit(0)), F.col("anchor")).alias("label"))
 

@@ -64,6 +64,18 @@ def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.filter(F.length(F.trim("line")) >= 24).select("document_id", F.md5(F.trim("line")).alias("key")).distinct()
 
 
+def line_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, edges) of all documents as cases, with their longer lines as indicators: hot ones, and large components."""
+    i, day = F.col("doc_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")).cast("timestamp_ntz")
+    category = F.element_at(F.array(*[F.lit(c) for c in fixed.CATEGORIES]), (i % 5 + 1).cast("int"))
+    docs = read(spark, sf_dir, "documents").select(
+        i.cast("string").alias("document_id"), category.alias("category"), ((i * 37 % 101) / 100.0).alias("confidence"), (i % 4 != 0).alias("specific_case"), (i % 6).cast("int").alias("severity"),
+        F.array("lang").alias("scam_types"), F.array("source").alias("bank_roles"), day.alias("first_seen"), day.alias("last_seen"),
+    )
+    edges = line_edges(spark, sf_dir).select("document_id", F.lit("media_hash").alias("kind"), F.sha2("key", 256).alias("value"), F.lit(0.9).alias("confidence"), F.lit("document").alias("source"), F.lit("line").alias("quote"), F.lit(0).alias("position"))
+    return docs, edges
+
+
 def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("input_id"), "text", "source")
 

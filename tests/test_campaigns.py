@@ -238,3 +238,12 @@ def test_metrics_have_evidence_as_rows(base):
         assert not {"evidence_document_ids", "evidence_keys"} & set(df.columns)
     rows = {(r.metric_scope, r.metric_key): r["count"] for r in metrics.evidence(docs, edges).groupBy("metric_scope", "metric_key").count().collect()}
     assert (rows["summary", "all"], rows["category", "scam_report"], rows["severity", "5"], rows["indicator", "phone|0912345678"]) == (4, 2, 2, 2)
+
+
+def test_line_clusters_have_a_large_component(spark, sf):
+    from ringtrace.plans import queries
+
+    docs, edges, clusters, members = queries._line_clusters(spark, sf)
+    component = graph.components(graph.star_edges(edges)).groupBy("component").count()
+    assert {tuple(r) for r in clusters.select("component", "document_count").collect()} == {tuple(r) for r in component.collect()}
+    assert clusters.agg(F.max("document_count")).first()[0] > 7 and members.count() == component.agg(F.sum("count")).first()[0]
