@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringtrace.llm.common import with_batches
 from ringtrace.llm.quality import let
 
 CHUNK_BYTES = 8_000_000
@@ -189,7 +188,6 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_bytes:
     Null and empty texts have no ids.  Null and repeated doc_ids are kept as they are.
     """
     spark = docs.sparkSession
-    with_batches(spark)
     codec = Codec(spark, ranks)
     folded = chunks(docs, pattern, ranks, chunk_bytes).withColumn("word_ids", codec.encoded(F.col("words"))).drop("words")
     pieces = folded.withColumn("pieces", codec.decoded(F.col("word_ids"), F.col("long_ids")))

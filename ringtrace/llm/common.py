@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own in local mode where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isEmpty():
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = set_dir.get()
@@ -35,17 +39,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, a query's shuffle files go when the query ends: what it made is written by then."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, and survives a lost executor."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most, so that long texts do not gather in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` (or plain selections from one); all that reads them must be written by now."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bases(totals: DataFrame, key: str, amount: str, out: str = "base", fan: int = 4096) -> DataFrame:

@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ringtrace.llm.common import with_batches
 
 BUCKET_BITS, WIDTH, SIZES = 15, 16, (2, 3, 4)
 #: Labelled rows that a model is fitted to at most (those of the smallest hash).
@@ -112,7 +111,6 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     Only these rows' hashed n-gram counts come to the driver.  No usable row gives a model without
     labels, which predicts ``und`` throughout.
     """
-    with_batches(labelled.sparkSession)
     usable = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     chosen = usable.select("doc_id", F.xxhash64(F.lit("language"), "doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_rows).select("doc_id").distinct()
     # the sample's ids are bounded by sample_rows
@@ -163,7 +161,6 @@ def predicted(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     A null text, or one without a letter, is ``und`` with score 0 and rejected, and so is every
     text if the model has no labels.  Whole texts are read.
     """
-    with_batches(docs.sparkSession)
     names = [f"{prefix}{n}" for n in ("lang_pred", "score", "rejected")]
     at_text = docs.columns.index("text")
 

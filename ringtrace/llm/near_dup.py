@@ -7,17 +7,17 @@
    one of their first p = n - ceil(t*n) + 1 shingles, and at least m of their first p + m
    (one less than the bound that holds for the set whose prefix ends first, as the other's own m
    may be one more).  Of the prefixes of p + p/3 shingles, classes that do not share p/3
-   with others are left out, twice over; no link is lost.
-3. Star rounds: each round, each group of classes with a common prefix shingle has a leader (by a hash
-   that differs each round), and each class is compared with the leader that it shares the most
-   shingles with.  Links join components; shingles within one component are done with, and
-   classes that share too few of the others are done too.
-4. What is left falls into the bucket of each shingle's leader, and meets there in blocks of bounded size.
-   In a block the sets, their shingles ordered by frequency, form a prefix tree with compressed
-   edges; a probe goes down the tree and sets with a common beginning share one count of common
-   shingles; a subtree ends where even all remaining shingles could not reach the threshold.
-5. Links become components by min-label rounds with pointer jumping, each written to the
-   shared folder.
+   with others are left out; no link is lost.
+3. Tree joins.  Each prefix shingle that classes share has a leader, the smallest of them.
+   First each class goes to the leader that it shares the most shingles with, and the leader
+   with it; then, for what is not in one component by now, to the leaders of all its shingles.
+   Classes of one leader meet in blocks of bounded size (large groups are cut into chunks, small ones
+   share a block).  In a block the sets, their shingles ordered by frequency, form a prefix tree
+   with compressed edges; a probe goes down the tree and sets with a common beginning share one
+   count of common shingles; a subtree ends where even all remaining shingles could not reach
+   the threshold.  Every link is found by a tree; nothing is compared outside of it.
+4. Links become components by star rounds, each written to the shared folder.  Written tables
+   are deleted as soon as their last reader is written itself.
 """
 
 from __future__ import annotations
@@ -25,52 +25,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringtrace.llm.common import with_batches, written
+from ringtrace.llm.common import discard, written
+from ringtrace.llm.shingles import mixed, shingle_sets, shingles
 
 #: Frequent shingles that the global order knows at most: it only orders, and drops nothing.
 FREQUENT = 200_000
+#: Shingles that a task counts at once.
+COUNTED = 4_000_000
 #: Members of a block at most, on average.
-BLOCK = 1024
-#: Star rounds before the blocks: each costs one comparison a class that is still open.
-ROUNDS = 3
-
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _A
-    return x ^ (x >> np.uint64(29))
-
-
-class _WordHashes(dict):
-    """64-bit hashes of words, kept for a bounded number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
-            self[word] = h
-        return h
-
-
-def shingle_set(text: bytes, words: int, hashes: dict) -> np.ndarray:
-    """The distinct shingles of a text: A-Z in lower case, words between ASCII white space, ascending hashes."""
-    found = text.lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    n = max(len(h) - words + 1, 1)
-    size = len(h) - n + 1
-    out = np.full(n, size, np.uint64)
-    for k in range(size):
-        out = _mixed(out * _B + h[k : k + n])
-    return np.unique(out)
+BLOCK = 512
 
 
 def least_common(t: tuple[int, int], a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
@@ -78,110 +45,121 @@ def least_common(t: tuple[int, int], a: np.ndarray | int, b: np.ndarray | int) -
     return -(-(t[0] * (a + b)) // (t[0] + t[1]))
 
 
+def prefix_size(n: int, t: tuple[int, int]) -> tuple[int, int]:
+    """The shingles of a set's prefix, and how many of them it shares with any set that it links with."""
+    p = n + (-t[0] * n) // t[1] + 1 if n else 0
+    size = min(n, p + p // 3)
+    return size, max(1, size - p)
+
+
 def _frequent(docs: DataFrame, words: int) -> list[tuple[int, int]]:
-    """(hash, count) of shingles met in more than one text of a partition, the most frequent FREQUENT of them."""
+    """(hash, count) of shingles met twice or more by a task, the most frequent FREQUENT of them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _WordHashes(), [], 0
+        held, size = [], 0
 
-        def counted() -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(held), return_counts=True)
             keep = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
 
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                if text:
-                    held.append(shingle_set(text, words, hashes))
-                    size += len(held[-1])
-                if size > 4_000_000:
-                    yield from counted()
-                    held, size = [], 0
+            held.append(shingles(batch.column(0), words)[0])
+            size += len(held[-1])
+            if size > COUNTED:
+                yield counted()
+                held, size = [], 0
         if held:
-            yield from counted()
+            yield counted()
 
     counts = docs.select("text").mapInArrow(rows, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 8")
     return [(r.h, r.n) for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toLocalIterator()]
 
 
-def _order(frequent: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    table = np.array([x[0] for x in frequent], np.int64).view(np.uint64), np.array([x[1] for x in frequent], np.int64)
-    at = np.argsort(table[0])
-    return table[0][at], table[1][at]
+class _Order:
+    """The global order of shingles, from the counts of frequent ones."""
 
+    BITS = 22
 
-def _ordered(shingles: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    if not len(known) or not len(shingles):
-        return shingles
-    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-    weight = np.where(known[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, weight))]
+    def __init__(self, frequent: list[tuple[int, int]]):
+        known, counts = np.array([x[0] for x in frequent], np.int64).view(np.uint64), np.array([x[1] for x in frequent], np.int64)
+        at = np.argsort(known)
+        self.known, self.counts = known[at], counts[at]
 
+    def first(self, own: np.ndarray, size: int) -> np.ndarray:
+        """The first ``size`` of a set whose shingles ascend."""
+        if not len(self.known) or not size:
+            return own[:size]
+        if not hasattr(self, "maybe"):
+            self.maybe = np.zeros(1 << self.BITS, bool)
+            self.maybe[self.known >> np.uint64(64 - self.BITS)] = True
+        asked = np.flatnonzero(self.maybe[own >> np.uint64(64 - self.BITS)])
+        at = np.minimum(np.searchsorted(self.known, own[asked]), len(self.known) - 1)
+        there = self.known[at] == own[asked]
+        frequent, weights = asked[there], self.counts[at[there]]
+        rare = np.delete(own, frequent) if len(frequent) else own
+        if len(rare) >= size:
+            return rare[:size]
+        return np.concatenate([rare, own[frequent[np.lexsort((own[frequent], weights))]]])[:size]
 
-def shingled(docs: DataFrame, words: int, t: tuple[int, int]) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (a fingerprint of the set), need, prefix (uint64 bytes): written.
 
-    ``need``: the shingles of its prefix that a set shares with any that it links with.
-    """
-    spark = docs.sparkSession
-    with_batches(spark)
-    known = spark.sparkContext.broadcast(_order(_frequent(docs, words)))  # FREQUENT rows of 16 bytes at most
+def _longs(parts: list[np.ndarray]) -> pa.Array:
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                own = shingle_set(text or b"", words, hashes)
-                n = len(own)
-                p = n + (-t[0] * n) // t[1] + 1 if n else 0
-                size = min(n, p + p // 3)
-                out[0].append(n)
-                out[1].append(int(own.sum(dtype=np.uint64).view(np.int64)))
-                out[2].append(int(_mixed(own).sum(dtype=np.uint64).view(np.int64)))
-                out[3].append(max(1, size - p))
-                out[4].append(_ordered(own, *known.value)[:size].tobytes())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(v, k) for v, k in zip(out, kinds)]], ["doc_id", "n_shingles", "f1", "f2", "need", "prefix"])
-
-    return written(docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, need int, prefix binary"), "shingled")
-
-
-def _tokens(classes: DataFrame) -> DataFrame:
-    """A row for each shingle of each class's prefix."""
+
+def shingled(docs: DataFrame, words: int, t: tuple[int, int]) -> DataFrame:
+    """doc_id, n (shingles), f1, f2 (a fingerprint of the set), prefix: written."""
+    known = docs.sparkSession.sparkContext.broadcast(_Order(_frequent(docs, words)))  # FREQUENT rows of 16 bytes at most
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = known.value
         for batch in batches:
-            sizes = np.array([len(x) // 8 for x in batch.column(2).to_pylist()], np.int64)
-            at = np.repeat(np.arange(len(sizes)), sizes)
-            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], ["h", "rep", "need"])
+            sets = shingle_sets(batch.column(1), words)
+            kinds = (pa.int64(), pa.int64(), pa.int64())
+            numbers = [[len(x) for x in sets], [int(x.sum(dtype=np.uint64).view(np.int64)) for x in sets], [int(mixed(x).sum(dtype=np.uint64).view(np.int64)) for x in sets]]
+            prefixes = _longs([order.first(x, prefix_size(len(x), t)[0]) for x in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(v, k) for v, k in zip(numbers, kinds)], prefixes], ["doc_id", "n", "f1", "f2", "prefix"])
+
+    return written(docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>"), "shingled")
 
-    return classes.select("rep", "need", "prefix").mapInArrow(rows, "h bigint, rep bigint, need int")
 
+def _needed(n: Column, t: tuple[int, int]) -> Column:
+    """``prefix_size(n, t)[1]`` as a column."""
+    p = n - F.expr(f"({t[0]} * n + {t[1] - 1}) div {t[1]}") + 1
+    return F.greatest(F.lit(1), F.least(n, p + F.floor(p / F.lit(3))) - p)
 
-def _shared(tokens: DataFrame) -> DataFrame:
-    """Shingles that lie in two components or more, of classes that share as many as they need."""
-    several = tokens.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("h")
-    kept = written(tokens.join(several, "h", "left_semi"), "shared")
-    enough = kept.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("m")).filter("c >= m").select("rep")
-    return written(kept.join(enough, "rep", "left_semi"), "enough")
 
+def _leaders(tokens: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """h, rep, n, component, leader of the tokens (h, rep, n, component) that lie in two components
+    or more, of classes that share as many as they need: written.
 
-def _links_in_block(ids: np.ndarray, sets: list[np.ndarray], component: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Links between sets of different components: enough of them to join what is linked.
+    A leader is the smallest class of a shingle; two classes that link share ``need`` such
+    shingles, and so a leader.
+    """
+    shared = tokens.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("rep").alias("leader")).filter("a <> b").select("h", "leader")
+    kept = written(tokens.join(shared, "h"), "shared")
+    enough = kept.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= _needed(F.col("n"), t)).select("rep")
+    out = written(kept.join(enough, "rep", "left_semi"), "leaders")
+    discard(kept)
+    return out
+
+
+def _links_in_block(ids: np.ndarray, sets: list[np.ndarray], group: np.ndarray, component: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of one group and different components: enough of them to join what is linked.
 
-    Each set asks the tree for those that are in another component by then and have not asked
-    themselves (these have found it, if they link).
+    Each set asks the tree for those of its group that are in another component by then and have not
+    asked themselves (these have found it, if they link).
     """
+    if len(np.unique(component)) < 2:
+        return ids[:0], ids[:0]
     tree = _Tree(sets)
     label = np.unique(component, return_inverse=True)[1]
     asked = np.zeros(len(sets), bool)
     out: list[tuple[int, int]] = []
-    # small components first: what is left of a large one then has few to look for
-    sizes = np.bincount(label, minlength=len(sets) + 1)
-    for now in np.lexsort((np.arange(len(sets)), sizes[label])).tolist():
-        wanted = ~asked & (label != label[now])
+    for now in range(len(sets)):
+        wanted = ~asked & (group == group[now]) & (label != label[now])
         asked[now] = True
         if not wanted.any():
             continue
@@ -201,6 +179,7 @@ class _Tree:
     parent, its depth (shingles from the root) and the sizes of the least and largest set below.
     """
 
+    #: Shingles of an edge at most, at the root; twice as many at each level down, so that a set of n has some log n nodes.
     EDGE = 16
 
     def __init__(self, sets: list[np.ndarray]):
@@ -208,7 +187,7 @@ class _Tree:
         self.known, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
         rank = np.empty(len(counts), np.int64)
         rank[np.lexsort((self.known, -counts))] = np.arange(len(counts))
-        self.rank = rank
+        self.rank, self.mark = rank, np.zeros(len(counts) + 1, np.uint8)
         sizes = np.array([len(s) for s in sets], np.int64)
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         numbered = rank[inverse]
@@ -225,7 +204,7 @@ class _Tree:
             m = min(len(x), len(y))
             differ = np.flatnonzero(x[:m] != y[:m])
             common[k] = differ[0] if len(differ) else m
-        nodes = [(0, len(rows), 0)]
+        nodes, edge = [(0, len(rows), 0)], self.EDGE
         while nodes:
             level: dict[str, list] = {k: [] for k in ("parent", "depth", "least", "most", "first", "last")}
             edges: list[np.ndarray] = []
@@ -238,7 +217,7 @@ class _Tree:
                     while e < b and common[e] > depth:
                         e += 1
                     own = ordered[k]
-                    deep = min(len(own), int(common[k + 1 : e].min()) if e > k + 1 else len(own), depth + self.EDGE)
+                    deep = min(len(own), int(common[k + 1 : e].min()) if e > k + 1 else len(own), depth + edge)
                     level["parent"].append(parent)
                     level["depth"].append(deep)
                     below = [len(ordered[i]) for i in range(k, e)]
@@ -255,12 +234,13 @@ class _Tree:
             arrays["whole"] = (arrays["least"] == arrays["most"]) & (arrays["depth"] == arrays["most"])
             self.levels.append(arrays)
             nodes = [(a, b, d) if not w else (a, a, d) for (a, b, d), w in zip(after, arrays["whole"])]
+            edge *= 2
             if all(a == b for a, b, _ in nodes):
                 break
 
     def similar(self, own: np.ndarray, t: tuple[int, int], wanted: np.ndarray) -> np.ndarray:
         """Positions of the wanted sets that link with the set ``own``."""
-        mark = np.zeros(len(self.known) + 1, np.int64)
+        mark = self.mark
         at = np.searchsorted(self.known, own)
         at = np.minimum(at, max(len(self.known) - 1, 0))
         there = self.known[at] == own if len(self.known) else np.zeros(len(own), bool)
@@ -278,7 +258,7 @@ class _Tree:
             a, b = level["cuts"][on], level["cuts"][on + 1]
             size = b - a
             flat = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-            sums = np.concatenate([[0], np.cumsum(mark[level["edges"][flat]])])
+            sums = np.concatenate([[0], np.cumsum(mark[level["edges"][flat]], dtype=np.int64)])
             ends = np.cumsum(size)
             met = counts[parent[on]] + sums[ends] - sums[ends - size]
             # the most that can still be met: what the probe has beyond this edge, and the deepest set below
@@ -295,20 +275,24 @@ class _Tree:
             new_alive[on[going]] = True
             new_counts[on] = met
             counts, alive = new_counts, new_alive
+        mark[mine] = 0
         out = np.concatenate(found) if found else np.zeros(0, np.int64)
         return out[wanted[out]]
 
 
 def components(links: DataFrame, spark: SparkSession) -> DataFrame:
-    """node, component (the smallest node it is joined to) of undirected links (a, b) of bigint.
+    """node, component (the smallest node it is joined to) of undirected links (a, b) of bigint: written.
 
     Each round replaces the links by links of every node to the smallest node near it, first of
-    larger neighbours, then of smaller ones, until only stars are left; rounds grow with the
-    logarithm of the longest chain.  A hot node's links are combined before each shuffle.
+    larger neighbours, then of smaller ones, until every node has one target and no target has one
+    itself; rounds grow with the logarithm of the longest chain.  A hot node's links are combined
+    before each shuffle.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    state = None
     while True:
+        loose = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1)
+        if not edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() and not loose.count():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: larger neighbours go to the smallest near the node
@@ -316,82 +300,83 @@ def components(links: DataFrame, spark: SparkSession) -> DataFrame:
         # small star: smaller neighbours and the node itself go to the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.hash("a", "b").cast("bigint")), F.lit(0))).first())
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        before, edges = edges, written(small, "links")
+        discard(before)
+
+
+def _joined(members: DataFrame, sets: DataFrame, rows: int, t: tuple[int, int], block: int) -> DataFrame:
+    """Links (a, b) among the members (group, rep, component) of each group, by the trees of blocks."""
+    blocks = max(1, -(-rows // block))
+    placed = members.withColumn("block", F.pmod(F.xxhash64("group"), F.lit(blocks))).select("block", F.xxhash64("group").alias("group"), "rep", "component")
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        own = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        a, b = _links_in_block(table.column("rep").to_numpy(), own, table.column("group").to_numpy(), table.column("component").to_numpy(), t)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return placed.join(sets, "rep").groupBy("block").applyInArrow(links, "a bigint, b bigint")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """rep, shingles (uint64 bytes) of the wanted doc_ids: written.  Rows that repeat an id are merged first."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), words)], pa.binary())], ["rep", "shingles"])
 
-def _linked(left: np.ndarray, right: np.ndarray, t: tuple[int, int]) -> bool:
-    met = len(np.intersect1d(left, right, assume_unique=True))
-    return met * t[1] >= (len(left) + len(right) - met) * t[0]
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    repeated = written(texts.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("rep"), "repeated")
+    once, more = texts.join(repeated, "rep", "left_anti"), texts.join(repeated, "rep", "left_semi").groupBy("rep").agg(F.max("text").alias("text"))
+    out = written(once.unionByName(more).mapInArrow(rows, "rep bigint, shingles binary"), "sets")
+    discard(repeated)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5), block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of ``docs`` (doc_id, text), for Jaccard similarity of at least ``threshold``.
+    """doc_id, n_shingles, component_id of ``docs`` (doc_id, text; other columns are ignored), for Jaccard similarity of at least ``threshold``.
 
     A text of fewer words than ``words`` is one shingle, the whole; a null or empty text has none and
     links with nothing.  component_id is the smallest doc_id that links reach.  A null doc_id is
     kept, linked with nothing.  Rows that repeat a doc_id are one document and should repeat its text; all
-    are kept.  An empty table gives an empty one.
+    are kept.  Texts of any length are read whole.  An empty table gives an empty one.
     """
     spark, t = docs.sparkSession, threshold
     rows = shingled(docs, words, t)
-    keyed = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    keyed = rows.filter("n > 0 AND doc_id IS NOT NULL")
     # any member's prefix will do: equal sets have equal prefixes
-    classes = written(keyed.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("need").alias("need"), F.min("prefix").alias("prefix")).withColumnRenamed("n_shingles", "n"), "classes")
-    # two classes link only if they share ``need`` shingles, all of which lie in both their components
-    tokens = _shared(_shared(_tokens(classes).withColumn("component", F.col("rep"))))
-    wanted = written(tokens.select("rep").distinct(), "members")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for batch in batches:
-            sets = [shingle_set(x or b"", words, hashes).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["rep", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    sets = written(texts.mapInArrow(sets_of, "rep bigint, shingles binary"), "sets")
-
-    # 3: star rounds
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            fit = [_linked(np.frombuffer(i, np.uint64), np.frombuffer(j, np.uint64), t) for i, j in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fit)), batch.column(1).filter(pa.array(fit))], ["a", "b"])
-
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    for number in range(ROUNDS):
-        leaders = tokens.groupBy("h").agg(F.min_by(F.struct("rep", "component"), F.struct(F.xxhash64("rep", F.lit(number)), "rep")).alias("l"))
-        met = tokens.join(leaders, "h").filter("component <> l.component").groupBy("rep", F.col("l.rep").alias("leader")).agg(F.count(F.lit(1)).alias("c"))
-        asked = met.groupBy("rep").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-        pairs = asked.join(sets, "rep").join(sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("lead_set")), "leader").select("leader", "rep", "shingles", "lead_set")
-        links = written(links.unionByName(pairs.mapInArrow(compared, "a bigint, b bigint")), "links")
-        now = written(components(links, spark), "components")
-        named = tokens.drop("component").join(now.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        tokens = _shared(_shared(named.withColumn("component", F.coalesce("component", "rep"))))
-
-    # 4: buckets, in blocks
-    leaders = tokens.groupBy("h").agg(F.min("rep").alias("leader"))
-    held = written(tokens.join(leaders, "h").select("leader", "rep", "component").distinct(), "buckets")
-    sizes = held.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block))).cast("int")
-    numbered = held.join(sizes, "leader").withColumn("c", chunks).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("c").cast("bigint")).cast("int"))
-    # every chunk meets every other, and itself, in the block (i, j) with i <= j
-    spread = numbered.select("leader", "rep", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j")))).alias("b"))
-    blocks = spread.select("leader", "b.i", "b.j", "rep", "component").join(sets, "rep")
-
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep")
-        found = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        a, b = _links_in_block(pdf["rep"].to_numpy(), found, pdf["component"].to_numpy(), t)
-        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
-
-    links = links.unionByName(blocks.groupBy("leader", "i", "j").applyInPandas(joined, "a bigint, b bigint"))
-    joined_to = written(components(links, spark), "components")
-    named = written(classes.join(joined_to, classes["rep"] == joined_to["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "named")
-    out = rows.join(named, (rows["n_shingles"] == named["n"]) & (rows["f1"] == named["f1"]) & (rows["f2"] == named["f2"]), "left")
+    classes = written(keyed.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("prefix").alias("prefix")), "classes")
+    tokens = _leaders(classes.select("rep", "n", F.col("rep").alias("component"), F.explode("prefix").alias("h")), t)
+    sets = _sets(docs, written(tokens.select("rep").distinct(), "members"), words)
+
+    # each class with the leader that it shares the most shingles with, in chunks; the leader is in every chunk
+    met = tokens.filter("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("c"))
+    asked = written(met.groupBy("rep").agg(F.max_by("leader", F.struct("c", F.negative("leader"))).alias("leader")), "asked")
+    sizes = asked.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    chunks = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    chunked = asked.join(sizes, "leader").select("leader", "rep", F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"))
+    first = sizes.select("leader", F.col("leader").alias("rep"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    members = chunked.unionByName(first).select(F.struct("leader", "chunk").alias("group"), "rep", F.col("rep").alias("component"))
+    found = written(_joined(members, sets, 2 * asked.count(), t, block), "links")
+    joined = components(found, spark)
+
+    # what is not in one component by now meets under the leaders of all its shingles
+    named = tokens.select("h", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    left = _leaders(named, t)
+    discard(tokens, asked)
+    held = written(left.select("leader", "rep", "component").distinct(), "held")
+    discard(left)
+    sizes = held.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    # every chunk of a leader meets every other, and itself, in the group (i, j) with i <= j
+    numbered = held.join(sizes, "leader").withColumn("c", chunks).withColumn("k", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j")))
+    members = written(numbered.select("leader", "rep", "component", F.explode(others).alias("b")).select(F.struct("leader", "b.i", "b.j").alias("group"), "rep", "component"), "members")
+    found = written(found.unionByName(_joined(members, sets, members.count(), t, block)), "links")
+    discard(held, members, sets)
+    joined = components(found, spark)
+
+    named = written(classes.join(joined, classes["rep"] == joined["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "named")
+    discard(classes, found, joined)
+    out = rows.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")).cast("bigint")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringtrace.llm import wordpiece
-from ringtrace.llm.common import bases, with_batches, written
+from ringtrace.llm.common import bases, written
 
 WINDOW = 4096
 #: Partition totals are broadcast up to so many rows (16 bytes each), and joined by shuffle beyond.
@@ -50,7 +50,6 @@ def token_stream(docs: DataFrame, tokenizer: str, end_id: int = wordpiece.END_ID
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(ends - sizes), batch.column(0).cast(pa.int64()), pa.array(sizes), narrow], ["part", "local_start", "doc_id", "n_tokens", "ids"])
             at = int(ends[-1]) if len(ends) else at
 
-    with_batches(docs.sparkSession)
     return written(docs.select("doc_id", "text").mapInArrow(encoded, IDS), "packing-ids")
 
 

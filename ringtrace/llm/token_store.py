@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ringtrace.llm import coder, wordpiece
-from ringtrace.llm.common import bases, with_batches
+from ringtrace.llm.common import bases
 
 BLOCKS = "part int, block int, doc_ids array<bigint>, counts array<bigint>, tokens bigint, payload binary"
 
@@ -55,7 +55,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, block_ids: int = co
         if held:
             yield closed()
 
-    with_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(path)
 
@@ -77,7 +76,6 @@ def read_tokens(spark: SparkSession, path: str, wanted: str = "doc_id bigint, id
                     ["part", "block", "doc_id", "local_start", "ids"],
                 )
 
-    with_batches(spark, 4)
     return spark.read.schema(BLOCKS).parquet(path).mapInArrow(documents, "part int, block int, doc_id bigint, local_start bigint, ids binary")
 
 
