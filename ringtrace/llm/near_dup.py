@@ -8,7 +8,7 @@
    (one less than the bound that holds for the set whose prefix ends first, as the other's own m
    may be one more).  Of the prefixes of p + p/3 shingles, classes that do not share p/3
    with others are left out; no link is lost.
-3. Tree joins.  Each prefix shingle that classes share has a leader, the smallest of them.
+3. Tree joins.  Each prefix shingle that classes of like size share has a leader, the smallest of them.
    First each class goes to the leader that it shares the most shingles with, and the leader
    with it; then, for what is not in one component by now, to the leaders of all its shingles.
    Classes of one leader meet in blocks of bounded size (large groups are cut into chunks, small ones
@@ -22,6 +22,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,17 +132,24 @@ def _needed(n: Column, t: tuple[int, int]) -> Column:
     return F.greatest(F.lit(1), F.least(n, p + F.floor(p / F.lit(3))) - p)
 
 
+def _bands(n: Column, t: tuple[int, int]) -> Column:
+    """The two size bands of a set: sets that link differ by a factor of 1/t at most, and have one in common."""
+    width = math.log(t[1] / t[0]) * (1 + 1e-6) if t[0] < t[1] else 1e-6
+    band = F.floor(F.log(n) / F.lit(width)).cast("int")
+    return F.array(band, band + 1)
+
+
 def _leaders(tokens: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """h, rep, n, component, leader of the tokens (h, rep, n, component) that lie in two components
-    or more, of classes that share as many as they need: written.
+    """The tokens (h, band, rep, n, component) that lie in two components or more, of classes that
+    share as many of them in a band as they need, with their leader: written.
 
-    A leader is the smallest class of a shingle; two classes that link share ``need`` such
+    A leader is the smallest class of a shingle and band; two classes that link share ``need`` such
     shingles, and so a leader.
     """
-    shared = tokens.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("rep").alias("leader")).filter("a <> b").select("h", "leader")
-    kept = written(tokens.join(shared, "h"), "shared")
-    enough = kept.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= _needed(F.col("n"), t)).select("rep")
-    out = written(kept.join(enough, "rep", "left_semi"), "leaders")
+    shared = tokens.groupBy("h", "band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("rep").alias("leader")).filter("a <> b").select("h", "band", "leader")
+    kept = written(tokens.join(shared, ["h", "band"]), "shared")
+    enough = kept.groupBy("rep", "band").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= _needed(F.col("n"), t)).select("rep", "band")
+    out = written(kept.join(enough, ["rep", "band"], "left_semi"), "leaders")
     discard(kept)
     return out
 
@@ -346,7 +354,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     keyed = rows.filter("n > 0 AND doc_id IS NOT NULL")
     # any member's prefix will do: equal sets have equal prefixes
     classes = written(keyed.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("prefix").alias("prefix")), "classes")
-    tokens = _leaders(classes.select("rep", "n", F.col("rep").alias("component"), F.explode("prefix").alias("h")), t)
+    whole = _leaders(classes.select("rep", "n", F.col("rep").alias("component"), F.explode("prefix").alias("h"), F.lit(0).alias("band")), t)
+    tokens = _leaders(whole.select("h", "rep", "n", "component", F.explode(_bands(F.col("n"), t)).alias("band")), t)
+    discard(whole)
     sets = _sets(docs, written(tokens.select("rep").distinct(), "members"), words)
 
     # each class with the leader that it shares the most shingles with, in chunks; the leader is in every chunk
@@ -361,7 +371,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     joined = components(found, spark)
 
     # what is not in one component by now meets under the leaders of all its shingles
-    named = tokens.select("h", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = tokens.select("h", "band", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     left = _leaders(named, t)
     discard(tokens, asked)
     held = written(left.select("leader", "rep", "component").distinct(), "held")
