@@ -34,7 +34,7 @@ from ringtrace.llm.common import discard, written
 from ringtrace.llm.shingles import mixed, shingle_sets, shingles
 
 #: Frequent shingles that the global order knows at most: it only orders, and drops nothing.
-FREQUENT = 200_000
+FREQUENT = 1_000_000
 #: Shingles that a task counts at once.
 COUNTED = 4_000_000
 #: Members of a block at most, on average.
@@ -53,8 +53,8 @@ def prefix_size(n: int, t: tuple[int, int]) -> tuple[int, int]:
     return size, max(1, size - p)
 
 
-def _frequent(docs: DataFrame, words: int) -> list[tuple[int, int]]:
-    """(hash, count) of shingles met twice or more by a task, the most frequent FREQUENT of them."""
+def _frequent(docs: DataFrame, words: int) -> pa.Table:
+    """h, n (hash and count) of shingles met twice or more by a task, the most frequent FREQUENT of them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -74,16 +74,16 @@ def _frequent(docs: DataFrame, words: int) -> list[tuple[int, int]]:
             yield counted()
 
     counts = docs.select("text").mapInArrow(rows, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 8")
-    return [(r.h, r.n) for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toLocalIterator()]
+    return counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
 
 
 class _Order:
     """The global order of shingles, from the counts of frequent ones."""
 
-    BITS = 22
+    BITS = 24
 
-    def __init__(self, frequent: list[tuple[int, int]]):
-        known, counts = np.array([x[0] for x in frequent], np.int64).view(np.uint64), np.array([x[1] for x in frequent], np.int64)
+    def __init__(self, frequent: pa.Table):
+        known, counts = frequent.column("h").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
         at = np.argsort(known)
         self.known, self.counts = known[at], counts[at]
 
@@ -139,19 +139,24 @@ def _bands(n: Column, t: tuple[int, int]) -> Column:
     return F.array(band, band + 1)
 
 
+def _shared(classes: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """rep, n, prefix of the classes that share as many prefix shingles as they need, of ``prefix`` only those shared: written."""
+    tokens = classes.select("rep", "n", F.explode("prefix").alias("h"))
+    shared = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    # a row holds no more than the class's own prefix
+    return written(tokens.join(shared, "h", "left_semi").groupBy("rep", "n").agg(F.collect_list("h").alias("prefix")).filter(F.size("prefix") >= _needed(F.col("n"), t)), "shared")
+
+
 def _leaders(tokens: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The tokens (h, band, rep, n, component) that lie in two components or more, of classes that
-    share as many of them in a band as they need, with their leader: written.
+    """rep, n, band, component, prefix (structs of h, leader) of the tokens (h, band, rep, n, component) that lie
+    in two components or more, of classes that share as many of them in a band as they need: written.
 
     A leader is the smallest class of a shingle and band; two classes that link share ``need`` such
     shingles, and so a leader.
     """
     shared = tokens.groupBy("h", "band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("rep").alias("leader")).filter("a <> b").select("h", "band", "leader")
-    kept = written(tokens.join(shared, ["h", "band"]), "shared")
-    enough = kept.groupBy("rep", "band").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= _needed(F.col("n"), t)).select("rep", "band")
-    out = written(kept.join(enough, ["rep", "band"], "left_semi"), "leaders")
-    discard(kept)
-    return out
+    kept = tokens.join(shared, ["h", "band"]).groupBy("rep", "n", "band", "component").agg(F.collect_list(F.struct("h", "leader")).alias("prefix"))
+    return written(kept.filter(F.size("prefix") >= _needed(F.col("n"), t)), "leaders")
 
 
 def _links_in_block(ids: np.ndarray, sets: list[np.ndarray], group: np.ndarray, component: np.ndarray, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -354,13 +359,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     keyed = rows.filter("n > 0 AND doc_id IS NOT NULL")
     # any member's prefix will do: equal sets have equal prefixes
     classes = written(keyed.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("prefix").alias("prefix")), "classes")
-    whole = _leaders(classes.select("rep", "n", F.col("rep").alias("component"), F.explode("prefix").alias("h"), F.lit(0).alias("band")), t)
-    tokens = _leaders(whole.select("h", "rep", "n", "component", F.explode(_bands(F.col("n"), t)).alias("band")), t)
+    whole = _shared(classes, t)
+    banded = whole.select("rep", "n", F.col("rep").alias("component"), F.explode(_bands(F.col("n"), t)).alias("band"), "prefix").select("rep", "n", "component", "band", F.explode("prefix").alias("h"))
+    tokens = _leaders(banded, t)
     discard(whole)
+    led = tokens.select("rep", F.explode("prefix.leader").alias("leader"))
     sets = _sets(docs, written(tokens.select("rep").distinct(), "members"), words)
 
     # each class with the leader that it shares the most shingles with, in chunks; the leader is in every chunk
-    met = tokens.filter("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("c"))
+    met = led.filter("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("c"))
     asked = written(met.groupBy("rep").agg(F.max_by("leader", F.struct("c", F.negative("leader"))).alias("leader")), "asked")
     sizes = asked.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
     chunks = F.ceil(F.col("size") / F.lit(block)).cast("int")
@@ -371,10 +378,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
     joined = components(found, spark)
 
     # what is not in one component by now meets under the leaders of all its shingles
-    named = tokens.select("h", "band", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    left = _leaders(named, t)
+    named = tokens.drop("component").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    left = _leaders(named.select("rep", "n", "band", F.coalesce("component", "rep").alias("component"), F.explode("prefix.h").alias("h")), t)
     discard(tokens, asked)
-    held = written(left.select("leader", "rep", "component").distinct(), "held")
+    held = written(left.select("rep", "component", F.explode(F.array_distinct("prefix.leader")).alias("leader")).distinct(), "held")
     discard(left)
     sizes = held.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
     # every chunk of a leader meets every other, and itself, in the group (i, j) with i <= j
