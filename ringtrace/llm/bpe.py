@@ -1,11 +1,12 @@
-"""Byte-level BPE: Spark folds the ranked merges over the bytes of distinct words.
-
-A chunk of documents (one row) holds the chunk's distinct words once, as bytes, and each
-document as indexes into them.  ``fold`` is a higher-order ``aggregate`` over the word's byte
-array: each step merges the leftmost pair of the lowest rank, looked up in a literal rank map
-(an array of small maps by hash, as Spark's maps are searched from end to end).  Decoding puts
-together the binary pieces of the ids.  No words are shuffled, joined or broadcast: a chunk
-is bounded by ``chunk_bytes`` and one document.
+"""Byte-level BPE: Spark folds the ranked merges over the byte arrays of distinct words.
+
+A task gathers documents into chunks of bounded size.  A chunk gives rows with its distinct
+words, as arrays of bytes, and then a row with its documents as indexes into them.  ``fold`` is a
+higher-order ``aggregate`` over a word's bytes: each step merges the leftmost pair of the lowest
+rank, looked up in a literal rank map (an array of small maps by hash, as Spark's maps are
+searched from end to end).  Decoding puts together the binary pieces of the ids.  Rows keep their
+order within a task, so the ids of a chunk's words meet its documents again without any shuffle,
+join or broadcast.
 """
 
 from __future__ import annotations
@@ -19,20 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringtrace.llm.quality import let
 
-CHUNK_BYTES = 8_000_000
-#: Longer words are merged in Python with a heap, as a fold copies the word at each of its steps; words that
-#: are tokens as a whole are looked up.
-FOLD_BYTES = 128
-#: The rank of what is no token; ranks times PLACES plus a place fit 31 bits.
-NONE, PLACES = 8_000_000, 256
-BUCKETS = 1 << 18
+#: Characters of a chunk's documents (the last one may reach beyond), and words of a row.
+CHUNK_CHARS, ROW_WORDS = 24_000_000, 16_384
+#: Longer words are merged in Python with a heap: a fold takes time by the square of the length.
+FOLD_BYTES = 1024
+#: The rank of what is no token; ids, places and ranks are packed into one number.
+NONE, PLACE, RANK = 1 << 22, 1 << 20, 1 << 40
+#: Buckets of the rank map (a prime) and the factor that spreads its keys.
+BUCKETS, SPREAD = 131_071, 40_503
 
-CHUNKS = "doc_ids array<bigint>, counts array<int>, places binary, words array<binary>, long_ids array<array<int>>"
+CHUNKS = "words array<array<smallint>>, doc_ids array<bigint>, counts array<int>, places binary, long_words array<binary>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,75 +42,66 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def letter(token: bytes, rank: int) -> str:
-    """The one character that stands for a token while words are folded: a byte's own, or one beyond Latin-1."""
-    return chr(token[0]) if len(token) == 1 else chr(256 + rank)
-
-
-def hash_of(keys: list[str], spark: SparkSession) -> list[int]:
-    """Spark's own xxhash64 of the (bounded) vocabulary's keys."""
-    rows = spark.createDataFrame(pa.table({"k": keys})).select(F.pmod(F.xxhash64("k"), F.lit(BUCKETS)).cast("int").alias("b"))
-    return [r[0] for r in rows.toLocalIterator()]
-
-
 class Codec:
     """Literal tables of one vocabulary, and the columns that use them."""
 
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int]):
         size = max(ranks.values()) + 1
-        if size > 0xD800 - 256:
-            raise ValueError("more tokens than characters below the surrogates")
+        if size > 1 << 16:
+            raise ValueError("more tokens than two bytes can number")
         # every two tokens that make a third, whichever way it is cut
-        pairs = {letter(t[:k], ranks[t[:k]]) + letter(t[k:], ranks[t[k:]]): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        table: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for (pair, rank), bucket in zip(pairs.items(), hash_of(list(pairs), spark)):
-            table[bucket][pair] = rank
-        pieces, letters, own = [""] * size, [""] * size, [0] * 256
+        pairs = {(ranks[t[:k]] << 16) + ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        table: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
+        for pair, rank in pairs.items():
+            table[pair * SPREAD % BUCKETS][pair] = rank
+        pieces, own = [""] * size, [0] * 256
         for token, rank in ranks.items():
-            pieces[rank], letters[rank] = token.hex().upper(), letter(token, rank)
+            pieces[rank] = token.hex().upper()
             if len(token) == 1:
                 own[token[0]] = rank
         # constant expressions: Spark folds each into one literal
-        plain = lambda x: F.lit(json.dumps(x, separators=(",", ":"), ensure_ascii=False))
-        self.tables = F.struct(F.from_json(plain(table), "array<map<string,int>>").alias("pairs"), F.from_json(plain(letters), "array<string>").alias("letters"), F.from_json(plain(own), "array<int>").alias("bytes"))
+        self.pairs = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>").cast("array<map<bigint,int>>")
+        self.bytes = F.split(F.lit(",".join(map(str, own))), ",").cast("array<bigint>")
         self.pieces = F.split(F.lit(",".join(pieces)), ",")
 
     def encoded(self, words: Column) -> Column:
-        """The ids of each word (binary, of fewer bytes than PLACES) of an array; the tables are bound once a row."""
-        return let(self.tables, lambda tables: F.transform(words, lambda word: fold(word, tables)))
+        """The ids of each word (an array of bytes) of an array; the tables are bound once a row."""
+        return let(self.pairs, lambda pairs: let(self.bytes, lambda own: F.transform(words, lambda word: fold(word, pairs, own))))
 
-    def decoded(self, *ids: Column) -> Column:
-        """A struct (d0, d1, ...) of arrays: the binaries that each id list of each array stands for."""
+    def decoded(self, ids: Column) -> Column:
+        """The binary that each id list of an array stands for."""
+        return let(self.pieces, lambda p: F.transform(ids, lambda one: F.unhex(F.array_join(F.transform(one, lambda i: F.get(p, i)), ""))))
 
-        def binary(pieces: Column, one: Column) -> Column:
-            return F.unhex(F.array_join(F.transform(one, lambda i: F.get(pieces, i)), ""))
 
-        return let(self.pieces, lambda p: F.struct(*[F.transform(x, lambda one: binary(p, one)).alias(f"d{k}") for k, x in enumerate(ids)]))
+def fold(word: Column, pairs: Column, own: Column) -> Column:
+    """The ids of a word: ``aggregate`` merges its bytes by the ranks in ``pairs``.
 
+    An element of the fold's state is a token: its id, its place in the word, and the rank of it and
+    its right neighbour, packed in this order of weight so that the least element is the next merge.
+    """
 
-def fold(word: Column, tables: Column) -> Column:
-    """The ids of a word: ``aggregate`` merges its bytes, a character a token, by the ranks in ``tables``."""
+    def rank(a: Column, b: Column) -> Column:
+        key = a * 65536 + b
+        return F.coalesce(F.try_element_at(F.get(pairs, F.pmod(key * SPREAD, F.lit(BUCKETS)).cast("int")), key), F.lit(NONE)).cast("bigint")
 
-    def rank(pair: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(tables["pairs"], F.pmod(F.xxhash64(pair), F.lit(BUCKETS)).cast("int")), pair), F.lit(NONE))
+    def id_of(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(PLACE - 1))
 
-    def step(s: Column, _: Column) -> Column:
-        # the lowest rank, and of equal ones the leftmost place
-        low = F.array_min(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: rank(F.substr(s, i, F.lit(2))) * PLACES + i))
+    def step(state: Column, _: Column) -> Column:
+        def merged(least: Column) -> Column:
+            new = F.shiftright(least, 40)
 
-        def merged(x: Column) -> Column:
-            at = F.pmod(x, F.lit(PLACES))
-            return F.concat(F.substr(s, F.lit(1), at - 1), F.get(tables["letters"], F.shiftright(x, 8)), F.substr(s, at + 2, F.length(s)))
+            def at_place(at: Column) -> Column:
+                before, right, after = F.get(state, at - 2), F.get(state, at), F.get(state, at + 1)
+                both = F.struct((rank(new, id_of(after)) * RANK + least.bitwiseAND(F.lit(RANK - PLACE)) + new).alias("here"), (rank(id_of(before), new) * RANK + before.bitwiseAND(F.lit(RANK - 1))).alias("before"))
+                return let(both, lambda n: F.transform(F.array_remove(state, right), lambda x, i: F.when(i == at - 1, n["here"]).when(i == at - 2, n["before"]).otherwise(x)))
 
-        return F.when(F.length(s) < 2, s).otherwise(let(low, lambda x: F.when(x >= NONE * PLACES, s).otherwise(merged(x))))
+            return let(F.array_position(state, least).cast("int"), at_place)
 
-    def ids(letters: Column) -> Column:
-        of = lambda ch: let(F.ascii(ch), lambda c: F.when(c < 256, F.get(tables["bytes"], c)).otherwise(c - 256))
-        return F.transform(F.filter(F.split(letters, ""), lambda ch: ch != ""), of)
+        return let(F.array_min(state), lambda x: F.when(x >= NONE * RANK, state).otherwise(merged(x)))
 
-    whole = F.decode(word, "ISO-8859-1")
-    merges = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1))), whole, step, ids)
-    return F.when(F.octet_length(word) == 0, F.array().cast("array<int>")).otherwise(merges)
+    start = F.transform(word, lambda b, i: rank(F.get(own, b), F.get(own, F.get(word, i + 1))) * RANK + i.cast("bigint") * PLACE + F.get(own, b))
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), start, step, lambda state: F.transform(state, lambda x: id_of(x).cast("int")))
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -140,15 +133,20 @@ _L = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff"
 SIMPLE_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^ \\t-\\r0-9{_L}]+|[ \\t-\\r]+(?![^ \\t-\\r])|[ \\t-\\r]+")
 
 
-def chunks(docs: DataFrame, pattern: str, ranks: dict[bytes, int], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def chunks(docs: DataFrame, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """Rows of words (nothing else set), then a row of the documents that hold them, chunk by chunk.
+
+    ``places`` are int32 indexes into the chunk's words; words too long for a fold have negative ones.
+    """
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         class Places(dict):
             def __missing__(self, word: str) -> int:
                 data = word.encode()
-                if len(data) > FOLD_BYTES or data in ranks:
-                    long.append(heap_merge(data, ranks))
+                if len(data) > FOLD_BYTES:
+                    long.append(data)
                     self[word] = -len(long)
                 else:
                     words.append(data)
@@ -158,11 +156,17 @@ def chunks(docs: DataFrame, pattern: str, ranks: dict[bytes, int], chunk_bytes:
         # white space as Unicode defines it; the regex module's own \s takes four control characters too
         exact = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         ids, counts, held, words, long, places, size = [], [], [], [], [], Places(), 0
-
-        def closed() -> pa.RecordBatch:
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32()))]
-            row = [ids, counts, b"".join(held), words, long]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["doc_ids", "counts", "places", "words", "long_ids"])
+        kinds = [pa.list_(pa.list_(pa.int16())), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())]
+        names = ["words", "doc_ids", "counts", "places", "long_words"]
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(words), ROW_WORDS):
+                some = words[k : k + ROW_WORDS]
+                cuts = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int32)
+                inner = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(some), np.uint8).astype(np.int16)))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), inner), *[pa.nulls(1, x) for x in kinds[1:]]], names)
+            row = [[], ids, counts, b"".join(held), long]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
             texts = batch.column(1)
@@ -173,38 +177,43 @@ def chunks(docs: DataFrame, pattern: str, ranks: dict[bytes, int], chunk_bytes:
                 ids.append(doc)
                 counts.append(len(found))
                 size += len(text)
-                if size >= chunk_bytes:
-                    yield closed()
+                if size >= chunk_chars:
+                    yield from closed()
                     ids, counts, held, words, long, places, size = [], [], [], [], [], Places(), 0
         if ids:
-            yield closed()
+            yield from closed()
 
     return docs.select("doc_id", "text").mapInArrow(rows, CHUNKS)
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_bytes: int = CHUNK_BYTES, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids (uint32 bytes; null unless ``with_ids``) of ``docs`` (doc_id, text).
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars: int = CHUNK_CHARS, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids (uint32 bytes; null unless ``with_ids``) of ``docs`` (doc_id, text; other columns are ignored).
 
-    Null and empty texts have no ids.  Null and repeated doc_ids are kept as they are.
+    Null and empty texts have no ids.  Null and repeated doc_ids are kept as they are.  Texts of any
+    length are read whole; a word of over FOLD_BYTES bytes is merged outside the fold.  An empty table
+    gives an empty one.
     """
-    spark = docs.sparkSession
-    codec = Codec(spark, ranks)
-    folded = chunks(docs, pattern, ranks, chunk_bytes).withColumn("word_ids", codec.encoded(F.col("words"))).drop("words")
-    pieces = folded.withColumn("pieces", codec.decoded(F.col("word_ids"), F.col("long_ids")))
-    decoded = pieces.select("doc_ids", "counts", "places", "word_ids", "long_ids", F.col("pieces.d0").alias("word_bytes"), F.col("pieces.d1").alias("long_bytes"))
-
-    def split(lists: pa.ListArray) -> list[bytes]:
-        values, cuts = np.ascontiguousarray(lists.values.to_numpy(), "<u4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
-        return [values[a:b] for a, b in zip(cuts, cuts[1:])]
+    codec = Codec(ranks)
+    folded = chunks(docs, pattern, chunk_chars).withColumn("word_ids", codec.encoded(F.col("words"))).drop("words")
+    decoded = folded.withColumn("word_bytes", codec.decoded(F.col("word_ids")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, data = [], []
         for batch in batches:
             for k in range(batch.num_rows):
-                of = {n: batch.column(n)[k].values if n not in ("places",) else batch.column(n)[k] for n in batch.schema.names}
+                of = {n: batch.column(n)[k] for n in batch.schema.names}
+                if not of["doc_ids"].is_valid:
+                    lists = of["word_ids"].values
+                    values, cuts = np.ascontiguousarray(lists.flatten().to_numpy(), "<u4").tobytes(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy()) * 4]).tolist()
+                    ids.extend(values[a:b] for a, b in zip(cuts, cuts[1:]))
+                    data.extend(of["word_bytes"].values.to_pylist())
+                    continue
                 # long words have negative places: the last ones of each list
-                ids = split(of["word_ids"]) + split(of["long_ids"])[::-1]
-                data = of["word_bytes"].to_pylist() + of["long_bytes"].to_pylist()[::-1]
-                places, ends = np.frombuffer(of["places"].as_py(), np.int32), np.cumsum(of["counts"].to_numpy())
+                for word in of["long_words"].as_py()[::-1]:
+                    merged = heap_merge(word, ranks)
+                    ids.append(np.array(merged, "<u4").tobytes())
+                    data.append(b"".join(pieces[i] for i in merged))
+                places, ends = np.frombuffer(of["places"].as_py(), np.int32), np.cumsum(of["counts"].values.to_numpy())
                 out: list[list] = [[], [], [], []]
                 for a, b in zip([0, *ends.tolist()], ends.tolist()):
                     own = places[a:b].tolist()
@@ -213,6 +222,8 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_bytes:
                     out[1].append(hashlib.sha256(whole).hexdigest())
                     out[2].append(hashlib.sha256(b"".join(map(data.__getitem__, own))).hexdigest())
                     out[3].append(whole if with_ids else None)
-                yield pa.RecordBatch.from_arrays([of["doc_ids"], *[pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.binary()))]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                ids, data = [], []
+                yield pa.RecordBatch.from_arrays([of["doc_ids"].values, *[pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.binary()))]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
+    pieces = {r: t for t, r in ranks.items()}
     return decoded.mapInArrow(rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids binary")

@@ -115,7 +115,7 @@ def test_byte_bpe_equals_the_library(spark, odd, none):
 
     ranks = bpe.read_ranks(wordpiece.tokenizer_path("byte_bpe_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    rows = bpe.digests(odd, ranks, public_tokenizers.PATTERN, chunk_bytes=500, with_ids=True).collect()
+    rows = bpe.digests(odd, ranks, public_tokenizers.PATTERN, chunk_chars=500, with_ids=True).collect()
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in odd.collect())
     for r in rows:
