@@ -33,7 +33,9 @@ LEAST_STEPS = 12_000
 REJECTED_SHARE, REJECTED_SCORE = 0.002, 0.5
 UNKNOWN = "und"
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: What counts as a word character but is no letter: numbers other than digits.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
 KEPT_WORDS = 400_000
 
 
@@ -113,8 +115,9 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """
     usable = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     chosen = usable.select("doc_id", F.xxhash64(F.lit("language"), "doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_rows).select("doc_id").distinct()
-    # the sample's ids are bounded by sample_rows
-    sample = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")
+    # the sample's ids are bounded by sample_rows; an id gives one row, however many rows repeat it
+    found = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")
+    sample = found.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.text", "row.lang")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +162,9 @@ def predicted(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """``docs`` (with a text column) with lang_pred, score and rejected (names after ``prefix``).
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected, and so is every
-    text if the model has no labels.  Whole texts are read.
+    text if the model has no labels.  Whole texts of any length are read.  Equal texts get equal results;
+    of labels with equal scores the first in the alphabet is taken.  An empty table gives an empty one.
+    ``docs`` must not have the new names; ``prefix`` keeps them apart.
     """
     names = [f"{prefix}{n}" for n in ("lang_pred", "score", "rejected")]
     at_text = docs.columns.index("text")

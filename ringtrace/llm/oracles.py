@@ -27,8 +27,11 @@ WITH docs AS (
 ), prior AS (
   SELECT avg(f / n) AS m, var_samp(f / n) AS v FROM hosts
 ), verdicts AS (
-  SELECT source, (f + m * s) / (n + s) > 0.5 AS rejected
-  FROM (SELECT source, n, f, m, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 10.0 END AS s FROM hosts, prior)
+  SELECT source, rate - m > 0.8 * sqrt(rate * (1 - rate) / (n + s + 1)) AS rejected
+  FROM (
+    SELECT *, (f + m * s) / (n + s) AS rate
+    FROM (SELECT source, n, f, m, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 10.0 END AS s FROM hosts, prior)
+  )
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (soft_failed AND rejected) AS kept
 FROM failing f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source
@@ -97,21 +100,9 @@ WITH v AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r <= 5
 """
 
-TOKEN_COUNTS = r"""
-WITH counts AS (
-  SELECT source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words,
-         len(regexp_extract_all(t, '[A-Za-z]+|[0-9]|[^\x20\x09-\x0DA-Za-z0-9]+')) - len(regexp_extract_all(t, '[0-9]')) AS pieces
-  FROM (SELECT source, lang, coalesce(text, '') AS t FROM documents)
-)
-SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS documents, CAST(sum(n) AS BIGINT) AS tokens
-FROM (SELECT source, lang, 'words' AS tokenizer, words AS n FROM counts WHERE words >= 5 UNION ALL SELECT source, lang, 'pieces', pieces FROM counts WHERE words >= 5)
-GROUP BY ALL
-"""
-
 ORACLES = {
     "op1_quality_rules": QUALITY,
     "op3_near_duplicates": NEAR_DUPLICATES,
     "op4_url_filters": URL_FILTERS,
     "op7_exact_top_k": TOP_K,
-    "op10_token_counts": TOKEN_COUNTS,
 }

@@ -2,8 +2,9 @@
 
 Every document is measured once.  Hosts (here: sources) get the share of their documents that
 fail any rule, shrunk towards the corpus by a beta prior fitted to all hosts' rates (method of
-moments), so that a host of few documents is not judged by chance.  A host whose shrunk rate
-exceeds ``host_limit`` is untrusted.  Host verdicts are joined back to documents: a document
+moments), so that a host of few documents is not judged by chance.  A host is untrusted if its
+shrunk rate lies above the prior's mean by more than ``spreads`` deviations of its own posterior
+(a beta distribution), so that what counts as bad follows the corpus.  Host verdicts are joined back to documents: a document
 that fails a base rule goes; one that fails only a further rule (symbols, repeated lines)
 goes if its host is untrusted.  A document that breaks no rule always stays.
 """
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from ringtrace.llm.common import SPACE, written
 
 WINDOW = 8
+#: Deviations of the posterior by which an untrusted host's rate lies above the prior's mean.
+SPREADS = 0.8
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -73,7 +76,7 @@ def measured(docs: DataFrame, prefix: str = "") -> DataFrame:
     return out.withColumns({f"{p}base_failed": base, f"{p}soft_failed": soft})
 
 
-def host_verdicts(rows: DataFrame, host: str = "source", prefix: str = "", host_limit: float = 0.5, weak_prior: float = 10.0) -> DataFrame:
+def host_verdicts(rows: DataFrame, host: str = "source", prefix: str = "", spreads: float = SPREADS, weak_prior: float = 10.0) -> DataFrame:
     """A row for each host (null is one): documents, failures, shrunk rate, host_rejected.
 
     The prior's strength is ``weak_prior`` documents where the rates do not vary (one host, or
@@ -84,21 +87,24 @@ def host_verdicts(rows: DataFrame, host: str = "source", prefix: str = "", host_
     rate = F.col("failures") / F.col("documents")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v"))
     strength = F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(weak_prior))
-    shrunk = (F.col("failures") + F.col("m") * strength) / (F.col("documents") + strength)
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("documents") + F.col("strength") + 1))
     # the prior is one row
-    return hosts.join(F.broadcast(prior)).select("host", "documents", "failures", shrunk.alias("rate"), (shrunk > host_limit).alias("host_rejected"))
+    rated = hosts.join(F.broadcast(prior.select("m", strength.alias("strength")))).select("host", "documents", "failures", "m", "strength", ((F.col("failures") + F.col("m") * F.col("strength")) / (F.col("documents") + F.col("strength"))).alias("rate"))
+    return rated.select("host", "documents", "failures", "rate", (F.col("rate") - F.col("m") > spreads * deviation).alias("host_rejected"))
 
 
-def judged(docs: DataFrame, host: str = "source", prefix: str = "", host_limit: float = 0.5) -> DataFrame:
-    """``docs`` with measures, base_failed, soft_failed, host_rejected and kept (names after ``prefix``).
+def judged(docs: DataFrame, host: str = "source", prefix: str = "", spreads: float = SPREADS, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without its texts unless ``keep_text``) with measures, base_failed, soft_failed, host_rejected and kept (names after ``prefix``).
 
     Nulls: a null text has no words and fails; a null host is a host of its own.  Repeated
-    rows are judged alike.  An empty table gives an empty one.  ``docs`` with its measures is
-    written once, as both the hosts and the verdicts read it; hosts are written too, so that
+    rows are judged alike.  An empty table gives an empty one.  Columns of ``docs`` with the names of
+    measures are replaced, unless ``prefix`` keeps them apart.  What ``docs`` has is written once with
+    its measures, as both the hosts and the verdicts read it; hosts are written too, so that
     Spark knows their size and broadcasts them only below its threshold.
     """
-    rows = written(measured(docs, prefix), "quality")
-    hosts = written(host_verdicts(rows, host, prefix, host_limit).select(F.col("host").alias(f"{prefix}host"), F.col("host_rejected").alias(f"{prefix}host_rejected")), "hosts")
+    rows = measured(docs, prefix)
+    rows = written(rows if keep_text else rows.drop("text"), "quality")
+    hosts = written(host_verdicts(rows, host, prefix, spreads).select(F.col("host").alias(f"{prefix}host"), F.col("host_rejected").alias(f"{prefix}host_rejected")), "hosts")
     out = rows.join(hosts, F.col(host).eqNullSafe(F.col(f"{prefix}host")), "left").drop(f"{prefix}host")
     kept = ~F.col(f"{prefix}base_failed") & ~(F.col(f"{prefix}soft_failed") & F.col(f"{prefix}host_rejected"))
     return out.withColumn(f"{prefix}kept", kept)

@@ -16,7 +16,7 @@ WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(*columns)
+    return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False).select(*columns)
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,18 +93,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents with two counters, short documents deleted, one counter's
-    counts revised to those of its next version, and the first two batches committed again."""
+    """Totals after four batches over all documents with two public tokenizers: all are inserted, those of under
+    five tokens are deleted, those with repeated lines are revised to their text without these, and the first
+    two batches are sent again."""
+    import public_tokenizers
+
     docs, store = table(spark, sf_dir, "documents"), scratch(spark, "rollup")
-    text = F.col("text")
-    counters = {"words": token_counts.word_count(text), "pieces": token_counts.piece_count(text), "digits": F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[0-9]"))}
-    counts = written(docs.select("source", "lang", *[c.cast("bigint").alias(k) for k, c in counters.items()]), "counts")
-    both = counts.select("source", "lang", "words", "digits", F.explode(F.array(F.struct(F.lit("words").alias("tokenizer"), F.col("words").alias("n")), F.struct(F.lit("pieces").alias("tokenizer"), F.col("pieces").alias("n")))).alias("c")).select("source", "lang", "words", "digits", "c.tokenizer", "c.n")
+    versions = {x: tokenizer_path(x) for x in (WORD_BPE, BYTE_BPE)}
+    texts = docs.select("source", "lang", "text", token_counts.without_repeated_lines(F.col("text")).alias("new_text"))
+    counts = written(token_counts.counted(texts, versions, public_tokenizers.PATTERN), "counts")
     change = lambda df, op, new, old: df.select(F.lit(op).alias("op"), "source", "lang", "tokenizer", new.alias("n_tokens"), old.alias("old_tokens"))
-    none = F.lit(None).cast("bigint")
-    inserts, deletes = change(both, "insert", F.col("n"), none), change(both.filter("words < 5"), "delete", none, F.col("n"))
-    # the next version of the pieces does not count digits
-    revised = change(both.filter("words >= 5 AND tokenizer = 'pieces'"), "revise", F.col("n") - F.col("digits"), F.col("n"))
+    none, old = F.lit(None).cast("bigint"), F.col("old_tokens")
+    inserts, deletes = change(counts, "insert", old, none), change(counts.filter(old < 5), "delete", none, old)
+    revised = change(counts.filter((old >= 5) & F.col("n_tokens").isNotNull()), "revise", F.col("n_tokens"), old)
     for batch, changes in ((1, inserts), (2, deletes), (3, revised), (1, inserts), (2, deletes)):
         token_counts.commit(store, batch, changes)
     return token_counts.totals(spark, store)

@@ -3,13 +3,15 @@
 Spans come from expressions alone: the pieces between matches (``split``) and the matches
 (``regexp_extract_all``) of one pattern give every match's place by running sums of their
 lengths.  Two first-order Markov models, of random strings and of ordinary identifiers, are
-counted over labelled samples; a long run of key characters whose log-likelihood ratio speaks
-for randomness is added as a span of kind ``markov`` where it meets none of the others.
+counted over labelled samples; a long run of key characters outside the other spans whose
+log-likelihood ratio speaks for randomness is added as a span of kind ``markov``.  All steps take
+time by the length of a text, however many matches it has.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,27 +34,55 @@ LEAST_MEAN, LEAST_SUM = 0.4, 10.0
 #: Pseudo-count of each pair of characters.
 SMOOTHING = 0.5
 SPAN = "struct<start:int,kind:int,end:int>"
+#: Elements that one fold of a running total goes over: as a fold copies its array at each step, long arrays are
+#: cut, so that time grows with their length; and characters of the pieces that a text is cut to.
+FOLD, PIECE = 256, 1024
 
 
 def _none(kind: str = SPAN) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """For each of ``values`` (non-negative ints) the total of those before it, by ``join`` (a sum, or F.greatest)."""
+    zero = F.lit(0).cast("int")
+
+    def simple(x: Column) -> Column:
+        step = lambda s, v: F.struct(join(s["t"], v).cast("int").alias("t"), F.concat(s["out"], F.array(s["t"])).alias("out"))
+        return F.aggregate(x, F.struct(zero.alias("t"), _none("int").alias("out")), step, lambda s: s["out"])
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, zero, lambda s, v: join(s, v).cast("int"))
+
+    def cut(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / FOLD).cast("int")), lambda k: F.slice(x, k * FOLD + 1, F.lit(FOLD)))
+
+    def joined(parts: Column) -> Column:
+        bases = lambda totals: simple(totals)
+        return let(let(F.transform(parts, total), bases), lambda base: F.flatten(F.transform(parts, lambda x, k: F.transform(simple(x), lambda v: join(v, F.get(base, k)).cast("int")))))
+
+    return let(values, lambda x: F.when(F.size(x) <= FOLD, simple(x)).otherwise(let(cut(x), joined)))
+
+
 def _find(text: Column, pattern: str, kind: int, least: int, group: int) -> Column:
-    """Spans of the matches whose group has ``least`` characters or more."""
+    """Spans of the matches whose group has ``least`` characters or more, each with its ``word``."""
 
     def placed(found: Column, held: Column, gaps: Column) -> Column:
-        def step(s: Column, i: Column) -> Column:
-            start = s["at"] + F.length(F.get(gaps, i))
-            end = start + F.length(F.get(found, i))
-            span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")).cast(SPAN))
-            return F.struct(end.cast("int").alias("at"), F.when(F.length(F.get(held, i)) >= least, F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
+        steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
+
+        def spans(before: Column) -> Column:
+            start = lambda i: (F.get(before, i) + F.length(F.get(gaps, i))).cast("int")
+            every = F.transform(found, lambda m, i: F.struct(start(i).alias("start"), F.lit(kind).alias("kind"), (start(i) + F.length(m)).cast("int").alias("end"), m.alias("word"), F.length(F.get(held, i)).alias("held")))
+            return F.filter(every, lambda s: s["held"] >= least)
 
-        start = F.struct(F.lit(0).cast("int").alias("at"), _none().alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["out"])
+        return let(running(steps), spans)
 
     every = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("held"), F.split(text, pattern, -1).alias("gaps"))
-    return F.when(text.rlike(pattern), let(every, lambda m: placed(m["found"], m["held"], m["gaps"]))).otherwise(_none())
+    return F.when(text.rlike(pattern), let(every, lambda m: placed(m["found"], m["held"], m["gaps"]))).otherwise(_none("struct<start:int,kind:int,end:int,word:string,held:int>"))
+
+
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
 def _hinted(text: Column, hints: tuple[str, ...]) -> Column:
@@ -71,7 +101,7 @@ def base_spans(text: Column) -> Column:
     """Spans of the three patterns, by start, then kind."""
     found = []
     for kind, (pattern, least, group, hints) in enumerate(KINDS.values()):
-        own = _find(text, pattern, kind, least, group)
+        own = _plain(_find(text, pattern, kind, least, group))
         if hints:
             own = F.when(_hinted(text, hints), own).otherwise(_none())
         found.append(own)
@@ -104,7 +134,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
 
 
 def markov_spans(text: Column, base: Column, ratios: list[float]) -> Column:
-    """Candidate runs that look random and meet no base span."""
+    """Runs of CANDIDATE that look random, in what is left of the text when base spans are blanked."""
     size = len(ALPHABET)
 
     def score(word: Column, numbers: Column) -> Column:
@@ -116,30 +146,49 @@ def markov_spans(text: Column, base: Column, ratios: list[float]) -> Column:
 
     def chosen(spans: Column) -> Column:
         numbers = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-        apart = F.filter(spans, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-        return let(numbers, lambda n: F.filter(apart, lambda m: let(score(F.substr(text, m["start"] + 1, m["end"] - m["start"]), n), lambda x: (x > LEAST_SUM) & (x > LEAST_MEAN * (m["end"] - m["start"])))))
+        return _plain(let(numbers, lambda n: F.filter(spans, lambda m: let(score(m["word"], n), lambda x: (x > LEAST_SUM) & (x > LEAST_MEAN * (m["end"] - m["start"]))))))
+
+    def looked(rest: Column) -> Column:
+        return F.when(rest.rlike(CANDIDATE), let(_find(rest, CANDIDATE, len(KINDS), 0, 0), chosen)).otherwise(_none())
+
+    return F.when(text.rlike(CANDIDATE), let(masked(text, base, None), looked)).otherwise(_none())
+
+
+def masked(text: Column, spans: Column, mark: str | None) -> Column:
+    """``text`` with every span, or run of spans that overlap, replaced by ``mark``, or by as many blanks as it has characters.
+
+    ``spans`` ascend by start.  The text is cut to pieces once, so that no span is looked for from the text's beginning.
+    """
 
-    return F.when(text.rlike(CANDIDATE), let(_find(text, CANDIDATE, len(KINDS), 0, 0), chosen)).otherwise(_none())
+    def rebuilt(x: Column) -> Column:
+        pieces, before = x["pieces"], x["before"]
 
+        def part(start: Column, end: Column) -> Column:
+            first = F.floor(start / PIECE).cast("int")
+            held = F.array_join(F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+            return F.when(end > start, F.substr(held, start - first * PIECE + 1, end - start)).otherwise(F.lit(""))
 
-def masked(text: Column, spans: Column, mark: str) -> Column:
-    """``text`` with every span, or run of spans that overlap, replaced by ``mark``."""
+        def replaced(s: Column, i: Column) -> Column:
+            done = F.get(before, i)
+            if mark is None:
+                fill = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], done)))
+            else:
+                fill = F.when((s["start"] >= done) | (i == 0), F.lit(mark)).otherwise(F.lit(""))
+            return F.concat(part(done, s["start"]), fill)
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
-        fresh = (x["start"] >= s["at"]) | (s["at"] == 0)
-        return F.struct(F.when(fresh, F.concat(s["out"], F.array(gap, F.lit(mark)))).otherwise(s["out"]).alias("out"), F.greatest(s["at"], x["end"]).cast("int").alias("at"))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform(spans, replaced), ""), part(last, F.length(text)))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("int").alias("at"))
-    rebuilt = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(rebuilt)
+    parts = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), running(F.transform(spans, lambda s: s["end"]), F.greatest).alias("before"))
+    return F.when(F.size(spans) == 0, text).otherwise(let(parts, rebuilt))
 
 
 def scanned(docs: DataFrame, ratios: list[float], prefix: str = "") -> DataFrame:
     """``docs`` with ``base_spans`` and ``all_spans`` (names after ``prefix``): arrays of start, kind number, end.
 
     Starts and ends are code points of the whole text, ends exclusive; a null text has no spans;
-    repeated rows are scanned alike; an empty table gives an empty one.
+    repeated rows are scanned alike; an empty table gives an empty one.  Columns of ``docs`` with the new names are
+    replaced, unless ``prefix`` keeps them apart.
     """
     text, b, a = F.coalesce("text", F.lit("")), f"{prefix}base_spans", f"{prefix}all_spans"
     both = let(base_spans(text), lambda base: F.struct(base.alias("base"), markov_spans(text, base, ratios).alias("more")))

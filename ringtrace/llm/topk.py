@@ -23,8 +23,8 @@ from ringtrace.llm.common import written
 
 LEVELS = (1, 4, 16)
 #: Vectors in a block at most, on average.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
-#: Candidates scored first for each query, to have a k-th best score.
+QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
+#: Candidates scored exactly at each level for each query, to have a k-th best score.
 PROBES = 64
 
 RESULT = "query_id bigint, vec_id bigint, score bigint"
@@ -58,7 +58,11 @@ def _bounds(x: np.ndarray, scaled: bool) -> list[np.ndarray]:
 
 
 def block_top(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best candidates of a block: query ids, candidate ids, scores.  x_ids ascend."""
+    """Each query's k best candidates of a block: query ids, candidate ids, scores.  x_ids ascend.
+
+    Each level, from coarse to fine, bounds the candidates that are left, scores the most promising of
+    them exactly, and drops those whose bound lies below the k-th best exact score known by then.
+    """
     if x.shape[1] == 0 or not len(x):
         pairs = [(a, b, 0) for a in q_ids.tolist() for b in [i for i in x_ids.tolist() if i != a][:k]]
         return tuple(np.array([p[n] for p in pairs], np.int64) for n in range(3))
@@ -66,20 +70,18 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray
     q_stats, x_stats = _bounds(qf, True), _bounds(xf, False)
     # float error of a bound: far below this part of the largest product
     slack = 1e-9 * (1 + np.sqrt((qf * qf).sum(1)) * math.sqrt(float((xf * xf).sum(1).max())))
-    fine = q_stats[-1] @ x_stats[-1].T
     own = {i: at for at, i in enumerate(x_ids.tolist())}
-    heads = min(len(x), PROBES + k + 1)
-    probes = np.argpartition(-fine, heads - 1, axis=1)[:, :heads] if heads < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-    del fine
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(len(q)):
-        mine = own.get(int(q_ids[at]))
-        seen = probes[at][probes[at] != mine] if mine is not None else probes[at]
-        known = x[seen] @ q[at]
-        kth = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else -math.inf
+        mine, kth = own.get(int(q_ids[at])), -math.inf
         left = np.arange(len(x)) if mine is None else np.delete(np.arange(len(x)), mine)
         for a, b in zip(q_stats, x_stats):
-            left = left[b[left] @ a[at] >= kth - slack[at]]
+            bound = b[left] @ a[at]
+            heads = np.argpartition(-bound, PROBES - 1)[:PROBES] if len(left) > PROBES else slice(None)
+            known = xf[left[heads]] @ qf[at]
+            if len(known) >= k:
+                kth = max(kth, float(np.partition(known, len(known) - k)[len(known) - k]))
+            left = left[bound >= kth - 2 * slack[at]]
         score = x[left] @ q[at]
         best = np.lexsort((x_ids[left], -score))[:k]
         found.append((np.full(len(best), q_ids[at]), x_ids[left][best], score[best]))
