@@ -15,12 +15,18 @@ OWN = "_stage_"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and, on untrusted hosts, the further ones."""
+    """Documents that pass the base rules and, on untrusted hosts, the further ones.
+
+    A null or empty text has no words and goes; a null source is a host of its own; repeated rows share their fate.
+    """
     return quality.judged(docs, prefix=OWN).filter(F.col(f"{OWN}kept")).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with enough confidence; the model learns from this stage's input."""
+    """Documents whose language is told with enough confidence; the model learns from this stage's input.
+
+    A null text, or one without letters, has no language and goes; repeated rows share their fate.
+    """
     model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
     return language.predicted(docs, model, OWN).filter(~F.col(f"{OWN}rejected")).select(*docs.columns)
 
@@ -28,7 +34,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id; documents without an id stay.
 
-    A text has near copies if its sets of 5-word shingles have a similarity of 0.8 or more.
+    A text has near copies if its sets of 5-word shingles have a similarity of 0.8 or more.  Null and
+    empty texts have none and stay; rows that repeat an id are one document and stay together.
     """
     groups = near_dup.near_duplicates(docs, words=5, threshold=(4, 5))
     gone = groups.filter("component_id < doc_id").select(F.col("doc_id").alias(f"{OWN}id")).distinct()
@@ -36,7 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in their texts replaced by a mark; n_chars follows the new text."""
+    """All documents, with every secret in their texts replaced by a mark; n_chars follows the new text.
+
+    Null and empty texts, and those without secrets, stay as they are; repeated rows are masked alike.
+    """
     found = secrets.scanned(docs, secrets.train(docs), OWN)
     spans = F.col(f"{OWN}all_spans")
     text = F.when(F.size(spans) > 0, secrets.masked(F.col("text"), spans, "<secret>")).otherwise(F.col("text"))
@@ -47,7 +57,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of 4096 tokens."""
+    """The pieces of the documents in sequences of 4096 tokens; a null or empty text is its end id alone; repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path(WORD_BPE))
 
 
