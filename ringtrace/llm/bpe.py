@@ -92,16 +92,20 @@ def fold(word: Column, pairs: Column, own: Column) -> Column:
             new = F.shiftright(least, 40)
 
             def at_place(at: Column) -> Column:
-                before, right, after = F.get(state, at - 2), F.get(state, at), F.get(state, at + 1)
-                both = F.struct((rank(new, id_of(after)) * RANK + least.bitwiseAND(F.lit(RANK - PLACE)) + new).alias("here"), (rank(id_of(before), new) * RANK + before.bitwiseAND(F.lit(RANK - 1))).alias("before"))
-                return let(both, lambda n: F.transform(F.array_remove(state, right), lambda x, i: F.when(i == at - 1, n["here"]).when(i == at - 2, n["before"]).otherwise(x)))
+                before, after = F.get(state, at - 2), F.get(state, at + 1)
+                here = rank(new, id_of(after)) * RANK + least.bitwiseAND(F.lit(RANK - PLACE)) + new
+                both = F.struct(here.alias("here"), before.alias("old"), (rank(id_of(before), new) * RANK + before.bitwiseAND(F.lit(RANK - 1))).alias("before"))
+                return let(both, lambda n: F.transform(F.array_remove(state, F.get(state, at)), lambda x: F.when(x == least, n["here"]).when(x == n["old"], n["before"]).otherwise(x)))
 
             return let(F.array_position(state, least).cast("int"), at_place)
 
         return let(F.array_min(state), lambda x: F.when(x >= NONE * RANK, state).otherwise(merged(x)))
 
-    start = F.transform(word, lambda b, i: rank(F.get(own, b), F.get(own, F.get(word, i + 1))) * RANK + i.cast("bigint") * PLACE + F.get(own, b))
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), start, step, lambda state: F.transform(state, lambda x: id_of(x).cast("int")))
+    def merges(ids: Column) -> Column:
+        start = F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)) * RANK + i * PLACE + a)
+        return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), start, step, lambda state: F.transform(state, lambda x: id_of(x).cast("int")))
+
+    return let(F.transform(word, lambda b: F.get(own, b)), merges)
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
