@@ -94,3 +94,56 @@ QR_UNREADABLE = r"\b(?:unknown|unreadable|not\s+(?:readable|visible|extracted)|u
 # fixed values: thresholds
 HIGH_SEVERITY, REPEATED_INDICATOR, BURST_SIZE = 4, 2, 3
 MATCHED, POSSIBLE, CONTEXTUAL = 0.85, 0.55, 0.75
+
+# fixed values: how kinds of anchors are named in campaign labels
+ANCHOR_NAMES = {
+    "bank_account": "Bank account",
+    "phone": "Phone",
+    "email": "Email",
+    "domain": "Domain",
+    "social_account": "Social account",
+    "qr_payload": "QR payload",
+    "transaction_reference": "Transaction reference",
+    "media_hash": "Shared media",
+    "message_template": "Message pattern",
+}
+
+# fixed values: what is shown of kinds whose values stay hidden
+HIDDEN_NAMES = {
+    "account_identifier": "Stored account identifier",
+    "message_template": "Stored message pattern",
+    "money_amount": "Stored amount signal",
+    "organization_alias": "Stored organization alias",
+    "payment_method": "Stored payment-method signal",
+    "person_alias": "Stored person alias",
+}
+
+# fixed values: what to do, by a check's status; a matched campaign's second step depends on its confirmation
+ACTIONS = {
+    "matched_campaign": [
+        "Pause the transfer and do not follow instructions in the submitted evidence.",
+        None,
+        "Verify the recipient through the bank's official app, website, or card number.",
+    ],
+    "possible_match": [
+        "Pause the transfer while the possible campaign match is reviewed.",
+        "Verify the recipient through an independent official channel.",
+        "Share the evidence anonymously if this is a concrete attempt.",
+    ],
+    "new_unmatched_case": [
+        "Do not proceed until the recipient and request are independently verified.",
+        "Share the evidence anonymously so analysts can assess a new campaign.",
+        "Do not install apps, reveal OTPs, or pay an advance fee.",
+    ],
+}
+ACTIONS_BY_CONFIRMATION = {
+    True: "Review the confirmed campaign evidence before taking bank action.",
+    False: "Treat this as a possible campaign match until an analyst confirms it.",
+}
+OTHER_ACTIONS = [
+    "No concrete scam case was identified in this submission.",
+    "If money or credentials are requested, verify through an official channel before proceeding.",
+]
+
+# fixed values: words that make a document's images worth reading
+IMAGE_TERMS = ["lừa", "scam", "chuyển khoản", "tài khoản", "qr", "mất tiền", "giả mạo", "phishing", "số điện thoại", "biên lai"]

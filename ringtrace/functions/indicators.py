@@ -117,25 +117,38 @@ def lookup_value(kind: Column, value: Column) -> Column:
     )
 
 
+def _tail(name: str | Column, value: Column, n: int) -> Column:
+    shown = F.when(value == "", "-" * n).otherwise(F.right(value, F.lit(n)))
+    return F.concat(F.lit(name) if isinstance(name, str) else name, F.lit(" ••••"), shown)
+
+
 def masked(kind: Column, value: Column) -> Column:
-    """A value with what identifies a person hidden."""
-    v = F.coalesce(value, F.lit(""))
-    tail = F.concat(F.lit("•••"), F.right(v, F.lit(4)))
-    mail = F.concat(F.left(v, F.lit(1)), F.lit("•••@"), F.substring_index(v, "@", -1))
-    handle = F.when(F.length(v) <= 3, "@•••").otherwise(F.concat(F.lit("@"), F.left(v, F.lit(1)), F.lit("•••"), F.right(v, F.lit(2))))
-    return (
-        F.when(v == "", "")
-        .when(kind.isin("bank_account", "phone", "transaction_reference", "media_hash"), tail)
-        .when(kind == "email", mail)
-        .when(kind == "social_account", handle)
-        .when(kind.isin("domain", "url"), F.regexp_replace(F.regexp_replace(v, r"^[a-z]+://", ""), r"[?#].*$", ""))
-        .when(F.length(v) <= 8, "•••")
-        .otherwise(F.concat(F.left(v, F.lit(4)), F.lit("•••"), F.right(v, F.lit(2))))
+    """What may be shown of a value: nothing that tells a person, account or message apart."""
+    v = text.collapse(F.coalesce(value, F.lit("")))
+    parts = F.split(v, "@")
+    mail = F.concat(F.when(F.get(parts, F.lit(0)) == "", "•").otherwise(F.left(v, F.lit(1))), F.lit("•••@"), F.get(parts, F.lit(1)))
+    handle = F.regexp_replace(v, "^@", "")
+    host = F.substring_index(F.substring_index(F.substring_index(F.regexp_replace(v, "(?i)^https?://", ""), "/", 1), "?", 1), "#", 1)
+    page = urls.public(v, with_query=False)
+    out = (
+        F.when(kind.isin("bank_account", "phone", "transaction_reference"), _tail(F.replace(kind, F.lit("_"), F.lit(" ")), F.regexp_replace(v, r"[^\p{L}\p{N}]", ""), 4))
+        .when(kind == "email", F.when(F.coalesce(F.get(parts, F.lit(1)), F.lit("")) == "", "masked email").otherwise(mail))
+        .when(kind == "url", F.when(F.coalesce(page, F.lit("")).rlike("(?i)^https?://"), F.left(F.regexp_replace(F.regexp_replace(page, "(?i)^https?://", ""), "^([^/]+)/$", "$1"), F.lit(180))).otherwise("untrusted URL"))
+        .when(kind == "qr_payload", _tail("QR payload", F.regexp_replace(v, r"\s+", ""), 4))
+        .when(kind == "domain", F.when(host == "", "stored domain indicator").otherwise(host))
+        .when(kind == "media_hash", _tail("media hash", F.regexp_replace(v, "[^A-Fa-f0-9]", ""), 8))
+        .when(kind == "social_account", F.when(F.length(handle) > 3, F.concat(F.lit("@"), F.left(handle, F.lit(1)), F.lit("•••"), F.right(handle, F.lit(2)))).otherwise("masked social account"))
     )
+    for name, shown in fixed.HIDDEN_NAMES.items():
+        out = out.when(kind == name, shown)
+    return out.otherwise("Stored campaign indicator")
 
 
 def masked_key(k: Column) -> Column:
-    return F.concat_ws(":", key_kind(k), masked(key_kind(k), key_value(k)))
+    """A campaign's key with the values of five kinds masked; others are public, and are shown."""
+    kind, hidden = key_kind(k), masked(key_kind(k), key_value(k))
+    shown = F.when(kind.isin("bank_account", "phone", "transaction_reference", "email", "qr_payload"), F.regexp_replace(hidden, "^.*? ••••", "••••")).otherwise(key_value(k))
+    return F.concat_ws(":", kind, shown)
 
 
 def campaign_key(anchor: Column) -> Column:
@@ -143,10 +156,21 @@ def campaign_key(anchor: Column) -> Column:
     return F.concat(F.lit("campaign_"), F.substring(F.sha2(F.to_json(F.struct(anchor.alias("anchor_indicator_key"))), 256), 1, 16))
 
 
+def title_case(value: Column) -> Column:
+    """Every run of letters with a capital first, as in a title."""
+    runs = F.regexp_extract_all(value, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substr(r, F.lit(2))))), "")
+
+
 def campaign_label(scam_type: Column, anchor: Column) -> Column:
-    """A label for people: type, kind of anchor, masked value."""
-    words = F.slice(F.filter(F.split(F.coalesce(scam_type, F.lit("")), "[^A-Za-z0-9]+"), lambda w: F.length(w) >= 2), 1, 5)
-    title = F.substring(F.initcap(F.array_join(words, " ")), 1, 48)
-    kind_label = F.initcap(F.replace(key_kind(anchor), F.lit("_"), F.lit(" ")))
-    shown = F.when(key_kind(anchor).isin("bank_account", "phone"), F.concat(F.lit("••••"), F.right(key_value(anchor), F.lit(4)))).otherwise(F.substring(key_value(anchor), 1, 32))
-    return F.concat_ws(" · ", F.when(title == "", "Suspected Scam").otherwise(title), kind_label, shown)
+    """A label for people: type, kind of anchor, value; types of odd parts are no label."""
+    kind, value = key_kind(anchor), key_value(anchor)
+    folded = text.casefold(F.trim(F.coalesce(scam_type, F.lit(""))))
+    parts = F.filter(F.split(folded, "_"), lambda w: w != "")
+    fine = F.size(parts).between(1, 5) & F.forall(parts, lambda w: F.length(w) >= 2) & (F.length(folded) <= 48)
+    name = F.lit("Indicator")
+    for k, v in fixed.ANCHOR_NAMES.items():
+        name = F.when(kind == k, v).otherwise(name)
+    cut = F.when(F.length(value) > 36, F.concat(F.left(value, F.lit(33)), F.lit("…"))).otherwise(value)
+    shown = F.when(kind.isin("bank_account", "phone", "transaction_reference"), F.concat(F.lit("••••"), F.right(value, F.lit(4)))).otherwise(cut)
+    return F.trim(F.concat(F.when(fine, title_case(F.array_join(parts, " "))).otherwise("Suspected Scam"), F.lit(" · "), name, F.lit(" "), shown))

@@ -1,39 +1,91 @@
-"""Anomalies: severe documents, repeated indicators, large components."""
+"""Anomalies: severe documents, repeated indicators, large components.
+
+An anomaly is a row of counts; what it rests on is a table of its own, a row for each document and
+each indicator, as a hot indicator or a giant component has more of them than a row should hold.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringtrace.functions import fixed
-from ringtrace.operators.common import sorted_set
 
+#: The order in which kinds are shown.
 ORDER = ["high_severity", "repeated_indicator", "burst_size"]
 
 
-def _rows(df: DataFrame, kind: str, observed, threshold: int, documents, keys) -> DataFrame:
-    out = df.select(F.lit(kind).alias("anomaly_type"), observed.cast("double").alias("observed"), F.lit(float(threshold)).alias("threshold"), documents.alias("document_ids"), keys.alias("indicator_keys"))
-    identity = F.to_json(F.struct("anomaly_type", "document_ids", "indicator_keys"))
-    return out.withColumn("anomaly_key", F.concat(F.lit("anomaly_"), F.substring(F.sha2(identity, 256), 1, 16)))
+def _rows(df: DataFrame, kind: str, of: Column, observed: Column, threshold: int, documents: Column, component: Column | None = None, key: Column | None = None) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return df.select(
+        F.concat(F.lit(f"{kind}_"), of).alias("anomaly_key"),
+        F.lit(kind).alias("anomaly_type"),
+        observed.cast("double").alias("observed"),
+        F.lit(float(threshold)).alias("threshold"),
+        documents.cast("bigint").alias("document_count"),
+        (none if component is None else component).alias("component"),
+        (none if key is None else key).alias("indicator_key"),
+    )
+
+
+def _short_hash(value: Column) -> Column:
+    return F.substring(F.sha2(value, 256), 1, 16)
 
 
 def found(docs: DataFrame, edges: DataFrame, clusters: DataFrame, severity: int = fixed.HIGH_SEVERITY, repeats: int = fixed.REPEATED_INDICATOR, burst: int = fixed.BURST_SIZE) -> DataFrame:
     """All three kinds: ``edges`` are the linking ones of eligible documents, ``clusters`` as graph.clusters gives them."""
-    if severity < 0 or repeats < 2 or burst < 2:
-        raise ValueError("thresholds: severity from 0, repeats and burst from 2")
-    none = F.array().cast("array<string>")
-    severe = _rows(docs.filter(F.col("severity") >= severity), "high_severity", F.col("severity"), severity, F.array("document_id"), none)
-    keys = edges.groupBy("key").agg(F.countDistinct("document_id").alias("n"), sorted_set("document_id").alias("ids")).filter(F.col("n") >= repeats)
-    repeated = _rows(keys, "repeated_indicator", F.col("n"), repeats, F.col("ids"), F.array("key"))
+    if not 0 <= severity <= 5 or repeats < 2 or burst < 2:
+        raise ValueError("thresholds: severity from 0 to 5, repeats and burst from 2")
+    severe = _rows(docs.filter(F.col("severity") >= severity), "high_severity", _short_hash(F.col("document_id")), F.col("severity"), severity, F.lit(1))
+    keys = edges.groupBy("key").agg(F.countDistinct("document_id").alias("n")).filter(F.col("n") >= repeats)
+    repeated = _rows(keys, "repeated_indicator", _short_hash(F.col("key")), F.col("n"), repeats, F.col("n"), key=F.col("key"))
     return severe.unionByName(repeated).unionByName(bursts(clusters, burst))
 
 
 def bursts(clusters: DataFrame, burst: int = fixed.BURST_SIZE) -> DataFrame:
     large = clusters.filter(F.col("document_count") >= burst)
-    return _rows(large, "burst_size", F.col("document_count"), burst, F.array("component"), F.col("shared_keys"))
+    return _rows(large, "burst_size", F.col("component").cast("string"), F.col("document_count"), burst, F.col("document_count"), F.col("component").cast("string"))
+
+
+def evidence(anomalies: DataFrame, docs: DataFrame, every_edge: DataFrame, edges: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """anomaly_key, document_id, indicator_key: the documents and the indicators behind each anomaly, one of them a row.
+
+    A severe document with all its indicators (``every_edge``), a repeated indicator with all its
+    documents (``edges``), a large component with all its documents and shared indicators.
+    """
+    none = F.lit(None).cast("string")
+    of = lambda kind, *columns: anomalies.filter(F.col("anomaly_type") == kind).select("anomaly_key", *columns)
+    document = lambda df: df.select("anomaly_key", "document_id", none.alias("indicator_key"))
+    indicator = lambda df: df.select("anomaly_key", none.alias("document_id"), F.col("key").alias("indicator_key"))
+    named = docs.select("document_id", F.concat(F.lit("high_severity_"), _short_hash(F.col("document_id"))).alias("anomaly_key"))
+    severe = of("high_severity").join(named, "anomaly_key")
+    repeated = of("repeated_indicator", F.col("indicator_key").alias("key"))
+    large = of("burst_size", "component")
+    shared = clusters.select(F.col("component").cast("string").alias("component"), F.explode("shared_keys").alias("key"))
+    parts = [
+        document(severe),
+        indicator(severe.join(every_edge.select("document_id", "key"), "document_id")),
+        document(repeated.join(edges.select("document_id", "key"), "key")),
+        indicator(repeated),
+        document(large.join(members.select(F.col("component").cast("string").alias("component"), "document_id"), "component")),
+        indicator(large.join(shared, "component")),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def ordered(anomalies: DataFrame, behind: DataFrame) -> DataFrame:
+    """``anomalies`` as they are shown: by kind, then by the first document and the first indicator behind them, then by key."""
+    first = behind.groupBy("anomaly_key").agg(F.min("document_id").alias("first_document"), F.min("indicator_key").alias("first_indicator"))
+    kind = F.array_position(F.lit(ORDER), F.col("anomaly_type"))
+    return anomalies.join(first, "anomaly_key", "left").orderBy(kind, "first_document", "first_indicator", "anomaly_key")
 
 
 def anomaly_rows(anomalies: DataFrame) -> DataFrame:
-    """Rows to store: severity from 1 to 5, a reason in words, active."""
-    reason = F.concat_ws(" ", F.replace("anomaly_type", F.lit("_"), F.lit(" ")), F.lit("observed"), F.col("observed").cast("bigint").cast("string"), F.lit("at or above"), F.col("threshold").cast("bigint").cast("string"))
-    return anomalies.select("anomaly_key", "anomaly_type", F.col("observed").alias("score"), F.greatest(F.lit(1), F.least(F.lit(5), F.round("observed").cast("int"))).alias("severity"), reason.alias("reason"), F.lit(True).alias("is_active"))
+    """Rows to store: severity from 1 to 5, a reason in words, metrics, active."""
+    whole = lambda c: F.col(c).cast("bigint").cast("string")
+    reason = F.concat(F.col("anomaly_type"), F.lit(": observed "), whole("observed"), F.lit(", threshold "), whole("threshold"))
+    metrics = F.struct(F.col("observed").alias("observed_value"), "threshold", "document_count", "indicator_key")
+    severity = F.greatest(F.lit(1), F.least(F.lit(5), F.bround("observed").cast("int")))
+    return anomalies.select("anomaly_key", "anomaly_type", F.col("observed").alias("score"), severity.alias("severity"), reason.alias("reason"), metrics.alias("metrics"), "component", F.lit(True).alias("is_active"))

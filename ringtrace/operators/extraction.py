@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from ringtrace.functions import indicators, text, urls
+from ringtrace.functions import fixed, indicators, text, urls
 from ringtrace.operators.common import best
 
 #: What is taken of the text of a submitted check: characters, and phones and mails each.
@@ -142,13 +142,12 @@ def evidence_bundle(docs: DataFrame, comments: DataFrame, media: DataFrame) -> D
     return docs.select("document_id", F.substring("text", 1, 12000).alias("text")).join(said, "document_id", "left").join(seen, "document_id", "left")
 
 
-#: Words that make a document's images worth reading.
-IMAGE_TERMS = ["qr", "screenshot", "image", "photo", "transfer", "receipt", "bill", "account", "otp", "bank"]
-
-
 def images_wanted(mode: Column, value: Column, images: Column) -> Column:
     """Two distinct images at most: all in mode ``all``, for short texts, or where a term occurs."""
-    wanted = (mode == "all") | (F.length(F.coalesce(value, F.lit(""))) < 400) | F.lower(value).rlike(r"\b(?:" + "|".join(IMAGE_TERMS) + r")\b")
+    folded = text.casefold(F.coalesce(value, F.lit("")))
+    wanted = (mode == "all") | (F.length(F.trim(F.coalesce(value, F.lit("")))) < 400)
+    for term in fixed.IMAGE_TERMS:
+        wanted = wanted | folded.contains(term)
     return F.when(wanted, F.slice(F.array_distinct(images), 1, 2)).otherwise(F.array().cast("array<string>"))
 
 

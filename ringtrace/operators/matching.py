@@ -64,16 +64,10 @@ def campaign_evidence(members: DataFrame, docs: DataFrame, n: int = 8) -> DataFr
     return top.join(docs.select("document_id", "title", "url"), "document_id", "left").select("campaign_key", "document_id", "membership_score", F.coalesce("title", F.lit("Untitled document")).alias("title"), "url")
 
 
-#: What to do next, by status: a small dimension.
-ACTIONS = {
-    "matched_campaign": ["block the beneficiary", "attach the case to the campaign"],
-    "possible_match": ["review the match by hand"],
-    "new_unmatched_case": ["open a new case", "watch its indicators"],
-    "not_scam": ["close"],
-}
-
-
 def recommended(checks: DataFrame) -> DataFrame:
-    spark = checks.sparkSession
-    rows = [(s, k, a) for s, actions in ACTIONS.items() for k, a in enumerate(actions, 1)]
-    return checks.join(F.broadcast(spark.createDataFrame(rows, "status string, step int, action string")), "status")
+    """A row for each step (status, step, action) of each of ``checks`` (status, analyst_confirmed and more)."""
+    confirmed = F.when(F.coalesce("analyst_confirmed", F.lit(False)), fixed.ACTIONS_BY_CONFIRMATION[True]).otherwise(fixed.ACTIONS_BY_CONFIRMATION[False])
+    steps = F.array(*[F.lit(a) for a in fixed.OTHER_ACTIONS])
+    for status, actions in fixed.ACTIONS.items():
+        steps = F.when(F.col("status") == status, F.array(*[confirmed if a is None else F.lit(a) for a in actions])).otherwise(steps)
+    return checks.select("*", F.posexplode(steps).alias("step", "action")).withColumn("step", F.col("step") + 1)

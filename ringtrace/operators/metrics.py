@@ -51,12 +51,12 @@ def evidence(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """The documents behind each metric, a row each (metric_scope, metric_key, document_id): no row grows with the table."""
     row = lambda df, scope, key: df.select(F.lit(scope).alias("metric_scope"), key.cast("string").alias("metric_key"), "document_id")
     named = row(edges.join(docs.select("document_id"), "document_id", "left_semi"), "indicator", F.col("key"))
-    return reduce(DataFrame.unionByName, [row(docs, "summary", F.lit("all")), row(docs, "category", F.col("category")), row(docs, "severity", F.col("severity")), named]).distinct()
+    return reduce(DataFrame.unionByName, [row(docs, "summary", F.lit("global")), row(docs, "category", F.col("category")), row(docs, "severity", F.col("severity")), named]).distinct()
 
 
 def long_table(blocks: dict[str, tuple[DataFrame, str | None]], job_id: str, refreshed_at) -> DataFrame:
     """All blocks as rows (job_id, metric_scope, metric_key, metric_value as JSON, refreshed_at)."""
-    rows = [df.select(F.lit(job_id).alias("job_id"), F.lit(scope).alias("metric_scope"), (F.col(key).cast("string") if key else F.lit("all")).alias("metric_key"), F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("metric_value"), F.lit(refreshed_at).alias("refreshed_at")) for scope, (df, key) in blocks.items()]
+    rows = [df.select(F.lit(job_id).alias("job_id"), F.lit(scope).alias("metric_scope"), (F.col(key).cast("string") if key else F.lit("global")).alias("metric_key"), F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("metric_value"), F.lit(refreshed_at).alias("refreshed_at")) for scope, (df, key) in blocks.items()]
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from ringtrace.functions import indicators, urls
 from ringtrace.operators.common import best, sorted_set
 
-# fixed values: labels of reasons shown to banks
-REASON_LABELS = {"shared_indicator": "Shared indicator", "anchor_indicator": "Anchor indicator", "repeated_evidence": "Repeated evidence"}
-# fixed values: bands of severity and what to do
-NEXT_ACTIONS = {"critical": "Escalate now", "high": "Review today", "medium": "Review this week", "low": "Monitor"}
-
-
 def live(campaigns: DataFrame) -> DataFrame:
     return campaigns.filter("is_active AND status <> 'dismissed'")
 
@@ -24,16 +18,24 @@ def severity_band(severity: Column) -> Column:
     return F.when(severity >= 5, "critical").when(severity == 4, "high").when(severity == 3, "medium").otherwise("low")
 
 
-def next_action(severity: Column) -> Column:
-    band, out = severity_band(severity), F.lit(None).cast("string")
-    for name, action in NEXT_ACTIONS.items():
-        out = F.when(band == name, action).otherwise(out)
-    return out
+def next_action(campaign: DataFrame) -> Column:
+    """A struct of priority, title, reason and owner, by the campaign's confirmation, severity and risk."""
+    action = lambda priority, title, reason, owner: F.struct(priority.alias("priority"), F.lit(title).alias("title"), F.concat(*reason).alias("reason"), F.lit(owner).alias("owner"))
+    urgent, review = F.lit("URGENT"), F.lit("REVIEW")
+    documents, keys = campaign["document_count"].cast("string"), F.size(campaign["indicator_keys"]).cast("string")
+    unconfirmed = [documents, F.lit(" source documents and "), keys, F.lit(" exact indicators are linked, but an analyst has not confirmed this campaign yet.")]
+    severe = [F.lit("The campaign is analyst-confirmed, reaches severity level "), campaign["maximum_severity"].cast("string"), F.lit(", and was last observed "), F.date_format(campaign["last_seen"], "yyyy-MM-dd HH:mm"), F.lit(".")]
+    return (
+        F.when(~F.coalesce(campaign["analyst_confirmed"], F.lit(False)), action(F.when(campaign["risk_score"] >= 5, urgent).otherwise(review), "Confirm the strongest campaign link", unconfirmed, "Fraud Analysis"))
+        .when(campaign["maximum_severity"] >= 5, action(urgent, "Escalate this confirmed high-severity campaign", severe, "Fraud Operations"))
+        .otherwise(action(review, "Review the newest linked evidence", [documents, F.lit(" source documents currently support this active campaign.")], "Fraud Analysis"))
+    )
 
 
 def registry(campaigns: DataFrame) -> DataFrame:
     """Live campaigns with masked keys, the anchor's kind, band and next action (order by risk, last seen, key to show)."""
-    return live(campaigns).select(
+    rows = live(campaigns)
+    return rows.select(
         "campaign_key",
         indicators.key_kind(F.col("anchor")).alias("anchor_kind"),
         indicators.masked_key(F.col("anchor")).alias("masked_anchor"),
@@ -42,7 +44,7 @@ def registry(campaigns: DataFrame) -> DataFrame:
         F.round("risk_score", 4).alias("risk_score"),
         "document_count",
         severity_band(F.col("maximum_severity")).alias("band"),
-        next_action(F.col("maximum_severity")).alias("next_action"),
+        next_action(rows).alias("next_action"),
     )
 
 
@@ -57,12 +59,22 @@ def by_tactic(campaigns: DataFrame, pattern: str) -> DataFrame:
 
 def top_indicators(roles: DataFrame, n: int = 24) -> DataFrame:
     """The first indicators of each campaign by role and weight, masked."""
-    return best(roles, ["campaign_key"], F.asc("role"), F.desc("weight"), F.asc("key"), n=n).select("campaign_key", "role", F.round("weight", 4).alias("weight"), indicators.masked_key(F.col("key")).alias("masked_key"), "key")
+    return best(roles, ["campaign_key"], F.asc("role"), F.desc("weight"), F.asc("key"), n=n).select("campaign_key", "role", F.round("weight", 4).alias("weight"), indicators.masked(indicators.key_kind(F.col("key")), indicators.key_value(F.col("key"))).alias("display_value"), "key")
 
 
 def reason_labels(reasons: Column, n: int = 4) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in REASON_LABELS.items() for x in pair])
-    return F.slice(F.array_distinct(F.transform(reasons, lambda r: F.coalesce(F.try_element_at(names, r), F.lit("Supporting evidence")))), 1, n)
+    """What may be shown of reasons (structs of reason_type and shared_document_count): the first ``n`` different labels."""
+
+    def label(r: Column) -> Column:
+        many = F.when(r["shared_document_count"] > 1, F.concat(F.lit("Exact indicator shared across "), r["shared_document_count"].cast("string"), F.lit(" sources"))).otherwise("Exact indicator shared across sources")
+        return (
+            F.when(r["reason_type"] == "shared_strong_indicator", many)
+            .when(r["reason_type"] == "anchor_indicator", "Matches the campaign anchor indicator")
+            .when(r["reason_type"] == "analyst_confirmation", "Relationship confirmed by an analyst")
+            .otherwise("Linked by stored campaign evidence")
+        )
+
+    return F.slice(F.array_distinct(F.transform(F.coalesce(reasons, F.array().cast("array<struct<reason_type:string,shared_document_count:bigint>>")), label)), 1, n)
 
 
 def short_reasons(reasons: Column, n: int = 12, length: int = 180) -> Column:
@@ -132,7 +144,7 @@ def graph(campaigns: DataFrame, roles: DataFrame, members: DataFrame) -> tuple[D
         node(types, tag("scam_type"), "scam_type", _title(F.col("tag")), F.lit(6)),
         node(banks, tag("bank_role"), "bank_role", _title(F.col("tag")), F.lit(6)),
         node(docs, doc_id, "evidence", F.col("document_id"), F.lit(4)),
-        node(marks, mark_id, "indicator", F.col("masked_key"), F.lit(5)),
+        node(marks, mark_id, "indicator", F.col("display_value"), F.lit(5)),
     ])
     links = reduce(DataFrame.unionByName, [
         link(rows, hub, campaign_id, "contains", F.col("risk_score")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ringtrace.functions import fixed
+
 _CASES = r"""
 docs AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS document_id,
@@ -70,9 +72,36 @@ def _with(*parts: str) -> str:
 
 
 _GRAPH = (_CASES, _components("edges"), _SCORED)
-_MASK = r"""split_part(key, '|', 1) || ':' || CASE split_part(key, '|', 1)
+_SHOWN = r"""CASE split_part(key, '|', 1)
   WHEN 'email' THEN left(v, 1) || '•••@' || split_part(v, '@', 2) WHEN 'social_account' THEN '@' || left(v, 1) || '•••' || right(v, 2)
-  WHEN 'domain' THEN v WHEN 'qr_payload' THEN CASE WHEN length(v) <= 8 THEN '•••' ELSE left(v, 4) || '•••' || right(v, 2) END ELSE '•••' || right(v, 4) END"""
+  WHEN 'domain' THEN v WHEN 'qr_payload' THEN 'QR payload ••••' || right(regexp_replace(v, '\s+', '', 'g'), 4) WHEN 'media_hash' THEN 'media hash ••••' || right(v, 8)
+  ELSE replace(split_part(key, '|', 1), '_', ' ') || ' ••••' || right(v, 4) END"""
+_MASK = r"""split_part(key, '|', 1) || ':' || CASE split_part(key, '|', 1)
+  WHEN 'email' THEN left(v, 1) || '•••@' || split_part(v, '@', 2) WHEN 'social_account' THEN v WHEN 'domain' THEN v WHEN 'media_hash' THEN v WHEN 'qr_payload' THEN '••••' || right(regexp_replace(v, '\s+', '', 'g'), 4) ELSE '••••' || right(v, 4) END"""
+_LABEL = r"""'Suspected Scam · ' || CASE split_part(key, '|', 1) WHEN 'bank_account' THEN 'Bank account' WHEN 'phone' THEN 'Phone' WHEN 'email' THEN 'Email' WHEN 'domain' THEN 'Domain'
+  WHEN 'social_account' THEN 'Social account' WHEN 'qr_payload' THEN 'QR payload' WHEN 'transaction_reference' THEN 'Transaction reference' WHEN 'media_hash' THEN 'Shared media' END || ' ' ||
+  CASE WHEN split_part(key, '|', 1) IN ('bank_account', 'phone', 'transaction_reference') THEN '••••' || right(v, 4) WHEN length(v) > 36 THEN left(v, 33) || '…' ELSE v END"""
+#: Clusters of eligible documents alone, and the anomalies of all.
+_ELIGIBLE = """
+all_edges AS (SELECT * FROM edges), eligible_edges AS (
+  SELECT e.* FROM edges e JOIN docs d ON e.document_id = d.document_id WHERE {rule}
+)
+"""
+_ANOMALIES = r"""
+found AS (
+  SELECT 'high_severity_' || substr(sha256(document_id), 1, 16) AS anomaly_key, 'high_severity' AS anomaly_type, CAST(severity AS DOUBLE) AS observed, {severe}::DOUBLE AS threshold, 1::BIGINT AS document_count, NULL::VARCHAR AS component, NULL::VARCHAR AS indicator_key
+  FROM docs WHERE severity >= {severe}
+  UNION ALL SELECT 'repeated_indicator_' || substr(sha256(key), 1, 16), 'repeated_indicator', count(DISTINCT document_id), {repeats}, count(DISTINCT document_id), NULL, key FROM eligible_edges GROUP BY key HAVING count(DISTINCT document_id) >= {repeats}
+  UNION ALL SELECT 'burst_size_' || component, 'burst_size', count(*), {burst}, count(*), component, NULL FROM components GROUP BY component HAVING count(*) >= {burst}
+), behind AS (
+  SELECT anomaly_key, document_id, NULL::VARCHAR AS indicator_key FROM found JOIN docs ON anomaly_key = 'high_severity_' || substr(sha256(document_id), 1, 16)
+  UNION SELECT anomaly_key, NULL, key FROM found JOIN docs d ON anomaly_key = 'high_severity_' || substr(sha256(document_id), 1, 16) JOIN edges e ON e.document_id = d.document_id
+  UNION SELECT anomaly_key, document_id, NULL FROM found JOIN eligible_edges ON indicator_key = key
+  UNION SELECT anomaly_key, NULL, indicator_key FROM found WHERE anomaly_type = 'repeated_indicator'
+  UNION SELECT anomaly_key, document_id, NULL FROM found JOIN components USING (component)
+  UNION SELECT anomaly_key, NULL, key FROM found JOIN (SELECT component, key FROM eligible_edges JOIN components USING (document_id) GROUP BY 1, 2 HAVING count(DISTINCT document_id) > 1) USING (component)
+)
+"""
 _MATCH = r"""
 matches AS (
   SELECT e.document_id AS input_id, r.campaign_key, round(1 - product(1 - weight * CASE role WHEN 'supporting' THEN 0.75 ELSE 1 END), 4) AS match_score, bool_or(role = 'anchor') AS anchor_match, count(*) AS n_reasons
@@ -81,7 +110,7 @@ matches AS (
   SELECT * FROM (SELECT m.*, g.status = 'confirmed' AS confirmed, row_number() OVER (PARTITION BY input_id ORDER BY anchor_match DESC, match_score DESC, g.status = 'confirmed' DESC, risk_score DESC, document_count DESC, m.campaign_key) AS r
   FROM matches m JOIN registry g USING (campaign_key)) WHERE r = 1
 ), checks AS (
-  SELECT d.document_id AS input_id, campaign_key, match_score,
+  SELECT d.document_id AS input_id, campaign_key, match_score, coalesce(confirmed, false) AS confirmed,
     CASE WHEN NOT (specific_case AND category IN ('scam_report', 'impersonation_abuse'))
          THEN CASE WHEN category = 'noise' AND coalesce(anchor_match, false) THEN CASE WHEN confirmed THEN 'matched_campaign' ELSE 'possible_match' END ELSE 'not_scam' END
          WHEN coalesce(anchor_match, false) OR coalesce(match_score, 0) >= 0.85 THEN 'matched_campaign' WHEN coalesce(match_score, 0) >= 0.55 THEN 'possible_match' ELSE 'new_unmatched_case' END AS status
@@ -95,6 +124,12 @@ _HOST = "regexp_replace(regexp_extract(url, '://([^/?#:]*)', 1), '^www\\.', '')"
 _CANON = r"""rtrim(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || rtrim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), '/')"""
 _QUERY = r"""coalesce((SELECT '?' || string_agg(x, '&' ORDER BY x) FROM (SELECT unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS x) WHERE x <> '' AND NOT starts_with(x, 'utm_')), '')"""
 
+
+def _anomalies(body: str) -> str:
+    rule = "d.specific_case AND d.category IN ('scam_report', 'impersonation_abuse') AND d.confidence >= " + str(fixed.LEAST_CONFIDENCE)
+    return _with(_CASES, _ELIGIBLE.format(rule=rule), _components("eligible_edges"), _ANOMALIES.format(severe=fixed.HIGH_SEVERITY, repeats=fixed.REPEATED_INDICATOR, burst=fixed.BURST_SIZE)) + " " + body
+
+
 ORACLES: dict[str, str] = {
     "s1_filtered_scan": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_totalprice BETWEEN 100000 AND 200000 AND o_orderpriority <> '5-LOW'",
     "s1_newest_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 100",
@@ -107,7 +142,7 @@ ORACLES: dict[str, str] = {
     "s8_search_results": f"SELECT page_id AS query_id, CAST(CASE WHEN page_id % 2 = 0 THEN page_id ELSE 1 END AS INTEGER) AS position, 'page ' || page_id AS title, url, {_HOST} AS site FROM pages WHERE page_id % 7 <> 0",
     "s9_domain_filter": f"SELECT page_id FROM pages WHERE {_HOST} LIKE '%.example.net' OR {_HOST} = 'example.net' OR {_HOST} = 'tionsh.example.com' OR {_HOST} LIKE '%.tionsh.example.com'",
     "s14_provenance": "WITH " + _EVENTS + " SELECT job_id, event_type AS query_id, url_key AS document_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS found_at FROM e GROUP BY 1, 2, 3",
-    "s11_metric_rows": _with(_CASES) + r""" SELECT 'summary' AS metric_scope, 'all' AS metric_key, '{"document_count":' || (SELECT count(*) FROM docs) || ',"unique_indicator_count":' || count(DISTINCT key) || '}' AS metric_value FROM edges
+    "s11_metric_rows": _with(_CASES) + r""" SELECT 'summary' AS metric_scope, 'global' AS metric_key, '{"document_count":' || (SELECT count(*) FROM docs) || ',"unique_indicator_count":' || count(DISTINCT key) || '}' AS metric_value FROM edges
         UNION ALL SELECT 'category', category, '{"document_count":' || count(*) || '}' FROM docs GROUP BY category
         UNION ALL SELECT 'severity', CAST(severity AS VARCHAR), '{"document_count":' || count(*) || '}' FROM docs GROUP BY severity
         UNION ALL SELECT 'indicator', key, '{"document_count":' || count(*) || '}' FROM edges GROUP BY key""",
@@ -117,7 +152,24 @@ ORACLES: dict[str, str] = {
     "n12_money": r"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN regexp_replace(s, '[.].*', '') ELSE regexp_replace(regexp_replace(s, '(\.[0-9]*?)0+$', '\1'), '\.$', '') END || CASE p_partkey % 3 WHEN 0 THEN ' USD' WHEN 1 THEN ' EUR' ELSE ' VND' END AS money FROM (SELECT p_partkey, CAST(CAST(p_retailprice AS DECIMAL(18, 2)) AS VARCHAR) AS s FROM part)""",
     "n16_indicator_values": _with(_CASES) + " SELECT document_id, key, confidence FROM edges",
     "n19_classification": _with(_CASES) + " SELECT document_id, CASE WHEN severity = 0 THEN 'noise' ELSE category END AS category, CAST(least(5, greatest(1, round_even(confidence * 8, 0))) AS INTEGER) AS severity, round(least(1, greatest(0, confidence * 1.5 - 0.2)), 6) AS confidence, scam_type AS scam_types FROM docs",
-    "n25_masks": _with(_CASES) + f" SELECT DISTINCT key, {_MASK} AS masked FROM (SELECT key, regexp_extract(key, '\\|(.*)$', 1) AS v FROM edges)",
+    "n25_masks": _with(_CASES) + f" SELECT DISTINCT key, {_MASK} AS masked, {_SHOWN} AS shown FROM (SELECT key, regexp_extract(key, '\\|(.*)$', 1) AS v FROM edges)",
+    "n24_labels": _with(*_GRAPH) + f" SELECT campaign_key, {_LABEL} AS label FROM (SELECT campaign_key, anchor AS key, regexp_extract(anchor, '\\|(.*)$', 1) AS v FROM clusters)",
+    "d_anomalies": _anomalies("SELECT * FROM found"),
+    "d_evidence": _anomalies("SELECT * FROM behind"),
+    "d4_anomaly_rows": _anomalies("SELECT anomaly_key, observed AS score, CAST(greatest(1, least(5, observed)) AS INTEGER) AS severity, anomaly_type || ': observed ' || CAST(observed AS BIGINT) || ', threshold ' || CAST(threshold AS BIGINT) AS reason, document_count FROM found"),
+    "w10_anomaly_order": _anomalies("""SELECT anomaly_key, min(document_id) AS first_document, min(b.indicator_key) AS first_indicator FROM found JOIN behind b USING (anomaly_key) GROUP BY anomaly_key, anomaly_type
+        ORDER BY CASE anomaly_type WHEN 'high_severity' THEN 1 WHEN 'repeated_indicator' THEN 2 ELSE 3 END, first_document, first_indicator, anomaly_key LIMIT 100"""),
+    "e10_images": """SELECT doc_id, CASE WHEN doc_id % 10 = 0 OR length(trim(coalesce(text, ''))) < 400 OR regexp_matches(lower(text), 'lừa|scam|chuyển khoản|tài khoản|qr|mất tiền|giả mạo|phishing|số điện thoại|biên lai') THEN array_to_string(list_distinct_two, ',') ELSE '' END AS images, true AS needed
+        FROM (SELECT *, CASE WHEN source = lang THEN [source, 'third'] ELSE [source, lang] END AS list_distinct_two FROM documents)""",
+    "f5_bank_registry": _with(*_GRAPH) + f""" SELECT campaign_key, split_part(key, '|', 1) AS anchor_kind, {_MASK} AS masked_anchor, {_LABEL} AS label, status, risk_score, document_count,
+        CASE WHEN maximum_severity >= 5 THEN 'critical' WHEN maximum_severity = 4 THEN 'high' WHEN maximum_severity = 3 THEN 'medium' ELSE 'low' END AS band,
+        CASE WHEN status <> 'confirmed' AND risk_score >= 5 OR status = 'confirmed' AND maximum_severity >= 5 THEN 'URGENT' ELSE 'REVIEW' END AS priority,
+        CASE WHEN status <> 'confirmed' THEN 'Confirm the strongest campaign link' WHEN maximum_severity >= 5 THEN 'Escalate this confirmed high-severity campaign' ELSE 'Review the newest linked evidence' END AS title,
+        CASE WHEN status <> 'confirmed' THEN document_count || ' source documents and ' || (SELECT count(*) FROM keys WHERE component = c.component) || ' exact indicators are linked, but an analyst has not confirmed this campaign yet.'
+             WHEN maximum_severity >= 5 THEN 'The campaign is analyst-confirmed, reaches severity level ' || maximum_severity || ', and was last observed ' || strftime(last_seen, '%Y-%m-%d %H:%M') || '.'
+             ELSE document_count || ' source documents currently support this active campaign.' END AS reason,
+        CASE WHEN status = 'confirmed' AND maximum_severity >= 5 THEN 'Fraud Operations' ELSE 'Fraud Analysis' END AS owner
+        FROM (SELECT *, anchor AS key, regexp_extract(anchor, '\\|(.*)$', 1) AS v FROM registry WHERE status <> 'dismissed') c""",
     "e9_bundle": "SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(least(length(text), 12000) AS INTEGER) AS chars, CAST(least(10, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\s\\x{00A0}\\x{3000}]')))) AS INTEGER) AS n_comments, 1 AS n_media, length(text) < 400 AS needed FROM documents",
     "f1_eligible": _with(_CASES) + " SELECT document_id, category, severity, confidence FROM docs WHERE category IN ('scam_report', 'impersonation_abuse') AND confidence >= 0.6 AND specific_case",
     "v1_validated": _with(_CASES) + " SELECT document_id, concat_ws(',', CASE WHEN severity NOT BETWEEN 1 AND 5 THEN 'severity' END, CASE WHEN confidence NOT BETWEEN 0 AND 1 THEN 'confidence' END, CASE WHEN first_seen > last_seen THEN 'times' END) AS violations FROM docs WHERE severity NOT BETWEEN 1 AND 5 OR confidence NOT BETWEEN 0 AND 1 OR first_seen > last_seen",
@@ -125,8 +177,16 @@ ORACLES: dict[str, str] = {
     "v6_reconciled": _with(*_GRAPH) + " SELECT (SELECT count(*) FROM docs) AS document_count, count(*) AS active_campaigns, CAST(count_if(risk_score >= 5) AS BIGINT) AS high_risk_campaigns, CAST(coalesce(sum(document_count), 0) AS BIGINT) AS evidence_documents, true AS reconciled FROM registry WHERE status <> 'dismissed'",
     "j1_analytics_input": _with(_CASES) + " SELECT document_id, strftime(coalesce(p, first_seen), '%Y-%m-%d') AS first_seen, strftime(coalesce(p, first_seen), '%Y-%m-%d') AS last_seen, CAST((SELECT count(*) FROM edges WHERE edges.document_id = d.document_id) AS INTEGER) AS n FROM (SELECT *, CASE WHEN severity = 3 THEN first_seen + INTERVAL 1 DAY END AS p FROM docs WHERE severity > 0) d",
     "j3_exact_matches": _with(*_GRAPH, _MATCH) + " SELECT input_id, campaign_key, match_score, anchor_match, CAST(n_reasons AS INTEGER) AS n_reasons FROM matches",
-    "w2_best_campaign": _with(*_GRAPH, _MATCH) + " SELECT * FROM checks",
-    "f13_recommended": _with(*_GRAPH, _MATCH) + " SELECT status, CAST(step AS INTEGER) AS step, action, count(*) AS n FROM checks JOIN (VALUES ('matched_campaign', 1, 'block the beneficiary'), ('matched_campaign', 2, 'attach the case to the campaign'), ('possible_match', 1, 'review the match by hand'), ('new_unmatched_case', 1, 'open a new case'), ('new_unmatched_case', 2, 'watch its indicators'), ('not_scam', 1, 'close')) t(status, step, action) USING (status) GROUP BY ALL",
+    "w2_best_campaign": _with(*_GRAPH, _MATCH) + " SELECT * EXCLUDE (confirmed) FROM checks",
+    "f13_recommended": _with(*_GRAPH, _MATCH) + """ SELECT status, CAST(step AS INTEGER) AS step, action, count(*) AS n FROM (
+        SELECT status, 1 AS step, CASE status WHEN 'matched_campaign' THEN 'Pause the transfer and do not follow instructions in the submitted evidence.' WHEN 'possible_match' THEN 'Pause the transfer while the possible campaign match is reviewed.'
+          WHEN 'new_unmatched_case' THEN 'Do not proceed until the recipient and request are independently verified.' ELSE 'No concrete scam case was identified in this submission.' END AS action FROM checks
+        UNION ALL SELECT status, 2, CASE status WHEN 'matched_campaign' THEN CASE WHEN confirmed THEN 'Review the confirmed campaign evidence before taking bank action.' ELSE 'Treat this as a possible campaign match until an analyst confirms it.' END
+          WHEN 'possible_match' THEN 'Verify the recipient through an independent official channel.' WHEN 'new_unmatched_case' THEN 'Share the evidence anonymously so analysts can assess a new campaign.'
+          ELSE 'If money or credentials are requested, verify through an official channel before proceeding.' END FROM checks
+        UNION ALL SELECT status, 3, CASE status WHEN 'matched_campaign' THEN 'Verify the recipient through the bank''s official app, website, or card number.' WHEN 'possible_match' THEN 'Share the evidence anonymously if this is a concrete attempt.'
+          ELSE 'Do not install apps, reveal OTPs, or pay an advance fee.' END FROM checks WHERE status <> 'not_scam'
+        ) GROUP BY ALL""",
     "j9_campaign_evidence": _with(*_GRAPH) + " SELECT campaign_key, document_id, membership_score, CASE WHEN severity > 1 THEN 'Case ' || document_id ELSE 'Untitled document' END AS title FROM (SELECT *, row_number() OVER (PARTITION BY campaign_key ORDER BY membership_score DESC, document_id) AS r FROM members) JOIN docs USING (document_id) WHERE r <= 3",
     "j12_without_source": _with(*_GRAPH) + " SELECT campaign_key, document_count FROM clusters WHERE document_count <= 2",
     "j17_grounded_insights": _with(_CASES) + " SELECT 'About ' || document_id AS title, 5 AS severity, least(1, confidence + 0.5) AS confidence, document_id AS evidence_ids, 'https://x.example/' || document_id AS evidence_urls, sha256('About ' || document_id || '|' || document_id) AS insight_key FROM docs WHERE severity = 4",
@@ -147,7 +207,7 @@ ORACLES: dict[str, str] = {
         (SELECT string_agg(category || ':' || n, ',' ORDER BY category) FROM (SELECT category, count(*) AS n FROM docs JOIN components x USING (document_id) WHERE x.component = c.component GROUP BY 1)) AS category_counts,
         strftime(first_seen, '%Y-%m-%d') AS first_seen, strftime(last_seen, '%Y-%m-%d') AS last_seen FROM clusters c""",
     "g3_memberships": _with(*_GRAPH) + " SELECT campaign_key, document_id, membership_score, reasons FROM members",
-    "w5_masked_indicators": _with(*_GRAPH) + f" SELECT campaign_key, role, {_MASK} AS masked_key FROM (SELECT *, regexp_extract(key, '\\|(.*)$', 1) AS v, row_number() OVER (PARTITION BY campaign_key ORDER BY role, weight DESC, key) AS r FROM roles) WHERE r <= 2",
+    "w5_masked_indicators": _with(*_GRAPH) + f" SELECT campaign_key, role, {_SHOWN} AS display_value FROM (SELECT *, regexp_extract(key, '\\|(.*)$', 1) AS v, row_number() OVER (PARTITION BY campaign_key ORDER BY role, weight DESC, key) AS r FROM roles) WHERE r <= 2",
     "f7_by_tactic": _with(*_GRAPH) + " SELECT campaign_key FROM clusters WHERE scam_types LIKE '%urgent%' OR bank_roles LIKE '%building%'",
     "w9_best_cluster": _with(*_GRAPH) + " SELECT lookup_id, campaign_key, matched FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY matched DESC, risk_score DESC, campaign_key) AS r FROM (SELECT split_part(key, '|', 2) AS lookup_id, m.campaign_key, risk_score, count(DISTINCT document_id) AS matched FROM edges JOIN members m USING (document_id) JOIN registry g ON g.campaign_key = m.campaign_key AND g.status <> 'dismissed' WHERE kind = 'phone' GROUP BY ALL)) WHERE r = 1",
     "c1_windows": """WITH ranges AS (SELECT CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 75 AS e FROM orders WHERE o_orderkey % 50 = 0),
@@ -164,7 +224,8 @@ ORACLES: dict[str, str] = {
     "t3_fresh_hits": "WITH " + _EVENTS + " SELECT event_id, url_key FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY ts, event_id) AS r FROM e WHERE day(ts) > 20) WHERE r = 1 AND url_key NOT IN (SELECT url_key FROM e WHERE day(ts) <= 20)",
     "t5_first_last": "WITH " + _EVENTS + " SELECT url_key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) AS hits FROM e GROUP BY 1",
     "f6_selection": _with(_CASES) + " SELECT document_id FROM docs WHERE severity > 0 AND category IN ('noise', 'news_pr') AND specific_case AND first_seen BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-12-31' ORDER BY first_seen DESC, document_id LIMIT 200",
-    "f16_reasons": _with(_CASES) + " SELECT document_id, left(scam_type, 8) || ',shared_i,anchor_i' AS short, 'Supporting evidence,Shared indicator,Anchor indicator' AS shown FROM docs",
+    "f16_reasons": _with(_CASES) + """ SELECT document_id, left(scam_type, 8) || ',shared,anchor' AS short,
+        'Exact indicator shared across ' || CASE WHEN severity > 1 THEN severity || ' ' ELSE '' END || 'sources / Matches the campaign anchor indicator / Linked by stored campaign evidence' AS shown FROM docs""",
     "j10_profiles": _with(*_GRAPH) + " SELECT campaign_key, string_agg(document_id, ',' ORDER BY document_id) AS documents FROM (SELECT m.*, row_number() OVER (PARTITION BY m.campaign_key ORDER BY membership_score DESC, m.document_id) AS r FROM members m JOIN docs d ON d.document_id = m.document_id AND severity >= 2 JOIN clusters c ON c.campaign_key = m.campaign_key AND document_count > 2) WHERE r <= 2 GROUP BY 1",
     "j14_media_findings": "SELECT o_orderkey AS document_id, o_orderstatus AS url, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'read' WHEN o_orderkey % 4 = 0 THEN 'kept' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN o_orderpriority END AS note FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0",
     "j15_resolved": _with(_CASES) + " SELECT key, count(*) AS n, CAST(count_if(kind = 'email') AS BIGINT) AS missing FROM edges GROUP BY 1",

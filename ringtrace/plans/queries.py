@@ -161,7 +161,7 @@ def n19_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n25_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.edges(bindings.case_edges(spark, sf_dir)).select("key", indicators.masked_key(F.col("key")).alias("masked")).distinct()
+    return prepare.edges(bindings.case_edges(spark, sf_dir)).select("key", indicators.masked_key(F.col("key")).alias("masked"), indicators.masked(F.col("kind"), F.col("value")).alias("shown")).distinct()
 
 
 # extraction
@@ -240,13 +240,17 @@ def j3_exact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("input_id", "campaign_key", "match_score", "anchor_match", F.size("reasons").alias("n_reasons"))
 
 
-def w2_best_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, edges, clusters, members, campaigns = _registry(spark, sf_dir)
     roles = graph.indicator_roles(clusters, members)
     top = matching.best_campaign(matching.exact(edges.select(F.col("document_id").alias("input_id"), "kind", "value"), roles, campaigns), campaigns)
     rows = docs.select(F.col("document_id").alias("input_id"), "category", "specific_case").join(top, "input_id", "left")
     state = matching.status(F.col("category"), F.col("specific_case"), F.col("anchor_match"), F.col("match_score"), F.col("analyst_confirmed"), F.lit(False))
-    return rows.select("input_id", "campaign_key", "match_score", state.alias("status"))
+    return rows.select("input_id", "campaign_key", "match_score", state.alias("status"), "analyst_confirmed")
+
+
+def w2_best_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checks(spark, sf_dir).drop("analyst_confirmed")
 
 
 def j5_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,7 +408,7 @@ def g3_line_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d_line_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, edges, clusters, _ = _line_clusters(spark, sf_dir, only_eligible=True)
-    return anomalies.found(docs, edges, clusters).select("anomaly_type", "anomaly_key", "observed")
+    return anomalies.found(docs, edges, clusters).select("anomaly_type", "anomaly_key", "observed", "document_count")
 
 
 def n24_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,13 +437,26 @@ def g5_registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, edges, clusters, _ = _clusters(spark, sf_dir, only_eligible=True)
-    out = anomalies.found(docs, edges, clusters)
-    return out.select("anomaly_type", "observed", joined_text("document_ids").alias("document_ids"), joined_text("indicator_keys").alias("indicator_keys"))
+    return anomalies.found(docs, edges, clusters)
+
+
+def d_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, edges, clusters, members = _clusters(spark, sf_dir, only_eligible=True)
+    every = prepare.edges(bindings.case_edges(spark, sf_dir))
+    return anomalies.evidence(anomalies.found(docs, edges, clusters), docs, every, edges, clusters, members)
 
 
 def d4_anomaly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, edges, clusters, _ = _clusters(spark, sf_dir, only_eligible=True)
-    return anomalies.anomaly_rows(anomalies.found(docs, edges, clusters)).groupBy("anomaly_type", "severity", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return anomalies.anomaly_rows(anomalies.found(docs, edges, clusters)).select("anomaly_key", "score", "severity", "reason", F.col("metrics.document_count").alias("document_count"))
+
+
+def w10_anomaly_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred anomalies in the order in which they are shown."""
+    docs, edges, clusters, members = _clusters(spark, sf_dir, only_eligible=True)
+    found = anomalies.found(docs, edges, clusters)
+    behind = anomalies.evidence(found, docs, prepare.edges(bindings.case_edges(spark, sf_dir)), edges, clusters, members)
+    return anomalies.ordered(found, behind).limit(100).select("anomaly_key", "first_document", "first_indicator")
 
 
 def g6_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,11 +477,12 @@ def g7_filtered_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w5_masked_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, clusters, members = _clusters(spark, sf_dir)
-    return views.top_indicators(graph.indicator_roles(clusters, members), 2).select("campaign_key", "role", "masked_key")
+    return views.top_indicators(graph.indicator_roles(clusters, members), 2).select("campaign_key", "role", "display_value")
 
 
 def f5_bank_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.registry(_registry(spark, sf_dir)[4])
+    out = views.registry(_registry(spark, sf_dir)[4])
+    return out.select(*[c for c in out.columns if c != "next_action"], "next_action.*")
 
 
 def f7_by_tactic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -480,7 +498,7 @@ def f12_result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f13_recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.recommended(w2_best_campaign(spark, sf_dir)).groupBy("status", "step", "action").agg(F.count(F.lit(1)).alias("n"))
+    return matching.recommended(_checks(spark, sf_dir)).groupBy("status", "step", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
 def f14_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -557,8 +575,17 @@ def f6_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f16_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = _cases(spark, sf_dir)
-    given = F.concat("scam_types", F.array(F.lit("shared_indicator"), F.lit("anchor_indicator")), "scam_types")
-    return docs.select("document_id", joined_text(views.short_reasons(given, 12, 8)).alias("short"), joined_text(views.reason_labels(given)).alias("shown"))
+    short = F.concat("scam_types", F.array(F.lit("shared"), F.lit("anchor")), "scam_types")
+    reason = lambda kind, n: F.struct(kind.alias("reason_type"), n.cast("bigint").alias("shared_document_count"))
+    given = F.array(reason(F.lit("shared_strong_indicator"), F.col("severity")), reason(F.lit("anchor_indicator"), F.lit(None)), reason(F.col("category"), F.lit(2)), reason(F.lit("anchor_indicator"), F.lit(9)))
+    return docs.select("document_id", joined_text(views.short_reasons(short, 12, 8)).alias("short"), F.array_join(views.reason_labels(given), " / ").alias("shown"))
+
+
+def e10_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bindings.read(spark, sf_dir, "documents")
+    images = F.array("source", "lang", "source", F.lit("third"))
+    mode = F.when(F.col("doc_id") % 10 == 0, "all").otherwise("relevant")
+    return docs.select("doc_id", joined_text(extraction.images_wanted(mode, F.col("text"), images)).alias("images"), extraction.enrichment_needed(F.col("text"), images).alias("needed"))
 
 
 def j10_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

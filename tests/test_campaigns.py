@@ -71,9 +71,15 @@ def test_metrics_and_anomalies(base):
     s = metrics.summary(docs, edges).first()
     assert (s.document_count, s.unique_indicator_count, s.document_indicator_edge_count, s.maximum_severity, s.average_confidence) == (4, 3, 5, 5, 0.7)
     linking = prepare.linking(edges)
-    clusters, _ = graph.clusters(docs, linking)
+    clusters, members = graph.clusters(docs, linking)
     found = anomalies.found(docs, linking, clusters).groupBy("anomaly_type").count().collect()
     assert {r.anomaly_type: r["count"] for r in found} == {"high_severity": 3, "repeated_indicator": 2, "burst_size": 1}
+    rows = anomalies.found(docs, linking, clusters)
+    behind = anomalies.evidence(rows, docs, linking, linking, clusters, members).collect()
+    burst = next(r for r in rows.collect() if r.anomaly_type == "burst_size")
+    assert len([r for r in behind if r.anomaly_key == burst.anomaly_key and r.document_id]) == burst.document_count
+    order = [r.anomaly_type for r in anomalies.ordered(rows, anomalies.evidence(rows, docs, linking, linking, clusters, members)).collect()]
+    assert order == sorted(order, key=anomalies.ORDER.index)
 
 
 def test_empty_input(spark):
@@ -140,7 +146,7 @@ def test_labels_of_analysts_stay(spark):
     rows = {r.campaign_key: r for r in registry.merged(clusters, old, registry.assigned(clusters, old)).collect()}
     assert (rows["n1"].label, rows["n1"].risk_score, rows["n1"].is_active, rows["n2"].is_active) == ("Mine", 5.0, True, False)
     new = registry.merged(clusters, old.limit(0), registry.assigned(clusters, old.limit(0))).first()
-    assert new.label == "Fake Bank · Phone · ••••5678"
+    assert new.label == "Fake Bank · Phone ••••5678"
 
 
 @pytest.mark.parametrize(("category", "specific", "anchor", "score", "confirmed", "contextual", "want"), [
@@ -237,7 +243,7 @@ def test_metrics_have_evidence_as_rows(base):
     for df in (metrics.summary(docs, edges), metrics.by_category(docs), metrics.by_severity(docs), metrics.by_indicator(docs, edges)):
         assert not {"evidence_document_ids", "evidence_keys"} & set(df.columns)
     rows = {(r.metric_scope, r.metric_key): r["count"] for r in metrics.evidence(docs, edges).groupBy("metric_scope", "metric_key").count().collect()}
-    assert (rows["summary", "all"], rows["category", "scam_report"], rows["severity", "5"], rows["indicator", "phone|0912345678"]) == (4, 2, 2, 2)
+    assert (rows["summary", "global"], rows["category", "scam_report"], rows["severity", "5"], rows["indicator", "phone|0912345678"]) == (4, 2, 2, 2)
 
 
 def test_line_clusters_have_a_large_component(spark, sf):

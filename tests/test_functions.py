@@ -66,8 +66,20 @@ def test_lookup_values(spark):
 
 
 def test_masks(spark):
-    keys = ["bank_account|001234567890", "email|abc@d.example", "social_account|seller1", "message_template|short", "url|https://a.example/x?y=1"]
-    assert apply(spark, indicators.masked_key, keys) == ["bank_account:•••7890", "email:a•••@d.example", "social_account:@s•••r1", "message_template:•••", "url:a.example/x"]
+    keys = ["bank_account|001234567890", "email|abc@d.example", "social_account|seller1", "message_template|short", "qr_payload|QR 12 34"]
+    assert apply(spark, indicators.masked_key, keys) == ["bank_account:••••7890", "email:a•••@d.example", "social_account:seller1", "message_template:short", "qr_payload:••••1234"]
+    shown = lambda c: indicators.masked(indicators.key_kind(c), indicators.key_value(c))
+    keys += ["url|https://u:p@a.example/x?y=1", "url|https://a.example/?q", "url|ftp://x", "media_hash|sha256:00aa11bb22cc", "transaction_reference|--", "person_alias|Jane Doe", "domain|https://a.b/c", "social_account|@ab", "email|nobody", "other|x"]
+    assert apply(spark, shown, keys) == [
+        "bank account ••••7890", "a•••@d.example", "@s•••r1", "Stored message pattern", "QR payload ••••1234", "untrusted URL", "a.example", "untrusted URL", "media hash ••••11bb22cc",
+        "transaction reference ••••----", "Stored person alias", "a.b", "masked social account", "masked email", "Stored campaign indicator",
+    ]
+
+
+def test_labels(spark):
+    rows = spark.createDataFrame([("loan_scam", "phone|0912345678"), ("1_urgent", "email|" + "x" * 40), (None, "other|v"), ("a_b", "domain|a.b"), ("ROMANCE_scam2x", "qr_payload|q")], "t string, k string")
+    got = [r.o for r in rows.select(indicators.campaign_label(F.col("t"), F.col("k")).alias("o")).collect()]
+    assert got == ["Loan Scam · Phone ••••5678", "Suspected Scam · Email " + "x" * 33 + "…", "Suspected Scam · Indicator v", "Suspected Scam · Domain a.b", "Romance Scam2X · QR payload q"]
 
 
 def test_extraction(spark):
