@@ -66,7 +66,8 @@ def test_discarded_tables_are_gone(spark):
 
 
 def test_letters():
-    assert language.LETTERS.findall("½ ² ٣ 12 _ a1b été 日本") == ["a", "b", "été", "日本"]
+    for text in ("½ ² ٣ 12 _ a1b été 日本", "12 _ a1b Été 日本"):
+        assert language.letter_runs(text) == language.LETTERS.findall(text.lower()) == ["a", "b", "été", "日本"]
 
 
 def test_language_sample_is_bounded(spark):
