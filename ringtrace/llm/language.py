@@ -36,8 +36,8 @@ UNKNOWN = "und"
 #: What counts as a word character but is no letter: numbers other than digits.
 _NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
 LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+")
-#: The same, and far faster, for texts without such numbers.
-_PLAIN, _NUMBER = re.compile(r"[^\W\d_]+"), re.compile(f"[{re.escape(_NUMBERS)}]")
+#: Runs of letters and such numbers: far faster.
+_PLAIN = re.compile(r"[^\W\d_]+")
 KEPT_WORDS = 400_000
 
 
@@ -49,8 +49,10 @@ def subwords(word: str) -> list[int]:
 
 def letter_runs(text: str) -> list[str]:
     """Runs of letters of a text, in lower case."""
-    text = text.lower()
-    return (_PLAIN if text.isascii() or not _NUMBER.search(text) else LETTERS).findall(text)
+    runs = _PLAIN.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [x for run in runs for x in ([run] if run.isalpha() else LETTERS.findall(run))]
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
