@@ -135,14 +135,25 @@ def test_token_rollups(spark):
 
 
 def test_token_counts_of_repeated_and_missing_ids(spark, odd, tmp_path):
-    import duckdb
-    from ringtrace.llm import oracles, queries
+    """Every row counts, by the libraries' own counts, whatever its id."""
+    import public_tokenizers
+    import tiktoken
+    from ringtrace.llm import bpe, queries
+    from ringtrace.llm.wordpiece import tokenizer_path
+    from tokenizers import Tokenizer
 
     long = "a row without an id has words all the same"
     docs = odd.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(None, long + " 12", "en", None), (None, long, "en", None), (1, long, "en", "a")], "doc_id bigint, text string, lang string, source string"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    want = con.sql(oracles.TOKEN_COUNTS)
-    got = queries.op10_token_counts(spark, str(tmp_path)).select(*want.columns).collect()
-    assert {tuple(r) for r in got} == set(want.fetchall()) and len(got) == len(want.fetchall())
+    word = Tokenizer.from_file(tokenizer_path(queries.WORD_BPE))
+    byte = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(tokenizer_path(queries.BYTE_BPE)), special_tokens={})
+    count = {queries.WORD_BPE: lambda t: len(word.encode(t, add_special_tokens=False).ids), queries.BYTE_BPE: lambda t: len(byte.encode_ordinary(t))}
+    want: dict = {}
+    for r in docs.collect():
+        text = r.text or ""
+        for name, of in count.items():
+            if of(text) >= 5:
+                n, t = want.get((r.source, r.lang, name), (0, 0))
+                want[r.source, r.lang, name] = (n + 1, t + of("\n".join(dict.fromkeys(text.split("\n")))))
+    got = queries.op10_token_counts(spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in got} == want and len(got) == len(want)
