@@ -27,7 +27,7 @@ from ringtrace.llm.quality import let
 
 #: Characters of a chunk's documents (the last one may reach beyond), and words of a row: binding
 #: the rank map copies it once a row, some 50 ms, so rows are long.
-CHUNK_CHARS, ROW_WORDS = 24_000_000, 65_536
+CHUNK_CHARS, ROW_WORDS = 24_000_000, 131_072
 #: Longer words are merged in Python with a heap: a fold takes time by the square of the length.
 FOLD_BYTES = 1024
 #: The rank of what is no token; ids, places and ranks are packed into one number.
