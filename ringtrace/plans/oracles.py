@@ -13,9 +13,9 @@ docs AS (
          o_orderdate AS first_seen, coalesce(shipped, o_orderdate) AS last_seen
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
 ), items AS (
-  SELECT CAST(l_orderkey AS VARCHAR) AS document_id, l_partkey AS p, 1 - l_discount AS c, l_linenumber,
-         lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS padded
-  FROM lineitem WHERE l_quantity >= 48 AND l_returnflag = 'R'
+  SELECT document_id, p, c, l_linenumber, lpad(CAST(p % 100000000 AS VARCHAR), 8, '0') AS padded
+  FROM (SELECT CAST(l_orderkey AS VARCHAR) AS document_id, 1 - l_discount AS c, l_linenumber,
+               CAST(l_partkey AS BIGINT) * 1000 + coalesce(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)), 0) // 7 AS p FROM lineitem)
 ), edges AS (
   SELECT document_id, kind, kind || '|' || value AS key, max(round(c, 2)) AS confidence, min(shown) AS display_value, max(w) AS w FROM (
     SELECT document_id, c, CASE p % 8 WHEN 0 THEN 'bank_account' WHEN 1 THEN 'phone' WHEN 2 THEN 'email' WHEN 3 THEN 'domain' WHEN 4 THEN 'social_account' WHEN 5 THEN 'qr_payload' WHEN 6 THEN 'transaction_reference' ELSE 'media_hash' END AS kind,
@@ -189,7 +189,7 @@ ORACLES: dict[str, str] = {
         ) GROUP BY ALL""",
     "j9_campaign_evidence": _with(*_GRAPH) + " SELECT campaign_key, document_id, membership_score, CASE WHEN severity > 1 THEN 'Case ' || document_id ELSE 'Untitled document' END AS title FROM (SELECT *, row_number() OVER (PARTITION BY campaign_key ORDER BY membership_score DESC, document_id) AS r FROM members) JOIN docs USING (document_id) WHERE r <= 3",
     "j12_without_source": _with(*_GRAPH) + " SELECT campaign_key, document_count FROM clusters WHERE document_count <= 2",
-    "j17_grounded_insights": _with(_CASES) + " SELECT 'About ' || document_id AS title, 5 AS severity, least(1, confidence + 0.5) AS confidence, document_id AS evidence_ids, 'https://x.example/' || document_id AS evidence_urls, sha256('About ' || document_id || '|' || document_id) AS insight_key FROM docs WHERE severity = 4",
+    "j17_grounded_insights": _with(_CASES) + " SELECT 'About ' || document_id AS title, least(5, greatest(1, severity + 3)) AS severity, least(1, confidence + 0.5) AS confidence, document_id AS evidence_ids, 'https://x.example/' || document_id AS evidence_urls, sha256('About ' || document_id || '|' || document_id) AS insight_key FROM docs",
     "a1_summary": _with(_CASES) + " SELECT count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, (SELECT count(DISTINCT key) FROM edges) AS unique_indicator_count, (SELECT count(*) FROM edges) AS document_indicator_edge_count, md5(string_agg(document_id, ',' ORDER BY document_id)) AS ids, (SELECT md5(string_agg(DISTINCT key, ',' ORDER BY key)) FROM edges) AS keys FROM docs",
     "a2_by_category": _with(_CASES) + " SELECT category, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, md5(string_agg(document_id, ',' ORDER BY document_id)) AS evidence_document_ids, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
     "a3_by_severity": _with(_CASES) + " SELECT severity, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, md5(string_agg(document_id, ',' ORDER BY document_id)) AS evidence_document_ids, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
@@ -210,7 +210,7 @@ ORACLES: dict[str, str] = {
     "w5_masked_indicators": _with(*_GRAPH) + f" SELECT campaign_key, role, {_SHOWN} AS display_value FROM (SELECT *, regexp_extract(key, '\\|(.*)$', 1) AS v, row_number() OVER (PARTITION BY campaign_key ORDER BY role, weight DESC, key) AS r FROM roles) WHERE r <= 2",
     "f7_by_tactic": _with(*_GRAPH) + " SELECT campaign_key FROM clusters WHERE scam_types LIKE '%urgent%' OR bank_roles LIKE '%building%'",
     "w9_best_cluster": _with(*_GRAPH) + " SELECT lookup_id, campaign_key, matched FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY matched DESC, risk_score DESC, campaign_key) AS r FROM (SELECT split_part(key, '|', 2) AS lookup_id, m.campaign_key, risk_score, count(DISTINCT document_id) AS matched FROM edges JOIN members m USING (document_id) JOIN registry g ON g.campaign_key = m.campaign_key AND g.status <> 'dismissed' WHERE kind = 'phone' GROUP BY ALL)) WHERE r = 1",
-    "c1_windows": """WITH ranges AS (SELECT CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 75 AS e FROM orders WHERE o_orderkey % 50 = 0),
+    "c1_windows": """WITH ranges AS (SELECT CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 75 AS e FROM orders),
         months AS (SELECT s, e, CAST(unnest(generate_series(date_trunc('month', s), e, INTERVAL 1 MONTH)) AS DATE) AS month FROM ranges),
         clipped AS (SELECT month, greatest(s, month) AS a, least(e, last_day(month)) AS b FROM months),
         weeks AS (SELECT month, b, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS w FROM clipped)

@@ -32,11 +32,12 @@ def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returned items of large quantity as the cases' indicators, of the eight linking kinds."""
-    items = read(spark, sf_dir, "lineitem").filter("l_quantity >= 48 AND l_returnflag = 'R'")
-    p = F.col("l_partkey")
+    """All items as the cases' indicators, of the eight linking kinds: a part in the week it was shipped (1992-01-01 where that is not known)."""
+    items = read(spark, sf_dir, "lineitem")
+    week = F.floor(F.coalesce(F.datediff("l_shipdate", F.lit("1992-01-01")), F.lit(0)) / 7)
+    p = F.col("l_partkey").cast("bigint") * 1000 + week
     kinds = list(fixed.LINK_WEIGHTS)
-    padded = F.lpad(p.cast("string"), 8, "0")
+    padded = F.lpad((p % 100_000_000).cast("string"), 8, "0")
     value = F.element_at(F.array(
         F.concat(F.lit("1000"), padded), F.concat(F.lit("+849"), padded), F.concat(F.lit("P"), p.cast("string"), F.lit("@shop.example")), F.concat(F.lit("www.p"), p.cast("string"), F.lit(".example.com")),
         F.concat(F.lit("@seller"), p.cast("string")), F.concat(F.lit("QRPAY "), p.cast("string")), F.concat(F.lit("ref-1"), padded), F.concat(F.lit("sha256:"), F.md5(p.cast("string"))),
