@@ -75,9 +75,12 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = items.select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(window))
     each = F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))
-    rows = rows.select("item_id", F.explode(each).alias("window")).groupBy("window").agg(F.collect_set("item_id").alias("items"))
-    whole = F.element_at(run_hashes(F.col("window"), list(range(1, window + 1))), F.size("window"))
-    return rows.select(F.get(whole, F.lit(0)).alias("h"), "window", "items")
+    rows = rows.select("item_id", F.explode(each).alias("window"))
+    lengths = sorted(r.n for r in rows.select(F.size("window").alias("n")).distinct().collect())  # ``window`` of them at most
+    whole = F.lit(None).cast("bigint")
+    for n in lengths:
+        whole = F.when(F.size("window") == n, F.get(F.get(run_hashes(F.col("window"), [n]), F.lit(0)), F.lit(0))).otherwise(whole)
+    return rows.groupBy("window").agg(F.collect_set("item_id").alias("items")).select(whole.alias("h"), "window", "items")
 
 
 def digest(text: Column) -> Column:
