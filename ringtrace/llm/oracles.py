@@ -24,14 +24,14 @@ WITH docs AS (
   FROM measured
 ), hosts AS (
   SELECT source, count(*) AS n, sum(CASE WHEN base_failed OR soft_failed THEN 1 ELSE 0 END) AS f FROM failing GROUP BY source
+), sums AS (
+  SELECT CAST(sum(f) AS DOUBLE) / sum(n) AS m, CAST(sum(n) AS DOUBLE) AS total, CAST(sum(n * n) AS DOUBLE) AS squares, count(*) - 1 AS k, sum(CAST(f AS DOUBLE) * f / n) AS own FROM hosts
 ), prior AS (
-  SELECT avg(f / n) AS m, var_samp(f / n) AS v FROM hosts
+  SELECT m, CASE WHEN share > 0 THEN greatest(1.0, 1 / share - 1) END AS s
+  FROM (SELECT m, CASE WHEN m > 0 AND m < 1 AND total - squares / total - k <> 0 THEN ((own - total * m * m) / (m * (1 - m)) - k) / (total - squares / total - k) END AS share FROM sums)
 ), verdicts AS (
-  SELECT source, rate - m > 0.8 * sqrt(rate * (1 - rate) / (n + s + 1)) AS rejected
-  FROM (
-    SELECT *, (f + m * s) / (n + s) AS rate
-    FROM (SELECT source, n, f, m, CASE WHEN v > 0 THEN greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) ELSE 10.0 END AS s FROM hosts, prior)
-  )
+  SELECT source, coalesce(rate - m > 3.0 * sqrt(rate * (1 - rate) / (n + s + 1)), false) AS rejected
+  FROM (SELECT source, n, m, s, (f + m * s) / (n + s) AS rate FROM hosts, prior)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (soft_failed AND rejected) AS kept
 FROM failing f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source

@@ -1,10 +1,11 @@
 """Quality rules at document and at host level, in DataFrame expressions alone.
 
 Every document is measured once.  Hosts (here: sources) get the share of their documents that
-fail any rule, shrunk towards the corpus by a beta prior fitted to all hosts' rates (method of
-moments), so that a host of few documents is not judged by chance.  A host is untrusted if its
-shrunk rate lies above the prior's mean by more than ``spreads`` deviations of its own posterior
-(a beta distribution), so that what counts as bad follows the corpus.  Host verdicts are joined back to documents: a document
+fail any rule, shrunk towards the corpus by a beta prior, so that a host of few documents is not judged
+by chance.  The prior is fitted to all hosts (method of moments): their failures vary by chance even where all hosts are
+alike, so this binomial part is taken off first, hosts being weighted by their documents.  If nothing is left, hosts do
+not differ and none is untrusted.  Else a host is untrusted if its shrunk rate lies above the prior's mean by more than ``spreads``
+deviations of its own posterior (a beta distribution).  Host verdicts are joined back to documents: a document
 that fails a base rule goes; one that fails only a further rule (symbols, repeated lines)
 goes if its host is untrusted.  A document that breaks no rule always stays.
 """
@@ -20,7 +21,7 @@ from ringtrace.llm.common import SPACE, written
 
 WINDOW = 8
 #: Deviations of the posterior by which an untrusted host's rate lies above the prior's mean.
-SPREADS = 0.8
+SPREADS = 3.0
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,21 +77,27 @@ def measured(docs: DataFrame, prefix: str = "") -> DataFrame:
     return out.withColumns({f"{p}base_failed": base, f"{p}soft_failed": soft})
 
 
-def host_verdicts(rows: DataFrame, host: str = "source", prefix: str = "", spreads: float = SPREADS, weak_prior: float = 10.0) -> DataFrame:
-    """A row for each host (null is one): documents, failures, shrunk rate, host_rejected.
+def host_verdicts(rows: DataFrame, host: str = "source", prefix: str = "", spreads: float = SPREADS) -> DataFrame:
+    """A row for each host (null is one): host, documents, failures, rate (shrunk), host_rejected.
 
-    The prior's strength is ``weak_prior`` documents where the rates do not vary (one host, or
-    all alike), and lies between 1 and 1000.
+    With k hosts of n documents (N in all), mean rate m and S = sum(n * (rate - m)^2), the hosts' own share of the variance is
+    (S / (m (1 - m)) - (k - 1)) / (N - sum(n^2) / N - (k - 1)); the prior is worth 1 / share - 1 documents, one at least.
+    One host, rates that vary no more than by chance, and rates that are all 0 or all 1 leave every host at the mean.
     """
     failed = F.col(f"{prefix}base_failed") | F.col(f"{prefix}soft_failed")
     hosts = rows.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("documents"), F.sum(failed.cast("bigint")).alias("failures"))
-    rate = F.col("failures") / F.col("documents")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v"))
-    strength = F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(weak_prior))
-    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("documents") + F.col("strength") + 1))
+    n, f = F.col("documents").cast("double"), F.col("failures").cast("double")
+    sums = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("all"), F.sum(n * n).alias("squares"), F.sum(f).alias("failed"), F.sum(f * f / n).alias("own"))
+    m, k = F.col("failed") / F.col("all"), F.col("k") - 1
+    # S in one pass: sum(n * rate^2) - N * m^2
+    between, within = F.col("own") - F.col("all") * m * m, m * (1 - m)
+    share = F.when(within > 0, F.try_divide(F.try_divide(between, within) - k, F.col("all") - F.col("squares") / F.col("all") - k))
+    prior = sums.select(m.alias("m"), F.when(share > 0, F.greatest(F.lit(1.0), 1 / share - 1)).alias("strength"))
     # the prior is one row
-    rated = hosts.join(F.broadcast(prior.select("m", strength.alias("strength")))).select("host", "documents", "failures", "m", "strength", ((F.col("failures") + F.col("m") * F.col("strength")) / (F.col("documents") + F.col("strength"))).alias("rate"))
-    return rated.select("host", "documents", "failures", "rate", (F.col("rate") - F.col("m") > spreads * deviation).alias("host_rejected"))
+    rate = F.when(F.col("strength").isNull(), F.col("m")).otherwise((f + F.col("m") * F.col("strength")) / (n + F.col("strength")))
+    rated = hosts.join(F.broadcast(prior)).select("host", "documents", "failures", "m", "strength", rate.alias("rate"))
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("documents") + F.col("strength") + 1))
+    return rated.select("host", "documents", "failures", "rate", F.coalesce(F.col("rate") - F.col("m") > spreads * deviation, F.lit(False)).alias("host_rejected"))
 
 
 def judged(docs: DataFrame, host: str = "source", prefix: str = "", spreads: float = SPREADS, keep_text: bool = True) -> DataFrame:

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from ringtrace.llm import language, quality, secrets, token_counts, url_filters
@@ -157,3 +158,29 @@ def test_token_counts_of_repeated_and_missing_ids(spark, odd, tmp_path):
                 want[r.source, r.lang, name] = (n + 1, t + of("\n".join(dict.fromkeys(text.split("\n")))))
     got = queries.op10_token_counts(spark, str(tmp_path)).collect()
     assert {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens) for r in got} == want and len(got) == len(want)
+
+
+def _host_rows(spark, counts):
+    """(host, documents, failures) as measured rows."""
+    rows = [(h, False, i < f) for h, n, f in counts for i in range(n)]
+    return spark.createDataFrame(rows, "source string, base_failed boolean, soft_failed boolean")
+
+
+def test_planted_hosts_are_rejected_and_chance_is_not(spark):
+    rng = np.random.default_rng(8)
+    rejected = lambda counts: {r.host for r in quality.host_verdicts(_host_rows(spark, counts)).collect() if r.host_rejected}
+    alike = [(f"h{i}", int(n), int(rng.binomial(n, 0.14))) for i, n in enumerate(rng.integers(20, 400, 40))]
+    assert rejected(alike) == set()
+    planted = [*alike, ("bad", 300, 210), ("worse", 60, 55), (None, 200, 180), ("tiny", 2, 2)]
+    assert rejected(planted) == {"bad", "worse", None}
+    assert rejected([("one", 50, 20)]) == rejected([("a", 10, 0), ("b", 10, 0)]) == rejected([("a", 10, 10), ("b", 5, 5)]) == set()
+
+
+def test_shrunk_rates(spark):
+    counts = [("a", 100, 10), ("b", 100, 60), ("c", 40, 8), ("d", 10, 9)]
+    n, f = np.array([c[1] for c in counts], float), np.array([c[2] for c in counts], float)
+    m, k = f.sum() / n.sum(), len(n) - 1
+    share = ((n * (f / n - m) ** 2).sum() / (m * (1 - m)) - k) / (n.sum() - (n * n).sum() / n.sum() - k)
+    s = max(1, 1 / share - 1)
+    got = {r.host: r.rate for r in quality.host_verdicts(_host_rows(spark, counts)).collect()}
+    assert [got[c[0]] for c in counts] == pytest.approx(((f + m * s) / (n + s)).tolist())
