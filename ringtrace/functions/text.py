@@ -61,7 +61,7 @@ def phone(c: Column) -> Column:
     """Digits, with the country prefix 84 as a leading zero, or a kept plus."""
     digits = F.regexp_replace(c, "[^0-9]", "")
     home = digits.startswith("84") & (F.length(digits) >= 10)
-    return F.when(digits == "", "").when(home, F.concat(F.lit("0"), F.substring(digits, 3, 100))).when(F.ltrim(c).startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
+    return F.when(digits == "", "").when(home, F.concat(F.lit("0"), F.substr(digits, F.lit(3)))).when(F.ltrim(c).startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
 
 
 def code(c: Column) -> Column:
@@ -78,7 +78,7 @@ def money(c: Column) -> Column:
 
     def amount(n: Column) -> Column:
         groups = F.split(n, "[.,]")
-        thousands = (F.size(groups) > 1) & F.forall(F.slice(groups, 2, 100), lambda g: (g == "") | (F.length(g) == 3))
+        thousands = (F.size(groups) > 1) & F.forall(F.slice(groups, 2, F.size(groups)), lambda g: (g == "") | (F.length(g) == 3))
         point = F.when(thousands, F.array_join(groups, "")).when(n.contains(",") & ~n.contains("."), F.replace(n, F.lit(","), F.lit("."))).when(
             n.contains(",") & n.contains("."), F.concat(F.regexp_replace(F.regexp_extract(n, "^(.*)[.,]([^.,]*)$", 1), "[.,]", ""), F.lit("."), F.regexp_extract(n, "^(.*)[.,]([^.,]*)$", 2))
         ).otherwise(n)

@@ -10,14 +10,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ringtrace.functions import fixed
+from ringtrace.operators.common import discard, written
 
 #: The order in which kinds are shown.
 ORDER = ["high_severity", "repeated_indicator", "burst_size"]
 
 
-def _rows(df: DataFrame, kind: str, of: Column, observed: Column, threshold: int, documents: Column, component: Column | None = None, key: Column | None = None) -> DataFrame:
+def _rows(df: DataFrame, kind: str, of: Column, observed: Column, threshold: int, documents: Column, campaign: Column | None = None, key: Column | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
     return df.select(
         F.concat(F.lit(f"{kind}_"), of).alias("anomaly_key"),
@@ -25,7 +27,7 @@ def _rows(df: DataFrame, kind: str, of: Column, observed: Column, threshold: int
         observed.cast("double").alias("observed"),
         F.lit(float(threshold)).alias("threshold"),
         documents.cast("bigint").alias("document_count"),
-        (none if component is None else component).alias("component"),
+        (none if campaign is None else campaign).alias("campaign_key"),
         (none if key is None else key).alias("indicator_key"),
     )
 
@@ -45,15 +47,16 @@ def found(docs: DataFrame, edges: DataFrame, clusters: DataFrame, severity: int
 
 
 def bursts(clusters: DataFrame, burst: int = fixed.BURST_SIZE) -> DataFrame:
+    """Large clusters, named by their campaign: a document that joins one does not rename its anomaly."""
     large = clusters.filter(F.col("document_count") >= burst)
-    return _rows(large, "burst_size", F.col("component").cast("string"), F.col("document_count"), burst, F.col("document_count"), F.col("component").cast("string"))
+    return _rows(large, "burst_size", F.col("campaign_key"), F.col("document_count"), burst, F.col("document_count"), F.col("campaign_key"))
 
 
-def evidence(anomalies: DataFrame, docs: DataFrame, every_edge: DataFrame, edges: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
+def evidence(anomalies: DataFrame, docs: DataFrame, every_edge: DataFrame, edges: DataFrame, keys: DataFrame, members: DataFrame) -> DataFrame:
     """anomaly_key, document_id, indicator_key: the documents and the indicators behind each anomaly, one of them a row.
 
     A severe document with all its indicators (``every_edge``), a repeated indicator with all its
-    documents (``edges``), a large component with all its documents and shared indicators.
+    documents (``edges``), a large cluster with all its documents and shared indicators (``keys`` and ``members`` as graph.clusters gives them).
     """
     none = F.lit(None).cast("string")
     of = lambda kind, *columns: anomalies.filter(F.col("anomaly_type") == kind).select("anomaly_key", *columns)
@@ -62,24 +65,60 @@ def evidence(anomalies: DataFrame, docs: DataFrame, every_edge: DataFrame, edges
     named = docs.select("document_id", F.concat(F.lit("high_severity_"), _short_hash(F.col("document_id"))).alias("anomaly_key"))
     severe = of("high_severity").join(named, "anomaly_key")
     repeated = of("repeated_indicator", F.col("indicator_key").alias("key"))
-    large = of("burst_size", "component")
-    shared = clusters.select(F.col("component").cast("string").alias("component"), F.explode("shared_keys").alias("key"))
+    large = of("burst_size", "campaign_key")
+    shared = keys.filter("n > 1").select("campaign_key", "key")
     parts = [
         document(severe),
         indicator(severe.join(every_edge.select("document_id", "key"), "document_id")),
         document(repeated.join(edges.select("document_id", "key"), "key")),
         indicator(repeated),
-        document(large.join(members.select(F.col("component").cast("string").alias("component"), "document_id"), "component")),
-        indicator(large.join(shared, "component")),
+        document(large.join(members.select("campaign_key", "document_id"), "campaign_key")),
+        indicator(large.join(shared, "campaign_key")),
     ]
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def _list_ranks(rows: DataFrame, value: str) -> DataFrame:
+    """anomaly_key, rank: the place of each anomaly's ascending list of ``value`` among all lists, compared as lists are, equal ones alike.
+
+    Prefix doubling: values become numbers, then every place of a list gets the rank of the run of 1, 2, 4, ... values that begins there.  No
+    list is ever one row; rounds grow with the logarithm of the longest.
+    """
+    have = rows.filter(F.col(value).isNotNull()).select("anomaly_key", value).distinct()
+    at = F.row_number().over(Window.partitionBy("anomaly_key").orderBy(value))
+    # values are numbered in order of their own: ranges of values by partition, and offsets of partitions
+    numbers = _numbered(have.select(value).distinct(), value)
+    runs = written(have.withColumn("at", at).join(numbers, value).select("anomaly_key", "at", F.col("number").alias("rank")), "runs")
+    longest, step = runs.agg(F.coalesce(F.max("at"), F.lit(0)).alias("n")).first().n, 1
+    while step < longest:
+        later = runs.select("anomaly_key", (F.col("at") - step).alias("at"), F.col("rank").alias("then"))
+        # a list that ends comes first
+        pairs = runs.join(later, ["anomaly_key", "at"], "left").select("anomaly_key", "at", F.struct(F.col("rank"), F.coalesce("then", F.lit(0)).alias("then")).alias("pair"))
+        ranks = _numbered(pairs.select("pair").distinct(), "pair")
+        before, runs = runs, written(pairs.join(ranks, "pair").select("anomaly_key", "at", F.col("number").alias("rank")), "runs")
+        discard(before)
+        step *= 2
+    return runs.filter("at = 1").select("anomaly_key", "rank")
+
+
+def _numbered(values: DataFrame, column: str) -> DataFrame:
+    """Distinct values with their number (from 1) in ascending order: sorted in ranges, the ranges' sizes summed up."""
+    parts = written(values.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")  # one row a partition
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(column))
+    return parts.withColumn("inside", inside).join(sizes, "part").select(column, (F.col("inside") + F.col("before")).alias("number"))
+
+
 def ordered(anomalies: DataFrame, behind: DataFrame) -> DataFrame:
-    """``anomalies`` as they are shown: by kind, then by the first document and the first indicator behind them, then by key."""
-    first = behind.groupBy("anomaly_key").agg(F.min("document_id").alias("first_document"), F.min("indicator_key").alias("first_indicator"))
-    kind = F.array_position(F.lit(ORDER), F.col("anomaly_type"))
-    return anomalies.join(first, "anomaly_key", "left").orderBy(kind, "first_document", "first_indicator", "anomaly_key")
+    """``anomalies`` with ``place`` (from 1): by kind, then by the whole sorted list of documents behind them, then by that of indicators, then by key."""
+    behind = written(behind, "behind")
+    by_document = _list_ranks(behind, "document_id").withColumnRenamed("rank", "documents")
+    by_indicator = _list_ranks(behind, "indicator_key").withColumnRenamed("rank", "indicators")
+    rows = anomalies.join(by_document, "anomaly_key", "left").join(by_indicator, "anomaly_key", "left")
+    order = F.struct(F.array_position(F.lit(ORDER), F.col("anomaly_type")).alias("kind"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("indicators", F.lit(0)).alias("indicators"), "anomaly_key")
+    rows = written(rows.withColumn("order", order).drop("documents", "indicators"), "ordered")
+    return rows.join(_numbered(rows.select("order"), "order"), "order").drop("order").withColumnRenamed("number", "place")
 
 
 def anomaly_rows(anomalies: DataFrame) -> DataFrame:
@@ -88,4 +127,4 @@ def anomaly_rows(anomalies: DataFrame) -> DataFrame:
     reason = F.concat(F.col("anomaly_type"), F.lit(": observed "), whole("observed"), F.lit(", threshold "), whole("threshold"))
     metrics = F.struct(F.col("observed").alias("observed_value"), "threshold", "document_count", "indicator_key")
     severity = F.greatest(F.lit(1), F.least(F.lit(5), F.bround("observed").cast("int")))
-    return anomalies.select("anomaly_key", "anomaly_type", F.col("observed").alias("score"), severity.alias("severity"), reason.alias("reason"), metrics.alias("metrics"), "component", F.lit(True).alias("is_active"))
+    return anomalies.select("anomaly_key", "anomaly_type", F.col("observed").alias("score"), severity.alias("severity"), reason.alias("reason"), metrics.alias("metrics"), "campaign_key", F.lit(True).alias("is_active"))

@@ -3,19 +3,43 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder (of our own where none is set); its lineage ends there."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; in local mode one of our own where it is unset."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        chosen = context._jsc.sc().getCheckpointDir()
+        if chosen.isEmpty():
+            if context.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+            chosen = context._jsc.sc().getCheckpointDir()
+        root = chosen.get()
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage ends there, and it survives a lost executor."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written`; all that reads them must be written by now."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def best(df: DataFrame, keys: list[str], *order: Column, n: int = 1) -> DataFrame:

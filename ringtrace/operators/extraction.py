@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ringtrace.functions import fixed, indicators, text, urls
+from ringtrace.functions.text import let
 from ringtrace.operators.common import best
 
 #: What is taken of the text of a submitted check: characters, and phones and mails each.
@@ -52,43 +51,85 @@ def from_images(inputs: DataFrame) -> DataFrame:
     return inputs.filter(F.col("image").isNotNull()).select("input_id", F.lit(0).alias("position"), F.lit("media_hash").alias("kind"), F.lit("").alias("raw"), F.sha2("image", 256).alias("value"), F.lit("image").alias("source"))
 
 
-@F.pandas_udf(StructType([StructField("valid", BooleanType()), StructField("account", StringType()), StructField("reference", StringType())]))
-def payment_payload(payload: pd.Series) -> pd.DataFrame:
-    """Account and reference of merchant-presented QR payloads whose checksum holds.
+def _crc_table(polynomial: int = 0x1021) -> list[int]:
+    """What each leading byte does to a 16-bit checksum."""
+    out = []
+    for byte in range(256):
+        value = byte << 8
+        for _ in range(8):
+            value = (value << 1 ^ polynomial if value & 0x8000 else value << 1) & 0xFFFF
+        out.append(value)
+    return out
 
-    Fields are two digits of tag, two of length, and the value; tag 63 is the CRC-16 (polynomial
-    1021, start FFFF) of all before its value.  Tag 38 holds the account in its field 01, field
-    01; tag 62 the reference in fields 05, 08 or 09.
+
+def crc16(c: Column) -> Column:
+    """CRC-16 of a text's UTF-8 bytes (polynomial 1021, start FFFF), by a table of bytes in a fold."""
+    table = F.array(*map(F.lit, _crc_table()))
+
+    def step(value: Column, byte: Column) -> Column:
+        lead = F.shiftright(value, 8).bitwiseXOR(byte).bitwiseAND(F.lit(0xFF))
+        return F.shiftleft(value, 8).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.get(table, lead))
+
+    def bytes_of(digits: Column) -> Column:
+        code = lambda i: F.conv(F.substr(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("int")
+        each = F.transform(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")), code)
+        return F.when(digits != "", each).otherwise(F.array().cast("array<int>"))
+
+    return F.aggregate(let(F.hex(F.encode(c, "UTF-8")), bytes_of), F.lit(0xFFFF), step)
+
+
+#: What a walk over fields has: where it is (from 1; 0 once it broke), tags and values so far.
+_WALK = "struct<at:int,tags:array<string>,values:array<string>>"
+
+
+def tagged_fields(c: Column) -> Column:
+    """The fields of a text of two digits of tag, two of length, and the value: a map of the first value of each tag, null if the
+    lengths do not fit the text.  A walk over it, one field a step."""
+    return let(c, _walked)
+
+
+def _walked(c: Column) -> Column:
+    def step(walk: Column, _: Column) -> Column:
+        at, size = walk["at"], F.substr(c, walk["at"] + 2, F.lit(2))
+        end = at + 4 + size.try_cast("int")
+        fine = size.rlike("^[0-9]{2}$") & (end <= F.length(c) + 1)
+        tag, value = F.substr(c, at, F.lit(2)), F.substr(c, at + 4, F.coalesce(size.try_cast("int"), F.lit(0)))
+        known = F.array_contains(walk["tags"], tag)
+        more = F.struct(end.alias("at"), F.when(known, walk["tags"]).otherwise(F.array_append(walk["tags"], tag)).alias("tags"), F.when(known, walk["values"]).otherwise(F.array_append(walk["values"], value)).alias("values"))
+        broken = F.struct(F.lit(0).alias("at"), walk["tags"].alias("tags"), walk["values"].alias("values"))
+        done = (at == 0) | (at > F.length(c))
+        return F.when(done, walk).when(F.coalesce(fine, F.lit(False)), more.cast(_WALK)).otherwise(broken.cast(_WALK))
+
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("tags"), F.array().cast("array<string>").alias("values")).cast(_WALK)
+    # a field takes four characters at least
+    walk = F.aggregate(F.sequence(F.lit(0), (F.length(c) / 4).cast("int")), start, step)
+    return let(walk, lambda w: F.when(w["at"] > 0, F.map_from_arrays(w["tags"], w["values"])))
+
+
+def payment_payload(payload: Column) -> Column:
+    """valid, account, reference of merchant-presented QR payloads whose checksum holds.
+
+    Tag 63 is the CRC-16 of all before its value.  Tag 38 holds the account in its field 01, field
+    01; tag 62 the reference in fields 05, 08 or 09, the first that is not empty.
     """
+    text_ = F.trim(F.coalesce(payload, F.lit("")))
+    own = lambda fields, tag: F.coalesce(F.try_element_at(fields, F.lit(tag)), F.lit(""))
+    blank = lambda c: F.when(c != "", c)
+
+    def read(s: Column) -> Column:
+        told = F.upper(F.right(s, F.lit(4)))
+        sound = s.rlike("6304.{4}$") & (F.lpad(F.hex(crc16(F.substr(s, F.lit(1), F.length(s) - 4))), 4, "0") == told)
+
+        def parts(outer: Column) -> Column:
+            account = F.try_element_at(tagged_fields(own(tagged_fields(own(outer, "38")), "01")), F.lit("01"))
+            more = tagged_fields(own(outer, "62"))
+            reference = F.coalesce(*[blank(F.try_element_at(more, F.lit(t))) for t in ("05", "08", "09")])
+            fine = F.coalesce(sound & (F.size(outer) > 0), F.lit(False))
+            return F.struct(fine.alias("valid"), F.when(fine, account).alias("account"), F.when(fine, reference).alias("reference"))
+
+        return let(tagged_fields(s), parts)
 
-    def fields(s: str) -> dict[str, str] | None:
-        out, at = {}, 0
-        while at < len(s):
-            size = s[at + 2 : at + 4]
-            if not size.isdigit() or at + 4 + int(size) > len(s):
-                return None
-            out.setdefault(s[at : at + 2], s[at + 4 : at + 4 + int(size)])
-            at += 4 + int(size)
-        return out
-
-    def crc(s: bytes) -> int:
-        value = 0xFFFF
-        for byte in s:
-            value ^= byte << 8
-            for _ in range(8):
-                value = (value << 1 ^ 0x1021 if value & 0x8000 else value << 1) & 0xFFFF
-        return value
-
-    def one(s: str | None) -> tuple[bool, str | None, str | None]:
-        s = (s or "").strip()
-        outer = fields(s)
-        if not outer or not s[-8:-4] == "6304" or f"{crc(s[:-4].encode()):04X}" != s[-4:].upper():
-            return False, None, None
-        inner = fields((fields(outer.get("38", "")) or {}).get("01", "")) or {}
-        more = fields(outer.get("62", "")) or {}
-        return True, inner.get("01"), next((more[t] for t in ("05", "08", "09") if more.get(t)), None)
-
-    return pd.DataFrame([one(s) for s in payload], columns=["valid", "account", "reference"])
+    return let(text_, read)
 
 
 def from_payloads(inputs: DataFrame, column: str = "qr_payload") -> DataFrame:

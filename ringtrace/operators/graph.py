@@ -1,12 +1,33 @@
-"""Documents that share indicators, as connected components with anchors, scores and reasons."""
+"""Documents that share indicators, as connected components with anchors, scores and reasons.
+
+What a component holds many of (its indicators, the reasons of its members) is a table of rows, never an array in one
+row: a hot indicator or a giant component has more of them than a row should hold.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ringtrace.functions import indicators
-from ringtrace.operators.common import checkpointed, sorted_set
+from ringtrace.operators.common import discard, sorted_set, written
+
+
+class Clusters(NamedTuple):
+    """Clusters and what belongs to them, each a written table.
+
+    ``clusters``: component, campaign_key, anchor, counts, severity, confidence, labels, times.  ``members``: campaign_key, component,
+    document_id, membership_score.  ``keys``: campaign_key, component, key, kind, n (documents that have it), role.  ``reasons``: a row for each member and
+    shared indicator.
+    """
+
+    clusters: DataFrame
+    members: DataFrame
+    keys: DataFrame
+    reasons: DataFrame
 
 
 def star_edges(edges: DataFrame) -> DataFrame:
@@ -15,50 +36,53 @@ def star_edges(edges: DataFrame) -> DataFrame:
     return edges.join(least, "key").filter("document_id <> b").select(F.col("document_id").alias("a"), "b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one target, and no target has one of its own."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    sums = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return sums.filter("out > 1 OR (out = 1 AND into = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """document_id, component (its smallest id) of all that ``links`` (a, b) join.
 
     Alternate stars: larger neighbours move to the smallest one near a node, then smaller
-    ones do.  Rounds grow with the logarithm of the longest chain; each is checkpointed, and
-    hot nodes are combined before the shuffle.
+    ones do.  Rounds grow with the logarithm of the longest chain, and end when every node points at a root alone.  Each round is
+    written, and deleted once the next one is; hot nodes are combined before the shuffle.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    before = None
-    while True:
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(near, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = checkpointed(small)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("bigint"))).first())
-        if now == before:
-            break
-        before = now
+        before, edges = edges, written(small, "links")
+        discard(before)
     stars = edges.select(F.col("a").alias("document_id"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("document_id"), "component").distinct())
 
 
-def clusters(docs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clusters, members) of documents that ``edges`` join; single documents are none.
+def clusters(docs: DataFrame, edges: DataFrame) -> Clusters:
+    """Clusters of documents that ``edges`` join; single documents are none.
 
-    A cluster has its documents' counts, severity, confidence, categories, labels and times, the
-    indicators that two or more of them share, and of these the anchor: the heaviest kind,
-    then the most documents, then the smallest key.  Its key depends on the anchor alone.
+    A cluster has its documents' counts, severity, confidence, categories, labels and times, and the anchor: of the
+    indicators that two or more of its documents share the heaviest kind, then the most documents, then the smallest key.
+    Its campaign key depends on the anchor alone.
     """
-    edges = checkpointed(edges)  # read by each of the steps below
-    member = checkpointed(components(star_edges(edges)).join(docs, "document_id"))
-    linked = edges.join(member.select("document_id", "component"), "document_id")
-    keys = linked.groupBy("component", "key", "kind").agg(F.countDistinct("document_id").alias("n"))
-    weight = indicators.weight(F.col("kind"))
-    by_keys = keys.groupBy("component").agg(
-        F.min_by("key", F.struct((-weight).alias("w"), F.when(F.col("n") > 1, -F.col("n")).alias("n"), "key")).alias("unused"),
-        F.array_sort(F.collect_set("key")).alias("indicator_keys"),
-        F.array_sort(F.collect_set(F.when(F.col("n") > 1, F.col("key")))).alias("shared_keys"),
-        F.min(F.when(F.col("n") > 1, F.struct((-weight).alias("w"), (-F.col("n")).alias("n"), F.col("key").alias("key"))))["key"].alias("anchor"),
+    edges = written(edges, "edges")  # read by each of the steps below
+    member = written(components(star_edges(edges)).join(docs, "document_id"), "member")
+    linked = written(edges.join(member.select("document_id", "component"), "document_id"), "linked")
+    counted = written(linked.groupBy("component", "key", "kind").agg(F.countDistinct("document_id").alias("n")), "keys")
+    order = F.struct((-indicators.weight(F.col("kind"))).alias("w"), (-F.col("n")).alias("n"), F.col("key").alias("key"))
+    of_keys = counted.groupBy("component").agg(
+        F.min(F.when(F.col("n") > 1, order))["key"].alias("anchor"),
+        F.count(F.lit(1)).alias("indicator_count"),
+        F.count_if(F.col("n") > 1).alias("shared_count"),
         F.sum("n").alias("edge_count"),
-    ).drop("unused")
-    counts = member.groupBy("component", "category").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("category", F.col("n").alias("document_count")))).alias("category_counts"))
+    )
+    # five categories at most
+    categories = member.groupBy("component", "category").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("category", F.col("n").alias("document_count")))).alias("category_counts"))
     whole = member.groupBy("component").agg(
         F.count(F.lit(1)).alias("document_count"),
         F.max("severity").alias("maximum_severity"),
@@ -68,35 +92,53 @@ def clusters(docs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
     )
-    out = whole.join(by_keys, "component").join(counts, "component").withColumn("campaign_key", indicators.campaign_key(F.col("anchor")))
-    out = out.withColumn("risk_score", F.round(F.col("maximum_severity") + 0.2 * F.least(F.col("document_count"), F.lit(10)), 4))
-    out = checkpointed(out)
-    return out, checkpointed(memberships(linked, out.select("component", "campaign_key")))
-
+    out = whole.join(of_keys, "component").join(categories, "component").withColumn("campaign_key", indicators.campaign_key(F.col("anchor")))
+    out = written(out.withColumn("risk_score", F.round(F.col("maximum_severity") + 0.2 * F.least(F.col("document_count"), F.lit(10)), 4)), "clusters")
+    named = out.select("component", "campaign_key", "anchor")
+    role = F.when(F.col("key") == F.col("anchor"), "anchor").when(F.col("n") > 1, "shared").otherwise("supporting")
+    keys = written(counted.join(named, "component").select("campaign_key", "component", "key", "kind", "n", role.alias("role")), "cluster-keys")
+    why = written(reasons(linked, keys), "reasons")
+    return Clusters(out, written(memberships(why), "members"), keys, why)
+
+
+def reasons(linked: DataFrame, keys: DataFrame) -> DataFrame:
+    """A row for each member of a cluster and each indicator that it shares: type, how many documents share it, strength, confidence,
+    contribution (strength times confidence to 4 places), source and quote (null if blank)."""
+    shared = keys.filter("n > 1").select("component", "campaign_key", "key", F.col("n").alias("shared_document_count"))
+    rows = linked.join(shared, ["component", "key"]).withColumn("strength", indicators.weight(F.col("kind")))
+    return rows.select(
+        "campaign_key",
+        "component",
+        "document_id",
+        F.lit("shared_strong_indicator").alias("reason_type"),
+        F.col("key").alias("indicator_key"),
+        F.col("kind").alias("indicator_type"),
+        "shared_document_count",
+        "strength",
+        F.col("confidence").alias("indicator_confidence"),
+        F.round(F.col("strength") * F.col("confidence"), 4).alias("contribution"),
+        F.coalesce("source", F.lit("unknown")).alias("evidence_source"),
+        F.when(F.col("quote") != "", F.col("quote")).alias("evidence_quote"),
+    )
 
-def memberships(linked: DataFrame, keys: DataFrame) -> DataFrame:
-    """campaign_key, document_id, membership_score, reasons: a noisy-or over the indicators a member shares.
 
-    A reason's contribution is weight times confidence to 4 places; the score is one minus the
-    product of what they leave open.
-    """
-    shared = linked.groupBy("component", "key").agg(F.countDistinct("document_id").alias("n")).filter("n > 1").select("component", "key")
-    strength = indicators.weight(F.col("kind"))
-    rows = linked.join(shared, ["component", "key"]).withColumn("strength", strength).withColumn("contribution", F.round(F.col("strength") * F.col("confidence"), 4))
-    reasons = F.array_sort(F.collect_list(F.struct(F.col("key").alias("indicator_key"), "strength", "contribution", "quote")))
-    scored = rows.groupBy("component", "document_id").agg(F.round(1 - F.product(1 - F.col("contribution")), 4).alias("membership_score"), reasons.alias("reasons"))
-    return scored.join(keys, "component").select("campaign_key", "component", "document_id", "membership_score", "reasons")
+def memberships(why: DataFrame) -> DataFrame:
+    """campaign_key, component, document_id, membership_score: a noisy-or over the indicators that a member shares."""
+    score = F.round(1 - F.product(1 - F.col("contribution")), 4)
+    return why.groupBy("campaign_key", "component", "document_id").agg(score.alias("membership_score"))
 
 
-def indicator_roles(cluster_table: DataFrame, members: DataFrame) -> DataFrame:
+def indicator_roles(keys: DataFrame, why: DataFrame, quotes: int = 12) -> DataFrame:
     """campaign_key, key, role, weight, reasons of each indicator of a campaign.
 
     The anchor, other shared ones, and those of one document (supporting).  The weight is the
-    strongest reason, else 1 for an anchor and 0.5 for others, within 0 to 1.
+    strongest reason, else 1 for an anchor and 0.5 for others, within 0 to 1.  ``reasons`` are the first ``quotes`` different quotes.
     """
-    each = cluster_table.select("campaign_key", "anchor", "shared_keys", F.explode("indicator_keys").alias("key"))
-    why = members.select("campaign_key", F.explode("reasons").alias("r")).groupBy("campaign_key", F.col("r.indicator_key").alias("key")).agg(F.max("r.strength").alias("strength"), sorted_set("r.quote").alias("reasons"))
-    role = F.when(F.col("key") == F.col("anchor"), "anchor").when(F.array_contains("shared_keys", F.col("key")), "shared").otherwise("supporting")
-    rows = each.join(why, ["campaign_key", "key"], "left")
-    given = F.coalesce("strength", F.when(F.col("key") == F.col("anchor"), 1.0).otherwise(0.5))
-    return rows.select("campaign_key", "key", role.alias("role"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), given)).alias("weight"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
+    by = ["campaign_key", F.col("indicator_key").alias("key")]
+    strongest = why.groupBy(*by).agg(F.max("strength").alias("strength"))
+    said = why.filter("evidence_quote IS NOT NULL").select(*by, "evidence_quote").distinct()
+    first = F.row_number().over(Window.partitionBy("campaign_key", "key").orderBy("evidence_quote"))
+    said = said.withColumn("r", first).filter(F.col("r") <= quotes).groupBy("campaign_key", "key").agg(sorted_set("evidence_quote").alias("reasons"))
+    rows = keys.join(strongest, ["campaign_key", "key"], "left").join(said, ["campaign_key", "key"], "left")
+    given = F.coalesce("strength", F.when(F.col("role") == "anchor", 1.0).otherwise(0.5))
+    return rows.select("campaign_key", "key", "role", F.greatest(F.lit(0.0), F.least(F.lit(1.0), given)).alias("weight"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ringtrace.functions import text
 from ringtrace.functions.text import let
-from ringtrace.operators.common import best, checkpointed
+from ringtrace.operators.common import best, written
 
 LEAST = 0.82
 
@@ -48,39 +48,71 @@ def score(a: Column, b: Column, a_tokens: Column, b_tokens: Column, a_grams: Col
     )
 
 
-def _sides(df: DataFrame, key: str, column: str) -> DataFrame:
-    f = df.select(F.col(key).alias("id"), folded(F.col(column)).alias("f")).filter("f <> ''")
-    return f.withColumn("t", tokens(F.col("f")))
+def _sides(df: DataFrame, key: str, column: str, side: str) -> DataFrame:
+    """side, id, f (the folded text), t (distinct tokens), w (all words in order)."""
+    f = df.select(F.lit(side).alias("side"), F.col(key).alias("id"), folded(F.col(column)).alias("f")).filter("f <> ''")
+    words = F.filter(F.split(F.regexp_replace("f", r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    return f.select("side", "id", "f", words.alias("w")).select("side", "id", "f", F.array_distinct(F.filter("w", lambda w: F.length(w) >= 2)).alias("t"), "w")
+
+
+def _positions(both: DataFrame) -> DataFrame:
+    """side, id, token, at, size: the first tokens of each text, rarest first, that any text of a Jaccard similarity of 0.6 must share one of."""
+    each = both.filter("size(t) >= 4").select("side", "id", F.explode("t").alias("token"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ranked = each.join(counts, "token").groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))
+    size = F.size("r")
+    first = F.slice("r", F.lit(1), size - F.ceil(size * 0.6).cast("int") + 1)
+    return ranked.select("side", "id", size.alias("size"), F.posexplode(first).alias("at", "x")).select("side", "id", "x.token", "at", "size")
+
+
+def _pairs_of_words(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rare: side, id, pair; each: side, id, pair): neighbouring words.  ``rare`` is the rarest pair of each text's inner words."""
+    long = both.filter("size(w) >= 4 AND length(f) >= 24").select("side", "id", F.size("t").alias("tokens"), "w")
+    neighbours = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1)))
+    each = long.select("side", "id", "tokens", F.size("w").alias("n_words"), F.posexplode_outer(neighbours).alias("at", "pair"))
+    # the first and the last word of the shorter text may be cut off in the longer one
+    inner = each.filter("tokens >= 4 AND at > 0 AND at < n_words - 2").select("side", "id", "pair").distinct()
+    counts = each.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    rare = inner.join(counts, "pair").groupBy("side", "id").agg(F.min(F.struct("n", "pair"))["pair"].alias("pair"))
+    return rare, each.select("side", "id", "pair").distinct()
+
+
+def candidate_pairs(both: DataFrame) -> DataFrame:
+    """input_id, template_id of all pairs that may score, of texts of four tokens or more; ``both`` as :func:`_sides` gives it.
+
+    A pair that scores by tokens has a Jaccard similarity of 0.6: its prefixes of rare tokens meet, its sizes are close, and what
+    stands behind the common token on both sides still allows the overlap.  If one text holds the other, the
+    inner words of the shorter are neighbours in the longer too: its rarest neighbouring pair is looked up among all of the other side.
+    """
+    prefix = written(_positions(both), "prefixes")
+    of = lambda df, side, name: df.filter(F.col("side") == side).select(F.col("id").alias(name), *[F.col(c).alias(f"{side}_{c}") if c in ("at", "size") else F.col(c) for c in df.columns if c not in ("side", "id")])
+    met = of(prefix, "a", "input_id").join(of(prefix, "b", "template_id"), "token")
+    needed = F.ceil((F.col("a_size") + F.col("b_size")) * (0.6 / 1.6) - 1e-9)
+    behind = F.least(F.col("a_size") - F.col("a_at"), F.col("b_size") - F.col("b_at")) + F.least("a_at", "b_at")
+    close = (F.col("a_size") >= 0.6 * F.col("b_size")) & (F.col("b_size") >= 0.6 * F.col("a_size")) & (behind >= needed)
+    rare, each = (written(x, "word-pairs") for x in _pairs_of_words(both))
+    inside = of(rare, "a", "input_id").join(of(each, "b", "template_id"), "pair")
+    around = of(each, "a", "input_id").join(of(rare, "b", "template_id"), "pair")
+    ids = ["input_id", "template_id"]
+    return met.filter(close).select(*ids).unionByName(inside.select(*ids)).unionByName(around.select(*ids)).distinct()
 
 
 def similar(inputs: DataFrame, templates: DataFrame, least: float = LEAST, n: int | None = 5) -> DataFrame:
     """input_id, template_id, similarity: each input's ``n`` best templates with a score of ``least`` or more.
 
-    Candidates come from equi-joins on rare tokens.  A pair that scores by tokens has a Jaccard
-    similarity of 0.6: ordered by rarity, each side's first n - ceil(0.6 n) + 1 tokens share one.
-    A pair in which one text holds the other shares each inner token of the shorter: its rarest one is
-    looked up among all tokens of the longer.  Equal texts share all.  Texts of fewer than four tokens
-    match by equality alone.
+    Equal folded texts meet by equality, whatever their length; others by :func:`candidate_pairs`.  Of the candidates, those that
+    neither hold one another nor share enough tokens go before any trigram is built.
     """
-    a, b = _sides(inputs, "input_id", "text"), _sides(templates, "template_id", "text")
-    both = a.select(F.lit("a").alias("side"), "id", "f", "t").unionByName(b.select(F.lit("b").alias("side"), "id", "f", "t"))
-    # both are read several times below
-    counts = checkpointed(both.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    each = checkpointed(both.select("side", "id", F.explode("t").alias("token")).join(counts, "token"))
-    ranked = each.groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))
-    first = lambda size: size - F.ceil(size * 0.6).cast("int") + 1
-    prefix = ranked.filter(F.size("r") >= 4).select("side", "id", F.explode(F.slice("r", F.lit(1), first(F.size("r")))).alias("x")).select("side", "id", "x.token")
-    # first and last token of the shorter text may be cut off in the longer one
-    inner = both.select("side", "id", F.filter(F.split(F.regexp_replace("f", r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "").alias("w"), "t").filter("size(t) >= 4 AND length(f) >= 24")
-    inner = inner.select("side", "id", F.array_distinct(F.filter(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))), lambda w: F.length(w) >= 2)).alias("w"))
-    rare = inner.select("side", "id", F.explode("w").alias("token")).join(counts, "token").groupBy("side", "id").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
-    side = lambda df, s, name: df.filter(F.col("side") == s).select(F.col("id").alias(name), "token")
-    pairs = side(prefix, "a", "input_id").join(side(prefix, "b", "template_id"), "token")
-    pairs = pairs.unionByName(side(rare, "a", "input_id").join(side(each, "b", "template_id"), "token"))
-    pairs = pairs.unionByName(side(each, "a", "input_id").join(side(rare, "b", "template_id"), "token")).select("input_id", "template_id")
-    equal = a.select(F.col("id").alias("input_id"), "f").join(b.select(F.col("id").alias("template_id"), "f"), "f").select("input_id", "template_id")
-    pairs = pairs.unionByName(equal).distinct()
-    full = pairs.join(a.select(F.col("id").alias("input_id"), F.col("f").alias("fa"), F.col("t").alias("ta")), "input_id").join(b.select(F.col("id").alias("template_id"), F.col("f").alias("fb"), F.col("t").alias("tb")), "template_id")
-    grams = full.withColumn("similarity", let(F.struct(trigrams(F.col("fa")).alias("a"), trigrams(F.col("fb")).alias("b")), lambda g: score(F.col("fa"), F.col("fb"), F.col("ta"), F.col("tb"), g["a"], g["b"])))
-    out = grams.filter(F.col("similarity") >= least).select("input_id", "template_id", F.round("similarity", 4).alias("similarity"))
+    both = written(_sides(inputs, "input_id", "text", "a").unionByName(_sides(templates, "template_id", "text", "b")), "messages")
+    a = both.filter("side = 'a'").select(F.col("id").alias("input_id"), F.col("f").alias("fa"), F.col("t").alias("ta"))
+    b = both.filter("side = 'b'").select(F.col("id").alias("template_id"), F.col("f").alias("fb"), F.col("t").alias("tb"))
+    equal = a.join(b, F.col("fa") == F.col("fb")).select("input_id", "template_id", F.lit(1.0).alias("similarity"))
+    full = candidate_pairs(both).join(a, "input_id").join(b, "template_id").filter("fa <> fb")
+    met = full.withColumn("met", F.size(F.array_intersect("ta", "tb")))
+    sizes = F.size("ta") + F.size("tb")
+    fit = met.filter(F.contains("fa", F.col("fb")) | F.contains("fb", F.col("fa")) | ((F.col("met") >= 4) & (F.col("met") >= 0.6 * (sizes - F.col("met")))))
+    fit = written(fit.drop("met"), "fit")
+    grams = fit.withColumn("similarity", let(F.struct(trigrams(F.col("fa")).alias("a"), trigrams(F.col("fb")).alias("b")), lambda g: score(F.col("fa"), F.col("fb"), F.col("ta"), F.col("tb"), g["a"], g["b"])))
+    out = grams.filter(F.col("similarity") >= least).select("input_id", "template_id", "similarity").unionByName(equal)
+    out = out.select("input_id", "template_id", F.round("similarity", 4).alias("similarity"))
     return best(out, ["input_id"], F.desc("similarity"), F.asc("template_id"), n=n) if n else out

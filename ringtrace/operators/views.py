@@ -22,7 +22,7 @@ def next_action(campaign: DataFrame) -> Column:
     """A struct of priority, title, reason and owner, by the campaign's confirmation, severity and risk."""
     action = lambda priority, title, reason, owner: F.struct(priority.alias("priority"), F.lit(title).alias("title"), F.concat(*reason).alias("reason"), F.lit(owner).alias("owner"))
     urgent, review = F.lit("URGENT"), F.lit("REVIEW")
-    documents, keys = campaign["document_count"].cast("string"), F.size(campaign["indicator_keys"]).cast("string")
+    documents, keys = campaign["document_count"].cast("string"), campaign["indicator_count"].cast("string")
     unconfirmed = [documents, F.lit(" source documents and "), keys, F.lit(" exact indicators are linked, but an analyst has not confirmed this campaign yet.")]
     severe = [F.lit("The campaign is analyst-confirmed, reaches severity level "), campaign["maximum_severity"].cast("string"), F.lit(", and was last observed "), F.date_format(campaign["last_seen"], "yyyy-MM-dd HH:mm"), F.lit(".")]
     return (

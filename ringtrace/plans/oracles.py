@@ -17,8 +17,8 @@ docs AS (
   FROM (SELECT CAST(l_orderkey AS VARCHAR) AS document_id, 1 - l_discount AS c, l_linenumber,
                CAST(l_partkey AS BIGINT) * 1000 + coalesce(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)), 0) // 7 AS p FROM lineitem)
 ), edges AS (
-  SELECT document_id, kind, kind || '|' || value AS key, max(round(c, 2)) AS confidence, min(shown) AS display_value, max(w) AS w FROM (
-    SELECT document_id, c, CASE p % 8 WHEN 0 THEN 'bank_account' WHEN 1 THEN 'phone' WHEN 2 THEN 'email' WHEN 3 THEN 'domain' WHEN 4 THEN 'social_account' WHEN 5 THEN 'qr_payload' WHEN 6 THEN 'transaction_reference' ELSE 'media_hash' END AS kind,
+  SELECT document_id, kind, kind || '|' || value AS key, max(round(c, 2)) AS confidence, min(shown) AS display_value, max(w) AS w, 'line ' || arg_min(l_linenumber, l_linenumber - 100 * round(c, 2)) AS quote FROM (
+    SELECT document_id, c, l_linenumber, CASE p % 8 WHEN 0 THEN 'bank_account' WHEN 1 THEN 'phone' WHEN 2 THEN 'email' WHEN 3 THEN 'domain' WHEN 4 THEN 'social_account' WHEN 5 THEN 'qr_payload' WHEN 6 THEN 'transaction_reference' ELSE 'media_hash' END AS kind,
       CASE p % 8 WHEN 0 THEN '1000' || padded WHEN 1 THEN '09' || padded WHEN 2 THEN 'p' || p || '@shop.example' WHEN 3 THEN 'p' || p || '.example.com' WHEN 4 THEN 'seller' || p WHEN 5 THEN 'QRPAY ' || p WHEN 6 THEN 'REF1' || padded ELSE md5(CAST(p AS VARCHAR)) END AS value,
       CASE p % 8 WHEN 0 THEN '1000' || padded WHEN 1 THEN '+849' || padded WHEN 2 THEN 'P' || p || '@shop.example' WHEN 3 THEN 'www.p' || p || '.example.com' WHEN 4 THEN '@seller' || p WHEN 5 THEN 'QRPAY ' || p WHEN 6 THEN 'ref-1' || padded ELSE 'sha256:' || md5(CAST(p AS VARCHAR)) END AS shown,
       CASE p % 8 WHEN 1 THEN 0.95 WHEN 2 THEN 0.90 WHEN 3 THEN 0.80 WHEN 4 THEN 0.85 ELSE 0.98 END AS w
@@ -52,10 +52,9 @@ keys AS (
 ), clusters AS (
   SELECT *, round(CAST(maximum_severity + 0.2 * least(document_count, 10) AS DOUBLE), 4) AS risk_score FROM whole JOIN anchors USING (component)
 ), reasons AS (
-  SELECT component, document_id, key, w, round(w * confidence, 4) AS contribution FROM edges JOIN components USING (document_id) JOIN (SELECT component, key FROM shared) USING (component, key)
+  SELECT component, document_id, kind, key, e.w, confidence, round(e.w * confidence, 4) AS contribution, n, quote FROM edges e JOIN components USING (document_id) JOIN (SELECT component, key, n FROM shared) USING (component, key)
 ), members AS (
-  SELECT campaign_key, component, document_id, round(1 - product(1 - contribution), 4) AS membership_score, string_agg(key || ':' || printf('%.4f', contribution), ',' ORDER BY key) AS reasons
-  FROM reasons JOIN anchors USING (component) GROUP BY 1, 2, 3
+  SELECT campaign_key, component, document_id, round(1 - product(1 - contribution), 4) AS membership_score FROM reasons JOIN anchors USING (component) GROUP BY 1, 2, 3
 ), roles AS (
   SELECT campaign_key, k.key, CASE WHEN k.key = anchor THEN 'anchor' WHEN n > 1 THEN 'shared' ELSE 'supporting' END AS role,
          CASE WHEN n > 1 THEN w WHEN k.key = anchor THEN 1.0 ELSE 0.5 END AS weight
@@ -71,7 +70,19 @@ def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts)
 
 
-_GRAPH = (_CASES, _components("edges"), _SCORED)
+#: All documents as cases, with their longer lines as indicators.
+_LINE_CASES = r"""
+docs AS (
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE doc_id % 5 WHEN 0 THEN 'scam_report' WHEN 1 THEN 'impersonation_abuse' WHEN 2 THEN 'customer_feedback' WHEN 3 THEN 'news_pr' ELSE 'noise' END AS category,
+         CAST(doc_id * 37 % 101 AS DOUBLE) / 100 AS confidence, doc_id % 4 <> 0 AS specific_case, CAST(doc_id % 6 AS INTEGER) AS severity, lang AS scam_type, source AS bank_role,
+         TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (doc_id % 366) AS first_seen, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (doc_id % 366) AS last_seen
+  FROM documents
+), edges AS (
+  SELECT DISTINCT CAST(doc_id AS VARCHAR) AS document_id, 'media_hash' AS kind, 'media_hash|' || sha256(md5(trim(line, ' '))) AS key, 0.9::DOUBLE AS confidence, 0.98 AS w, 'line' AS quote
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line, ' ')) >= 24
+)
+"""
+_GRAPH, _LINE_GRAPH = (_CASES, _components("edges"), _SCORED), (_LINE_CASES, _components("edges"), _SCORED)
 _SHOWN = r"""CASE split_part(key, '|', 1)
   WHEN 'email' THEN left(v, 1) || '•••@' || split_part(v, '@', 2) WHEN 'social_account' THEN '@' || left(v, 1) || '•••' || right(v, 2)
   WHEN 'domain' THEN v WHEN 'qr_payload' THEN 'QR payload ••••' || right(regexp_replace(v, '\s+', '', 'g'), 4) WHEN 'media_hash' THEN 'media hash ••••' || right(v, 8)
@@ -88,18 +99,23 @@ all_edges AS (SELECT * FROM edges), eligible_edges AS (
 )
 """
 _ANOMALIES = r"""
-found AS (
-  SELECT 'high_severity_' || substr(sha256(document_id), 1, 16) AS anomaly_key, 'high_severity' AS anomaly_type, CAST(severity AS DOUBLE) AS observed, {severe}::DOUBLE AS threshold, 1::BIGINT AS document_count, NULL::VARCHAR AS component, NULL::VARCHAR AS indicator_key
+eligible_keys AS (
+  SELECT component, key, max(w) AS w, count(DISTINCT document_id) AS n FROM eligible_edges JOIN components USING (document_id) GROUP BY 1, 2
+), named AS (
+  SELECT component, 'campaign_' || substr(sha256('{{"anchor_indicator_key":"' || key || '"}}'), 1, 16) AS campaign_key
+  FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY w DESC, n DESC, key) AS r FROM eligible_keys WHERE n > 1) WHERE r = 1
+), found AS (
+  SELECT 'high_severity_' || substr(sha256(document_id), 1, 16) AS anomaly_key, 'high_severity' AS anomaly_type, CAST(severity AS DOUBLE) AS observed, {severe}::DOUBLE AS threshold, 1::BIGINT AS document_count, NULL::VARCHAR AS campaign_key, NULL::VARCHAR AS indicator_key
   FROM docs WHERE severity >= {severe}
   UNION ALL SELECT 'repeated_indicator_' || substr(sha256(key), 1, 16), 'repeated_indicator', count(DISTINCT document_id), {repeats}, count(DISTINCT document_id), NULL, key FROM eligible_edges GROUP BY key HAVING count(DISTINCT document_id) >= {repeats}
-  UNION ALL SELECT 'burst_size_' || component, 'burst_size', count(*), {burst}, count(*), component, NULL FROM components GROUP BY component HAVING count(*) >= {burst}
+  UNION ALL SELECT 'burst_size_' || campaign_key, 'burst_size', count(*), {burst}, count(*), campaign_key, NULL FROM components JOIN named USING (component) GROUP BY campaign_key HAVING count(*) >= {burst}
 ), behind AS (
   SELECT anomaly_key, document_id, NULL::VARCHAR AS indicator_key FROM found JOIN docs ON anomaly_key = 'high_severity_' || substr(sha256(document_id), 1, 16)
   UNION SELECT anomaly_key, NULL, key FROM found JOIN docs d ON anomaly_key = 'high_severity_' || substr(sha256(document_id), 1, 16) JOIN edges e ON e.document_id = d.document_id
   UNION SELECT anomaly_key, document_id, NULL FROM found JOIN eligible_edges ON indicator_key = key
   UNION SELECT anomaly_key, NULL, indicator_key FROM found WHERE anomaly_type = 'repeated_indicator'
-  UNION SELECT anomaly_key, document_id, NULL FROM found JOIN components USING (component)
-  UNION SELECT anomaly_key, NULL, key FROM found JOIN (SELECT component, key FROM eligible_edges JOIN components USING (document_id) GROUP BY 1, 2 HAVING count(DISTINCT document_id) > 1) USING (component)
+  UNION SELECT anomaly_key, document_id, NULL FROM found JOIN named USING (campaign_key) JOIN components USING (component)
+  UNION SELECT anomaly_key, NULL, key FROM found JOIN named USING (campaign_key) JOIN eligible_keys USING (component) WHERE n > 1
 )
 """
 _MATCH = r"""
@@ -125,9 +141,9 @@ _CANON = r"""rtrim(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || rtrim(regexp
 _QUERY = r"""coalesce((SELECT '?' || string_agg(x, '&' ORDER BY x) FROM (SELECT unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS x) WHERE x <> '' AND NOT starts_with(x, 'utm_')), '')"""
 
 
-def _anomalies(body: str) -> str:
+def _anomalies(body: str, cases: str = _CASES) -> str:
     rule = "d.specific_case AND d.category IN ('scam_report', 'impersonation_abuse') AND d.confidence >= " + str(fixed.LEAST_CONFIDENCE)
-    return _with(_CASES, _ELIGIBLE.format(rule=rule), _components("eligible_edges"), _ANOMALIES.format(severe=fixed.HIGH_SEVERITY, repeats=fixed.REPEATED_INDICATOR, burst=fixed.BURST_SIZE)) + " " + body
+    return _with(cases, _ELIGIBLE.format(rule=rule), _components("eligible_edges"), _ANOMALIES.format(severe=fixed.HIGH_SEVERITY, repeats=fixed.REPEATED_INDICATOR, burst=fixed.BURST_SIZE)) + " " + body
 
 
 ORACLES: dict[str, str] = {
@@ -137,7 +153,7 @@ ORACLES: dict[str, str] = {
     "s3_upsert": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0",
     "s4_replace_children": "WITH new AS (SELECT l_orderkey, l_linenumber, 0.0::DOUBLE AS l_quantity FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber = 1) SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM new) UNION ALL SELECT * FROM new",
     "s5_snapshot_refresh": "SELECT c_custkey, c_mktsegment, c_custkey % 3 = 0 AS is_active FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
-    "s6_nested_read": "SELECT o_orderkey, o_orderstatus, coalesce(string_agg(l_linenumber || ':' || CAST(trunc(l_quantity) AS INTEGER), ',' ORDER BY l_linenumber, l_quantity), '') AS items FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45) ON l_orderkey = o_orderkey GROUP BY 1, 2",
+    "s6_nested_read": "SELECT o_orderkey, o_orderstatus, coalesce(string_agg(l_linenumber || ':' || CAST(trunc(l_quantity) AS INTEGER), ',' ORDER BY l_linenumber, l_quantity), '') AS items FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2",
     "s7_embedded": _with(_CASES) + " SELECT CASE WHEN severity > 2 THEN category END AS category, count(*) AS n, 'all' AS mode FROM docs GROUP BY 1 UNION ALL SELECT category, count(*), 'chosen' FROM docs WHERE severity > 2 AND category = 'noise' GROUP BY 1",
     "s8_search_results": f"SELECT page_id AS query_id, CAST(CASE WHEN page_id % 2 = 0 THEN page_id ELSE 1 END AS INTEGER) AS position, 'page ' || page_id AS title, url, {_HOST} AS site FROM pages WHERE page_id % 7 <> 0",
     "s9_domain_filter": f"SELECT page_id FROM pages WHERE {_HOST} LIKE '%.example.net' OR {_HOST} = 'example.net' OR {_HOST} = 'tionsh.example.com' OR {_HOST} LIKE '%.tionsh.example.com'",
@@ -157,8 +173,8 @@ ORACLES: dict[str, str] = {
     "d_anomalies": _anomalies("SELECT * FROM found"),
     "d_evidence": _anomalies("SELECT * FROM behind"),
     "d4_anomaly_rows": _anomalies("SELECT anomaly_key, observed AS score, CAST(greatest(1, least(5, observed)) AS INTEGER) AS severity, anomaly_type || ': observed ' || CAST(observed AS BIGINT) || ', threshold ' || CAST(threshold AS BIGINT) AS reason, document_count FROM found"),
-    "w10_anomaly_order": _anomalies("""SELECT anomaly_key, min(document_id) AS first_document, min(b.indicator_key) AS first_indicator FROM found JOIN behind b USING (anomaly_key) GROUP BY anomaly_key, anomaly_type
-        ORDER BY CASE anomaly_type WHEN 'high_severity' THEN 1 WHEN 'repeated_indicator' THEN 2 ELSE 3 END, first_document, first_indicator, anomaly_key LIMIT 100"""),
+    "w10_anomaly_order": _anomalies("""SELECT anomaly_key, row_number() OVER (ORDER BY CASE anomaly_type WHEN 'high_severity' THEN 1 WHEN 'repeated_indicator' THEN 2 ELSE 3 END, coalesce(d, []), coalesce(i, []), anomaly_key) AS place FROM found
+        LEFT JOIN (SELECT anomaly_key, list(document_id ORDER BY document_id) FILTER (document_id IS NOT NULL) AS d, list(indicator_key ORDER BY indicator_key) FILTER (indicator_key IS NOT NULL) AS i FROM behind GROUP BY 1) USING (anomaly_key)"""),
     "e10_images": """SELECT doc_id, CASE WHEN doc_id % 10 = 0 OR length(trim(coalesce(text, ''))) < 400 OR regexp_matches(lower(text), 'lừa|scam|chuyển khoản|tài khoản|qr|mất tiền|giả mạo|phishing|số điện thoại|biên lai') THEN array_to_string(list_distinct_two, ',') ELSE '' END AS images, true AS needed
         FROM (SELECT *, CASE WHEN source = lang THEN [source, 'third'] ELSE [source, lang] END AS list_distinct_two FROM documents)""",
     "f5_bank_registry": _with(*_GRAPH) + f""" SELECT campaign_key, split_part(key, '|', 1) AS anchor_kind, {_MASK} AS masked_anchor, {_LABEL} AS label, status, risk_score, document_count,
@@ -190,10 +206,11 @@ ORACLES: dict[str, str] = {
     "j9_campaign_evidence": _with(*_GRAPH) + " SELECT campaign_key, document_id, membership_score, CASE WHEN severity > 1 THEN 'Case ' || document_id ELSE 'Untitled document' END AS title FROM (SELECT *, row_number() OVER (PARTITION BY campaign_key ORDER BY membership_score DESC, document_id) AS r FROM members) JOIN docs USING (document_id) WHERE r <= 3",
     "j12_without_source": _with(*_GRAPH) + " SELECT campaign_key, document_count FROM clusters WHERE document_count <= 2",
     "j17_grounded_insights": _with(_CASES) + " SELECT 'About ' || document_id AS title, least(5, greatest(1, severity + 3)) AS severity, least(1, confidence + 0.5) AS confidence, document_id AS evidence_ids, 'https://x.example/' || document_id AS evidence_urls, sha256('About ' || document_id || '|' || document_id) AS insight_key FROM docs",
-    "a1_summary": _with(_CASES) + " SELECT count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, (SELECT count(DISTINCT key) FROM edges) AS unique_indicator_count, (SELECT count(*) FROM edges) AS document_indicator_edge_count, md5(string_agg(document_id, ',' ORDER BY document_id)) AS ids, (SELECT md5(string_agg(DISTINCT key, ',' ORDER BY key)) FROM edges) AS keys FROM docs",
-    "a2_by_category": _with(_CASES) + " SELECT category, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, md5(string_agg(document_id, ',' ORDER BY document_id)) AS evidence_document_ids, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
-    "a3_by_severity": _with(_CASES) + " SELECT severity, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, md5(string_agg(document_id, ',' ORDER BY document_id)) AS evidence_document_ids, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
-    "a4_by_indicator": _with(_CASES) + " SELECT key, count(DISTINCT document_id) AS document_count, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, round(avg(d.confidence), 6) AS average_confidence, max(severity) AS maximum_severity, string_agg(DISTINCT document_id, ',' ORDER BY document_id) AS evidence_document_ids, arg_max(display_value, document_id) AS display_value FROM edges e JOIN docs d USING (document_id) GROUP BY 1",
+    "a1_summary": _with(_CASES) + " SELECT count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, (SELECT count(DISTINCT key) FROM edges) AS unique_indicator_count, (SELECT count(*) FROM edges) AS document_indicator_edge_count FROM docs",
+    "a1_evidence": _with(_CASES) + " SELECT 'summary' AS metric_scope, 'global' AS metric_key, document_id FROM docs UNION SELECT 'category', category, document_id FROM docs UNION SELECT 'severity', CAST(severity AS VARCHAR), document_id FROM docs UNION SELECT 'indicator', key, document_id FROM edges SEMI JOIN docs USING (document_id)",
+    "a2_by_category": _with(_CASES) + " SELECT category, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
+    "a3_by_severity": _with(_CASES) + " SELECT severity, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
+    "a4_by_indicator": _with(_CASES) + " SELECT key, count(DISTINCT document_id) AS document_count, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, round(avg(d.confidence), 6) AS average_confidence, max(severity) AS maximum_severity, arg_max(display_value, document_id) AS display_value FROM edges e JOIN docs d USING (document_id) GROUP BY 1",
     "a12_evidence_cards": _with(_CASES) + " SELECT key, count(DISTINCT document_id) AS document_count, count(DISTINCT CAST(document_id AS BIGINT) % 10) AS source_count, max(severity) AS maximum_severity, round(avg(d.confidence), 4) AS average_confidence, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, string_agg(DISTINCT scam_type, ',' ORDER BY scam_type) AS scam_types, strftime(min(least(first_seen, last_seen)), '%Y-%m-%d') AS first_seen FROM edges e JOIN docs d USING (document_id) WHERE category IN ('scam_report', 'impersonation_abuse') AND d.confidence >= 0.6 AND specific_case GROUP BY 1",
     "a16_job_counts": "WITH " + _EVENTS + " SELECT job_id, count(*) AS discovered, count(DISTINCT url_key) AS deduplicated, CAST(count_if(event_id % 4 = 0) AS BIGINT) AS fetched, CAST(count_if(event_id % 4 = 1) AS BIGINT) AS classified, CAST(count_if(event_id % 4 = 2) AS BIGINT) AS failed FROM e GROUP BY 1",
     "a17_usage": "WITH " + _EVENTS + " SELECT job_id, 'search' AS provider, trim(regexp_replace(lower(event_type), '[^a-z0-9]+', '_', 'g'), '_') AS operation, count(*) AS calls, CAST(sum(length(url_key)) AS BIGINT) AS tokens, round(sum(floor(value)), 2) AS seconds FROM e GROUP BY 1, 2, 3",
@@ -203,13 +220,24 @@ ORACLES: dict[str, str] = {
     "g1_page_components": _with(f"hosts AS (SELECT CAST(page_id AS VARCHAR) AS document_id, {_HOST} AS key FROM pages)", _components("hosts")) + " SELECT * FROM components",
     "g1_line_components": _with("lines AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS document_id, md5(trim(line, ' ')) AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line, ' ')) >= 24)", _components("lines")) + " SELECT * FROM components",
     "a6_clusters": _with(*_GRAPH) + """ SELECT component, campaign_key, anchor, document_count, (SELECT CAST(sum(n) AS BIGINT) FROM keys WHERE component = c.component) AS edge_count, maximum_severity, average_confidence, risk_score,
-        (SELECT string_agg(key, ',' ORDER BY key) FROM shared WHERE component = c.component) AS shared_keys, scam_types, bank_roles,
+        (SELECT count(*) FROM keys WHERE component = c.component) AS indicator_count, (SELECT count(*) FROM shared WHERE component = c.component) AS shared_count, scam_types, bank_roles,
         (SELECT string_agg(category || ':' || n, ',' ORDER BY category) FROM (SELECT category, count(*) AS n FROM docs JOIN components x USING (document_id) WHERE x.component = c.component GROUP BY 1)) AS category_counts,
         strftime(first_seen, '%Y-%m-%d') AS first_seen, strftime(last_seen, '%Y-%m-%d') AS last_seen FROM clusters c""",
-    "g3_memberships": _with(*_GRAPH) + " SELECT campaign_key, document_id, membership_score, reasons FROM members",
-    "w5_masked_indicators": _with(*_GRAPH) + f" SELECT campaign_key, role, {_SHOWN} AS display_value FROM (SELECT *, regexp_extract(key, '\\|(.*)$', 1) AS v, row_number() OVER (PARTITION BY campaign_key ORDER BY role, weight DESC, key) AS r FROM roles) WHERE r <= 2",
+    "a6_cluster_keys": _with(*_GRAPH) + " SELECT component, campaign_key, k.key, n, CASE WHEN k.key = anchor THEN 'anchor' WHEN n > 1 THEN 'shared' ELSE 'supporting' END AS role FROM keys k JOIN anchors USING (component)",
+    "g3_memberships": _with(*_GRAPH) + " SELECT campaign_key, document_id, membership_score FROM members",
+    "g3_reasons": _with(*_GRAPH) + " SELECT campaign_key, document_id, 'shared_strong_indicator' AS reason_type, key AS indicator_key, kind AS indicator_type, n AS shared_document_count, w AS strength, confidence AS indicator_confidence, contribution, 'lineitem' AS evidence_source, quote AS evidence_quote FROM reasons JOIN anchors USING (component)",
+    "a11_indicator_roles": _with(*_GRAPH) + " SELECT campaign_key, r.key, role, weight, coalesce(said, '') AS reasons FROM roles r LEFT JOIN (SELECT campaign_key, key, string_agg(quote, ',' ORDER BY quote) AS said FROM (SELECT *, row_number() OVER (PARTITION BY campaign_key, key ORDER BY quote) AS k FROM (SELECT DISTINCT campaign_key, key, quote FROM reasons JOIN anchors USING (component))) WHERE k <= 12 GROUP BY 1, 2) USING (campaign_key, key)",
+    "a6_line_clusters": _with(*_LINE_GRAPH) + " SELECT component, campaign_key, anchor, document_count, (SELECT CAST(sum(n) AS BIGINT) FROM keys WHERE component = c.component) AS edge_count, (SELECT count(*) FROM keys WHERE component = c.component) AS indicator_count, (SELECT count(*) FROM shared WHERE component = c.component) AS shared_count, maximum_severity, average_confidence, risk_score FROM clusters c",
+    "g3_line_memberships": _with(*_LINE_GRAPH) + " SELECT campaign_key, document_id, membership_score FROM members",
+    "d_line_anomalies": _anomalies("SELECT anomaly_type, anomaly_key, observed, document_count FROM found", _LINE_CASES),
+    "j3_line_matches": _with(*_LINE_GRAPH, _MATCH) + " SELECT input_id, campaign_key, match_score, anchor_match, CAST(n_reasons AS INTEGER) AS n_reasons FROM matches",
+    "t4_event_components": _with("acts AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS document_id, event_type || '|' || strftime(ts, '%Y-%m-%d %H') AS key FROM events)", _components("acts")) + " SELECT * FROM components",
+    "t2_lookback": "WITH " + _EVENTS + """, seen AS (SELECT ts, url_key, time_bucket(INTERVAL 15 MINUTE, ts) AS b FROM e), ends AS (SELECT url_key, b + INTERVAL 15 MINUTE AS cycle_end FROM seen UNION ALL SELECT url_key, b + INTERVAL 30 MINUTE FROM seen WHERE ts >= b + INTERVAL 10 MINUTE)
+        SELECT strftime(cycle_end - INTERVAL 20 MINUTE, '%Y-%m-%d %H:%M:%S') AS cycle_start, strftime(cycle_end, '%Y-%m-%d %H:%M:%S') AS cycle_end, url_key, count(*) AS hits FROM ends GROUP BY 1, 2, 3""",
+    "s5_store": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 400000 THEN 0.0::DOUBLE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0 OR o_totalprice > 400000",
+    "w5_masked_indicators": _with(*_GRAPH) + f" SELECT campaign_key, role, {_SHOWN} AS display_value FROM (SELECT *, regexp_extract(key, '\\|(.*)$', 1) AS v, row_number() OVER (PARTITION BY campaign_key ORDER BY role, weight DESC, key) AS r FROM roles) WHERE r <= 24",
     "f7_by_tactic": _with(*_GRAPH) + " SELECT campaign_key FROM clusters WHERE scam_types LIKE '%urgent%' OR bank_roles LIKE '%building%'",
-    "w9_best_cluster": _with(*_GRAPH) + " SELECT lookup_id, campaign_key, matched FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY matched DESC, risk_score DESC, campaign_key) AS r FROM (SELECT split_part(key, '|', 2) AS lookup_id, m.campaign_key, risk_score, count(DISTINCT document_id) AS matched FROM edges JOIN members m USING (document_id) JOIN registry g ON g.campaign_key = m.campaign_key AND g.status <> 'dismissed' WHERE kind = 'phone' GROUP BY ALL)) WHERE r = 1",
+    "w9_best_cluster": _with(*_GRAPH) + " SELECT lookup_id, campaign_key, matched FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY matched DESC, risk_score DESC, campaign_key) AS r FROM (SELECT key AS lookup_id, m.campaign_key, risk_score, count(DISTINCT document_id) AS matched FROM edges JOIN members m USING (document_id) JOIN registry g ON g.campaign_key = m.campaign_key AND g.status <> 'dismissed' GROUP BY ALL)) WHERE r = 1",
     "c1_windows": """WITH ranges AS (SELECT CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 75 AS e FROM orders),
         months AS (SELECT s, e, CAST(unnest(generate_series(date_trunc('month', s), e, INTERVAL 1 MONTH)) AS DATE) AS month FROM ranges),
         clipped AS (SELECT month, greatest(s, month) AS a, least(e, last_day(month)) AS b FROM months),
@@ -226,7 +254,7 @@ ORACLES: dict[str, str] = {
     "f6_selection": _with(_CASES) + " SELECT document_id FROM docs WHERE severity > 0 AND category IN ('noise', 'news_pr') AND specific_case AND first_seen BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-12-31' ORDER BY first_seen DESC, document_id LIMIT 200",
     "f16_reasons": _with(_CASES) + """ SELECT document_id, left(scam_type, 8) || ',shared,anchor' AS short,
         'Exact indicator shared across ' || CASE WHEN severity > 1 THEN severity || ' ' ELSE '' END || 'sources / Matches the campaign anchor indicator / Linked by stored campaign evidence' AS shown FROM docs""",
-    "j10_profiles": _with(*_GRAPH) + " SELECT campaign_key, string_agg(document_id, ',' ORDER BY document_id) AS documents FROM (SELECT m.*, row_number() OVER (PARTITION BY m.campaign_key ORDER BY membership_score DESC, m.document_id) AS r FROM members m JOIN docs d ON d.document_id = m.document_id AND severity >= 2 JOIN clusters c ON c.campaign_key = m.campaign_key AND document_count > 2) WHERE r <= 2 GROUP BY 1",
+    "j10_profiles": _with(*_GRAPH) + " SELECT campaign_key, string_agg(document_id, ',' ORDER BY document_id) AS documents FROM (SELECT m.*, row_number() OVER (PARTITION BY m.campaign_key ORDER BY membership_score DESC, m.document_id) AS r FROM members m JOIN docs d ON d.document_id = m.document_id AND severity >= 2) WHERE r <= 2 GROUP BY 1",
     "j14_media_findings": "SELECT o_orderkey AS document_id, o_orderstatus AS url, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 'read' WHEN o_orderkey % 4 = 0 THEN 'kept' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN o_orderpriority END AS note FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0",
     "j15_resolved": _with(_CASES) + " SELECT key, count(*) AS n, CAST(count_if(kind = 'email') AS BIGINT) AS missing FROM edges GROUP BY 1",
     "n20_taxonomy": "SELECT p_partkey, CASE WHEN a = b THEN a ELSE a || ',' || b END AS labels FROM (SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS a, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS b FROM part)",
@@ -234,3 +262,4 @@ ORACLES: dict[str, str] = {
     "w12_newest_job": "WITH " + _EVENTS + " SELECT job_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM e) WHERE r = 1",
     "w13_label_union": "SELECT p_size, label FROM (SELECT p_size, label, row_number() OVER (PARTITION BY p_size, lower(label) ORDER BY p_partkey) AS r FROM (SELECT p_size, p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE lower(p_type) END AS label FROM part)) WHERE r = 1",
 }
+ORACLES["t4_line_components"] = ORACLES["g1_line_components"]

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringtrace.functions import indicators, text, urls
-from ringtrace.operators import anomalies, contextual, coverage, extraction, graph, matching, metrics, prepare, registry, similarity, validation, views
-from ringtrace.operators.common import best, joined_text, sorted_set
-from ringtrace.sources import bindings, tables
+from ringtrace.operators import anomalies, contextual, coverage, extraction, graph, incremental, matching, metrics, prepare, registry, similarity, validation, views
+from ringtrace.operators.common import best, joined_text, shared_root, written
+from ringtrace.sources import bindings, store, tables
 from ringtrace.streaming import refresh
 
 
@@ -18,22 +19,30 @@ def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return prepare.documents(bindings.case_documents(spark, sf_dir)), prepare.edges(bindings.case_edges(spark, sf_dir))
 
 
-def _clusters(spark: SparkSession, sf_dir: str, only_eligible: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    docs, edges = _cases(spark, sf_dir)
+def _grouped(docs: DataFrame, edges: DataFrame, only_eligible: bool = False) -> tuple[DataFrame, DataFrame, graph.Clusters]:
     edges = prepare.linking(edges)
     if only_eligible:
         edges = edges.join(docs.filter(prepare.eligible()).select("document_id"), "document_id", "left_semi")
-    return (docs, edges, *graph.clusters(docs, edges))
+    return docs, edges, graph.clusters(docs, edges)
+
+
+def _clusters(spark: SparkSession, sf_dir: str, only_eligible: bool = False) -> tuple[DataFrame, DataFrame, graph.Clusters]:
+    """(docs, linking edges, clusters of these)."""
+    docs, edges = _cases(spark, sf_dir)
+    return _grouped(written(docs, "docs"), written(edges, "edges"), only_eligible)
+
+
+def _registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, graph.Clusters, DataFrame]:
+    """(docs, edges, clusters, campaigns): clusters as a registry, some confirmed, some dismissed."""
+    docs, edges, g = _clusters(spark, sf_dir)
+    return docs, edges, g, _as_registry(g.clusters)
 
 
-def _registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(docs, edges, clusters, members, campaigns): clusters as a registry, some confirmed, some dismissed."""
-    docs, edges, clusters, members = _clusters(spark, sf_dir)
+def _as_registry(clusters: DataFrame) -> DataFrame:
     last = F.conv(F.substring("campaign_key", 10, 4), 16, 10).cast("int")
     state = F.when(last % 7 == 0, "dismissed").when(last % 3 == 0, "confirmed").otherwise("provisional")
     label = indicators.campaign_label(F.get("scam_types", F.lit(0)), F.col("anchor"))
-    out = clusters.withColumns({"status": state, "analyst_confirmed": state == "confirmed", "is_active": F.lit(True), "label": label, "updated_at": F.col("last_seen")})
-    return docs, edges, clusters, members, out
+    return clusters.withColumns({"status": state, "analyst_confirmed": state == "confirmed", "is_active": F.lit(True), "label": label, "updated_at": F.col("last_seen")})
 
 
 # scans, sources, sinks
@@ -71,9 +80,20 @@ def s5_snapshot_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.refreshed(c.filter("c_custkey % 2 = 0"), c.filter("c_custkey % 3 = 0"), "c_custkey")
 
 
+def s5_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a keyed table on files: two upserts, of a few buckets and of many, then the table as its last version has it."""
+    orders = bindings.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    root = f"{shared_root(spark)}/store-{uuid.uuid4().hex}"
+    store.create(orders.filter("o_orderkey % 3 <> 0"), root, ["o_orderkey"], 16)
+    store.upsert(orders.filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus")), root)
+    dear = orders.filter("o_totalprice > 400000").select("o_orderkey", F.lit(0.0).alias("o_totalprice"))
+    store.upsert(dear, root)
+    return store.read(spark, root)
+
+
 def s6_nested_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = bindings.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    items = bindings.read(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
+    items = bindings.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
     out = tables.nested(orders, "o_orderkey", items=items)
     return out.select("o_orderkey", "o_orderstatus", joined_text(F.transform("items", lambda x: F.concat_ws(":", x["l_linenumber"], x["q"]))).alias("items"))
 
@@ -206,12 +226,13 @@ def v1_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v3_sound_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, clusters, members = _clusters(spark, sf_dir)
-    return validation.sound_clusters(clusters, members)
+    g = _clusters(spark, sf_dir)[2]
+    return validation.sound_clusters(g.clusters, g.members)
 
 
 def v6_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, edges, _, _, campaigns = _registry(spark, sf_dir)
+    docs, edges = (written(x) for x in _cases(spark, sf_dir))
+    campaigns = _as_registry(_grouped(docs, edges)[2].clusters)
     rows = metrics.long_table({"summary": (metrics.summary(docs, edges), None), "category": (metrics.by_category(docs), "category"), "severity": (metrics.by_severity(docs), "severity")}, "job-1", "2024-01-01")
     return metrics.reconciled(rows, campaigns)
 
@@ -234,15 +255,15 @@ def j1_analytics_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j3_exact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges, clusters, members, campaigns = _registry(spark, sf_dir)
-    roles = graph.indicator_roles(clusters, members)
+    _, edges, g, campaigns = _registry(spark, sf_dir)
+    roles = graph.indicator_roles(g.keys, g.reasons)
     out = matching.exact(edges.select(F.col("document_id").alias("input_id"), "kind", "value"), roles, campaigns)
     return out.select("input_id", "campaign_key", "match_score", "anchor_match", F.size("reasons").alias("n_reasons"))
 
 
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, edges, clusters, members, campaigns = _registry(spark, sf_dir)
-    roles = graph.indicator_roles(clusters, members)
+    docs, edges, g, campaigns = _registry(spark, sf_dir)
+    roles = graph.indicator_roles(g.keys, g.reasons)
     top = matching.best_campaign(matching.exact(edges.select(F.col("document_id").alias("input_id"), "kind", "value"), roles, campaigns), campaigns)
     rows = docs.select(F.col("document_id").alias("input_id"), "category", "specific_case").join(top, "input_id", "left")
     state = matching.status(F.col("category"), F.col("specific_case"), F.col("anchor_match"), F.col("match_score"), F.col("analyst_confirmed"), F.lit(False))
@@ -254,7 +275,8 @@ def w2_best_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j5_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, edges, _, members, campaigns = _registry(spark, sf_dir)
+    docs, edges, g, campaigns = _registry(spark, sf_dir)
+    members = g.members
     new = docs.join(members.select("document_id"), "document_id", "left_anti")
     cases = new.select(F.col("document_id").alias("case_id"), "scam_types", "bank_roles", F.array(F.lit("phone")).alias("kinds"), F.transform("bank_roles", lambda r: F.concat(r, F.lit("_bank"))).alias("signals"))
     links = cases.select("case_id", F.lit("social_account").alias("kind"), F.concat(F.lit("seller"), (F.col("case_id").cast("bigint") % 2000).cast("string")).alias("value"))
@@ -267,14 +289,14 @@ def j8_similar_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j9_campaign_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, _, members = _clusters(spark, sf_dir)
+    docs, _, g = _clusters(spark, sf_dir)
     titled = docs.select("document_id", F.when(F.col("severity") > 1, F.concat(F.lit("Case "), "document_id")).alias("title"), F.lit(None).cast("string").alias("url"))
-    return matching.campaign_evidence(members, titled, 3).select("campaign_key", "document_id", "membership_score", "title")
+    return matching.campaign_evidence(g.members, titled, 3).select("campaign_key", "document_id", "membership_score", "title")
 
 
 def j12_without_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, clusters, _, campaigns = _registry(spark, sf_dir)
-    return registry.without_source(campaigns, clusters.filter("document_count > 2")).select("campaign_key", "document_count")
+    _, _, g, campaigns = _registry(spark, sf_dir)
+    return registry.without_source(campaigns, g.clusters.filter("document_count > 2")).select("campaign_key", "document_count")
 
 
 def _insights(docs: DataFrame, about: DataFrame) -> DataFrame:
@@ -288,43 +310,28 @@ def j17_grounded_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _insights(docs, docs)
 
 
-def j17_all_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _ = _cases(spark, sf_dir)
-    return _insights(docs, docs)
-
-
 # aggregations
 
 
 def a1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, edges = _cases(spark, sf_dir)
-    ids, keys = docs.agg(F.md5(joined_text(sorted_set("document_id"))).alias("ids")), edges.agg(F.md5(joined_text(sorted_set("key"))).alias("keys"))
-    return metrics.summary(docs, edges).join(F.broadcast(ids)).join(F.broadcast(keys))  # one row each
+    return metrics.summary(*(written(x) for x in _cases(spark, sf_dir)))
 
 
 def a1_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.evidence(*_cases(spark, sf_dir))
-
-
-def _with_ids(groups: DataFrame, rows: DataFrame, key: str, told: Callable) -> DataFrame:
-    """``groups`` with the text of all their documents' ids, which the queries' SQL asks for."""
-    return groups.join(rows.groupBy(key).agg(told(joined_text(sorted_set("document_id"))).alias("evidence_document_ids")), key)
+    return metrics.evidence(*(written(x) for x in _cases(spark, sf_dir)))
 
 
 def a2_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _ = _cases(spark, sf_dir)
-    return _with_ids(metrics.by_category(docs), docs, "category", F.md5)
+    return metrics.by_category(_cases(spark, sf_dir)[0])
 
 
 def a3_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _ = _cases(spark, sf_dir)
-    return _with_ids(metrics.by_severity(docs), docs, "severity", F.md5)
+    return metrics.by_severity(_cases(spark, sf_dir)[0])
 
 
 def a4_by_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, edges = _cases(spark, sf_dir)
-    known = edges.join(docs.select("document_id"), "document_id", "left_semi")
-    return _with_ids(metrics.by_indicator(docs, edges), known, "key", lambda c: c).withColumn("categories", joined_text("categories")).drop("kind")
+    return metrics.by_indicator(docs, edges).withColumn("categories", joined_text("categories")).drop("kind")
 
 
 def a12_evidence_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,102 +379,146 @@ def g1_line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _clusters(spark, sf_dir)[2]
+    out = _clusters(spark, sf_dir)[2].clusters
     counts = F.transform("category_counts", lambda x: F.concat_ws(":", x["category"], x["document_count"].cast("string")))
-    return out.select("component", "campaign_key", "anchor", "document_count", "edge_count", "maximum_severity", "average_confidence", "risk_score", joined_text("shared_keys").alias("shared_keys"), joined_text("scam_types").alias("scam_types"), joined_text("bank_roles").alias("bank_roles"), joined_text(counts).alias("category_counts"), F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"))
+    return out.select("component", "campaign_key", "anchor", "document_count", "edge_count", "maximum_severity", "average_confidence", "risk_score", "indicator_count", "shared_count", joined_text("scam_types").alias("scam_types"), joined_text("bank_roles").alias("bank_roles"), joined_text(counts).alias("category_counts"), F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"))
+
+
+def a6_cluster_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir)[2].keys.select("component", "campaign_key", "key", "n", "role")
 
 
 def g3_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _clusters(spark, sf_dir)[3]
-    why = F.transform("reasons", lambda r: F.concat_ws(":", r["indicator_key"], F.format_string("%.4f", r["contribution"])))
-    return out.select("campaign_key", "document_id", "membership_score", joined_text(why).alias("reasons"))
+    return _clusters(spark, sf_dir)[2].members.select("campaign_key", "document_id", "membership_score")
+
+
+def g3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir)[2].reasons.drop("component")
 
 
 def a11_indicator_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, clusters, members = _clusters(spark, sf_dir)
-    return graph.indicator_roles(clusters, members).select("campaign_key", "key", "role", "weight", F.size("reasons").alias("n_reasons"))
+    g = _clusters(spark, sf_dir)[2]
+    return graph.indicator_roles(g.keys, g.reasons).select("campaign_key", "key", "role", "weight", joined_text("reasons").alias("reasons"))
 
 
-def _line_clusters(spark: SparkSession, sf_dir: str, only_eligible: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _line_clusters(spark: SparkSession, sf_dir: str, only_eligible: bool = False) -> tuple[DataFrame, DataFrame, graph.Clusters]:
     """As ``_clusters``, of all documents by their lines: with hot indicators and a large component."""
     docs, edges = bindings.line_cases(spark, sf_dir)
-    docs, edges = prepare.documents(docs), prepare.linking(prepare.edges(edges))
-    if only_eligible:
-        edges = edges.join(docs.filter(prepare.eligible()).select("document_id"), "document_id", "left_semi")
-    return (docs, edges, *graph.clusters(docs, edges))
+    return _grouped(written(prepare.documents(docs), "docs"), prepare.edges(edges), only_eligible)
 
 
 def a6_line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_clusters(spark, sf_dir)[2].select("component", "campaign_key", "anchor", "document_count", "edge_count", "maximum_severity", "average_confidence", "risk_score")
+    return _line_clusters(spark, sf_dir)[2].clusters.select("component", "campaign_key", "anchor", "document_count", "edge_count", "indicator_count", "shared_count", "maximum_severity", "average_confidence", "risk_score")
 
 
 def g3_line_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_clusters(spark, sf_dir)[3].select("campaign_key", "document_id", "membership_score", F.size("reasons").alias("n_reasons"))
+    return _line_clusters(spark, sf_dir)[2].members.select("campaign_key", "document_id", "membership_score")
 
 
 def d_line_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, edges, clusters, _ = _line_clusters(spark, sf_dir, only_eligible=True)
-    return anomalies.found(docs, edges, clusters).select("anomaly_type", "anomaly_key", "observed", "document_count")
+    docs, edges, g = _line_clusters(spark, sf_dir, only_eligible=True)
+    return anomalies.found(docs, edges, g.clusters).select("anomaly_type", "anomaly_key", "observed", "document_count")
 
 
-def n24_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir)[2].select("campaign_key", indicators.campaign_label(F.get("scam_types", F.lit(0)), F.col("anchor")).alias("label"))
+def _line_registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, graph.Clusters, DataFrame]:
+    docs, edges, g = _line_clusters(spark, sf_dir)
+    return docs, edges, g, _as_registry(g.clusters)
 
 
-def g4_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clusters, old = _old_registry(spark, sf_dir)
-    return registry.assigned(clusters, old)
+def j3_line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines against the registry of line campaigns: hot indicators on both sides."""
+    _, edges, g, campaigns = _line_registry(spark, sf_dir)
+    out = matching.exact(edges.select(F.col("document_id").alias("input_id"), "kind", "value"), graph.indicator_roles(g.keys, g.reasons), campaigns)
+    return out.select("input_id", "campaign_key", "match_score", "anchor_match", F.size("reasons").alias("n_reasons"))
+
+
+def t4_line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by their lines, added in four batches; the second is applied twice."""
+    state = incremental.Components(spark, f"{shared_root(spark)}/components-{uuid.uuid4().hex}")
+    edges = written(bindings.line_edges(spark, sf_dir), "line-edges")
+    part = F.pmod(F.xxhash64("document_id"), F.lit(4))
+    for n in (0, 1, 1, 2, 3):
+        state.apply(n, edges.filter(part == n))
+    return state.current()
+
+
+def t4_event_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that did the same within the same hour, as components, added week by week."""
+    e = bindings.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("document_id"), F.concat_ws("|", "event_type", F.date_format("ts", "yyyy-MM-dd HH")).alias("key"), F.floor((F.dayofmonth("ts") - 1) / 7).alias("week"))
+    state, rows = incremental.Components(spark, f"{shared_root(spark)}/components-{uuid.uuid4().hex}"), written(e, "event-edges")
+    for week in range(5):
+        state.apply(week, rows.filter(F.col("week") == week))
+    return state.current()
+
+
+def t2_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bindings.event_rows(spark, sf_dir).withColumn("at", F.col("at").cast("timestamp"))
+    out = refresh.lookback_counts(rows, keys=["url_key"])
+    return out.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("cycle_start", "cycle_end")], "url_key", "hits")
 
 
-def _old_registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """New clusters, and a registry of an earlier run over nine tenths of the edges."""
-    docs, edges, clusters, _, _ = _registry(spark, sf_dir)
-    earlier, _ = graph.clusters(docs, edges.filter(F.col("document_id").cast("bigint") % 10 != 0))
+def n24_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir)[2].clusters.select("campaign_key", indicators.campaign_label(F.get("scam_types", F.lit(0)), F.col("anchor")).alias("label"))
+
+
+def _old_registry(spark: SparkSession, sf_dir: str) -> tuple[graph.Clusters, DataFrame, graph.Clusters]:
+    """(new clusters, a registry of an earlier run over nine tenths of the documents, its clusters)."""
+    docs, edges, g = _clusters(spark, sf_dir)
+    earlier = graph.clusters(docs, edges.filter(F.col("document_id").cast("bigint") % 10 != 0))
     last = F.conv(F.substring("campaign_key", 10, 4), 16, 10).cast("int")
     state = F.when(last % 7 == 0, "dismissed").when(last % 3 == 0, "confirmed").otherwise("provisional")
-    return clusters, earlier.withColumns({"status": state, "analyst_confirmed": state == "confirmed", "is_active": state != "dismissed", "label": F.when(last % 2 == 0, F.concat(F.lit("Analyst "), "campaign_key")), "updated_at": F.col("last_seen")})
+    old = earlier.clusters.withColumns({"status": state, "analyst_confirmed": state == "confirmed", "is_active": state != "dismissed", "label": F.when(last % 2 == 0, F.concat(F.lit("Analyst "), "campaign_key")), "updated_at": F.col("last_seen")})
+    return g, old, earlier
+
+
+def g4_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, old, earlier = _old_registry(spark, sf_dir)
+    return registry.assigned(g.clusters, g.keys, old, earlier.keys)
 
 
 def g5_registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clusters, old = _old_registry(spark, sf_dir)
-    out = registry.merged(clusters, old, registry.assigned(clusters, old))
+    g, old, earlier = _old_registry(spark, sf_dir)
+    out = registry.merged(g.clusters, old, registry.assigned(g.clusters, g.keys, old, earlier.keys))
     return out.groupBy("status", "analyst_confirmed", "is_active").agg(F.count(F.lit(1)).alias("n"), F.sum("document_count").alias("documents"), F.count_if(F.col("label").startswith("Analyst ")).alias("kept_labels"))
 
 
 def d_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, edges, clusters, _ = _clusters(spark, sf_dir, only_eligible=True)
-    return anomalies.found(docs, edges, clusters)
+    docs, edges, g = _clusters(spark, sf_dir, only_eligible=True)
+    return anomalies.found(docs, edges, g.clusters)
+
+
+def _anomalies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(anomalies, what is behind them)."""
+    docs, every = (written(x) for x in _cases(spark, sf_dir))
+    docs, edges, g = _grouped(docs, every, only_eligible=True)
+    found = written(anomalies.found(docs, edges, g.clusters), "anomalies")
+    return found, anomalies.evidence(found, docs, every, edges, g.keys, g.members)
 
 
 def d_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, edges, clusters, members = _clusters(spark, sf_dir, only_eligible=True)
-    every = prepare.edges(bindings.case_edges(spark, sf_dir))
-    return anomalies.evidence(anomalies.found(docs, edges, clusters), docs, every, edges, clusters, members)
+    return _anomalies(spark, sf_dir)[1]
 
 
 def d4_anomaly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, edges, clusters, _ = _clusters(spark, sf_dir, only_eligible=True)
-    return anomalies.anomaly_rows(anomalies.found(docs, edges, clusters)).select("anomaly_key", "score", "severity", "reason", F.col("metrics.document_count").alias("document_count"))
+    docs, edges, g = _clusters(spark, sf_dir, only_eligible=True)
+    return anomalies.anomaly_rows(anomalies.found(docs, edges, g.clusters)).select("anomaly_key", "score", "severity", "reason", F.col("metrics.document_count").alias("document_count"))
 
 
 def w10_anomaly_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred anomalies in the order in which they are shown."""
-    docs, edges, clusters, members = _clusters(spark, sf_dir, only_eligible=True)
-    found = anomalies.found(docs, edges, clusters)
-    behind = anomalies.evidence(found, docs, prepare.edges(bindings.case_edges(spark, sf_dir)), edges, clusters, members)
-    return anomalies.ordered(found, behind).limit(100).select("anomaly_key", "first_document", "first_indicator")
+    """The place of every anomaly among all, by kind and by the whole lists of its evidence."""
+    return anomalies.ordered(*_anomalies(spark, sf_dir)).select("anomaly_key", "place")
 
 
 def g6_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, clusters, members, campaigns = _registry(spark, sf_dir)
-    nodes, links = views.graph(campaigns, graph.indicator_roles(clusters, members), members)
+    _, _, g, campaigns = _registry(spark, sf_dir)
+    nodes, links = views.graph(campaigns, graph.indicator_roles(g.keys, g.reasons), g.members)
     n = nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("amount")).withColumn("part", F.lit("node"))
     return n.unionByName(links.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 3).alias("amount")).withColumn("part", F.lit("link")))
 
 
 def g7_filtered_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, clusters, members, campaigns = _registry(spark, sf_dir)
-    nodes, links = views.graph(campaigns, graph.indicator_roles(clusters, members), members)
+    _, _, g, campaigns = _registry(spark, sf_dir)
+    nodes, links = views.graph(campaigns, graph.indicator_roles(g.keys, g.reasons), g.members)
     shown, kept = views.filtered_graph(nodes, links, ["scam_type"])
     near = views.neighbourhood(links, "scam_type:1_urgent")
     count = lambda df, part: df.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(part))
@@ -475,24 +526,24 @@ def g7_filtered_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w5_masked_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, clusters, members = _clusters(spark, sf_dir)
-    return views.top_indicators(graph.indicator_roles(clusters, members), 2).select("campaign_key", "role", "display_value")
+    g = _clusters(spark, sf_dir)[2]
+    return views.top_indicators(graph.indicator_roles(g.keys, g.reasons)).select("campaign_key", "role", "display_value")
 
 
 def f5_bank_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = views.registry(_registry(spark, sf_dir)[4])
+    out = views.registry(_registry(spark, sf_dir)[3])
     return out.select(*[c for c in out.columns if c != "next_action"], "next_action.*")
 
 
 def f7_by_tactic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.by_tactic(_registry(spark, sf_dir)[4], "urgent|building").select("campaign_key")
+    return views.by_tactic(_registry(spark, sf_dir)[3], "urgent|building").select("campaign_key")
 
 
 def f12_result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, _, members, campaigns = _registry(spark, sf_dir)
+    docs, _, g = _clusters(spark, sf_dir)
     checks = w2_best_campaign(spark, sf_dir)
     titled = docs.select("document_id", F.concat(F.lit("Case "), "document_id").alias("title"), F.lit(None).cast("string").alias("url"))
-    shown = views.result_view(checks, matching.campaign_evidence(members, titled))
+    shown = views.result_view(checks, matching.campaign_evidence(g.members, titled))
     return shown.groupBy("verdict", "percent").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.coalesce("titles", F.array().cast("array<string>")))).alias("titles"))
 
 
@@ -506,9 +557,9 @@ def f14_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w9_best_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges, _, members, campaigns = _registry(spark, sf_dir)
-    matched = edges.filter("kind = 'phone'").select(F.col("value").alias("lookup_id"), "document_id")
-    return views.best_cluster(matched, members, campaigns).select("lookup_id", "campaign_key", "matched")
+    _, edges, g, campaigns = _registry(spark, sf_dir)
+    matched = edges.select(F.col("key").alias("lookup_id"), "document_id")
+    return views.best_cluster(matched, g.members, campaigns).select("lookup_id", "campaign_key", "matched")
 
 
 # dates, coverage, streams
@@ -523,10 +574,6 @@ def c1_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(bindings.read(spark, sf_dir, "orders"))
 
 
-def c1_all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows(bindings.read(spark, sf_dir, "orders"))
-
-
 def c2_missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = bindings.event_rows(spark, sf_dir).select("job_id", "event_type", F.to_date("at").alias("day"))
     seen = e.filter("event_type <> 'click' OR day(day) > 3").distinct()
@@ -587,8 +634,8 @@ def e10_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j10_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, clusters, members = _clusters(spark, sf_dir)
-    out = contextual.profiles(clusters.filter("document_count > 2").select("campaign_key"), members, docs, F.col("severity") >= 2, 2)
+    docs, _, g = _clusters(spark, sf_dir)
+    out = contextual.profiles(g.clusters.select("campaign_key"), g.members, docs, F.col("severity") >= 2, 2)
     return out.select("campaign_key", joined_text(F.transform("documents", lambda d: d["document_id"])).alias("documents"))
 
 

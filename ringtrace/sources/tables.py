@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringtrace.functions import text, urls
 from ringtrace.operators.common import best
+from ringtrace.sources import store
 
 
 def scan(df: DataFrame, columns: list[str], where: Column | None = None, order: list[Column] = (), limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -87,14 +91,18 @@ def recent(log: DataFrame, job_id: str | None = None, stage: str | None = None,
 
 
 def swap(df: DataFrame, root: str, spark: SparkSession) -> str:
-    """Write a whole snapshot beside the current one, then move the pointer to it: readers see one or the other."""
-    import uuid
-
+    """Write a whole snapshot beside the others, then a pointer to it of the next number: no pointer is ever changed, so readers see one or the other."""
     path = f"{root}/snapshot-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    store.put(spark, f"{root}/current/{max(_pointers(root, spark), default=-1) + 1:012d}.json", json.dumps({"path": path}))
     return path
 
 
+def _pointers(root: str, spark: SparkSession) -> list[int]:
+    return [int(n.removesuffix(".json")) for n in store.names(spark, f"{root}/current") if n.removesuffix(".json").isdigit()]
+
+
 def current(root: str, spark: SparkSession) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("path string").json(f"{root}/current").first().path)
+    """The newest snapshot whose pointer is there."""
+    newest = f"{root}/current/{max(_pointers(root, spark)):012d}.json"
+    return spark.read.parquet(json.loads(spark.read.text(newest, wholetext=True).first().value)["path"])

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ringtrace.operators.incremental import Components
+
 CYCLE, LATE = "15 minutes", "5 minutes"
 
 
@@ -16,6 +18,21 @@ def cycle_counts(stream: DataFrame, at: str = "at", key: str = "job_id") -> Data
     return stream.withWatermark(at, LATE).groupBy(F.window(at, CYCLE).alias("cycle"), key).agg(F.count(F.lit(1)).alias("hits")).select(F.col("cycle.start").alias("cycle_start"), key, "hits")
 
 
+def lookback_counts(stream: DataFrame, at: str = "at", keys: list[str] = ("url_key",), interval: int = 15, overlap: int = 5, late: str = LATE) -> DataFrame:
+    """cycle_start, cycle_end, keys, hits: a cycle ends every ``interval`` minutes and looks back over these and ``overlap`` more.
+
+    Cycles overlap, so a hit near a boundary counts in both, and one that came late for its own is seen by the next.  On a
+    stream a cycle is told once it can gain no more hits.
+    """
+    if interval < 1 or overlap < 0:
+        raise ValueError("interval from 1 minute, overlap from 0")
+    # windows start where a cycle that ends at a multiple of the interval begins to look back
+    start = -(interval + overlap) % interval
+    cycle = F.window(at, f"{interval + overlap} minutes", f"{interval} minutes", f"{start} minutes")
+    counts = stream.withWatermark(at, late).groupBy(cycle.alias("cycle"), *keys).agg(F.count(F.lit(1)).alias("hits"))
+    return counts.select(F.col("cycle.start").alias("cycle_start"), F.col("cycle.end").alias("cycle_end"), *keys, "hits")
+
+
 def once(stream: DataFrame, at: str = "at", keys: list[str] = ("url_key",)) -> DataFrame:
     """Repeats within the watermark are dropped; :func:`fresh` drops those against all earlier batches."""
     return stream.withWatermark(at, LATE).dropDuplicatesWithinWatermark(list(keys))
@@ -50,3 +67,17 @@ def refreshing(stream: DataFrame, edges_path: str, checkpoint: str, refresh: Cal
         refresh(spark.read.schema(batch.schema).parquet(*earlier, f"{edges_path}/batch-{number:09d}"))
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+
+
+def refreshing_components(stream: DataFrame, root: str, checkpoint: str, refresh: Callable[[DataFrame, Components], None]) -> DataStreamWriter:
+    """A writer that adds each batch's edges (document_id, key) to the components in ``root``.
+
+    Only what a batch touches is joined anew (:class:`Components`); ``refresh`` gets the batch's renamed components and the state.
+    A batch that runs twice replaces what it left.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        state = Components(batch.sparkSession, root)
+        refresh(state.apply(number, batch), state)
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)

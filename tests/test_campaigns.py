@@ -2,7 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from ringtrace.operators import anomalies, contextual, graph, matching, metrics, prepare, registry, similarity, validation
+from ringtrace.operators import anomalies, contextual, graph, incremental, matching, metrics, prepare, registry, similarity, validation
 from ringtrace.operators.common import empty
 
 DOC = "document_id string, category string, confidence string, specific_case string, severity string, scam_types array<string>, bank_roles array<string>, first_seen timestamp, last_seen timestamp"
@@ -48,14 +48,17 @@ def test_repeated_ids_are_an_error(spark, base):
 
 def test_clusters_and_scores(base):
     docs, edges = base
-    clusters, members = graph.clusters(docs, prepare.linking(edges))
-    (c,) = clusters.collect()
-    assert (c.component, c.anchor, c.document_count, c.maximum_severity) == ("doc-1", "bank_account|001234567890", 3, 5)
-    scores = {r.document_id: r.membership_score for r in members.collect()}
+    g = graph.clusters(docs, prepare.linking(edges))
+    (c,) = g.clusters.collect()
+    assert (c.component, c.anchor, c.document_count, c.maximum_severity, c.indicator_count, c.shared_count) == ("doc-1", "bank_account|001234567890", 3, 5, 2, 2)
+    scores = {r.document_id: r.membership_score for r in g.members.collect()}
     assert scores == {"doc-1": 0.98, "doc-2": 0.999, "doc-3": 0.95}
-    roles = {r.key: r.role for r in graph.indicator_roles(clusters, members).collect()}
-    assert roles == {"bank_account|001234567890": "anchor", "phone|0912345678": "shared"}
-    assert validation.sound_clusters(clusters, members).first().sound
+    roles = {r.key: (r.role, r.weight, r.reasons) for r in graph.indicator_roles(g.keys, g.reasons).collect()}
+    assert roles == {"bank_account|001234567890": ("anchor", 0.98, ["q1", "q3"]), "phone|0912345678": ("shared", 0.95, ["q4", "q5"])}
+    assert validation.sound_clusters(g.clusters, g.members).first().sound
+    why = {(r.document_id, r.indicator_key): (r.reason_type, r.indicator_type, r.shared_document_count, r.indicator_confidence, r.contribution, r.evidence_source, r.evidence_quote) for r in g.reasons.collect()}
+    assert why["doc-2", "phone|0912345678"] == ("shared_strong_indicator", "phone", 2, 1.0, 0.95, "text", "q4") and len(why) == 4
+    assert not any(t.startswith("array") and c not in ("scam_types", "bank_roles", "category_counts") for df in g for c, t in df.dtypes)
 
 
 def test_order_of_input_does_not_matter(spark):
@@ -71,14 +74,15 @@ def test_metrics_and_anomalies(base):
     s = metrics.summary(docs, edges).first()
     assert (s.document_count, s.unique_indicator_count, s.document_indicator_edge_count, s.maximum_severity, s.average_confidence) == (4, 3, 5, 5, 0.7)
     linking = prepare.linking(edges)
-    clusters, members = graph.clusters(docs, linking)
+    clusters, members, keys, _ = graph.clusters(docs, linking)
     found = anomalies.found(docs, linking, clusters).groupBy("anomaly_type").count().collect()
     assert {r.anomaly_type: r["count"] for r in found} == {"high_severity": 3, "repeated_indicator": 2, "burst_size": 1}
     rows = anomalies.found(docs, linking, clusters)
-    behind = anomalies.evidence(rows, docs, linking, linking, clusters, members).collect()
+    behind = anomalies.evidence(rows, docs, linking, linking, keys, members).collect()
     burst = next(r for r in rows.collect() if r.anomaly_type == "burst_size")
     assert len([r for r in behind if r.anomaly_key == burst.anomaly_key and r.document_id]) == burst.document_count
-    order = [r.anomaly_type for r in anomalies.ordered(rows, anomalies.evidence(rows, docs, linking, linking, clusters, members)).collect()]
+    assert burst.anomaly_key == f"burst_size_{clusters.first().campaign_key}"
+    order = [r.anomaly_type for r in anomalies.ordered(rows, anomalies.evidence(rows, docs, linking, linking, keys, members)).orderBy("place").collect()]
     assert order == sorted(order, key=anomalies.ORDER.index)
 
 
@@ -86,8 +90,18 @@ def test_empty_input(spark):
     docs, edges = prepare.documents(empty(spark, DOC)), prepare.edges(empty(spark, EDGE))
     s = metrics.summary(docs, edges).first()
     assert (s.document_count, s.average_confidence, s.maximum_severity) == (0, 0.0, 0)
-    clusters, members = graph.clusters(docs, edges)
-    assert clusters.count() == members.count() == 0 == anomalies.found(docs, edges, clusters).count()
+    g = graph.clusters(docs, edges)
+    assert [df.count() for df in g] == [0, 0, 0, 0] and anomalies.found(docs, edges, g.clusters).count() == 0
+
+
+def test_anomalies_are_ordered_by_whole_lists(spark):
+    rng = random.Random(5)
+    lists = {f"a{i}": (sorted(rng.sample("abcdef", rng.randrange(0, 5))), sorted(rng.sample("xyz", rng.randrange(0, 4))), rng.choice(anomalies.ORDER)) for i in range(60)}
+    lists["a60"], lists["a61"] = (["a", "b"], [], "burst_size"), (["a"], [], "burst_size")
+    rows = spark.createDataFrame([(k, v[2]) for k, v in lists.items()], "anomaly_key string, anomaly_type string")
+    behind = [(k, d, None) for k, v in lists.items() for d in v[0]] + [(k, None, i) for k, v in lists.items() for i in v[1]]
+    got = [r.anomaly_key for r in anomalies.ordered(rows, spark.createDataFrame(behind, "anomaly_key string, document_id string, indicator_key string")).orderBy("place").collect()]
+    assert got == sorted(lists, key=lambda k: (anomalies.ORDER.index(lists[k][2]), lists[k][0], lists[k][1], k))
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -109,11 +123,20 @@ def test_components_equal_union_find(spark, seed):
     assert got == want
 
 
-CLUSTER = "campaign_key string, anchor string, indicator_keys array<string>, document_count bigint, risk_score double, scam_types array<string>"
-OLD = "campaign_key string, anchor string, indicator_keys array<string>, document_count bigint, risk_score double, label string, status string, analyst_confirmed boolean, is_active boolean, updated_at string"
+CLUSTER = "campaign_key string, anchor string, document_count bigint, risk_score double, scam_types array<string>"
+OLD = "campaign_key string, anchor string, document_count bigint, risk_score double, label string, status string, analyst_confirmed boolean, is_active boolean, updated_at string"
+
+
+def _without(rows, at=2):
+    return [(*r[:at], *r[at + 1 :]) for r in rows]
+
+
+def _keys(spark, rows, anchors=False):
+    return spark.createDataFrame([(r[0], k) for r in rows for k in {*r[2], *([r[1]] if anchors else [])}], "campaign_key string, key string")
 
 
-def test_identities_are_those_of_choosing_one_by_one(spark):
+@pytest.mark.parametrize("largest", [100_000, 3])
+def test_identities_are_those_of_choosing_one_by_one(spark, largest):
     rng = random.Random(4)
     keys = [f"phone|{k}" for k in range(30)]
     new = [(f"n{i}", keys[i], rng.sample(keys, 5), rng.randrange(2, 9), 1.0, ["t"]) for i in range(14)]
@@ -131,21 +154,38 @@ def test_identities_are_those_of_choosing_one_by_one(spark):
         if fit:
             want[n[0]] = max(fit)[3]
             taken.add(want[n[0]])
-    clusters, before = spark.createDataFrame(new, CLUSTER), spark.createDataFrame(old, OLD)
-    identities = registry.assigned(clusters, before)
+    clusters, before = spark.createDataFrame(_without(new), CLUSTER), spark.createDataFrame(_without(old), OLD)
+    keys, old_keys = _keys(spark, new), _keys(spark, old, True)
+    identities = registry.assigned(clusters, keys, before, old_keys, largest)
     assert {r.campaign_key: r.old_key for r in identities.collect()} == want
     merged = {r.campaign_key: r for r in registry.merged(clusters, before, identities).collect()}
     assert all(not merged[o[0]].is_active for o in old if o[6] == "dismissed") and len(merged) == len(old) + len(new) - len(want)
     again = {r.campaign_key: r for r in registry.merged(clusters, before, identities).collect()}
     assert again == merged
+    held = {}
+    for r in registry.merged_keys(keys, old_keys, identities).collect():
+        held.setdefault(r.campaign_key, set()).add(r.key)
+    assert all(held[want.get(n[0], n[0])] == set(n[2]) for n in new) and all(held[o[0]] == {*o[2], o[1]} for o in old if o[0] not in want.values())
+
+
+def test_a_long_chain_of_refusals_takes_few_rounds(spark):
+    n = 3000
+    clusters = spark.createDataFrame([(f"n{i:05d}", "phone|1", n - i, 1.0, ["t"]) for i in range(n)], CLUSTER)
+    # each cluster wants the campaign of the one before it most
+    keys = spark.createDataFrame([(f"n{i:05d}", f"k{j}x{x}") for i in range(n) for j, m in ((i - 1, 3), (i, 2)) if j >= 0 for x in range(m)], "campaign_key string, key string")
+    old = spark.createDataFrame([(f"o{i:05d}", "phone|2", 2, 1.0, "", "provisional", False, True, "x") for i in range(n)], OLD)
+    old_keys = spark.createDataFrame([(f"o{i:05d}", f"k{i}x{x}") for i in range(n) for x in range(3)], "campaign_key string, key string")
+    got = {r.campaign_key: r.old_key for r in registry.assigned(clusters, keys, old, old_keys).collect()}
+    assert got == {f"n{i:05d}": f"o{i:05d}" for i in range(n)}
 
 
 def test_labels_of_analysts_stay(spark):
-    clusters = spark.createDataFrame([("n1", "phone|0912345678", ["phone|0912345678"], 2, 5.0, ["fake_bank"])], CLUSTER)
-    old = spark.createDataFrame([("n1", "phone|0912345678", ["phone|0912345678"], 2, 1.0, "Mine", "confirmed", True, True, "x"), ("n2", "phone|1", ["phone|1"], 2, 1.0, None, "provisional", False, True, "x")], OLD)
-    rows = {r.campaign_key: r for r in registry.merged(clusters, old, registry.assigned(clusters, old)).collect()}
+    new = [("n1", "phone|0912345678", ["phone|0912345678"], 2, 5.0, ["fake_bank"])]
+    before = [("n1", "phone|0912345678", ["phone|0912345678"], 2, 1.0, "Mine", "confirmed", True, True, "x"), ("n2", "phone|1", ["phone|1"], 2, 1.0, None, "provisional", False, True, "x")]
+    clusters, old, keys, old_keys = spark.createDataFrame(_without(new), CLUSTER), spark.createDataFrame(_without(before), OLD), _keys(spark, new), _keys(spark, before)
+    rows = {r.campaign_key: r for r in registry.merged(clusters, old, registry.assigned(clusters, keys, old, old_keys)).collect()}
     assert (rows["n1"].label, rows["n1"].risk_score, rows["n1"].is_active, rows["n2"].is_active) == ("Mine", 5.0, True, False)
-    new = registry.merged(clusters, old.limit(0), registry.assigned(clusters, old.limit(0))).first()
+    new = registry.merged(clusters, old.limit(0), registry.assigned(clusters, keys, old.limit(0), old_keys.limit(0))).first()
     assert new.label == "Fake Bank · Phone ••••5678"
 
 
@@ -232,8 +272,8 @@ def test_retrieved_equals_scoring_each_case(spark):
 def test_all_documents_outside_campaigns_are_cases(spark, sf):
     from ringtrace.plans import queries
 
-    docs, _, _, members, _ = queries._registry(spark, sf)
-    outside = docs.join(members, "document_id", "left_anti")
+    docs, _, g, _ = queries._registry(spark, sf)
+    outside = docs.join(g.members, "document_id", "left_anti")
     found = queries.j5_contextual(spark, sf).select(F.col("case_id").alias("document_id")).distinct().join(docs, "document_id")
     assert {r.severity for r in found.select("severity").distinct().collect()} == {r.severity for r in outside.select("severity").distinct().collect()} != {5}
 
@@ -249,7 +289,40 @@ def test_metrics_have_evidence_as_rows(base):
 def test_line_clusters_have_a_large_component(spark, sf):
     from ringtrace.plans import queries
 
-    docs, edges, clusters, members = queries._line_clusters(spark, sf)
+    docs, edges, (clusters, members, _, _) = queries._line_clusters(spark, sf)
     component = graph.components(graph.star_edges(edges)).groupBy("component").count()
     assert {tuple(r) for r in clusters.select("component", "document_count").collect()} == {tuple(r) for r in component.collect()}
     assert clusters.agg(F.max("document_count")).first()[0] > 7 and members.count() == component.agg(F.sum("count")).first()[0]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_by_batches_equal_all_at_once(spark, tmp_path, monkeypatch, seed):
+    rng = random.Random(seed)
+    rows = [(f"d{rng.randrange(70):02d}", f"k{rng.randrange(60)}") for _ in range(110)] + [("d00", "k999"), (None, "k1"), ("d01", None)]
+    edges = spark.createDataFrame(rows, "document_id string, key string")
+    batches = [spark.createDataFrame(rows[i::4], edges.schema) for i in range(4)]
+    state = incremental.Components(spark, str(tmp_path))
+    known = []
+    for n, batch in enumerate(batches):
+        if n == 2:  # broken off between two tables, then run again
+            with monkeypatch.context() as m:
+                m.setattr(incremental.Components, "_renamed", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+                with pytest.raises(RuntimeError):
+                    state.apply(n, batch)
+        state.apply(n, batch)
+        if n == 1:
+            state.apply(n, batch)
+        known += rows[n::4]
+        whole = graph.components(graph.star_edges(spark.createDataFrame([r for r in known if None not in r], edges.schema)))
+        assert sorted(map(tuple, state.current().collect())) == sorted(map(tuple, whole.select("document_id", "component").collect()))
+    assert state.current(2).count() <= state.current().count()
+    # a batch that only repeats what is known writes nothing and renames nothing
+    assert state.apply(4, batches[0]).count() == 0
+    assert all(state._table(t, None).filter("batch = 4").isEmpty() for t in incremental.SCHEMAS)
+
+
+def test_few_classes_of_campaigns_are_scored(spark):
+    n = 400
+    campaigns = spark.createDataFrame([(f"k{i:03d}", ["fake_bank"] if i % 2 else ["loan_app"], ["bank_staff"], f"phone|{i}", 0.9 - i % 7 / 100, float(i % 5), 2, False, f"Fake Bank · Phone ••••{i}") for i in range(n)], "campaign_key string, scam_types array<string>, bank_roles array<string>, anchor string, average_confidence double, risk_score double, document_count bigint, analyst_confirmed boolean, label string")
+    groups = spark.createDataFrame([("p", ["fake_bank"], ["bank_staff"], ["phone"], ["bank_alert"])], "profile string, scam_types array<string>, bank_roles array<string>, kinds array<string>, signals array<string>")
+    assert contextual.promising(groups, campaigns, 4).count() < n / 4

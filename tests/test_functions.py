@@ -127,3 +127,37 @@ def test_inferred(spark):
     for r in extraction.inferred(rows).orderBy("lookup_id", "rank").collect():
         got.setdefault(r.lookup_id, []).append((r.kind, r.value))
     assert got == {"a": [("phone", "0912345678"), ("bank_account", "0912345678")], "b": [("url", "https://bad.example/x"), ("domain", "bad.example")], "c": [("email", "x@y.example")], "d": [("message_template", "you have won a prize")]}
+
+
+def test_payload_walk_and_checksum_equal_a_plain_version(spark):
+    import random
+
+    rng = random.Random(9)
+
+    def fields(t):
+        out, at = {}, 0
+        while at < len(t):
+            size = t[at + 2 : at + 4]
+            if len(size) < 2 or not size.isdigit() or at + 4 + int(size) > len(t):
+                return None
+            out.setdefault(t[at : at + 2], t[at + 4 : at + 4 + int(size)])
+            at += 4 + int(size)
+        return out
+
+    f = lambda t, v: f"{t}{len(v):02d}{v}"
+    some = lambda: "".join(rng.choice("012Aé đ") for _ in range(rng.randrange(0, 12)))
+    texts = ["", "0", "0002", "00020", "000201", "0002010002xx", "00xx01", "12345678", *("".join(f(f"{rng.randrange(4):02d}", some()) for _ in range(rng.randrange(1, 9))) for _ in range(60))]
+    texts += [t[: rng.randrange(len(t))] for t in texts if t] + ["".join(f(f"{i:02d}", "x" * 90) for i in range(60))]
+    assert apply(spark, extraction.tagged_fields, texts) == [fields(t) for t in texts]
+    assert apply(spark, lambda c: F.lpad(F.hex(extraction.crc16(c)), 4, "0"), ["123456789", "", *texts]) == ["29B1", "FFFF", *(payload_crc(t) for t in texts)]
+    whole = [payload("0011223344", "FT123456"), payload("1", ""), "00020163049999", None, "  " + payload("7", "R1") + " "]
+    assert [tuple(r) for r in apply(spark, extraction.payment_payload, whole)] == [(True, "0011223344", "FT123456"), (True, "1", None), (False, None, None), (False, None, None), (True, "7", "R1")]
+
+
+def payload_crc(t):
+    v = 0xFFFF
+    for byte in t.encode():
+        v ^= byte << 8
+        for _ in range(8):
+            v = ((v << 1) ^ 0x1021 if v & 0x8000 else v << 1) & 0xFFFF
+    return f"{v:04X}"

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 from ringtrace.operators import registry
-from ringtrace.sources import tables
+from ringtrace.sources import store, tables
 from ringtrace.streaming import refresh
 
 
@@ -95,20 +95,82 @@ def test_queries_equal_their_sql(spark, sf, name):
     assert sorted([plain(r[c]) for c in sorted(df.columns)] for r in df.collect()) == sorted([plain(r[i]) for i in order] for r in want.fetchall())
 
 
-#: Queries that give what another one's SQL says.
-SAME = [("c1_all_windows", "c1_windows"), ("j17_all_insights", "j17_grounded_insights")]
-
-
-@pytest.mark.parametrize(("name", "sql"), SAME)
-def test_queries_of_whole_tables_equal_the_sql(spark, sf, name, sql):
-    import __spark_entry__ as entry
+def test_store_rewrites_only_touched_buckets(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = spark.createDataFrame([(i, f"a{i}", i * 1.0) for i in range(200)], "id bigint, name string, x double")
+    store.create(rows, root, ["id"], 16)
+    with pytest.raises(FileExistsError):
+        store.create(rows, root, ["id"], 16)
+    first = store.manifest(spark, root)
+    one = spark.createDataFrame([(7, "seven"), (1000, "new")], "id bigint, name string")
+    assert store.upsert(one, root, before_commit=lambda: None) == 1
+    second = store.manifest(spark, root)
+    moved = {b for b in second["folders"] if second["folders"][b] != first["folders"].get(b)}
+    assert 1 <= len(moved) <= 2 and len(second["folders"]) >= 14
+    got = {r.id: (r.name, r.x) for r in store.read(spark, root).collect()}
+    assert got == {**{i: (f"a{i}", i * 1.0) for i in range(200)}, 7: ("seven", 7.0), 1000: ("new", None)}
+    assert {r.id: r.name for r in store.read(spark, root, 0).collect()}[7] == "a7"
+    assert store.upsert(one.limit(0), root) == 1
+    store.upsert(spark.createDataFrame([(7, "other")], "id bigint, name string"), root, protected=["name"])
+    assert store.read(spark, root).filter("id = 7").first().name == "seven"
+    with pytest.raises(ValueError):
+        store.upsert(one.withColumn("odd", F.lit(1)), root)
+    store.replace(rows.limit(3), root)
+    assert store.read(spark, root).count() == 3 and len(store.vacuum(spark, root, 1)) > 3 and store.read(spark, root).count() == 3 and store.versions(spark, root) == [3]
+
+
+KILLED = """
+import os, signal, sys
+sys.path[:0] = [{repo!r}]
+from pyspark.sql import SparkSession
+from ringtrace.sources import store
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+new = spark.createDataFrame([(i, "changed") for i in range(50)], "id bigint, name string")
+store.upsert(new, {root!r}, before_commit=lambda: os.kill(os.getpid(), signal.SIGKILL))
+"""
+
+
+def test_a_killed_writer_leaves_the_old_version(spark, tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
 
-    con = duckdb.connect()
-    for t in ("orders", "customer", "lineitem"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    df, want = entry.queries()[name](spark, sf), con.sql(entry.oracle_sql()[sql])
-    columns = want.columns
-    assert sorted(map(str, map(tuple, df.select(*columns).collect()))) == sorted(map(str, want.fetchall()))
+    root = str(tmp_path / "store")
+    store.create(spark.createDataFrame([(i, "old") for i in range(60)], "id bigint, name string"), root, ["id"], 4)
+    code = KILLED.format(repo=str(Path(__file__).resolve().parents[1]), root=root)
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=200).returncode == -9
+    assert store.versions(spark, root) == [0] and store.read(spark, root).filter("name = 'old'").count() == 60
+    other = spark.createDataFrame([(1, "mine")], "id bigint, name string")
+    # two writers of one version: the second is refused
+    with pytest.raises(FileExistsError):
+        store.upsert(other, root, before_commit=lambda: store.upsert(other, root))
+    assert store.versions(spark, root) == [0, 1] and store.read(spark, root).filter("name = 'mine'").count() == 1
+
+
+def test_lookback_counts_hits_near_a_boundary_twice(spark, tmp_path):
+    rows = [("u", "2024-01-01 00:14:59"), ("u", "2024-01-01 00:15:00"), ("u", "2024-01-01 00:09:59"), ("v", "2024-01-01 00:10:00")]
+    df = spark.createDataFrame(rows, "url_key string, at string").withColumn("at", F.to_timestamp("at"))
+    want = sorted([("2024-01-01 00:15:00", "u", 2), ("2024-01-01 00:30:00", "u", 2), ("2024-01-01 00:15:00", "v", 1), ("2024-01-01 00:30:00", "v", 1)])
+    shown = lambda x: sorted(tuple(r) for r in x.select(F.date_format("cycle_end", "yyyy-MM-dd HH:mm:ss"), "url_key", "hits").collect())
+    assert shown(refresh.lookback_counts(df)) == want
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    refresh.lookback_counts(stream).writeStream.format("memory").queryName("lookback").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert shown(spark.table("lookback")) == want
+    with pytest.raises(ValueError):
+        refresh.lookback_counts(df, interval=0)
+
+
+def test_components_follow_a_stream(spark, tmp_path):
+    source, seen = str(tmp_path / "in"), []
+    batches = [[("a", "k1"), ("b", "k1"), ("c", "k2")], [("d", "k2"), ("e", "k3")], [("c", "k1"), ("e", "k4")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "document_id string, key string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("document_id string, key string").parquet(source)
+        note = lambda moved, state: seen.append((sorted(map(tuple, moved.collect())), sorted(map(tuple, state.current().collect()))))
+        refresh.refreshing_components(stream, str(tmp_path / "state"), str(tmp_path / "check"), note).trigger(availableNow=True).start().awaitTermination()
+    assert seen[0] == ([], [("a", "a"), ("b", "a")]) and seen[1] == ([], [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")])
+    assert seen[2] == ([("c", "a")], [(x, "a") for x in "abcd"])
 
 
 def test_entry(spark):
