@@ -10,7 +10,11 @@ from ringtrace.functions import fixed, text, urls
 
 def normal_value(kind: Column, value: Column) -> Column:
     """The normal form of a value of a (normalised) kind; empty if there is none."""
-    v = text.collapse(value)
+    return text.let(text.collapse(value), lambda v: collapsed_value(kind, v))
+
+
+def collapsed_value(kind: Column, v: Column) -> Column:
+    """:func:`normal_value` of a value whose white space is collapsed already."""
     return (
         F.when(v == "", "")
         .when(kind == "phone", text.phone(v))
@@ -96,7 +100,10 @@ def lookup_qr(value: Column) -> Column:
 
 def lookup_value(kind: Column, value: Column) -> Column:
     """The normal form of a submitted indicator, or empty if it is not fit to match."""
-    v = F.substring(text.collapse(value), 1, 2048)
+    return text.let(F.substring(text.collapse(value), 1, 2048), lambda v: _lookup_value(kind, v))
+
+
+def _lookup_value(kind: Column, v: Column) -> Column:
     mail, host = F.lower(F.substring(v, 1, 320)), urls.domain(urls.refanged(v))
     number, call, reference = text.code(v), text.phone(v), text.code(F.substring(v, 1, 100))
     digest = F.regexp_replace(F.lower(F.substring(v, 1, 180)), "^sha(?:1|256|512):", "")
@@ -124,7 +131,10 @@ def _tail(name: str | Column, value: Column, n: int) -> Column:
 
 def masked(kind: Column, value: Column) -> Column:
     """What may be shown of a value: nothing that tells a person, account or message apart."""
-    v = text.collapse(F.coalesce(value, F.lit("")))
+    return text.let(text.collapse(value), lambda v: _masked(kind, v))
+
+
+def _masked(kind: Column, v: Column) -> Column:
     parts = F.split(v, "@")
     mail = F.concat(F.when(F.get(parts, F.lit(0)) == "", "•").otherwise(F.left(v, F.lit(1))), F.lit("•••@"), F.get(parts, F.lit(1)))
     handle = F.regexp_replace(v, "^@", "")

@@ -18,8 +18,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Every run of Unicode white space as one space, none at the ends; null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)\s+", " "))
+    """Every run of Unicode white space as one space, none at the ends; null is empty.  ASCII without white space needs no pattern."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    plain = F.octet_length(text) == F.length(text)
+    for space in " \t\n\x0b\x0c\r":
+        plain = plain & ~text.contains(space)
+    return F.when(plain, text).otherwise(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
 def casefold(c: Column) -> Column:
@@ -42,7 +46,7 @@ def kind(c: Column) -> Column:
     """An indicator kind or label: lower case, other characters as one underscore, other names resolved."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(c.cast("string"), F.lit("")))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     names = F.create_map(*[F.lit(x) for pair in fixed.KIND_ALIASES.items() for x in pair])
-    return let(plain, lambda p: F.coalesce(F.try_element_at(names, p), p))
+    return F.when(c.cast("string").isin(*fixed.KINDS), c.cast("string")).otherwise(let(plain, lambda p: F.coalesce(F.try_element_at(names, p), p)))
 
 
 def labels(c: Column) -> Column:

@@ -40,20 +40,22 @@ def edges(raw: DataFrame) -> DataFrame:
 
     Unknown kinds and blank values are left out; a missing confidence is 1.
     """
-    kind = text.kind(F.col("kind"))
-    shown = text.collapse(F.col("value"))
     rows = raw.select(
         text.collapse(F.col("document_id")).alias("document_id"),
-        kind.alias("kind"),
-        shown.alias("display_value"),
-        indicators.normal_value(kind, F.col("value")).alias("value"),
+        text.kind(F.col("kind")).alias("kind"),
+        text.collapse(F.col("value")).alias("display_value"),
         text.clamped(F.col("confidence"), 0, 1, 1).alias("confidence"),
-        F.when(text.collapse(F.col("source")) == "", "unknown").otherwise(text.collapse(F.col("source"))).alias("source"),
+        text.collapse(F.col("source")).alias("source"),
         text.collapse(F.col("quote")).alias("quote"),
         "position",
-    ).filter(F.col("kind").isin(*fixed.KINDS) & (F.col("value") != ""))
-    keyed = rows.withColumn("key", indicators.key(F.col("kind"), F.col("value")))
-    return best(keyed, ["document_id", "key"], F.desc("confidence"), F.asc("position"), F.asc("display_value"))
+    )
+    # each of these is computed once: what a column is made of is a column of the step before
+    valued = rows.withColumn("value", indicators.collapsed_value(F.col("kind"), F.col("display_value")))
+    keyed = valued.withColumns({"key": indicators.key(F.col("kind"), F.col("value")), "source": F.when(F.col("source") == "", "unknown").otherwise(F.col("source"))})
+    first = best(keyed, ["document_id", "key"], F.desc("confidence"), F.asc("position"), F.asc("display_value"))
+    # behind the window: a filter before it would be pushed below, and have the values computed twice
+    out = first.filter(F.col("kind").isin(*fixed.KINDS) & (F.col("value") != ""))
+    return out.select("document_id", "kind", "display_value", "value", "confidence", "source", "quote", "position", "key")
 
 
 def eligible() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ringtrace.functions import fixed, urls
@@ -20,6 +20,24 @@ def split(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame
     return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
 
 
+def observed(df: DataFrame, rules: dict[str, Column], observation: Observation) -> DataFrame:
+    """``df`` as it is; whoever writes it finds rows and the breaches of each rule in ``observation``, without another scan."""
+    broken = [F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()]
+    return df.observe(observation, F.count(F.lit(1)).alias("rows"), *broken)
+
+
+def enforced(df: DataFrame, rules: dict[str, Column], key: str) -> DataFrame:
+    """``df`` as it is, if no row breaks a rule; else the job that reads it fails and names the row's ``key`` and its rules."""
+    found = violations(rules)
+    message = F.concat(F.lit("rules broken by "), F.coalesce(F.col(key).cast("string"), F.lit("a row without key")), F.lit(": "), F.array_join(found, ", "))
+    return df.filter(F.when(F.size(found) == 0, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def repeated_ids(df: DataFrame, key: str) -> DataFrame:
+    """key, n of missing (as an empty text) and repeated keys: counts alone, whatever the rows."""
+    return df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key)).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | (F.col(key) == ""))
+
+
 def document_rules() -> dict[str, Column]:
     return {
         "category": F.col("category").isin(*fixed.CATEGORIES),

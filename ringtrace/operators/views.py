@@ -77,6 +77,17 @@ def reason_labels(reasons: Column, n: int = 4) -> Column:
     return F.slice(F.array_distinct(F.transform(F.coalesce(reasons, F.array().cast("array<struct<reason_type:string,shared_document_count:bigint>>")), label)), 1, n)
 
 
+def member_reasons(reasons: DataFrame, n: int = 4) -> DataFrame:
+    """campaign_key, document_id, labels of each member: what may be shown of its reasons (rows), the first ``n`` different labels by indicator."""
+    one = F.struct("reason_type", "shared_document_count")
+    label = F.get(reason_labels(F.array(one), 1), F.lit(0))
+    each = reasons.select("campaign_key", "document_id", "indicator_key", label.alias("label")).groupBy("campaign_key", "document_id", "label").agg(F.min("indicator_key").alias("first"))
+    top = best(each, ["campaign_key", "document_id"], F.asc("first"), F.asc("label"), n=n)
+    # ``n`` rows a member at most
+    rows = top.groupBy("campaign_key", "document_id").agg(F.array_sort(F.collect_list(F.struct("first", "label"))).alias("l"))
+    return rows.select("campaign_key", "document_id", F.transform("l", lambda x: x["label"]).alias("labels"))
+
+
 def short_reasons(reasons: Column, n: int = 12, length: int = 180) -> Column:
     return F.slice(F.array_distinct(F.transform(reasons, lambda r: F.substring(r, 1, length))), 1, n)
 

@@ -234,6 +234,16 @@ ORACLES: dict[str, str] = {
     "t4_event_components": _with("acts AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS document_id, event_type || '|' || strftime(ts, '%Y-%m-%d %H') AS key FROM events)", _components("acts")) + " SELECT * FROM components",
     "t2_lookback": "WITH " + _EVENTS + """, seen AS (SELECT ts, url_key, time_bucket(INTERVAL 15 MINUTE, ts) AS b FROM e), ends AS (SELECT url_key, b + INTERVAL 15 MINUTE AS cycle_end FROM seen UNION ALL SELECT url_key, b + INTERVAL 30 MINUTE FROM seen WHERE ts >= b + INTERVAL 10 MINUTE)
         SELECT strftime(cycle_end - INTERVAL 20 MINUTE, '%Y-%m-%d %H:%M:%S') AS cycle_start, strftime(cycle_end, '%Y-%m-%d %H:%M:%S') AS cycle_end, url_key, count(*) AS hits FROM ends GROUP BY 1, 2, 3""",
+    "f16_member_reasons": _with(*_GRAPH) + """ SELECT campaign_key, document_id, string_agg(label, ' / ' ORDER BY first, label) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY campaign_key, document_id ORDER BY first, label) AS r
+        FROM (SELECT campaign_key, document_id, 'Exact indicator shared across ' || n || ' sources' AS label, min(key) AS first FROM reasons JOIN anchors USING (component) GROUP BY 1, 2, 3)) WHERE r <= 4 GROUP BY 1, 2""",
+    "e3_payloads": "SELECT o_orderkey, o_orderkey % 5 <> 0 AS valid, CASE WHEN o_orderkey % 5 <> 0 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS account, CASE WHEN o_orderkey % 5 <> 0 THEN 'ORDER' || o_orderkey END AS reference FROM orders",
+    "n23_public_texts": "SELECT page_id, left(trim(regexp_replace(replace(url, '/', ' '), '\\s+', ' ', 'g')), 24) AS shown FROM pages",
+    "n18_bounds": "SELECT p_partkey, CASE WHEN p_size BETWEEN 10 AND 30 THEN CAST(p_size AS DOUBLE) END AS size, CAST(least(30, greatest(10, p_size)) AS DOUBLE) AS clamped FROM part",
+    "e2_addresses": f"SELECT page_id AS input_id, 'domain' AS kind, {_HOST} AS value FROM pages",
+    "v2_repeated_ids": "SELECT coalesce(CAST(k AS VARCHAR), '') AS l_orderkey, count(*) AS n FROM (SELECT CASE WHEN l_linenumber < 7 THEN l_orderkey END AS k FROM lineitem) GROUP BY 1 HAVING n > 1 OR l_orderkey = ''",
+    "v4_guarded": _with(*_GRAPH) + " SELECT campaign_key, document_id FROM members JOIN docs d USING (document_id) WHERE specific_case AND category IN ('scam_report', 'impersonation_abuse') AND d.confidence >= 0.6",
+    "v5_campaigns": _with(*_GRAPH) + " SELECT campaign_key, 'confirmed' AS violations FROM registry WHERE status = 'confirmed' AND document_count <= 2",
+    "w8_first_candidates": _with(_CASES) + " SELECT e.document_id || '/' || key AS lookup_id, kind, split_part(key, '|', 2) AS value FROM edges e WHERE key IN (SELECT key FROM edges WHERE CAST(split_part(quote, ' ', 2) AS INTEGER) > 1)",
     "s5_store": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 400000 THEN 0.0::DOUBLE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0 OR o_totalprice > 400000",
     "w5_masked_indicators": _with(*_GRAPH) + f" SELECT campaign_key, role, {_SHOWN} AS display_value FROM (SELECT *, regexp_extract(key, '\\|(.*)$', 1) AS v, row_number() OVER (PARTITION BY campaign_key ORDER BY role, weight DESC, key) AS r FROM roles) WHERE r <= 24",
     "f7_by_tactic": _with(*_GRAPH) + " SELECT campaign_key FROM clusters WHERE scam_types LIKE '%urgent%' OR bank_roles LIKE '%building%'",

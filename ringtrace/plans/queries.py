@@ -562,6 +562,60 @@ def w9_best_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.best_cluster(matched, g.members, campaigns).select("lookup_id", "campaign_key", "matched")
 
 
+def f16_member_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = views.member_reasons(_clusters(spark, sf_dir)[2].reasons)
+    return out.select("campaign_key", "document_id", F.array_join("labels", " / ").alias("shown"))
+
+
+def e3_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payment payloads of all orders, one in five with a wrong checksum."""
+    field = lambda tag, v: F.concat(F.lit(tag), F.lpad(F.length(v).cast("string"), 2, "0"), v)
+    account, reference = F.lpad(F.col("o_custkey").cast("string"), 10, "0"), F.concat(F.lit("ORDER"), F.col("o_orderkey").cast("string"))
+    inner = F.concat(field("00", F.lit("BANK01")), field("01", account))
+    body = F.concat(field("00", F.lit("01")), field("38", F.concat(field("00", F.lit("A0")), field("01", inner))), field("62", field("08", reference)), F.lit("6304"))
+    orders = bindings.read(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))
+    crc = F.lpad(F.hex(extraction.crc16(F.col("body"))), 4, "0")
+    wrong = F.translate(crc, "0123456789ABCDEF", "123456789ABCDEF0")
+    sent = orders.select("o_orderkey", F.concat("body", F.when(F.col("o_orderkey") % 5 == 0, wrong).otherwise(crc)).alias("payload"))
+    return sent.select("o_orderkey", extraction.payment_payload(F.col("payload")).alias("p")).select("o_orderkey", "p.*")
+
+
+def n23_public_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = bindings.read(spark, sf_dir, "pages")
+    return pages.select("page_id", text.public_text(F.concat(F.lit("  "), F.replace("url", F.lit("/"), F.lit("\t"))), 24).alias("shown"))
+
+
+def n18_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bindings.read(spark, sf_dir, "part").select("p_partkey", text.within(F.col("p_size"), 10, 30, None).alias("size"), text.clamped(F.col("p_size"), 10, 30, 0).alias("clamped"))
+
+
+def e2_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = bindings.read(spark, sf_dir, "pages").select(F.col("page_id").alias("input_id"), "url")
+    return extraction.from_addresses(pages).select("input_id", "kind", "value")
+
+
+def v2_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.repeated_ids(bindings.read(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") < 7, F.col("l_orderkey")).alias("l_orderkey")), "l_orderkey")
+
+
+def v4_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _, g = _clusters(spark, sf_dir)
+    return registry.guarded(g.members, docs, prepare.eligible()).select("campaign_key", "document_id")
+
+
+def v5_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    campaigns = _registry(spark, sf_dir)[3].withColumn("analyst_confirmed", F.col("analyst_confirmed") & (F.col("document_count") > 2))
+    return validation.split(campaigns, validation.campaign_rules())[1].select("campaign_key", joined_text("violations").alias("violations"))
+
+
+def w8_first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups of two candidates each, of which the first with evidence counts."""
+    edges = written(_cases(spark, sf_dir)[1], "edges")
+    asked = edges.select(F.concat_ws("/", "document_id", "key").alias("lookup_id"), "kind", "value")
+    both = asked.withColumn("rank", F.lit(1)).unionByName(asked.select("lookup_id", F.lit("url").alias("kind"), "value", F.lit(0).alias("rank")))
+    return matching.first_candidate(both, edges.filter("position > 1"))
+
+
 # dates, coverage, streams
 
 
