@@ -147,3 +147,51 @@ OTHER_ACTIONS = [
 
 # fixed values: words that make a document's images worth reading
 IMAGE_TERMS = ["lừa", "scam", "chuyển khoản", "tài khoản", "qr", "mất tiền", "giả mạo", "phishing", "số điện thoại", "biên lai"]
+
+# fixed values: how labels of tactics and bank roles are shown, and what they are
+TAXONOMY = {
+    "bank_impersonation": ("Bank impersonation", "tactic"),
+    "credential_theft": ("Credential theft", "tactic"),
+    "phishing": ("Phishing", "tactic"),
+    "qr_payment_fraud": ("QR payment fraud", "tactic"),
+    "fake_payment_notification": ("Fake payment notice", "tactic"),
+    "advance_fee": ("Advance-fee scam", "tactic"),
+    "account_takeover": ("Account takeover", "tactic"),
+    "malicious_apk": ("Malicious APK", "tactic"),
+    "impersonated_bank": ("Impersonated bank", "bank"),
+    "receiving_account": ("Receiving account", "bank"),
+    "destination_bank": ("Destination bank", "bank"),
+}
+
+# fixed values: parts of labels that name a bank, the first that occurs counts
+BANKS = {
+    "techcombank": "Techcombank",
+    "vietcombank": "Vietcombank",
+    "vcb": "Vietcombank",
+    "tpbank": "TPBank",
+    "vpbank": "VPBank",
+    "bidv": "BIDV",
+    "mb_bank": "MB Bank",
+    "mb bank": "MB Bank",
+    "acb": "ACB",
+}
+
+# fixed values: kinds of indicators as types of graph nodes; others are indicators
+NODE_TYPES = {
+    "bank_account": "account",
+    "phone": "phone",
+    "domain": "domain",
+    "url": "domain",
+    "social_account": "mention",
+    "message_template": "phrase",
+    "email": "indicator",
+    "qr_payload": "indicator",
+    "transaction_reference": "indicator",
+}
+
+# fixed values: what a check's result says (kicker, heading, context, match; none: the score in percent before the last text)
+CONFIRMED_COPY = ("KNOWN CAMPAIGN", "Pause this transfer.", "CONFIRMED CAMPAIGN MATCH", "ANALYST CONFIRMED")
+CONTEXTUAL_COPY = ("LIKELY RELATED CAMPAIGN", "Pause this transfer.", "ASSISTED CAMPAIGN RELATIONSHIP", "% RELATIONSHIP CONFIDENCE")
+POSSIBLE_COPY = ("POSSIBLE CAMPAIGN MATCH", "Pause this transfer.", "UNCONFIRMED CAMPAIGN EVIDENCE", "% MATCH SCORE")
+NEW_COPY = ("NEW UNMATCHED CASE", "Treat this as suspicious.", "NO CAMPAIGN ASSIGNED", "NEW CASE")
+OTHER_COPY = ("NO CONCRETE SCAM CASE", "No scam case detected.", "CONSERVATIVE ANALYSIS", "NOT A SPECIFIC CASE")

@@ -6,10 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ringtrace.functions import indicators, urls
+from ringtrace.functions import fixed, indicators, urls
+from ringtrace.functions.text import let
 from ringtrace.operators.common import best, sorted_set
 
+
 def live(campaigns: DataFrame) -> DataFrame:
     return campaigns.filter("is_active AND status <> 'dismissed'")
 
@@ -129,47 +132,85 @@ def grounded_insights(insights: DataFrame, docs: DataFrame) -> DataFrame:
     return out.withColumn("insight_key", F.sha2(F.concat_ws("|", "title", F.array_join("evidence_ids", ",")), 256))
 
 
-def _title(label: Column) -> Column:
-    return F.initcap(F.replace(label, F.lit("_"), F.lit(" ")))
+def titled(label: Column) -> Column:
+    """Every run of ASCII letters and digits with a capital first."""
+    runs = F.regexp_extract_all(label, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substr(r, F.lit(2)))), "")
+
+
+def taxonomy_entry(raw: Column, fallback: str) -> Column:
+    """A struct of label and type (tactic or bank): known labels, then banks that a label names, then its words; null for a blank one."""
+    entry = lambda label, kind: F.struct(label.alias("label"), F.lit(kind).alias("type"))
+
+    def of(low: Column) -> Column:
+        spaced = F.replace(low, F.lit("_"), F.lit(" "))
+        out = None
+        for name, (label, kind) in fixed.TAXONOMY.items():
+            out = (F if out is None else out).when(low == name, entry(F.lit(label), kind))
+        for part, label in fixed.BANKS.items():
+            out = out.when(low.contains(part) | spaced.contains(part), entry(F.lit(label), "bank"))
+        return out.when(F.trim(spaced) != "", entry(F.trim(titled(spaced)), fallback))
+
+    return let(F.lower(F.coalesce(raw, F.lit(""))), of)
+
+
+def id_part(value: Column) -> Column:
+    """A label as part of an id: letters and digits with dashes, 80 characters; one without any gets a 32-bit hash of its characters."""
+    low = F.lower(value)
+    readable = F.left(F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-|-$", ""), F.lit(80))
+    hashed = F.aggregate(F.filter(F.split(low, ""), lambda c: c != ""), F.lit(2166136261), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("bigint")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.when(readable != "", readable).otherwise(F.concat(F.lit("tag-"), F.lower(F.hex(hashed))))
+
+
+def node_type(kind: Column) -> Column:
+    out = F.lit("indicator")
+    for name, shown in fixed.NODE_TYPES.items():
+        out = F.when(kind == name, shown).otherwise(out)
+    return out
+
+
+HUB = "registry-live-campaigns"
 
 
-def graph(campaigns: DataFrame, roles: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, type, label, size; links: source, target, type, weight) of the live registry.
+def graph(campaigns: DataFrame, roles: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, label, type, size, status; links: source, target, relation, status, weight) of the live registry.
 
-    Hub, campaigns, three scam types and two bank roles of each, best documents, and indicators.
+    A hub, campaigns, three scam types and two bank roles of each, ``evidence`` (campaign_key, document_id, title, membership_score), and the
+    first indicators.  Sizes and weights follow documents, scores and roles.  A node or link that occurs twice is kept once.
     """
-    rows = live(campaigns).select("campaign_key", "label", "document_count", "scam_types", "bank_roles", "risk_score")
-    hub = F.lit("registry")
-    campaign_id = F.concat(F.lit("campaign:"), "campaign_key")
-    node = lambda df, i, kind, label, size: df.select(i.alias("id"), F.lit(kind).alias("type"), label.alias("label"), size.cast("double").alias("size"))
-    link = lambda df, a, b, kind, w: df.select(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"), w.cast("double").alias("weight"))
-    types = rows.select("campaign_key", F.explode(F.slice("scam_types", 1, 3)).alias("tag"))
-    banks = rows.select("campaign_key", F.explode(F.slice("bank_roles", 1, 2)).alias("tag"))
-    docs = best(members.join(rows.select("campaign_key"), "campaign_key", "left_semi"), ["campaign_key"], F.desc("membership_score"), F.asc("document_id"), n=8)
-    marks = top_indicators(roles.join(rows.select("campaign_key"), "campaign_key", "left_semi"), 24)
-    tag = lambda kind: F.concat(F.lit(f"{kind}:"), "tag")
-    doc_id, mark_id = F.concat(F.lit("evidence:"), "document_id"), F.concat(F.lit("indicator:"), F.sha2("key", 256))
+    rows = live(campaigns).select("campaign_key", "label", "document_count", "scam_types", "bank_roles", "average_confidence", "analyst_confirmed")
+    hub, campaign_id = F.lit(HUB), F.concat(F.lit("campaign-"), "campaign_key")
+    sure = lambda fallback: F.when(F.col("analyst_confirmed"), "confirmed").otherwise(fallback)
+    node = lambda df, i, label, kind, size, status: df.select(i.alias("id"), label.alias("label"), kind.alias("type"), size.cast("double").alias("size"), status.alias("status"))
+    link = lambda df, a, b, relation, status, w: df.select(a.alias("source"), b.alias("target"), relation.alias("relation"), status.alias("status"), w.cast("double").alias("weight"))
+    tags = F.concat(F.transform(F.slice("scam_types", 1, 3), lambda x: taxonomy_entry(x, "tactic")), F.transform(F.slice("bank_roles", 1, 2), lambda x: taxonomy_entry(x, "bank")))
+    tagged = rows.select("campaign_key", "average_confidence", "analyst_confirmed", F.explode(tags).alias("tag")).filter("tag IS NOT NULL").withColumn("tag_id", F.concat_ws("-", "tag.type", id_part(F.col("tag.label"))))
+    of = rows.select("campaign_key", "analyst_confirmed")
+    docs = evidence.join(of, "campaign_key").withColumn("doc_id", F.concat(F.lit("evidence-"), "document_id"))
+    marks = top_indicators(roles).join(of, "campaign_key").withColumn("mark_id", F.concat(F.lit("indicator-"), F.sha2("key", 256)))
+    size = F.when(F.col("role") == "anchor", 15).when(F.col("role") == "shared", 13).otherwise(10)
     nodes = reduce(DataFrame.unionByName, [
-        node(rows.agg(F.count(F.lit(1)).alias("n")), hub, "registry", F.lit("Campaign registry"), F.col("n")),
-        node(rows, campaign_id, "campaign", F.col("label"), F.least(F.lit(40), 10 + 2 * F.col("document_count"))),
-        node(types, tag("scam_type"), "scam_type", _title(F.col("tag")), F.lit(6)),
-        node(banks, tag("bank_role"), "bank_role", _title(F.col("tag")), F.lit(6)),
-        node(docs, doc_id, "evidence", F.col("document_id"), F.lit(4)),
-        node(marks, mark_id, "indicator", F.col("display_value"), F.lit(5)),
+        node(rows.agg(F.count(F.lit(1)).alias("n")).filter("n > 0"), hub, F.lit("Live campaign registry"), F.lit("registry"), F.lit(22), F.lit("live")),
+        node(rows, campaign_id, F.col("label"), F.lit("campaign"), F.least(F.lit(24.0), 16 + F.sqrt(F.greatest(F.lit(1), "document_count"))), sure("provisional")),
+        node(tagged, F.col("tag_id"), F.col("tag.label"), F.col("tag.type"), F.lit(11), F.lit(None).cast("string")),
+        node(docs, F.col("doc_id"), F.col("title"), F.lit("evidence"), 11 + F.col("membership_score") * 4, F.lit("observed")),
+        node(marks, F.col("mark_id"), F.col("display_value"), node_type(indicators.key_kind(F.col("key"))), size, F.col("role")),
     ])
+    relation = F.when(F.col("tag.type") == "bank", "BANK_ROLE").otherwise("SCAM_TYPE")
     links = reduce(DataFrame.unionByName, [
-        link(rows, hub, campaign_id, "contains", F.col("risk_score")),
-        link(types, campaign_id, tag("scam_type"), "uses", F.lit(1)),
-        link(banks, campaign_id, tag("bank_role"), "targets", F.lit(1)),
-        link(docs, campaign_id, doc_id, "evidence", F.col("membership_score")),
-        link(marks, campaign_id, mark_id, "indicator", F.col("weight")),
+        link(rows, hub, campaign_id, F.lit("ACTIVE_CAMPAIGN"), F.lit("confirmed"), F.lit(0.62)),
+        link(tagged, campaign_id, F.col("tag_id"), relation, sure("suggested"), F.greatest(F.lit(0.55), F.coalesce("average_confidence", F.lit(0.0)))),
+        link(docs, campaign_id, F.col("doc_id"), F.lit("SOURCE_EVIDENCE"), F.lit("suggested"), F.col("membership_score")),
+        link(marks, campaign_id, F.col("mark_id"), F.upper("role"), sure("suggested"), F.col("weight")),
     ])
-    return best(nodes, ["id"], F.desc("size"), F.asc("label")), best(links, ["source", "target", "type"], F.desc("weight"))
+    return best(nodes, ["id"], F.desc("size"), F.asc("label")), best(links, ["source", "target"], F.asc("relation"), F.desc("weight"))
 
 
-def filtered_graph(nodes: DataFrame, links: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the given types, and campaigns and the hub; links whose two ends are shown."""
-    shown = nodes.filter(F.col("type").isin(*types, "campaign", "registry"))
+def filtered_graph(nodes: DataFrame, links: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of a type and all campaigns, and the links whose two ends are shown; ``ALL`` shows everything."""
+    if kind.upper() == "ALL":
+        return nodes, links
+    shown = nodes.filter(F.col("type").isin("campaign", kind.lower()))
     ids = shown.select("id")
     both = links.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     return shown, both
@@ -181,11 +222,59 @@ def neighbourhood(links: DataFrame, node: str) -> DataFrame:
     return near.select(F.col("source").alias("id")).unionByName(near.select(F.col("target").alias("id"))).distinct()
 
 
-def result_view(checks: DataFrame, evidence: DataFrame, n: int = 8) -> DataFrame:
-    """What a customer sees of each check: verdict, score in whole percent, evidence titles (``n`` at most)."""
-    verdict = F.when(F.col("status") == "matched_campaign", "Matches a known campaign").when(F.col("status") == "possible_match", "May match a known campaign").when(F.col("status") == "new_unmatched_case", "New case").otherwise("No scam found")
-    top = best(evidence, ["campaign_key"], F.desc("membership_score"), F.asc("document_id"), n=n).groupBy("campaign_key").agg(F.array_sort(F.collect_list("title")).alias("titles"))
-    return checks.join(top, "campaign_key", "left").select("input_id", "campaign_key", verdict.alias("verdict"), F.round(100 * F.coalesce("match_score", F.lit(0.0))).cast("int").alias("percent"), "titles")
+def percent(score: Column) -> Column:
+    """A share in whole percent, halves up; what is missing is 0."""
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(score, F.lit(0.0)))) * 100 + 0.5).cast("int")
+
+
+def result_copy(status: Column, contextual: Column, confirmed: Column, score: Column) -> Column:
+    """kicker, heading, context, match: what a check's result says first."""
+    told = lambda copy: F.struct(*[F.lit(x).alias(n) for x, n in zip(copy, ("kicker", "heading", "context", "match"))])
+    scored = lambda copy: F.struct(*[F.lit(x).alias(n) for x, n in zip(copy[:3], ("kicker", "heading", "context"))], F.concat(percent(score).cast("string"), F.lit(copy[3])).alias("match"))
+    by_context, sure = F.coalesce(contextual, F.lit(False)), F.coalesce(confirmed, F.lit(False))
+    return (
+        F.when((status == "matched_campaign") & sure & ~by_context, told(fixed.CONFIRMED_COPY))
+        .when(by_context, scored(fixed.CONTEXTUAL_COPY))
+        .when(status.isin("matched_campaign", "possible_match"), scored(fixed.POSSIBLE_COPY))
+        .when(status == "new_unmatched_case", told(fixed.NEW_COPY))
+        .otherwise(told(fixed.OTHER_COPY))
+    )
+
+
+def impact_rows(checks: DataFrame) -> DataFrame:
+    """input_id, place, value, label: five rows a check, of its campaign (campaign_key and the registry's columns) or, without one, of itself
+    (status, category, severity, confidence, eligible_count)."""
+    row = lambda value, label: F.struct(value.cast("string").alias("value"), (F.lit(label) if isinstance(label, str) else label).alias("label"))
+    fifth = lambda c: F.concat(F.coalesce(c, F.lit(0)).cast("string"), F.lit("/5"))
+    seen = F.coalesce(F.upper(F.date_format("first_seen", "dd MMM yyyy")), F.lit("NOT RECORDED"))
+    of_campaign = [row(F.coalesce("document_count", F.lit(0)), "CAMPAIGN DOCUMENTS"), row(F.coalesce("indicator_count", F.lit(0)), "TOTAL CAMPAIGN SIGNALS"), row(fifth(F.col("maximum_severity")), "MAX SEVERITY"), row(F.format_string("%.1f", F.coalesce("risk_score", F.lit(0.0))), "RISK SCORE"), row(seen, "FIRST OBSERVED")]
+    none = F.col("status") == "not_scam"
+    of_case = [row(F.when(none, F.upper(F.replace("category", F.lit("_"), F.lit(" ")))).otherwise("NEW"), F.when(none, "CLASSIFICATION").otherwise("CASE STATUS")), row(fifth(F.col("severity")), "SEVERITY"), row(F.concat(percent(F.col("confidence")).cast("string"), F.lit("%")), "ANALYSIS CONF."), row(F.col("eligible_count"), "STRONG INDICATORS"), row(F.lit("NOW"), "ANALYZED")]
+    each = F.when(F.col("campaign_key").isNotNull(), F.array(*of_campaign)).otherwise(F.array(*of_case))
+    return checks.select("input_id", F.posexplode(each).alias("place", "r")).select("input_id", (F.col("place") + 1).alias("place"), "r.value", "r.label")
+
+
+def result_view(checks: DataFrame, reasons: DataFrame, marks: DataFrame, n: int = 8) -> DataFrame:
+    """input_id, place, title, value, share: the first ``n`` rows of evidence of each check.
+
+    First the matched ``reasons`` (input_id, role, key, contribution) by contribution, then classification and severity of the check (category,
+    specific_case, confidence, severity), then four of its eligible indicators ``marks`` (input_id, kind, value).
+    """
+    words = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
+    cut = lambda c: F.when(F.length(c) > 90, F.concat(F.left(c, F.lit(89)), F.lit("…"))).otherwise(c)
+    row = lambda df, block, order, title, value, share: df.select("input_id", F.lit(block).alias("block"), order.cast("double").alias("order"), title.alias("title"), value.alias("value"), share.alias("share"))
+    percents = lambda c: F.concat(percent(c).cast("string"), F.lit("%"))
+    own = checks.select("input_id").distinct()
+    first = best(marks.join(own, "input_id", "left_semi"), ["input_id"], F.asc("kind"), F.asc("value"), n=4)
+    parts = [
+        row(best(reasons, ["input_id"], F.desc("contribution"), F.asc("key"), n=n), 0, -F.col("contribution"), F.concat(F.upper("role"), F.lit(" MATCH")), cut(indicators.key_value(F.col("key"))), percents(F.col("contribution"))),
+        row(checks, 1, F.lit(0), F.lit("CLASSIFICATION"), titled(words(F.col("category"))), percents(F.col("confidence"))),
+        row(checks, 2, F.lit(0), F.lit("SEVERITY"), F.concat(F.col("severity").cast("string"), F.lit(" / 5")), F.concat(F.col("severity").cast("string"), F.lit("/5"))),
+        row(first, 3, F.lit(0), F.upper(words(F.col("kind"))), cut(F.col("value")), F.lit("EXTRACTED")),
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
+    place = F.row_number().over(Window.partitionBy("input_id").orderBy("block", "order", "title", "value"))
+    return rows.withColumn("place", place).filter(F.col("place") <= n).select("input_id", "place", "title", "value", "share")
 
 
 def previews(docs: DataFrame, edges: DataFrame) -> DataFrame:

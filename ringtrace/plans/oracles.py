@@ -133,6 +133,29 @@ matches AS (
   FROM docs d LEFT JOIN best ON input_id = d.document_id
 )
 """
+_NODES_LINKS = rf"""
+alive AS (SELECT *, anchor AS key, regexp_extract(anchor, '\|(.*)$', 1) AS v FROM registry WHERE status <> 'dismissed'
+), tags AS (
+  SELECT campaign_key, average_confidence, status, 'tactic' AS type, unnest(string_split(scam_types, ',')[1:3]) AS raw FROM alive UNION ALL SELECT campaign_key, average_confidence, status, 'bank', unnest(string_split(bank_roles, ',')[1:2]) FROM alive
+), tagged AS (
+  SELECT *, type || '-' || replace(raw, '_', '-') AS id, list_aggregate(list_transform(string_split(raw, '_'), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS label FROM tags
+), evidence AS (
+  SELECT * FROM (SELECT m.*, a.status, severity, row_number() OVER (PARTITION BY m.campaign_key ORDER BY membership_score DESC, m.document_id) AS r FROM members m JOIN alive a USING (campaign_key) JOIN docs d ON d.document_id = m.document_id) WHERE r <= 8
+), marks AS (
+  SELECT *, 'indicator-' || sha256(key) AS id, regexp_extract(key, '\|(.*)$', 1) AS v FROM (SELECT r.*, a.status, row_number() OVER (PARTITION BY campaign_key ORDER BY role, r.weight DESC, r.key) AS k FROM roles r JOIN (SELECT campaign_key, status FROM alive) a USING (campaign_key)) WHERE k <= 24
+), nodes AS (
+  SELECT 'registry-live-campaigns' AS id, 'Live campaign registry' AS label, 'registry' AS type, 22::DOUBLE AS size, 'live' AS status FROM alive HAVING count(*) > 0
+  UNION ALL SELECT 'campaign-' || campaign_key, {_LABEL}, 'campaign', round(least(24, 16 + sqrt(document_count)), 6), CASE WHEN status = 'confirmed' THEN 'confirmed' ELSE 'provisional' END FROM alive
+  UNION SELECT id, label, type, 11, NULL FROM tagged
+  UNION ALL SELECT 'evidence-' || document_id, CASE WHEN severity > 1 THEN 'Case ' || document_id ELSE 'Untitled document' END, 'evidence', round(11 + membership_score * 4, 6), 'observed' FROM evidence
+  UNION ALL SELECT id, {_SHOWN}, CASE split_part(key, '|', 1) WHEN 'bank_account' THEN 'account' WHEN 'phone' THEN 'phone' WHEN 'domain' THEN 'domain' WHEN 'social_account' THEN 'mention' ELSE 'indicator' END, CASE role WHEN 'anchor' THEN 15 WHEN 'shared' THEN 13 ELSE 10 END, role FROM marks
+), links AS (
+  SELECT 'registry-live-campaigns' AS source, 'campaign-' || campaign_key AS target, 'ACTIVE_CAMPAIGN' AS relation, 'confirmed' AS status, 0.62::DOUBLE AS weight FROM alive
+  UNION ALL SELECT 'campaign-' || campaign_key, id, CASE type WHEN 'bank' THEN 'BANK_ROLE' ELSE 'SCAM_TYPE' END, CASE WHEN status = 'confirmed' THEN 'confirmed' ELSE 'suggested' END, round(greatest(0.55, average_confidence), 6) FROM tagged
+  UNION ALL SELECT 'campaign-' || campaign_key, 'evidence-' || document_id, 'SOURCE_EVIDENCE', 'suggested', membership_score FROM evidence
+  UNION ALL SELECT 'campaign-' || campaign_key, id, upper(role), CASE WHEN status = 'confirmed' THEN 'confirmed' ELSE 'suggested' END, round(weight, 4) FROM marks
+)
+"""
 _EVENTS = r"""
 e AS (SELECT event_id, ts, 'job-' || (user_id % 20) AS job_id, 'u' || coalesce(json_extract_string(props, '$.k'), '-') AS url_key, event_type, value FROM events)
 """
@@ -244,6 +267,23 @@ ORACLES: dict[str, str] = {
     "v4_guarded": _with(*_GRAPH) + " SELECT campaign_key, document_id FROM members JOIN docs d USING (document_id) WHERE specific_case AND category IN ('scam_report', 'impersonation_abuse') AND d.confidence >= 0.6",
     "v5_campaigns": _with(*_GRAPH) + " SELECT campaign_key, 'confirmed' AS violations FROM registry WHERE status = 'confirmed' AND document_count <= 2",
     "w8_first_candidates": _with(_CASES) + " SELECT e.document_id || '/' || key AS lookup_id, kind, split_part(key, '|', 2) AS value FROM edges e WHERE key IN (SELECT key FROM edges WHERE CAST(split_part(quote, ' ', 2) AS INTEGER) > 1)",
+    "g6_graph": _with(*_GRAPH, _NODES_LINKS) + " SELECT id, label, type, size, status, NULL AS target FROM nodes UNION ALL SELECT source, NULL, relation, weight, status, target FROM links",
+    "g7_filtered_graph": _with(*_GRAPH, _NODES_LINKS) + ", shown AS (SELECT * FROM nodes WHERE type IN ('campaign', 'tactic')) SELECT id, label, type, size, status, NULL AS target FROM shown UNION ALL SELECT source, NULL, relation, weight, status, target FROM links WHERE source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)",
+    "g8_neighbourhood": _with(*_GRAPH, _NODES_LINKS) + " SELECT source AS id FROM links WHERE 'tactic-1-urgent' IN (source, target) UNION SELECT target FROM links WHERE 'tactic-1-urgent' IN (source, target)",
+    "f9_taxonomy": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Credential theft' WHEN 1 THEN 'Vietcombank' WHEN 2 THEN 'Odd Brand' || substr(p_brand, 6) END AS label, CASE p_partkey % 4 WHEN 0 THEN 'tactic' WHEN 1 THEN 'bank' WHEN 2 THEN 'tactic' END AS type,
+        CASE p_partkey % 4 WHEN 0 THEN 'tactic-credential-theft' WHEN 1 THEN 'bank-vietcombank' WHEN 2 THEN 'tactic-odd-brand' || regexp_replace(lower(substr(p_brand, 6)), '[^a-z0-9]+', '-', 'g') ELSE '' END AS id FROM part""",
+    "f12_result_copy": _with(*_GRAPH, _MATCH) + """ SELECT input_id, split_part(c, '|', 1) AS kicker, split_part(c, '|', 2) AS heading, split_part(c, '|', 3) AS context, split_part(c, '|', 4) AS match FROM (
+        SELECT input_id, CASE WHEN status = 'matched_campaign' AND confirmed THEN 'KNOWN CAMPAIGN|Pause this transfer.|CONFIRMED CAMPAIGN MATCH|ANALYST CONFIRMED'
+          WHEN status = 'possible_match' AND match_score < 0.7 THEN 'LIKELY RELATED CAMPAIGN|Pause this transfer.|ASSISTED CAMPAIGN RELATIONSHIP|' || CAST(floor(match_score * 100 + 0.5) AS INTEGER) || '% RELATIONSHIP CONFIDENCE'
+          WHEN status IN ('matched_campaign', 'possible_match') THEN 'POSSIBLE CAMPAIGN MATCH|Pause this transfer.|UNCONFIRMED CAMPAIGN EVIDENCE|' || CAST(floor(match_score * 100 + 0.5) AS INTEGER) || '% MATCH SCORE'
+          WHEN status = 'new_unmatched_case' THEN 'NEW UNMATCHED CASE|Treat this as suspicious.|NO CAMPAIGN ASSIGNED|NEW CASE' ELSE 'NO CONCRETE SCAM CASE|No scam case detected.|CONSERVATIVE ANALYSIS|NOT A SPECIFIC CASE' END AS c FROM checks)""",
+    "f12_impact": _with(*_GRAPH, _MATCH) + """, told AS (SELECT k.input_id, k.status, c.component IS NOT NULL AS has, c.document_count, (SELECT count(*) FROM keys WHERE component = c.component) AS n, c.maximum_severity, c.risk_score, c.first_seen, d.category, d.severity, d.confidence,
+          (SELECT count(*) FROM edges WHERE document_id = k.input_id) AS e FROM checks k JOIN docs d ON d.document_id = k.input_id LEFT JOIN clusters c USING (campaign_key))
+        SELECT input_id, 1 AS place, CASE WHEN has THEN CAST(document_count AS VARCHAR) WHEN status = 'not_scam' THEN upper(replace(category, '_', ' ')) ELSE 'NEW' END AS value, CASE WHEN has THEN 'CAMPAIGN DOCUMENTS' WHEN status = 'not_scam' THEN 'CLASSIFICATION' ELSE 'CASE STATUS' END AS label FROM told
+        UNION ALL SELECT input_id, 2, CASE WHEN has THEN CAST(n AS VARCHAR) ELSE severity || '/5' END, CASE WHEN has THEN 'TOTAL CAMPAIGN SIGNALS' ELSE 'SEVERITY' END FROM told
+        UNION ALL SELECT input_id, 3, CASE WHEN has THEN maximum_severity || '/5' ELSE CAST(floor(confidence * 100 + 0.5) AS INTEGER) || '%' END, CASE WHEN has THEN 'MAX SEVERITY' ELSE 'ANALYSIS CONF.' END FROM told
+        UNION ALL SELECT input_id, 4, CASE WHEN has THEN printf('%.1f', risk_score) ELSE CAST(e AS VARCHAR) END, CASE WHEN has THEN 'RISK SCORE' ELSE 'STRONG INDICATORS' END FROM told
+        UNION ALL SELECT input_id, 5, CASE WHEN has THEN upper(strftime(first_seen, '%d %b %Y')) ELSE 'NOW' END, CASE WHEN has THEN 'FIRST OBSERVED' ELSE 'ANALYZED' END FROM told""",
     "s5_store": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 400000 THEN 0.0::DOUBLE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0 OR o_totalprice > 400000",
     "w5_masked_indicators": _with(*_GRAPH) + f" SELECT campaign_key, role, {_SHOWN} AS display_value FROM (SELECT *, regexp_extract(key, '\\|(.*)$', 1) AS v, row_number() OVER (PARTITION BY campaign_key ORDER BY role, weight DESC, key) AS r FROM roles) WHERE r <= 24",
     "f7_by_tactic": _with(*_GRAPH) + " SELECT campaign_key FROM clusters WHERE scam_types LIKE '%urgent%' OR bank_roles LIKE '%building%'",

@@ -509,20 +509,38 @@ def w10_anomaly_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomalies.ordered(*_anomalies(spark, sf_dir)).select("anomaly_key", "place")
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs, _, g, campaigns = _registry(spark, sf_dir)
+    nodes, links = views.graph(campaigns, graph.indicator_roles(g.keys, g.reasons), matching.campaign_evidence(g.members, _titled(docs)))
+    return written(nodes, "nodes"), written(links, "links")
+
+
+def _titled(docs: DataFrame) -> DataFrame:
+    return docs.select("document_id", F.when(F.col("severity") > 1, F.concat(F.lit("Case "), "document_id")).alias("title"), F.lit(None).cast("string").alias("url"))
+
+
+def _graph_rows(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    n = nodes.select("id", "label", "type", F.round("size", 6).alias("size"), "status", F.lit(None).cast("string").alias("target"))
+    return n.unionByName(links.select(F.col("source").alias("id"), F.lit(None).cast("string").alias("label"), F.col("relation").alias("type"), F.round("weight", 6).alias("size"), "status", "target"))
+
+
 def g6_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, g, campaigns = _registry(spark, sf_dir)
-    nodes, links = views.graph(campaigns, graph.indicator_roles(g.keys, g.reasons), g.members)
-    n = nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("amount")).withColumn("part", F.lit("node"))
-    return n.unionByName(links.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 3).alias("amount")).withColumn("part", F.lit("link")))
+    return _graph_rows(*_graph(spark, sf_dir))
 
 
 def g7_filtered_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, g, campaigns = _registry(spark, sf_dir)
-    nodes, links = views.graph(campaigns, graph.indicator_roles(g.keys, g.reasons), g.members)
-    shown, kept = views.filtered_graph(nodes, links, ["scam_type"])
-    near = views.neighbourhood(links, "scam_type:1_urgent")
-    count = lambda df, part: df.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(part))
-    return count(shown, "nodes").unionByName(count(kept, "links")).unionByName(count(near, "near"))
+    return _graph_rows(*views.filtered_graph(*_graph(spark, sf_dir), "TACTIC"))
+
+
+def g8_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.neighbourhood(_graph(spark, sf_dir)[1], "tactic-1-urgent")
+
+
+def f9_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = bindings.read(spark, sf_dir, "part")
+    raw = F.when(F.col("p_partkey") % 4 == 0, "credential_theft").when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("my_VCB_"), F.col("p_partkey").cast("string"))).when(F.col("p_partkey") % 4 == 2, F.concat_ws("_", F.lit("odd"), F.lower("p_brand"))).otherwise("_")
+    entry = parts.select("p_partkey", views.taxonomy_entry(raw, "tactic").alias("e"))
+    return entry.select("p_partkey", "e.label", "e.type", F.concat_ws("-", "e.type", views.id_part(F.col("e.label"))).alias("id"))
 
 
 def w5_masked_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -539,12 +557,33 @@ def f7_by_tactic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.by_tactic(_registry(spark, sf_dir)[3], "urgent|building").select("campaign_key")
 
 
-def f12_result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, g = _clusters(spark, sf_dir)
-    checks = w2_best_campaign(spark, sf_dir)
-    titled = docs.select("document_id", F.concat(F.lit("Case "), "document_id").alias("title"), F.lit(None).cast("string").alias("url"))
-    shown = views.result_view(checks, matching.campaign_evidence(g.members, titled))
-    return shown.groupBy("verdict", "percent").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.coalesce("titles", F.array().cast("array<string>")))).alias("titles"))
+def f12_result_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = _checks(spark, sf_dir)
+    contextual = (F.col("status") == "possible_match") & (F.col("match_score") < 0.7)
+    return checks.select("input_id", views.result_copy(F.col("status"), contextual, F.col("analyst_confirmed"), F.col("match_score")).alias("c")).select("input_id", "c.*")
+
+
+def _told_checks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(checks with their documents and campaigns, matched reasons of these campaigns, linking edges)."""
+    docs, edges, g, campaigns = _registry(spark, sf_dir)
+    matches = written(matching.exact(edges.select(F.col("document_id").alias("input_id"), "kind", "value"), graph.indicator_roles(g.keys, g.reasons), campaigns), "matches")
+    top = matching.best_campaign(matches, campaigns)
+    rows = docs.select(F.col("document_id").alias("input_id"), "category", "specific_case", "severity", "confidence").join(top.select("input_id", "campaign_key", "match_score", "anchor_match", "analyst_confirmed"), "input_id", "left")
+    state = matching.status(F.col("category"), F.col("specific_case"), F.col("anchor_match"), F.col("match_score"), F.col("analyst_confirmed"), F.lit(False))
+    about = campaigns.select("campaign_key", "document_count", "indicator_count", "maximum_severity", "risk_score", "first_seen")
+    counts = edges.groupBy(F.col("document_id").alias("input_id")).agg(F.count(F.lit(1)).alias("eligible_count"))
+    checks = rows.withColumn("status", state).join(about, "campaign_key", "left").join(counts, "input_id", "left").withColumn("eligible_count", F.coalesce("eligible_count", F.lit(0)))
+    why = matches.join(top.select("input_id", "campaign_key"), ["input_id", "campaign_key"], "left_semi").select("input_id", F.explode("reasons").alias("r")).select("input_id", "r.role", "r.key", "r.contribution")
+    return written(checks, "checks"), why, edges
+
+
+def f12_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.impact_rows(_told_checks(spark, sf_dir)[0])
+
+
+def f12_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks, why, edges = _told_checks(spark, sf_dir)
+    return views.result_view(checks, why, edges.select(F.col("document_id").alias("input_id"), "kind", "value"))
 
 
 def f13_recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
