@@ -184,3 +184,31 @@ def test_shrunk_rates(spark):
     s = max(1, 1 / share - 1)
     got = {r.host: r.rate for r in quality.host_verdicts(_host_rows(spark, counts)).collect()}
     assert [got[c[0]] for c in counts] == pytest.approx(((f + m * s) / (n + s)).tolist())
+
+
+def plain_language(text, model):
+    """A forward pass, n-gram by n-gram."""
+    runs = [r for r in language.LETTERS.findall((text or "").lower())]
+    grams = [h for r in runs for h in language.subwords(r)]
+    if not grams or not model.labels:
+        return "und", 0.0
+    raw = sum(model.logits[h] for h in grams) / len(grams) + model.bias
+    p = np.exp(raw - raw.max())
+    p /= p.sum()
+    return model.labels[int(p.argmax())], float(p.max())
+
+
+def test_language_equals_a_plain_forward_pass(spark, odd):
+    rng = np.random.default_rng(3)
+    words = ["Haus", "maison", "casa", "été", "Straße", "日本", "x1y2", "½a", "don't", "ABC_def", "ñ"]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(1, 300, 60)] + [None, "", "123 ½", " ".join(rng.choice(words, 200_000)), "Haus", "Haus"]
+    trained = language.fit(odd)
+    random = language.Model(["a", "b", "c"], rng.normal(0, 3, (1 << language.BUCKET_BITS, 3)), rng.normal(0, 1, 3), 0.4)
+    tied = language.Model(["a", "b"], np.zeros((1 << language.BUCKET_BITS, 2)), np.zeros(2), 0.4)
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, score int").repartition(3)
+    for model in (trained, random, tied):
+        got = {r.doc_id: (r.p_lang_pred, r.p_score) for r in language.predicted(docs, model, "p_").collect()}
+        for i, t in enumerate(texts):
+            label, score = plain_language(t, model)
+            assert got[i][0] == label and got[i][1] == pytest.approx(score, abs=1e-9)
+    assert got[0] == ("a", 0.5)
