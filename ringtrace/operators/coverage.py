@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def months(ranges: DataFrame) -> DataFrame:
@@ -27,12 +28,27 @@ def week_counts(ranges: DataFrame) -> DataFrame:
     return out.groupBy("month").agg(F.sum("n").alias("n_weeks"), F.sum(F.col("n") * (F.datediff("week_end", "week_start") + 1)).alias("days"))
 
 
-def missing_cells(dimensions: list[DataFrame], seen: DataFrame) -> DataFrame:
-    """Cells of the grid of all (small) dimensions that ``seen`` lacks."""
-    grid = dimensions[0]
-    for d in dimensions[1:]:
-        grid = grid.crossJoin(d)  # the grid itself is the result
-    return grid.join(seen, seen.columns, "left_anti")
+def gaps(seen: DataFrame, group: str, member: str, day: str, groups: DataFrame, members: list, first, last) -> DataFrame:
+    """group, member, gap_start, gap_end: runs of days from ``first`` to ``last`` that no row of ``seen`` covers, for each of ``groups`` and ``members``.
+
+    Within a pair that was seen, gaps lie between one seen day and the next; a pair that was not is one gap.  No grid of cells is made:
+    members that a group lacks are the difference of two sets.  ``members`` are few (a column of a report); days beyond the bounds do not count.
+    """
+    within = seen.filter(F.col(day).between(F.lit(first), F.lit(last)) & F.col(member).isin(*members)).select(group, member, F.col(day).alias("day")).distinct()
+    order = Window.partitionBy(group, member).orderBy("day")
+    after = F.lead("day", 1).over(order)
+    before = within.withColumn("previous", F.lag("day", 1).over(order)).filter("previous IS NULL").select(group, member, F.lit(first).cast("date").alias("gap_start"), F.date_sub("day", 1).alias("gap_end"))
+    between = within.withColumn("next", F.coalesce(after, F.date_add(F.lit(last).cast("date"), 1))).select(group, member, F.date_add("day", 1).alias("gap_start"), F.date_sub("next", 1).alias("gap_end"))
+    known = within.groupBy(group).agg(F.collect_set(member).alias("known"))
+    lacking = F.array_except(F.array(*map(F.lit, members)), F.coalesce("known", F.array().cast("array<string>")))
+    never = groups.select(group).distinct().join(known, group, "left").select(group, F.explode(lacking).alias(member), F.lit(first).cast("date").alias("gap_start"), F.lit(last).cast("date").alias("gap_end"))
+    return before.unionByName(between).unionByName(never).filter("gap_start <= gap_end")
+
+
+def missing_cells(gap_rows: DataFrame, day: str = "day") -> DataFrame:
+    """The days of each gap, a row each."""
+    keys = [c for c in gap_rows.columns if c not in ("gap_start", "gap_end")]
+    return gap_rows.select(*keys, F.explode(F.sequence("gap_start", "gap_end")).alias(day))
 
 
 def drilled(events: DataFrame, cell: list[str], day: str, least: int = 10) -> DataFrame:

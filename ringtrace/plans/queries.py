@@ -669,9 +669,10 @@ def c1_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def c2_missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = bindings.event_rows(spark, sf_dir).select("job_id", "event_type", F.to_date("at").alias("day"))
-    seen = e.filter("event_type <> 'click' OR day(day) > 3").distinct()
-    days = e.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    out = coverage.missing_cells([e.select("job_id").distinct(), e.select("event_type").distinct(), days], seen)
+    seen = e.filter("event_type <> 'click' OR day(day) > 3")
+    types = sorted(r.event_type for r in e.select("event_type").distinct().collect())  # the kinds of events
+    ends = e.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    out = coverage.missing_cells(coverage.gaps(seen, "job_id", "event_type", "day", e, types, ends.a, ends.b))
     return out.select("job_id", "event_type", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
