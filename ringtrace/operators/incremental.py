@@ -8,25 +8,23 @@ renamed by one row, not by one a document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringtrace.operators.common import discard, empty, written
 from ringtrace.operators.graph import components
 
-BUCKETS = 64
 SCHEMAS = {"documents": "document_id string, component string", "keys": "key string, component string", "renames": "old string, component string"}
 
 
-def _bucket(name: str):
-    return F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int")
-
-
 class Components:
-    """The components of all edges (document_id, key) of the batches applied so far, in the folder ``root``."""
+    """The components of all edges (document_id, key) of the batches applied so far, in the folder ``root``; ``buckets`` stays the same for one folder."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def _bucket(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(self.buckets)).cast("int")
 
     def _files(self, path: str) -> list[str]:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -45,12 +43,13 @@ class Components:
 
     def _append(self, name: str, batch: int, rows: DataFrame) -> None:
         key = SCHEMAS[name].split()[0]
-        rows.withColumn("bucket", _bucket(key)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/batch={batch}")
+        # a bucket's rows of a batch lie in one file
+        rows.withColumn("bucket", self._bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/batch={batch}")
 
     def _looked_up(self, name: str, wanted: DataFrame, before: int | None) -> DataFrame:
         """Rows of the state for the keys of ``wanted`` (one column): the join on the bucket lets Spark skip the others' files."""
         key = wanted.columns[0]
-        return wanted.withColumn("bucket", _bucket(key)).join(self._table(name, before), [key, "bucket"])
+        return wanted.withColumn("bucket", self._bucket(key)).join(self._table(name, before), [key, "bucket"])
 
     def _now(self, name: str, wanted: DataFrame, before: int | None) -> DataFrame:
         """Known keys of ``wanted`` with the component they are in now."""

@@ -434,7 +434,7 @@ def j3_line_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t4_line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by their lines, added in four batches; the second is applied twice."""
-    state = incremental.Components(spark, f"{shared_root(spark)}/components-{uuid.uuid4().hex}")
+    state = incremental.Components(spark, f"{shared_root(spark)}/components-{uuid.uuid4().hex}", buckets=8)
     edges = written(bindings.line_edges(spark, sf_dir), "line-edges")
     part = F.pmod(F.xxhash64("document_id"), F.lit(4))
     for n in (0, 1, 1, 2, 3):
@@ -445,7 +445,7 @@ def t4_line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t4_event_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users that did the same within the same hour, as components, added week by week."""
     e = bindings.read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("document_id"), F.concat_ws("|", "event_type", F.date_format("ts", "yyyy-MM-dd HH")).alias("key"), F.floor((F.dayofmonth("ts") - 1) / 7).alias("week"))
-    state, rows = incremental.Components(spark, f"{shared_root(spark)}/components-{uuid.uuid4().hex}"), written(e, "event-edges")
+    state, rows = incremental.Components(spark, f"{shared_root(spark)}/components-{uuid.uuid4().hex}", buckets=8), written(e, "event-edges")
     for week in range(5):
         state.apply(week, rows.filter(F.col("week") == week))
     return state.current()
