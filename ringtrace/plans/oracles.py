@@ -257,6 +257,20 @@ ORACLES: dict[str, str] = {
     "t4_event_components": _with("acts AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS document_id, event_type || '|' || strftime(ts, '%Y-%m-%d %H') AS key FROM events)", _components("acts")) + " SELECT * FROM components",
     "t2_lookback": "WITH " + _EVENTS + """, seen AS (SELECT ts, url_key, time_bucket(INTERVAL 15 MINUTE, ts) AS b FROM e), ends AS (SELECT url_key, b + INTERVAL 15 MINUTE AS cycle_end FROM seen UNION ALL SELECT url_key, b + INTERVAL 30 MINUTE FROM seen WHERE ts >= b + INTERVAL 10 MINUTE)
         SELECT strftime(cycle_end - INTERVAL 20 MINUTE, '%Y-%m-%d %H:%M:%S') AS cycle_start, strftime(cycle_end, '%Y-%m-%d %H:%M:%S') AS cycle_end, url_key, count(*) AS hits FROM ends GROUP BY 1, 2, 3""",
+    "f14_document_table": _with(_CASES) + """ SELECT document_id, strftime(first_seen, '%Y-%m-%d %H:%M:%S') || ' UTC' AS captured, CASE WHEN i % 3 = 0 THEN '—' ELSE 'web' END AS platform, '—' AS author,
+        CASE WHEN i % 2 = 1 THEN 'order ' || document_id WHEN length(body) > 180 THEN left(body, 179) || '…' ELSE body END AS content, CASE WHEN i % 7 = 0 THEN '—' ELSE category END AS category, confidence,
+        CASE WHEN i % 7 <> 0 THEN CAST(severity AS DOUBLE) END AS severity, coalesce(CASE WHEN length(marks) > 300 THEN left(marks, 299) || '…' ELSE marks END, '—') AS indicators, CASE WHEN i % 5 = 0 THEN 'Yes' ELSE 'No' END AS agent,
+        coalesce(states, '—') AS vision, '' AS source
+        FROM (SELECT *, CAST(document_id AS BIGINT) AS i, trim(repeat('case ' || document_id || ' ', 30)) AS body FROM docs)
+        LEFT JOIN (SELECT document_id, string_agg(kind || ': ' || display_value, ', ' ORDER BY n, kind || ': ' || display_value) AS marks, string_agg(DISTINCT CASE WHEN n < 5 AND n % 3 = 0 THEN 'read' WHEN n < 5 AND n % 3 = 1 THEN 'pending' END, ', ' ORDER BY CASE WHEN n < 5 AND n % 3 = 0 THEN 'read' WHEN n < 5 AND n % 3 = 1 THEN 'pending' END) AS states
+          FROM (SELECT *, CAST(split_part(quote, ' ', 2) AS INTEGER) AS n FROM edges) GROUP BY 1) USING (document_id)""",
+    "f14_event_table": "WITH " + _EVENTS + """ SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' AS time, CASE WHEN event_id % 4 = 0 THEN 'WARNING' ELSE 'INFO' END AS severity, CASE WHEN event_id % 3 = 0 THEN '—' ELSE job_id END AS stage,
+        CASE WHEN length(m) > 400 THEN left(m, 399) || '…' ELSE m END AS message, '{"url_key":"' || url_key || '","job_id":"' || job_id || '"}' AS details FROM (SELECT *, trim(repeat(event_type || ' ', 60)) AS m FROM e)""",
+    "f14_job_table": "WITH " + _EVENTS + """ SELECT CASE WHEN job_id LIKE '%7' THEN 'Untitled' ELSE job_id END AS job, '—' AS mode, '—' AS status, 'classify' AS stage, count(*) AS discovered, CAST(count_if(event_id % 4 = 0) AS BIGINT) AS fetched,
+        CAST(0 AS BIGINT) AS agent, CAST(0 AS BIGINT) AS classified, CAST(0 AS BIGINT) AS failed, strftime(max(ts), '%Y-%m-%d %H:%M:%S') || ' UTC' AS updated FROM e GROUP BY job_id""",
+    "f14_cluster_table": _with(*_GRAPH) + """ SELECT campaign_key AS cluster, risk_score AS risk, document_count AS documents, maximum_severity, (SELECT count(*) FROM shared WHERE component = c.component) AS shared_indicators, replace(scam_types, ',', ', ') AS scam_types,
+        strftime(last_seen, '%Y-%m-%d') AS updated FROM clusters c""",
+    "f14_previews": """SELECT CAST(doc_id AS VARCHAR) AS document_id, coalesce(left(text, 160), '') AS preview, coalesce(indicators, '') AS indicators FROM documents LEFT JOIN (SELECT page_id, 'domain|' || """ + _HOST + """ AS indicators FROM pages) ON page_id = doc_id""",
     "f16_member_reasons": _with(*_GRAPH) + """ SELECT campaign_key, document_id, string_agg(label, ' / ' ORDER BY first, label) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY campaign_key, document_id ORDER BY first, label) AS r
         FROM (SELECT campaign_key, document_id, 'Exact indicator shared across ' || n || ' sources' AS label, min(key) AS first FROM reasons JOIN anchors USING (component) GROUP BY 1, 2, 3)) WHERE r <= 4 GROUP BY 1, 2""",
     "e3_payloads": "SELECT o_orderkey, o_orderkey % 5 <> 0 AS valid, CASE WHEN o_orderkey % 5 <> 0 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS account, CASE WHEN o_orderkey % 5 <> 0 THEN 'ORDER' || o_orderkey END AS reference FROM orders",

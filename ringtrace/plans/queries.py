@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringtrace.functions import indicators, text, urls
-from ringtrace.operators import anomalies, contextual, coverage, extraction, graph, incremental, matching, metrics, prepare, registry, similarity, validation, views
+from ringtrace.operators import anomalies, contextual, coverage, extraction, graph, incremental, matching, metrics, prepare, previews, registry, similarity, validation, views
 from ringtrace.operators.common import best, joined_text, shared_root, written
 from ringtrace.sources import bindings, store, tables
 from ringtrace.streaming import refresh
@@ -595,6 +595,32 @@ def f14_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.previews(docs, bindings.page_edges(spark, sf_dir))
 
 
+def f14_document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, edges = (written(x) for x in _cases(spark, sf_dir))
+    i = F.col("document_id").cast("bigint")
+    shown = docs.select("document_id", F.date_format("first_seen", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.when(i % 3 == 0, "").otherwise("web").alias("platform"), F.when(i % 2 == 0, F.concat(F.lit("  "), F.repeat(F.concat(F.lit("case "), "document_id", F.lit(" ")), F.lit(30)))).alias("body"), F.concat(F.lit("order "), "document_id").alias("search_snippet"), (i % 5 == 0).alias("agent_enriched"), "confidence")
+    classes = docs.filter(i % 7 != 0).select("document_id", F.col("category").alias("primary_category"), "confidence", "severity")
+    media = edges.filter("position < 5").select("document_id", F.element_at(F.array(*map(F.lit, ("read", "pending", ""))), F.col("position") % 3 + 1).alias("vision_status"))
+    return previews.document_table(shown, classes, edges, media)
+
+
+def f14_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = bindings.event_rows(spark, sf_dir)
+    rows = e.select("event_id", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.when(F.col("event_id") % 4 == 0, "warning").alias("level"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("job_id")).alias("stage"), F.repeat(F.concat("event_type", F.lit(" ")), F.lit(60)).alias("message"), F.struct("url_key", "job_id").alias("details"))
+    return previews.event_table(rows)
+
+
+def f14_job_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = bindings.event_rows(spark, sf_dir)
+    jobs = e.groupBy("job_id").agg(F.count(F.lit(1)).alias("discovered_count"), F.count_if(F.col("event_id") % 4 == 0).alias("fetched_count"), F.date_format(F.max("at"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_heartbeat"))
+    return previews.job_table(jobs.withColumn("name", F.when(~F.col("job_id").endswith("7"), F.col("job_id"))).withColumn("stage", F.lit("classify")))
+
+
+def f14_cluster_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = _clusters(spark, sf_dir)[2].clusters
+    return previews.cluster_table(clusters.withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd")))
+
+
 def w9_best_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges, g, campaigns = _registry(spark, sf_dir)
     matched = edges.select(F.col("key").alias("lookup_id"), "document_id")
