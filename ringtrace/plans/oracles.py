@@ -66,6 +66,10 @@ keys AS (
 """
 
 
+def _digest(c: str) -> str:
+    return f"bit_xor(CAST('0x' || left(md5({c}), 15) AS BIGINT))"
+
+
 def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts)
 
@@ -229,7 +233,7 @@ ORACLES: dict[str, str] = {
     "j9_campaign_evidence": _with(*_GRAPH) + " SELECT campaign_key, document_id, membership_score, CASE WHEN severity > 1 THEN 'Case ' || document_id ELSE 'Untitled document' END AS title FROM (SELECT *, row_number() OVER (PARTITION BY campaign_key ORDER BY membership_score DESC, document_id) AS r FROM members) JOIN docs USING (document_id) WHERE r <= 3",
     "j12_without_source": _with(*_GRAPH) + " SELECT campaign_key, document_count FROM clusters WHERE document_count <= 2",
     "j17_grounded_insights": _with(_CASES) + " SELECT 'About ' || document_id AS title, least(5, greatest(1, severity + 3)) AS severity, least(1, confidence + 0.5) AS confidence, document_id AS evidence_ids, 'https://x.example/' || document_id AS evidence_urls, sha256('About ' || document_id || '|' || document_id) AS insight_key FROM docs",
-    "a1_summary": _with(_CASES) + " SELECT count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, (SELECT count(DISTINCT key) FROM edges) AS unique_indicator_count, (SELECT count(*) FROM edges) AS document_indicator_edge_count FROM docs",
+    "a1_summary": _with(_CASES) + " SELECT count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, (SELECT count(DISTINCT key) FROM edges) AS unique_indicator_count, (SELECT count(*) FROM edges) AS document_indicator_edge_count, " + _digest("document_id") + " AS ids, (SELECT " + _digest("key") + " FROM (SELECT DISTINCT key FROM edges)) AS keys FROM docs",
     "a1_evidence": _with(_CASES) + " SELECT 'summary' AS metric_scope, 'global' AS metric_key, document_id FROM docs UNION SELECT 'category', category, document_id FROM docs UNION SELECT 'severity', CAST(severity AS VARCHAR), document_id FROM docs UNION SELECT 'indicator', key, document_id FROM edges SEMI JOIN docs USING (document_id)",
     "a2_by_category": _with(_CASES) + " SELECT category, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
     "a3_by_severity": _with(_CASES) + " SELECT severity, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
