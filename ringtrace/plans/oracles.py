@@ -235,7 +235,7 @@ ORACLES: dict[str, str] = {
     "j17_grounded_insights": _with(_CASES) + " SELECT 'About ' || document_id AS title, least(5, greatest(1, severity + 3)) AS severity, least(1, confidence + 0.5) AS confidence, document_id AS evidence_ids, 'https://x.example/' || document_id AS evidence_urls, sha256('About ' || document_id || '|' || document_id) AS insight_key FROM docs",
     "a1_summary": _with(_CASES) + " SELECT count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, (SELECT count(DISTINCT key) FROM edges) AS unique_indicator_count, (SELECT count(*) FROM edges) AS document_indicator_edge_count, " + _digest("document_id") + " AS ids, (SELECT " + _digest("key") + " FROM (SELECT DISTINCT key FROM edges)) AS keys FROM docs",
     "a1_evidence": _with(_CASES) + " SELECT 'summary' AS metric_scope, 'global' AS metric_key, document_id FROM docs UNION SELECT 'category', category, document_id FROM docs UNION SELECT 'severity', CAST(severity AS VARCHAR), document_id FROM docs UNION SELECT 'indicator', key, document_id FROM edges SEMI JOIN docs USING (document_id)",
-    "a2_by_category": _with(_CASES) + " SELECT category, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
+    "a2_by_category": _with(_CASES) + " SELECT category, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, " + _digest("document_id") + " AS evidence_document_ids, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
     "a3_by_severity": _with(_CASES) + " SELECT severity, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
     "a4_by_indicator": _with(_CASES) + " SELECT key, count(DISTINCT document_id) AS document_count, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, round(avg(d.confidence), 6) AS average_confidence, max(severity) AS maximum_severity, arg_max(display_value, document_id) AS display_value FROM edges e JOIN docs d USING (document_id) GROUP BY 1",
     "a12_evidence_cards": _with(_CASES) + " SELECT key, count(DISTINCT document_id) AS document_count, count(DISTINCT CAST(document_id AS BIGINT) % 10) AS source_count, max(severity) AS maximum_severity, round(avg(d.confidence), 4) AS average_confidence, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, string_agg(DISTINCT scam_type, ',' ORDER BY scam_type) AS scam_types, strftime(min(least(first_seen, last_seen)), '%Y-%m-%d') AS first_seen FROM edges e JOIN docs d USING (document_id) WHERE category IN ('scam_report', 'impersonation_abuse') AND d.confidence >= 0.6 AND specific_case GROUP BY 1",
