@@ -20,7 +20,7 @@ def test_digest_is_of_the_set(spark):
     assert ids.limit(0).agg(digest("id")).first()[0] is None
 
 
-@pytest.mark.parametrize("name", ["a1_summary", "a2_by_category"])
+@pytest.mark.parametrize("name", ["a1_summary", "a2_by_category", "a3_by_severity"])
 def test_evidence_is_returned_and_equals_the_sql(spark, sf, name):
     out = queries.queries()[name](spark, sf)
     column = {"a1_summary": "ids", "g3_memberships": "reasons", "a6_clusters": "shared_keys"}.get(name, "evidence_document_ids")
