@@ -70,6 +70,12 @@ def _digest(c: str) -> str:
     return f"bit_xor(CAST('0x' || left(md5({c}), 15) AS BIGINT))"
 
 
+def _listed(rows: str, key: str, value: str, name: str) -> str:
+    """key, part, ``name`` of ``rows``: a group's different values in order, in parts of some 1000 by md5."""
+    return f"""(SELECT {key}, part, string_agg({value}, ',' ORDER BY {value}) AS {name} FROM (
+      SELECT {key}, {value}, CAST('0x' || left(md5({value}), 8) AS BIGINT) % ((count(*) OVER (PARTITION BY {key}) + 999) // 1000) AS part FROM (SELECT DISTINCT {key}, {value} FROM {rows})) GROUP BY 1, 2)"""
+
+
 def _with(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts)
 
@@ -237,7 +243,7 @@ ORACLES: dict[str, str] = {
     "a1_evidence": _with(_CASES) + " SELECT 'summary' AS metric_scope, 'global' AS metric_key, document_id FROM docs UNION SELECT 'category', category, document_id FROM docs UNION SELECT 'severity', CAST(severity AS VARCHAR), document_id FROM docs UNION SELECT 'indicator', key, document_id FROM edges SEMI JOIN docs USING (document_id)",
     "a2_by_category": _with(_CASES) + " SELECT category, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, max(severity) AS maximum_severity, " + _digest("document_id") + " AS evidence_document_ids, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
     "a3_by_severity": _with(_CASES) + " SELECT severity, count(*) AS document_count, round(avg(confidence), 6) AS average_confidence, " + _digest("document_id") + " AS evidence_document_ids, round(count(*) / (SELECT count(*) FROM docs), 6) AS document_share FROM docs GROUP BY 1",
-    "a4_by_indicator": _with(_CASES) + " SELECT key, count(DISTINCT document_id) AS document_count, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, round(avg(d.confidence), 6) AS average_confidence, max(severity) AS maximum_severity, arg_max(display_value, document_id) AS display_value FROM edges e JOIN docs d USING (document_id) GROUP BY 1",
+    "a4_by_indicator": _with(_CASES) + " SELECT * FROM (SELECT key, count(DISTINCT document_id) AS document_count, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, round(avg(d.confidence), 6) AS average_confidence, max(severity) AS maximum_severity, arg_max(display_value, document_id) AS display_value FROM edges e JOIN docs d USING (document_id) GROUP BY 1) JOIN " + _listed("edges SEMI JOIN docs USING (document_id)", "key", "document_id", "evidence_document_ids") + " USING (key)",
     "a12_evidence_cards": _with(_CASES) + " SELECT key, count(DISTINCT document_id) AS document_count, count(DISTINCT CAST(document_id AS BIGINT) % 10) AS source_count, max(severity) AS maximum_severity, round(avg(d.confidence), 4) AS average_confidence, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, string_agg(DISTINCT scam_type, ',' ORDER BY scam_type) AS scam_types, strftime(min(least(first_seen, last_seen)), '%Y-%m-%d') AS first_seen FROM edges e JOIN docs d USING (document_id) WHERE category IN ('scam_report', 'impersonation_abuse') AND d.confidence >= 0.6 AND specific_case GROUP BY 1",
     "a16_job_counts": "WITH " + _EVENTS + " SELECT job_id, count(*) AS discovered, count(DISTINCT url_key) AS deduplicated, CAST(count_if(event_id % 4 = 0) AS BIGINT) AS fetched, CAST(count_if(event_id % 4 = 1) AS BIGINT) AS classified, CAST(count_if(event_id % 4 = 2) AS BIGINT) AS failed FROM e GROUP BY 1",
     "a17_usage": "WITH " + _EVENTS + " SELECT job_id, 'search' AS provider, trim(regexp_replace(lower(event_type), '[^a-z0-9]+', '_', 'g'), '_') AS operation, count(*) AS calls, CAST(sum(length(url_key)) AS BIGINT) AS tokens, round(sum(floor(value)), 2) AS seconds FROM e GROUP BY 1, 2, 3",
