@@ -253,9 +253,9 @@ ORACLES: dict[str, str] = {
     "g1_page_components": _with(f"hosts AS (SELECT CAST(page_id AS VARCHAR) AS document_id, {_HOST} AS key FROM pages)", _components("hosts")) + " SELECT * FROM components",
     "g1_line_components": _with("lines AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS document_id, md5(trim(line, ' ')) AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line, ' ')) >= 24)", _components("lines")) + " SELECT * FROM components",
     "a6_clusters": _with(*_GRAPH) + """ SELECT component, campaign_key, anchor, document_count, (SELECT CAST(sum(n) AS BIGINT) FROM keys WHERE component = c.component) AS edge_count, maximum_severity, average_confidence, risk_score,
-        (SELECT count(*) FROM keys WHERE component = c.component) AS indicator_count, (SELECT count(*) FROM shared WHERE component = c.component) AS shared_count, scam_types, bank_roles,
+        (SELECT count(*) FROM keys WHERE component = c.component) AS indicator_count, (SELECT count(*) FROM shared WHERE component = c.component) AS shared_count, part, shared_keys, scam_types, bank_roles,
         (SELECT string_agg(category || ':' || n, ',' ORDER BY category) FROM (SELECT category, count(*) AS n FROM docs JOIN components x USING (document_id) WHERE x.component = c.component GROUP BY 1)) AS category_counts,
-        strftime(first_seen, '%Y-%m-%d') AS first_seen, strftime(last_seen, '%Y-%m-%d') AS last_seen FROM clusters c""",
+        strftime(first_seen, '%Y-%m-%d') AS first_seen, strftime(last_seen, '%Y-%m-%d') AS last_seen FROM clusters c JOIN """ + _listed("shared", "component", "key", "shared_keys") + " USING (component)",
     "a6_cluster_keys": _with(*_GRAPH) + " SELECT component, campaign_key, k.key, n, CASE WHEN k.key = anchor THEN 'anchor' WHEN n > 1 THEN 'shared' ELSE 'supporting' END AS role FROM keys k JOIN anchors USING (component)",
     "g3_memberships": _with(*_GRAPH) + " SELECT campaign_key, document_id, membership_score FROM members",
     "g3_reasons": _with(*_GRAPH) + " SELECT campaign_key, document_id, 'shared_strong_indicator' AS reason_type, key AS indicator_key, kind AS indicator_type, n AS shared_document_count, w AS strength, confidence AS indicator_confidence, contribution, 'lineitem' AS evidence_source, quote AS evidence_quote FROM reasons JOIN anchors USING (component)",

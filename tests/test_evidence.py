@@ -31,7 +31,7 @@ def test_lists_are_whole_and_in_parts(spark):
     assert sorted(want) == sorted(map(tuple, got.values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["a1_summary", "a2_by_category", "a3_by_severity", "a4_by_indicator"])
+@pytest.mark.parametrize("name", ["a1_summary", "a2_by_category", "a3_by_severity", "a4_by_indicator", "a6_clusters"])
 def test_evidence_is_returned_and_equals_the_sql(spark, sf, name):
     out = queries.queries()[name](spark, sf)
     column = {"a1_summary": "ids", "g3_memberships": "reasons", "a6_clusters": "shared_keys"}.get(name, "evidence_document_ids")
@@ -46,3 +46,6 @@ def test_evidence_is_that_of_all_documents(spark, sf):
     assert queries.a1_summary(spark, sf).first().ids == docs.agg(digest("document_id")).first()[0]
     lists = queries.a4_by_indicator(spark, sf).select("key", F.explode(F.split("evidence_document_ids", ",")).alias("document_id"))
     assert lists.count() == edges.select("key", "document_id").distinct().count() == lists.join(edges, ["key", "document_id"], "left_semi").count()
+    g = queries._clusters(spark, sf)[2]
+    keys = queries.a6_clusters(spark, sf).select("component", F.explode(F.split("shared_keys", ",")).alias("key"))
+    assert sorted(map(tuple, keys.collect())) == sorted(map(tuple, g.keys.filter("n > 1").select("component", "key").collect()))
