@@ -257,7 +257,8 @@ ORACLES: dict[str, str] = {
         (SELECT string_agg(category || ':' || n, ',' ORDER BY category) FROM (SELECT category, count(*) AS n FROM docs JOIN components x USING (document_id) WHERE x.component = c.component GROUP BY 1)) AS category_counts,
         strftime(first_seen, '%Y-%m-%d') AS first_seen, strftime(last_seen, '%Y-%m-%d') AS last_seen FROM clusters c JOIN """ + _listed("shared", "component", "key", "shared_keys") + " USING (component)",
     "a6_cluster_keys": _with(*_GRAPH) + " SELECT component, campaign_key, k.key, n, CASE WHEN k.key = anchor THEN 'anchor' WHEN n > 1 THEN 'shared' ELSE 'supporting' END AS role FROM keys k JOIN anchors USING (component)",
-    "g3_memberships": _with(*_GRAPH) + " SELECT campaign_key, document_id, membership_score FROM members",
+    "g3_memberships": _with(*_GRAPH) + """ SELECT campaign_key, document_id, membership_score, reasons FROM members
+        JOIN (SELECT component, document_id, string_agg(key || ':' || printf('%.4f', contribution), ',' ORDER BY key) AS reasons FROM reasons GROUP BY 1, 2) USING (component, document_id)""",
     "g3_reasons": _with(*_GRAPH) + " SELECT campaign_key, document_id, 'shared_strong_indicator' AS reason_type, key AS indicator_key, kind AS indicator_type, n AS shared_document_count, w AS strength, confidence AS indicator_confidence, contribution, 'lineitem' AS evidence_source, quote AS evidence_quote FROM reasons JOIN anchors USING (component)",
     "a11_indicator_roles": _with(*_GRAPH) + " SELECT campaign_key, r.key, role, weight, coalesce(said, '') AS reasons FROM roles r LEFT JOIN (SELECT campaign_key, key, string_agg(quote, ',' ORDER BY quote) AS said FROM (SELECT *, row_number() OVER (PARTITION BY campaign_key, key ORDER BY quote) AS k FROM (SELECT DISTINCT campaign_key, key, quote FROM reasons JOIN anchors USING (component))) WHERE k <= 12 GROUP BY 1, 2) USING (campaign_key, key)",
     "a6_line_clusters": _with(*_LINE_GRAPH) + " SELECT component, campaign_key, anchor, document_count, (SELECT CAST(sum(n) AS BIGINT) FROM keys WHERE component = c.component) AS edge_count, (SELECT count(*) FROM keys WHERE component = c.component) AS indicator_count, (SELECT count(*) FROM shared WHERE component = c.component) AS shared_count, maximum_severity, average_confidence, risk_score FROM clusters c",

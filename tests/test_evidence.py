@@ -31,7 +31,7 @@ def test_lists_are_whole_and_in_parts(spark):
     assert sorted(want) == sorted(map(tuple, got.values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["a1_summary", "a2_by_category", "a3_by_severity", "a4_by_indicator", "a6_clusters"])
+@pytest.mark.parametrize("name", ["a1_summary", "a2_by_category", "a3_by_severity", "a4_by_indicator", "a6_clusters", "g3_memberships"])
 def test_evidence_is_returned_and_equals_the_sql(spark, sf, name):
     out = queries.queries()[name](spark, sf)
     column = {"a1_summary": "ids", "g3_memberships": "reasons", "a6_clusters": "shared_keys"}.get(name, "evidence_document_ids")
