@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +70,13 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """All rows of ``batches`` in smaller ones: a task's whole share may be one batch, of which numpy makes arrays many times its size."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def bases(totals: DataFrame, key: str, amount: str, out: str = "base", fan: int = 4096) -> DataFrame:
     """Exclusive prefix sums of ``amount`` in the order of the non-negative integer ``key``, one row a key.
 

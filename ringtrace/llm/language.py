@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ringtrace.llm.common import slices
 
 BUCKET_BITS, WIDTH, SIZES = 15, 16, (2, 3, 4)
 #: Labelled rows that a model is fitted to at most (those of the smallest hash).
@@ -184,7 +185,7 @@ def predicted(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, k = _Words(model), len(model.labels)
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for text in batch.column(at_text).to_pylist():
                 runs = letter_runs(text) if text else []

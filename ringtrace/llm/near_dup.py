@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringtrace.llm.common import discard, written
+from ringtrace.llm.common import discard, slices, written
 from ringtrace.llm.shingles import mixed, shingle_sets, shingles
 
 #: Frequent shingles that the global order knows at most: it only orders, and drops nothing.
@@ -57,20 +57,27 @@ def _frequent(docs: DataFrame, words: int) -> pa.Table:
     """h, n (hash and count) of shingles met twice or more by a task, the most frequent FREQUENT of them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = np.empty(COUNTED, np.uint64), 0
 
         def counted() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
-
-        for batch in batches:
-            held.append(shingles(batch.column(0), words)[0])
-            size += len(held[-1])
-            if size > COUNTED:
-                yield counted()
-                held, size = [], 0
-        if held:
+            own = held[:size]
+            own.sort()
+            # where runs of two or more begin and end
+            same = np.concatenate([[False], own[1:] == own[:-1], [False]])
+            edges = np.flatnonzero(same[1:] != same[:-1])
+            begin, end = edges[::2], edges[1::2]
+            return pa.RecordBatch.from_arrays([pa.array(own[begin].view(np.int64)), pa.array(end - begin + 1)], ["h", "n"])
+
+        for batch in slices(batches):
+            found = shingles(batch.column(0), words)[0]
+            while len(found):
+                some, found = found[: COUNTED - size], found[COUNTED - size :]
+                held[size : size + len(some)] = some
+                size += len(some)
+                if size == COUNTED:
+                    yield counted()
+                    size = 0
+        if size:
             yield counted()
 
     counts = docs.select("text").mapInArrow(rows, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 8")
@@ -116,7 +123,7 @@ def shingled(docs: DataFrame, words: int, t: tuple[int, int]) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = known.value
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(batch.column(1), words)
             kinds = (pa.int64(), pa.int64(), pa.int64())
             numbers = [[len(x) for x in sets], [int(x.sum(dtype=np.uint64).view(np.int64)) for x in sets], [int(mixed(x).sum(dtype=np.uint64).view(np.int64)) for x in sets]]
@@ -335,7 +342,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """rep, shingles (uint64 bytes) of the wanted doc_ids: written.  Rows that repeat an id are merged first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), words)], pa.binary())], ["rep", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep", "left_semi")

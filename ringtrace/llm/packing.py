@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringtrace.llm import wordpiece
-from ringtrace.llm.common import bases, written
+from ringtrace.llm.common import bases, slices, written
 
 WINDOW = 4096
 #: Partition totals are broadcast up to so many rows (16 bytes each), and joined by shuffle beyond.
@@ -38,7 +38,7 @@ def token_stream(docs: DataFrame, tokenizer: str, end_id: int = wordpiece.END_ID
         from pyspark import TaskContext
 
         part, encode, at = TaskContext.get().partitionId(), wordpiece.encoder(tokenizer).encode, 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = [x + end for x in encode(batch.column(1).cast(pa.binary()).to_pylist())]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             ends = at + np.cumsum(sizes)
@@ -70,7 +70,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = wo
     placed = stream.join(totals, "part").select("doc_id", "n_tokens", (F.col("base") + F.col("local_start")).alias("first"), "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, first = (batch.column(k).to_numpy() for k in (1, 2))
             runs = (first + n - 1) // window - first // window + 1
             row = np.repeat(np.arange(len(n)), runs)
