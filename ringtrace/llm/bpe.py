@@ -16,15 +16,13 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringtrace.llm.quality import let
-
 #: Characters of a chunk's documents (the last one may reach beyond), and words of a row: binding
 #: the rank map copies it once a row, some 50 ms, so rows are long.
 CHUNK_CHARS, ROW_WORDS = 24_000_000, 131_072
@@ -32,8 +30,8 @@ CHUNK_CHARS, ROW_WORDS = 24_000_000, 131_072
 FOLD_BYTES = 1024
 #: The rank of what is no token; ids, places and ranks are packed into one number.
 NONE, PLACE, RANK = 1 << 22, 1 << 20, 1 << 40
-#: Buckets of the rank map (a prime) and the factor that spreads its keys.
-BUCKETS, SPREAD = 131_071, 40_503
+#: Buckets of the rank map (a power of two), and the shift that spreads its keys.
+BUCKETS, SPREAD = 131_072, 9
 
 CHUNKS = "words array<array<smallint>>, doc_ids array<bigint>, counts array<int>, places binary, long_words array<binary>"
 
@@ -43,6 +41,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value evaluated once: the end of a fold of nothing.
+
+    An element taken from a ``transform`` would do, but there the type of all of ``use`` is worked out anew each time.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, use)
+
+
 class Codec:
     """Literal tables of one vocabulary, and the columns that use them."""
 
@@ -54,14 +60,15 @@ class Codec:
         pairs = {(ranks[t[:k]] << 16) + ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
         table: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
         for pair, rank in pairs.items():
-            table[pair * SPREAD % BUCKETS][pair] = rank
+            table[bucket(pair >> 16, pair & 0xFFFF)][pair] = rank * RANK
         pieces, own = [""] * size, [0] * 256
+        self.lengths = np.zeros(size, np.int64)
         for token, rank in ranks.items():
-            pieces[rank] = token.hex().upper()
+            pieces[rank], self.lengths[rank] = token.hex().upper(), len(token)
             if len(token) == 1:
                 own[token[0]] = rank
         # constant expressions: Spark folds each into one literal
-        self.pairs = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>").cast("array<map<bigint,int>>")
+        self.pairs = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
         self.bytes = F.split(F.lit(",".join(map(str, own))), ",").cast("array<bigint>")
         self.pieces = F.split(F.lit(",".join(pieces)), ",")
 
@@ -70,8 +77,15 @@ class Codec:
         return let(self.pairs, lambda pairs: let(self.bytes, lambda own: F.transform(words, lambda word: fold(word, pairs, own))))
 
     def decoded(self, ids: Column) -> Column:
-        """The binary that each id list of an array stands for."""
-        return let(self.pieces, lambda p: F.transform(ids, lambda one: F.unhex(F.array_join(F.transform(one, lambda i: F.get(p, i)), ""))))
+        """The binary that the id lists of an array stand for, all of them in one; an id's ``lengths`` tell where a list's bytes end."""
+        return let(self.pieces, lambda p: F.unhex(F.array_join(F.transform(F.flatten(ids), lambda i: F.get(p, i)), "")))
+
+
+def bucket(a, b):
+    """Where the rank map has two ids: whole numbers or columns."""
+    if isinstance(a, Column):
+        return F.shiftleft(a, SPREAD).bitwiseXOR(F.shiftright(a, 8)).bitwiseXOR(b).bitwiseAND(F.lit(BUCKETS - 1).cast("bigint")).cast("int")
+    return ((a << SPREAD) ^ (a >> 8) ^ b) & (BUCKETS - 1)
 
 
 def fold(word: Column, pairs: Column, own: Column) -> Column:
@@ -82,11 +96,11 @@ def fold(word: Column, pairs: Column, own: Column) -> Column:
     """
 
     def rank(a: Column, b: Column) -> Column:
-        key = a * 65536 + b
-        return F.coalesce(F.try_element_at(F.get(pairs, F.pmod(key * SPREAD, F.lit(BUCKETS)).cast("int")), key), F.lit(NONE)).cast("bigint")
+        key = F.shiftleft(a, 16).bitwiseOR(b)
+        return F.coalesce(F.try_element_at(F.get(pairs, bucket(a, b)), key), F.lit(NONE * RANK))
 
     def id_of(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(PLACE - 1))
+        return x.bitwiseAND(F.lit(PLACE - 1).cast("bigint"))
 
     def step(state: Column, _: Column) -> Column:
         def merged(least: Column) -> Column:
@@ -94,8 +108,8 @@ def fold(word: Column, pairs: Column, own: Column) -> Column:
 
             def at_place(at: Column) -> Column:
                 before, after = F.get(state, at - 2), F.get(state, at + 1)
-                here = rank(new, id_of(after)) * RANK + least.bitwiseAND(F.lit(RANK - PLACE)) + new
-                both = F.struct(here.alias("here"), before.alias("old"), (rank(id_of(before), new) * RANK + before.bitwiseAND(F.lit(RANK - 1))).alias("before"))
+                here = rank(new, id_of(after)).bitwiseOR(least.bitwiseAND(F.lit(RANK - PLACE))).bitwiseOR(new)
+                both = F.struct(here.alias("here"), before.alias("old"), rank(id_of(before), new).bitwiseOR(before.bitwiseAND(F.lit(RANK - 1))).alias("before"))
                 return let(both, lambda n: F.transform(F.array_remove(state, F.get(state, at)), lambda x: F.when(x == least, n["here"]).when(x == n["old"], n["before"]).otherwise(x)))
 
             return let(F.array_position(state, least).cast("int"), at_place)
@@ -103,7 +117,7 @@ def fold(word: Column, pairs: Column, own: Column) -> Column:
         return let(F.array_min(state), lambda x: F.when(x >= NONE * RANK, state).otherwise(merged(x)))
 
     def merges(ids: Column) -> Column:
-        start = F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)) * RANK + i * PLACE + a)
+        start = F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)).bitwiseOR(F.shiftleft(i.cast("bigint"), 20)).bitwiseOR(a))
         return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), start, step, lambda state: F.transform(state, lambda x: id_of(x).cast("int")))
 
     return let(F.transform(word, lambda b: F.get(own, b)), merges)
@@ -209,9 +223,12 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars:
                 of = {n: batch.column(n)[k] for n in batch.schema.names}
                 if not of["doc_ids"].is_valid:
                     lists = of["word_ids"].values
-                    values, cuts = np.ascontiguousarray(lists.flatten().to_numpy(), "<u4").tobytes(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy()) * 4]).tolist()
-                    ids.extend(values[a:b] for a, b in zip(cuts, cuts[1:]))
-                    data.extend(of["word_bytes"].values.to_pylist())
+                    flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+                    for held, values, cuts in ((ids, np.ascontiguousarray(flat, "<u4").tobytes(), ends * 4), (data, of["word_bytes"].as_py(), np.cumsum(lengths[flat])[ends - 1])):
+                        at = [0, *cuts.tolist()]
+                        if at[-1] != len(values):
+                            raise ValueError("the pieces do not add up to the words")
+                        held.extend(values[a:b] for a, b in zip(at, at[1:]))
                     continue
                 # long words have negative places: the last ones of each list
                 for word in of["long_words"].as_py()[::-1]:
@@ -230,5 +247,5 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars:
                 ids, data = [], []
                 yield pa.RecordBatch.from_arrays([of["doc_ids"].values, *[pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.binary()))]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
-    pieces = {r: t for t, r in ranks.items()}
+    pieces, lengths = {r: t for t, r in ranks.items()}, codec.lengths
     return decoded.mapInArrow(rows, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids binary")

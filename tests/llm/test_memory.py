@@ -46,3 +46,21 @@ def test_slices_change_no_prediction(many):
     whole = {r.doc_id: (r.lang_pred, round(r.score, 12)) for r in language.predicted(many, model).collect()}
     apart = {r.doc_id: (r.lang_pred, round(r.score, 12)) for r in language.predicted(many.repartition(40), model).collect()}
     assert whole == apart and len(whole) == 3000
+
+
+def test_a_bound_value_is_evaluated_once_and_typed_once(spark):
+    """A fold of nothing: no ``transform`` whose type is worked out at each use."""
+    from pyspark.sql import functions as F
+    from ringtrace.llm import bpe
+
+    df = spark.range(3).select(bpe.let(F.col("id") + 1, lambda x: bpe.let(x * 2, lambda y: F.array(x, y, y))).alias("v"))
+    assert [r.v for r in df.collect()] == [[1, 2, 2], [2, 4, 4], [3, 6, 6]]
+    assert "transform" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_lie_in_short_buckets():
+    from ringtrace.llm import bpe, wordpiece
+
+    ranks = bpe.read_ranks(wordpiece.tokenizer_path("byte_bpe_50k.tiktoken"))
+    sizes = Counter(bpe.bucket(ranks[t[:k]], ranks[t[k:]]) for t in ranks for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
+    assert max(sizes.values()) <= 10
