@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -40,6 +41,20 @@ def test_a_full_dictionary_is_emptied():
     assert e.encode(texts) == wordpiece.WordEncoder(PATH).encode(texts) and len(e) <= 3
 
 
+def test_parts_outlive_a_full_dictionary_of_words():
+    e = wordpiece.WordEncoder(PATH, kept=3)
+    e.encode([f"word{i} the cat".encode() for i in range(20)])
+    assert {"word", "the", "cat"} <= set(e.parts)
+
+
+@pytest.mark.parametrize("kept", [1, 5, 1000])
+def test_words_met_together_encode_as_whole_texts(kept, whole):
+    odd = "It's it's. IT'S, \u00c9t\u00e9 \u00c9T\u00c9! stra\u00dfe caf\u00e9s\u00ff 3d 12a4 <|endoftext|> a<|b \u4f60\u597d \x01x \x7fy z\x7f \u00a0 e\u0301 \u0130x \ufb01n \u00d7\u00f7 " + "long" * 50 + " " + "x" * 41 + " -- ''s 'll'd"
+    texts = [odd, "the cat", odd + " new", "", "\u00a0", *(f"w{i} it's {odd[i:]}" for i in range(60))]
+    e = wordpiece.WordEncoder(PATH, kept=kept)
+    assert e.encode([t.encode() for t in texts]) == [whole(t)[:-1].tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("ids", [[], [5], [1] * 10, [0, 49407] * 1000, list(range(3000)), [7, 7, 8] * 2000])
 def test_coder_round_trip(ids):
     ids = np.array(ids, "<u4")
@@ -65,6 +80,28 @@ def test_coder_compresses_and_notices_damage():
         coder.decode(bytes(broken))
 
 
+def test_coder_is_near_the_cost_of_a_few_table_look_ups():
+    """Coding and decoding an id takes less time than 450 plain look-ups in a table do (measured: 189; 944 when each id went through the mixers)."""
+    rng = np.random.default_rng(5)
+    ids = np.minimum(rng.zipf(1.3, 1 << 20), 3000).astype("<u4")
+    table, at = np.zeros(1 << 18, np.int32), rng.integers(0, 1 << 18, 8192)
+
+    def seconds(work) -> float:
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    look_up = min(seconds(lambda: [table[at] for _ in range(len(ids) // len(at))]) for _ in range(5))
+    assert min(seconds(lambda: coder.decode(coder.encode(ids))) for _ in range(2)) < 450 * look_up
+
+
+@pytest.mark.parametrize("n", [coder.STEPS - 1, coder.STEPS, coder.STEPS + 1, 40_000])
+def test_coder_round_trip_of_lanes_and_large_alphabets(n):
+    rng = np.random.default_rng(n)
+    for ids in (rng.integers(0, 1 << 20, n), np.arange(n) * 26 % (1 << 20), np.full(n, (1 << 20) - 1), rng.integers(0, 2, n)):
+        assert (coder.decode(coder.encode(ids.astype("<u4"))) == ids).all()
+
+
 def test_store_round_trip(spark, odd, whole):
     path = scratch(spark, "store")
     token_store.write_tokens(odd, path, PATH, block_ids=64)
