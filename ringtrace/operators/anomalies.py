@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ringtrace.functions import fixed
-from ringtrace.operators.common import discard, written
+from ringtrace.operators.common import best, discard, written
 
 #: The order in which kinds are shown.
 ORDER = ["high_severity", "repeated_indicator", "burst_size"]
@@ -78,47 +78,69 @@ def evidence(anomalies: DataFrame, docs: DataFrame, every_edge: DataFrame, edges
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def _list_ranks(rows: DataFrame, value: str) -> DataFrame:
-    """anomaly_key, rank: the place of each anomaly's ascending list of ``value`` among all lists, compared as lists are, equal ones alike.
+#: Values of a list that are compared at once, before the rest of it is.
+FIRST_VALUES = 8
 
-    Prefix doubling: values become numbers, then every place of a list gets the rank of the run of 1, 2, 4, ... values that begins there.  No
-    list is ever one row; rounds grow with the logarithm of the longest.
+
+def _list_ranks(rows: DataFrame, value: str, first: int = FIRST_VALUES) -> DataFrame:
+    """anomaly_key, first, rank: the order of (first, rank) is that of each anomaly's ascending list of ``value``, compared as lists are, equal ones alike.
+
+    ``first`` has a list's first values.  Where other lists have the same ones and more, the rest decides, by prefix doubling: values become numbers, then
+    every place of a list gets the rank of the run of 1, 2, 4, ... values that begins there.  A list leaves once no other begins like it, or all
+    of it is compared.  No list is ever one row; rounds grow with the logarithm of the longest common beginning.
     """
     have = rows.filter(F.col(value).isNotNull()).select("anomaly_key", value).distinct()
-    at = F.row_number().over(Window.partitionBy("anomaly_key").orderBy(value))
-    # values are numbered in order of their own: ranges of values by partition, and offsets of partitions
-    numbers = _numbered(have.select(value).distinct(), value)
-    runs = written(have.withColumn("at", at).join(numbers, value).select("anomaly_key", "at", F.col("number").alias("rank")), "runs")
-    longest, step = runs.agg(F.coalesce(F.max("at"), F.lit(0)).alias("n")).first().n, 1
-    while step < longest:
-        later = runs.select("anomaly_key", (F.col("at") - step).alias("at"), F.col("rank").alias("then"))
-        # a list that ends comes first
-        pairs = runs.join(later, ["anomaly_key", "at"], "left").select("anomaly_key", "at", F.struct(F.col("rank"), F.coalesce("then", F.lit(0)).alias("then")).alias("pair"))
-        ranks = _numbered(pairs.select("pair").distinct(), "pair")
-        before, runs = runs, written(pairs.join(ranks, "pair").select("anomaly_key", "at", F.col("number").alias("rank")), "runs")
-        discard(before)
-        step *= 2
-    return runs.filter("at = 1").select("anomaly_key", "rank")
+    begun = best(have, ["anomaly_key"], F.asc(value), n=first + 1).groupBy("anomaly_key").agg(F.array_sort(F.collect_list(value)).alias("v"))
+    heads = written(begun.select("anomaly_key", F.slice("v", 1, first).alias("first"), (F.size("v") > first).alias("more")), "heads")
+    same = heads.groupBy("first").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).filter("n > 1 AND more").select("first")
+    open_lists = written(heads.join(same, "first", "left_semi").select("anomaly_key"), "open")
+    found, ranks = heads.select("anomaly_key", "first"), []
+    if not open_lists.isEmpty():
+        at = F.row_number().over(Window.partitionBy("anomaly_key").orderBy(value))
+        left = have.join(open_lists, "anomaly_key", "left_semi")
+        # values are numbered in order of their own: ranges of values by partition, and offsets of partitions
+        runs = written(left.withColumn("at", at).join(_numbered(left.select(value).distinct(), value), value).select("anomaly_key", "at", F.col("number").alias("rank")), "runs")
+        step = 1
+        while True:
+            longest = runs.groupBy("anomaly_key").agg(F.max("at").alias("n"))
+            starts = runs.filter("at = 1").select("anomaly_key", "rank").join(longest, "anomaly_key")
+            ranks.append(written(starts, f"rank-{step}"))
+            alike = ranks[-1].groupBy("rank").agg(F.count(F.lit(1)).alias("_n"), F.max("n").alias("longest")).filter((F.col("_n") > 1) & (F.col("longest") > step)).select("rank")
+            still = written(ranks[-1].join(alike, "rank", "left_semi").select("anomaly_key"), "open")
+            if still.isEmpty():
+                break
+            kept = runs.join(still, "anomaly_key", "left_semi")
+            later = kept.select("anomaly_key", (F.col("at") - step).alias("at"), F.col("rank").alias("then"))
+            # a list that ends comes first
+            pairs = written(kept.join(later, ["anomaly_key", "at"], "left").select("anomaly_key", "at", F.struct(F.col("rank"), F.coalesce("then", F.lit(0)).alias("then")).alias("pair")), "pairs")
+            before, runs = runs, written(pairs.join(_numbered(pairs.select("pair").distinct(), "pair"), "pair").select("anomaly_key", "at", F.col("number").alias("rank")), "runs")
+            discard(before, pairs)
+            step *= 2
+    # ranks of all rounds in order: a list that left early was alone, or equal to all that stood with it
+    rank = F.array(*[F.coalesce(f"rank{k}", F.lit(0)) for k in range(len(ranks))]) if ranks else F.array().cast("array<bigint>")
+    for k, of in enumerate(ranks):
+        found = found.join(of.select("anomaly_key", F.col("rank").alias(f"rank{k}")), "anomaly_key", "left")
+    return found.select("anomaly_key", "first", rank.cast("array<bigint>").alias("rank"))
 
 
 def _numbered(values: DataFrame, column: str) -> DataFrame:
-    """Distinct values with their number (from 1) in ascending order: sorted in ranges, the ranges' sizes summed up."""
+    """Rows of distinct values with their number (from 1) in ascending order: sorted in ranges, the ranges' sizes summed up."""
     parts = written(values.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")  # one row a partition
     inside = F.row_number().over(Window.partitionBy("part").orderBy(column))
-    return parts.withColumn("inside", inside).join(sizes, "part").select(column, (F.col("inside") + F.col("before")).alias("number"))
+    return parts.withColumn("inside", inside).join(sizes, "part").select(*values.columns, (F.col("inside") + F.col("before")).alias("number"))
 
 
 def ordered(anomalies: DataFrame, behind: DataFrame) -> DataFrame:
     """``anomalies`` with ``place`` (from 1): by kind, then by the whole sorted list of documents behind them, then by that of indicators, then by key."""
     behind = written(behind, "behind")
-    by_document = _list_ranks(behind, "document_id").withColumnRenamed("rank", "documents")
-    by_indicator = _list_ranks(behind, "indicator_key").withColumnRenamed("rank", "indicators")
-    rows = anomalies.join(by_document, "anomaly_key", "left").join(by_indicator, "anomaly_key", "left")
-    order = F.struct(F.array_position(F.lit(ORDER), F.col("anomaly_type")).alias("kind"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("indicators", F.lit(0)).alias("indicators"), "anomaly_key")
+    lists = lambda value, name: _list_ranks(behind, value).select("anomaly_key", F.struct("first", "rank").alias(name))
+    rows = anomalies.join(lists("document_id", "documents"), "anomaly_key", "left").join(lists("indicator_key", "indicators"), "anomaly_key", "left")
+    # without any document or indicator: null, which comes first
+    order = F.struct(F.array_position(F.lit(ORDER), F.col("anomaly_type")).alias("kind"), "documents", "indicators", "anomaly_key")
     rows = written(rows.withColumn("order", order).drop("documents", "indicators"), "ordered")
-    return rows.join(_numbered(rows.select("order"), "order"), "order").drop("order").withColumnRenamed("number", "place")
+    return _numbered(rows, "order").drop("order").withColumnRenamed("number", "place")
 
 
 def anomaly_rows(anomalies: DataFrame) -> DataFrame:
