@@ -117,10 +117,11 @@ def newest_sources(edges: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:
     return best(once, ["key"], F.desc("last_seen"), F.asc("url"), n=n)
 
 
-def best_cluster(matched: DataFrame, members: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """For each lookup's documents (lookup_id, document_id) the campaign with most of them, then risk, then key."""
-    rows = matched.join(members.select("document_id", "campaign_key"), "document_id").join(live(campaigns).select("campaign_key", "risk_score"), "campaign_key")
-    counts = rows.groupBy("lookup_id", "campaign_key", "risk_score").agg(F.countDistinct("document_id").alias("matched"))
+def best_cluster(matched: DataFrame, members: DataFrame, campaigns: DataFrame, unique: bool = False) -> DataFrame:
+    """For each lookup's documents (lookup_id, document_id; ``unique`` if no row occurs twice) the campaign with most of them, then risk, then key."""
+    shown = members.select("document_id", "campaign_key").join(live(campaigns).select("campaign_key", "risk_score"), "campaign_key")
+    rows = matched.join(shown, "document_id")
+    counts = rows.groupBy("lookup_id", "campaign_key", "risk_score").agg((F.count(F.lit(1)) if unique else F.countDistinct("document_id")).alias("matched"))
     return best(counts, ["lookup_id"], F.desc("matched"), F.desc("risk_score"), F.asc("campaign_key"))
 
 
