@@ -179,6 +179,25 @@ def graph(campaigns: DataFrame, roles: DataFrame, evidence: DataFrame) -> tuple[
     A hub, campaigns, three scam types and two bank roles of each, ``evidence`` (campaign_key, document_id, title, membership_score), and the
     first indicators.  Sizes and weights follow documents, scores and roles.  A node or link that occurs twice is kept once.
     """
+    return _once(*_graph_parts(campaigns, roles, evidence))
+
+
+def graph_of_tags(campaigns: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`filtered_graph` of :func:`graph`, for ``kind`` tactic or bank: campaigns, such tags, and the links of the two.
+
+    Ids begin with the type of their node, so that nodes of other types cannot stand for these, and need not be built.
+    """
+    if kind.lower() not in ("tactic", "bank"):
+        raise ValueError("kind must be tactic or bank")
+    return filtered_graph(*_once(*_graph_parts(campaigns)), kind)
+
+
+def _once(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return best(nodes, ["id"], F.desc("size"), F.asc("label")), best(links, ["source", "target"], F.asc("relation"), F.desc("weight"))
+
+
+def _graph_parts(campaigns: DataFrame, roles: DataFrame | None = None, evidence: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links); without indicators and documents if ``roles`` and ``evidence`` are not given."""
     rows = live(campaigns).select("campaign_key", "label", "document_count", "scam_types", "bank_roles", "average_confidence", "analyst_confirmed")
     hub, campaign_id = F.lit(HUB), F.concat(F.lit("campaign-"), "campaign_key")
     sure = lambda fallback: F.when(F.col("analyst_confirmed"), "confirmed").otherwise(fallback)
@@ -187,24 +206,26 @@ def graph(campaigns: DataFrame, roles: DataFrame, evidence: DataFrame) -> tuple[
     tags = F.concat(F.transform(F.slice("scam_types", 1, 3), lambda x: taxonomy_entry(x, "tactic")), F.transform(F.slice("bank_roles", 1, 2), lambda x: taxonomy_entry(x, "bank")))
     tagged = rows.select("campaign_key", "average_confidence", "analyst_confirmed", F.explode(tags).alias("tag")).filter("tag IS NOT NULL").withColumn("tag_id", F.concat_ws("-", "tag.type", id_part(F.col("tag.label"))))
     of = rows.select("campaign_key", "analyst_confirmed")
-    docs = evidence.join(of, "campaign_key").withColumn("doc_id", F.concat(F.lit("evidence-"), "document_id"))
-    marks = top_indicators(roles).join(of, "campaign_key").withColumn("mark_id", F.concat(F.lit("indicator-"), F.sha2("key", 256)))
-    size = F.when(F.col("role") == "anchor", 15).when(F.col("role") == "shared", 13).otherwise(10)
-    nodes = reduce(DataFrame.unionByName, [
+    relation = F.when(F.col("tag.type") == "bank", "BANK_ROLE").otherwise("SCAM_TYPE")
+    nodes = [
         node(rows.agg(F.count(F.lit(1)).alias("n")).filter("n > 0"), hub, F.lit("Live campaign registry"), F.lit("registry"), F.lit(22), F.lit("live")),
         node(rows, campaign_id, F.col("label"), F.lit("campaign"), F.least(F.lit(24.0), 16 + F.sqrt(F.greatest(F.lit(1), "document_count"))), sure("provisional")),
         node(tagged, F.col("tag_id"), F.col("tag.label"), F.col("tag.type"), F.lit(11), F.lit(None).cast("string")),
-        node(docs, F.col("doc_id"), F.col("title"), F.lit("evidence"), 11 + F.col("membership_score") * 4, F.lit("observed")),
-        node(marks, F.col("mark_id"), F.col("display_value"), node_type(indicators.key_kind(F.col("key"))), size, F.col("role")),
-    ])
-    relation = F.when(F.col("tag.type") == "bank", "BANK_ROLE").otherwise("SCAM_TYPE")
-    links = reduce(DataFrame.unionByName, [
+    ]
+    links = [
         link(rows, hub, campaign_id, F.lit("ACTIVE_CAMPAIGN"), F.lit("confirmed"), F.lit(0.62)),
         link(tagged, campaign_id, F.col("tag_id"), relation, sure("suggested"), F.greatest(F.lit(0.55), F.coalesce("average_confidence", F.lit(0.0)))),
-        link(docs, campaign_id, F.col("doc_id"), F.lit("SOURCE_EVIDENCE"), F.lit("suggested"), F.col("membership_score")),
-        link(marks, campaign_id, F.col("mark_id"), F.upper("role"), sure("suggested"), F.col("weight")),
-    ])
-    return best(nodes, ["id"], F.desc("size"), F.asc("label")), best(links, ["source", "target"], F.asc("relation"), F.desc("weight"))
+    ]
+    if evidence is not None:
+        docs = evidence.join(of, "campaign_key").withColumn("doc_id", F.concat(F.lit("evidence-"), "document_id"))
+        nodes.append(node(docs, F.col("doc_id"), F.col("title"), F.lit("evidence"), 11 + F.col("membership_score") * 4, F.lit("observed")))
+        links.append(link(docs, campaign_id, F.col("doc_id"), F.lit("SOURCE_EVIDENCE"), F.lit("suggested"), F.col("membership_score")))
+    if roles is not None:
+        marks = top_indicators(roles).join(of, "campaign_key").withColumn("mark_id", F.concat(F.lit("indicator-"), F.sha2("key", 256)))
+        size = F.when(F.col("role") == "anchor", 15).when(F.col("role") == "shared", 13).otherwise(10)
+        nodes.append(node(marks, F.col("mark_id"), F.col("display_value"), node_type(indicators.key_kind(F.col("key"))), size, F.col("role")))
+        links.append(link(marks, campaign_id, F.col("mark_id"), F.upper("role"), sure("suggested"), F.col("weight")))
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, links)
 
 
 def filtered_graph(nodes: DataFrame, links: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
